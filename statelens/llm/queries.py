@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statelens.llm import langid, licenses, media, mixing, quality, secrets
+from statelens.llm import decontam, html, langid, licenses, media, mixing, quality, secrets
 
 
 def _table(spark, sf_dir, name):
@@ -32,6 +32,15 @@ def op5_license_scan(spark, sf_dir):
     return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def op7_decontamination(spark, sf_dir):
+    found = decontam.annotate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return decontam.digest(found).drop("longest")
+
+
+def op9_html_text(spark, sf_dir):
+    return html.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_language_id(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +51,8 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op4_media_columns": op4_media_columns,
     "op5_license_scan": op5_license_scan,
+    "op7_decontamination": op7_decontamination,
+    "op9_html_text": op9_html_text,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op5_license_scan": licenses.oracle()}
+ORACLES = {"op5_license_scan": licenses.oracle(), "op7_decontamination": decontam.ORACLE}
