@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statelens.llm import decontam, html, langid, licenses, media, mixing, quality, secrets
+from statelens.llm import decontam, html, jaccard, langid, licenses, media, mixing, quality, secrets
 
 
 def _table(spark, sf_dir, name):
@@ -32,6 +32,10 @@ def op5_license_scan(spark, sf_dir):
     return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def op6_ngram_jaccard(spark, sf_dir):
+    return jaccard.link(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_decontamination(spark, sf_dir):
     found = decontam.annotate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return decontam.digest(found).drop("longest")
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op4_media_columns": op4_media_columns,
     "op5_license_scan": op5_license_scan,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_decontamination": op7_decontamination,
     "op9_html_text": op9_html_text,
     "op10_language_id": op10_language_id,
