@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statelens.llm import decontam, html, jaccard, langid, licenses, media, mixing, quality, secrets
+from statelens.llm import decontam, html, jaccard, langid, licenses, media, mixing, quality, secrets, substrings
 
 
 def _table(spark, sf_dir, name):
@@ -41,6 +41,10 @@ def op7_decontamination(spark, sf_dir):
     return decontam.digest(found).drop("longest")
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return substrings.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark, sf_dir):
     return html.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_decontamination": op7_decontamination,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_text": op9_html_text,
     "op10_language_id": op10_language_id,
 }
