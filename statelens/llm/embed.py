@@ -147,12 +147,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def fit(labelled: DataFrame, params: Params = Params()) -> Model:
+def fit(labelled: DataFrame, params: Params = Params()) -> Model | None:
     """Learns from (key, text, label); rows without text or label are left out. Every fifth sampled document
     is kept from the descent and sets the temperature that makes the probabilities fit (calibration).
 
     Only a bounded sample reaches the driver: max_docs rows by hash of key, each of at most max_chars.
-    Without any usable row there is nothing to learn from: ValueError.
+    Without any usable row there is nothing to learn from: None.
     """
     ok = labelled.where("text is not null and label is not null").where(F.length("text") <= params.max_chars)
     # the ids are chosen before any text is read, and rows of one key are told apart by their text's hash
@@ -163,7 +163,7 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
         .collect()
     )
     if not sample:
-        raise ValueError("no labelled text to learn from")
+        return None
     classes = tuple(sorted({r["label"] for r in sample}))
     y = np.array([classes.index(r["label"]) for r in sample])
     texts, held = [r["text"] for r in sample], np.arange(len(sample)) % 5 == 4
@@ -178,10 +178,16 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     return Model(classes, model.table, bias, best, params)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with the column ``probs`` (array of a probability for each of model.classes) in place of the text."""
+def score(docs: DataFrame, model: Model | None, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs with the column ``probs`` (array of a probability for each of model.classes) in place of the text, or beside it.
+
+    Without a model probs is empty.
+    """
+    if model is None:
+        out = docs.withColumn("probs", F.array().cast("array<double>"))
+        return out if keep_text else out.drop(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x classes floats: fixed by Params
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if keep_text or c != text]
     schema = docs.select(*keep, F.array(F.lit(0.0)).alias("probs")).schema
 
     def run(batches):
@@ -194,4 +200,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             flat = pa.ListArray.from_arrays(np.arange(0, probs.size + 1, len(m.classes), dtype=np.int32), pa.array(probs.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays([*arrays, flat], [*keep, "probs"])
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

@@ -13,21 +13,33 @@ PARAMS = embed.Params()
 LETTER = r"\p{L}"
 
 
-def identify(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float = 0.5) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and rejected for each document.
+def annotate(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """docs with lang_pred, lang_score and rejected.
 
     Learns from text and lang of the documents that aren't held out. ``und`` (score 0) stands for null
-    texts and texts without a letter. ``rejected`` holds for those and where the calibrated probability
-    of the best language is below reject_below, i.e. where the answer is likelier wrong than right.
+    texts, texts without a letter, and everything where there is no labelled text to learn from.
+    ``rejected`` holds for those and where the calibrated probability of the best language is below
+    reject_below, i.e. where the answer is likelier wrong than right. Repeated rows each get their answer;
+    columns of docs with the names of the new ones are replaced.
     """
     train = docs.where(~held_out("doc_id")).select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label"))
     model = embed.fit(train.where(F.col("text").rlike(LETTER)), params)
-    scored = embed.score(docs.select("doc_id", held_out("doc_id").alias("held_out"), F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("letters"), "text"), model)
+    docs = docs.drop("lang_pred", "lang_score", "rejected", "probs")
+    letters = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)) if model else F.lit(False)
+    scored = embed.score(docs.withColumn("_letters", letters), model, keep_text=keep_text)
     best = F.array_max("probs")
-    names = F.array(*[F.lit(c) for c in model.classes])
-    return scored.select(
-        "doc_id",
-        "held_out",
-        F.when(F.col("letters"), F.element_at(names, F.array_position("probs", best).cast("int"))).otherwise("und").alias("lang_pred"),
-        F.when(F.col("letters"), best).otherwise(0.0).alias("score"),
-    ).withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < reject_below))
+    names = F.array(*[F.lit(c) for c in model.classes]) if model else F.array(F.lit("und"))
+    lang = F.when(F.col("_letters"), F.element_at(names, F.array_position("probs", best).cast("int"))).otherwise("und")
+    out = scored.withColumn("lang_pred", lang).withColumn("lang_score", F.when(F.col("_letters"), best).otherwise(0.0))
+    return out.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("lang_score") < reject_below)).drop("probs", "_letters")
+
+
+def identify(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float = 0.5) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and rejected for each document; see annotate()."""
+    out = annotate(docs.select("doc_id", "text", "lang"), params, reject_below, keep_text=False)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "rejected")
+
+
+def accept(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float = 0.5) -> DataFrame:
+    """The documents that aren't rejected, as they are."""
+    return annotate(docs, params, reject_below).where("not rejected").select(*docs.columns)

@@ -19,11 +19,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, pa
     """doc_id, held_out, score (probability of label 1) and predicted (score >= threshold) for each document.
 
     Learns from the labelled documents that aren't held out. Null and empty texts get the prior's score;
-    a null doc_id is scored but never learnt from; a repeated row is scored each time it occurs.
+    a null doc_id is scored but never learnt from; a repeated row is scored each time it occurs. Without any
+    labelled text every score is 0.5.
     """
     labelled = docs.where(~held_out("doc_id")).select("doc_id", "text").join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
     model = embed.fit(labelled.select(F.col("doc_id").alias("key"), "text", F.col("quality").alias("label")), params)
-    good = model.classes.index("1") if "1" in model.classes else None
+    classes = model.classes if model else ()
     scored = embed.score(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), model)
-    p = F.col("probs")[good] if good is not None else F.lit(0.0)
+    p = F.col("probs")[classes.index("1")] if "1" in classes else F.lit(0.0 if classes else 0.5)
     return scored.select("doc_id", "held_out", p.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
