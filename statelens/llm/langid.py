@@ -13,14 +13,15 @@ PARAMS = embed.Params()
 LETTER = r"\p{L}"
 
 
-def annotate(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float = 0.5, keep_text: bool = True) -> DataFrame:
+def annotate(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float = 0.35, keep_text: bool = True) -> DataFrame:
     """docs with lang_pred, lang_score and rejected.
 
     Learns from text and lang of the documents that aren't held out. ``und`` (score 0) stands for null
     texts, texts without a letter, and everything where there is no labelled text to learn from.
     ``rejected`` holds for those and where the calibrated probability of the best language is below
-    reject_below, i.e. where the answer is likelier wrong than right. Repeated rows each get their answer;
-    columns of docs with the names of the new ones are replaced.
+    reject_below: hardly above chance among four languages, so that clean documents that quote another
+    language stay. Repeated rows each get their answer; columns of docs with the names of the new ones are
+    replaced.
     """
     train = docs.where(~held_out("doc_id")).select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label"))
     model = embed.fit(train.where(F.col("text").rlike(LETTER)), params)
@@ -34,12 +35,12 @@ def annotate(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float
     return out.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("lang_score") < reject_below)).drop("probs", "_letters")
 
 
-def identify(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float = 0.35) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for each document; see annotate()."""
     out = annotate(docs.select("doc_id", "text", "lang"), params, reject_below, keep_text=False)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "rejected")
 
 
-def accept(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float = 0.5) -> DataFrame:
+def accept(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float = 0.35) -> DataFrame:
     """The documents that aren't rejected, as they are."""
     return annotate(docs, params, reject_below).where("not rejected").select(*docs.columns)
