@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from statelens.plans import graph_queries
+
+MODULES = (graph_queries,)
+QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 
 
 def flagship(spark, sf_dir):
-    """The query that entry() runs."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """The query that entry() runs: scores of every predicted graph against its case's gold graph."""
+    return QUERIES["d13_score_runs"](spark, sf_dir)
