@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from statelens.plans import graph_queries, rating_queries, sample_queries
+from statelens.plans import graph_queries, rating_queries, sample_queries, text_queries
 
-MODULES = (graph_queries, rating_queries, sample_queries)
+MODULES = (graph_queries, rating_queries, sample_queries, text_queries)
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 
