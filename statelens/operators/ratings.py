@@ -76,8 +76,8 @@ def kappa(scores: DataFrame, keys: list[str], weights: str = "quadratic", catego
     """(keys, kappa): 1 - observed / expected weighted disagreement; both come from the table of score pairs."""
     far = F.abs(F.col("a") - F.col("b")) / (categories - 1)
     w = {"none": (F.col("a") != F.col("b")).cast("double"), "linear": far, "quadratic": far * far}[weights]
-    n = scores.groupBy(*keys, "a", "b").agg(F.count("*").alias("c"))
-    observed = n.groupBy(*keys).agg((F.sum(w * F.col("c")) / F.sum("c")).alias("o"))
-    ma, mb = n.groupBy(*keys, "a").agg(F.sum("c").alias("ca")), n.groupBy(*keys, "b").agg(F.sum("c").alias("cb"))
+    n = scores.groupBy(*keys, "a", "b").agg(F.count("*").alias("_n"))
+    observed = n.groupBy(*keys).agg((F.sum(w * F.col("_n")) / F.sum("_n")).alias("o"))
+    ma, mb = n.groupBy(*keys, "a").agg(F.sum("_n").alias("ca")), n.groupBy(*keys, "b").agg(F.sum("_n").alias("cb"))
     expected = ma.join(mb, keys).groupBy(*keys).agg((F.sum(w * F.col("ca") * F.col("cb")) / F.sum(F.col("ca") * F.col("cb"))).alias("e"))
     return observed.join(expected, keys).select(*keys, F.when(F.col("e") == 0, 1.0).otherwise(1 - F.col("o") / F.col("e")).alias("kappa"))

@@ -21,15 +21,15 @@ def midranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def rank_groups(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """(by, group, n, rank_sum, total, tie_sum): rank sums of each group from the joint ranking within by."""
-    h = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("c"))
+    h = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*by, value)
     # the ranking runs over (value, group) counts: as many rows as distinct values times groups
-    ties = h.withColumn("ties", F.sum("c").over(w))
+    ties = h.withColumn("ties", F.sum("_n").over(w))
     before = Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, -1)
     first = Window.partitionBy(*by, value).orderBy(group)
-    ties = ties.withColumn("rank", F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("ties") + 1) / 2)
+    ties = ties.withColumn("rank", F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("ties") + 1) / 2)
     ties = ties.withColumn("t3", F.when(F.row_number().over(first) == 1, F.col("ties").cast("double") * F.col("ties") * F.col("ties") - F.col("ties")).otherwise(0.0))
-    g = ties.groupBy(*by, group).agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("c")).alias("rank_sum"), F.sum("t3").alias("t3"))
+    g = ties.groupBy(*by, group).agg(F.sum("_n").alias("n"), F.sum(F.col("rank") * F.col("_n")).alias("rank_sum"), F.sum("t3").alias("t3"))
     all_ = Window.partitionBy(*by)
     return g.withColumn("total", F.sum("n").over(all_)).withColumn("tie_sum", F.sum("t3").over(all_)).drop("t3")
 

@@ -11,7 +11,7 @@ KINDS = {"raw_requirement.txt": "raw_requirement", "structured_requirement.txt":
 
 
 def _texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    d = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return d.select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("text"))
 
 
