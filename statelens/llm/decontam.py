@@ -63,7 +63,7 @@ class TestSuffixes:
 
     def keys(self, rows, fill=None, lengths=None):
         """Rows of ids as fixed-width byte strings that sort as the rows do; beyond lengths every byte is fill."""
-        b = rows.astype(">u4").view(np.uint8).reshape(len(rows), -1).copy()
+        b = rows.astype(">u4").view(np.uint8).reshape(len(rows), 4 * rows.shape[1]).copy()
         if fill is not None:
             b[np.arange(b.shape[1])[None, :] >= 4 * lengths[:, None]] = fill
         return b.view(f"S{b.shape[1]}").ravel()

@@ -25,7 +25,7 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "d
 FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "object", "dialog", "menu", "header"}
 BAD_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|site-?header|page-?header|masthead|cookies?|consent|notices?|newsletter|subscribe|sign-?up|popup|modal|overlay|share|sharing|social|related|recommend\w*|comments?|comment-?list|respond|disqus|pagination|pager|tags|login|search)(?:$|[\s_-])")
 BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<(?![a-zA-Z/!?]))", re.S)
 NAMES = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 SPACE = re.compile(r"\s+")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
