@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,9 +38,16 @@ def staged(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there."""
     path, w = shared_dir(df.sparkSession), df.write
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps: it does so once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Makes checkpoint() usable, in the folder of spark.checkpoint.dir where it is set."""
     if not spark.sparkContext.getCheckpointDir():

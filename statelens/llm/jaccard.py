@@ -331,7 +331,8 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> Data
             cols = [b.column(b.schema.get_field_index(c)).take(take) for c in ("cls", "comp", "nb")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(data, pa.binary())], ["cls", "comp", "nb", "data"])
 
-    texts = docs.select("doc_id", "text").join(reps, "doc_id")
+    # the same join at every size: a broadcast of reps would grow with the input
+    texts = docs.select("doc_id", "text").join(reps.hint("shuffle_merge"), "doc_id")
     data = texts.select("cls", "comp", "nb", "text").mapInArrow(sets, "cls binary, comp long, nb long, data binary")
     cut = data.withColumn("x", F.pmod(F.xxhash64("cls"), "nb"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda y: F.struct(F.least("x", y).alias("i"), F.greatest("x", y).alias("j")))
