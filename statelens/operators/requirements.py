@@ -45,7 +45,8 @@ def shall(clauses: DataFrame) -> DataFrame:
 def actors(docs: DataFrame) -> DataFrame:
     """docs' key with the actors named as whole words, in lexicon order; a plural beside its singular is dropped."""
     low = F.lower("text")
-    hits = F.array_compact(F.array(*[F.when(low.rlike(rf"(^|[^a-z0-9_]){a}([^a-z0-9_]|$)"), F.lit(a)) for a in T.ACTORS]))
+    # the plain search comes first: most terms are in few texts
+    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(a)) & low.rlike(rf"(^|[^a-z0-9_]){a}([^a-z0-9_]|$)"), F.lit(a)) for a in T.ACTORS]))
     d = docs.select("key", hits.alias("h"))
     singular = F.filter("h", lambda a: ~(a.endswith("s") & F.array_contains(F.col("h"), F.substring(a, F.lit(1), F.length(a) - 1))))
     return d.select("key", singular.alias("actors"))

@@ -13,6 +13,7 @@ from statelens.operators import prompts as H
 from statelens.operators import requirements as O
 from statelens.operators import sampling as S
 from statelens.plans import bindings as B
+from statelens.plans.graph_queries import _RULES
 from statelens.sources import files as A
 
 
@@ -319,6 +320,19 @@ it as (select key, answer, unnest(range(len(c))) as item, unnest(list_transform(
 ORACLES["i8_requirement_items"] = f"{_ITEMS} select key, item, array_to_string(t, ' ') as tokens from it"
 ORACLES["i9_requirement_coverage"] = f"""{_ITEMS}, h as (select key, len(t) as n, len(list_intersect(t, {_TOK.format(x='answer')})) as k from it)
 select key, count(*) as items, count(*) filter (k >= (case when n <= 2 then 1 else 2 end) or k / n >= 0.35) as covered, round(0.65::double * count(*) filter (k >= (case when n <= 2 then 1 else 2 end) or k / n >= 0.35) / count(*) + 0.35::double * avg(least(1.0, k / n / 0.45::double)), 9) as coverage from h group by 1"""
+_FACTS = f"""{_RULES}, ks as (select diagram_id, list(kind) as kinds from viol group by 1),
+x as (select d.diagram_id, coalesce(k.kinds, []) as kinds, (select count(*) from states s where s.diagram_id = d.diagram_id) as n, (select count(*) from transitions t where t.diagram_id = d.diagram_id) as m, coalesce(dup.n, 0) as dups
+from diagrams d left join ks k using (diagram_id) left join dup using (diagram_id) where d.run_index > 0)"""
+_HAS = lambda kind, p: f"case when list_contains(kinds, '{kind}') then {p}::double else 0 end"
+ORACLES["i7_structural_scores"] = f"""{_FACTS} select diagram_id, round(greatest(0, least(1, 1 - (case when m = 0 then 0.2::double else 0 end + least(0.1::double, 0.1::double * dups / greatest(m, 1)) + {' + '.join(_HAS(k, v) for k, v in I.KIND_PENALTIES.items())}))), 9) as structural from x"""
+ORACLES["i12_quality_scores"] = f"""{_FACTS} select diagram_id, round(greatest(0, least(1, 1 - (case when n < 3 then 0.25::double when n > 30 then least(0.25::double, (n - 30) / 80) else 0 end
++ case when m < greatest(n - 1, 1) then least(0.2::double, (greatest(n - 1, 1) - m) / greatest(n, 5) * 0.2::double) when m > 3 * n then least(0.15::double, (m - 3 * n) / 100) else 0 end + {_HAS('orphan_states', 0.08)} + {_HAS('invalid_choice_node', 0.08)}))), 9) as quality from x"""
+ORACLES["o8_actors"] = f"""with d as (select doc_id as key, lower(text || case when doc_id % 3 = 0 then ' Customers and a customer.' when doc_id % 3 = 1 then ' Job seekers.' else '' end) as low from documents where text is not null),
+h as (select key, list_filter([{', '.join(f"'{a}'" for a in T.ACTORS)}], lambda a: regexp_matches(low, '(^|[^a-z0-9_])' || a || '([^a-z0-9_]|$)')) as h from d)
+select key, coalesce(array_to_string(list_filter(h, lambda a: not (right(a, 1) = 's' and list_contains(h, left(a, length(a) - 1)))), ','), '') as actors from h"""
+ORACLES["q1_stems"] = f"""with w as (select doc_id as key, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]+'), lambda t: length(t) > 2 and t not in ({', '.join(f"'{x}'" for x in T.RATING_STOPWORDS)})) as w from documents where text is not null),
+s as (select key, list_sort(list_distinct(list_transform(w, lambda t: case when length(t) > 5 and right(t, 3) = 'ing' then left(t, length(t) - 3) when length(t) > 5 and right(t, 2) in ('ed', 'es') then left(t, length(t) - 2) when length(t) > 5 and right(t, 1) = 's' then left(t, length(t) - 1) else t end))) as s from w)
+select key, cast(len(s) as bigint) as n_stems, md5(array_to_string(s, ' ')) as stems_md5 from s"""
 ORACLES["b1_answer_blocks"] = ORACLES["b17_graph_to_text"].replace("'@enduml') as text", "'@enduml') || chr(10) as text")
 ORACLES = {k: v for k, v in ORACLES.items() if v}
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[0] in "abhioq" and n[1:2].isdigit()}
