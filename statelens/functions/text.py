@@ -115,7 +115,11 @@ def ensure_period(x) -> Column:
 
 def to_shall(x) -> Column:
     """A requirement in "The system shall" form, by its leading verb, actor or copula."""
-    req = clean_clause(x)
+    # the cleaned clause is bound once: it is used in every branch
+    return F.get(F.transform(F.array(clean_clause(x)), _shall), F.lit(0))
+
+
+def _shall(req: Column) -> Column:
     low = F.lower(req)
     verbs = "allow|allows|enable|enables|support|supports|provide|provides|manage|manages|monitor|monitors|track|tracks|detect|detects|verify|verifies|register|registers|log|logs|view|views|create|creates|update|updates|cancel|cancels|search|searches|order|orders|select|selects"
     say = lambda head: ensure_period(F.concat(F.lit(head), lower_first(req)))
