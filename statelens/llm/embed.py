@@ -147,15 +147,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
+def chosen(key: str, rows: int, params: Params = Params()):
+    """Condition that about half as many rows again as max_docs of ``rows`` meet, by seeded hash of their key.
+
+    It reads no text, so it holds back the other documents before they are joined or moved.
+    """
+    share = min(1.0, 1.5 * params.max_docs / max(1, rows))
+    return F.pmod(F.xxhash64(F.col(key), F.lit(params.seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+
+
 def fit(labelled: DataFrame, params: Params = Params()) -> Model | None:
     """Learns from (key, text, label); rows without text or label are left out. Every fifth sampled document
     is kept from the descent and sets the temperature that makes the probabilities fit (calibration).
 
-    Only a bounded sample reaches the driver: max_docs rows by hash of key, each of at most max_chars.
+    Only a bounded sample reaches the driver: max_docs rows by hash of key, each of at most max_chars. Large
+    tables are to be thinned with chosen() first.
     Without any usable row there is nothing to learn from: None.
     """
     ok = labelled.where("text is not null and label is not null").where(F.length("text") <= params.max_chars)
-    # the ids are chosen before any text is read, and rows of one key are told apart by their text's hash
+    # rows of one key are told apart by their text's hash
     sample = (
         ok.select(F.xxhash64("key", F.lit(params.seed)).alias("h"), F.xxhash64("text").alias("h2"), "text", F.col("label").cast("string").alias("label"))
         .orderBy("h", "h2")

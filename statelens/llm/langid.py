@@ -23,7 +23,8 @@ def annotate(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float
     language stay. Repeated rows each get their answer; columns of docs with the names of the new ones are
     replaced.
     """
-    train = docs.where(~held_out("doc_id")).select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label"))
+    known = docs.where(~held_out("doc_id") & F.col("lang").isNotNull())
+    train = known.where(embed.chosen("doc_id", known.count(), params)).select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label"))
     model = embed.fit(train.where(F.col("text").rlike(LETTER)), params)
     docs = docs.drop("lang_pred", "lang_score", "rejected", "probs")
     letters = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)) if model else F.lit(False)
@@ -43,4 +44,6 @@ def identify(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float
 
 def accept(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float = 0.35) -> DataFrame:
     """The documents that aren't rejected, as they are."""
-    return annotate(docs, params, reject_below).where("not rejected").select(*docs.columns)
+    aside = {c: f"_in_{c}" for c in docs.columns if c in ("lang_pred", "lang_score", "rejected", "probs")}
+    kept = annotate(docs.withColumnsRenamed(aside), params, reject_below).where("not rejected")
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

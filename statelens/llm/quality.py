@@ -22,8 +22,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, pa
     a null doc_id is scored but never learnt from; a repeated row is scored each time it occurs. Without any
     labelled text every score is 0.5.
     """
-    labelled = docs.where(~held_out("doc_id")).select("doc_id", "text").join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
-    model = embed.fit(labelled.select(F.col("doc_id").alias("key"), "text", F.col("quality").alias("label")), params)
+    known = labels.where("quality in (0, 1)").where(~held_out("doc_id")).select("doc_id", F.col("quality").alias("label"))
+    picked = embed.chosen("doc_id", known.count(), params)
+    labelled = docs.select("doc_id", "text").where(picked & ~held_out("doc_id")).join(known.where(picked), "doc_id")
+    model = embed.fit(labelled.withColumnRenamed("doc_id", "key"), params)
     classes = model.classes if model else ()
     scored = embed.score(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), model)
     p = F.col("probs")[classes.index("1")] if "1" in classes else F.lit(0.0 if classes else 0.5)
