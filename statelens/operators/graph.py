@@ -27,6 +27,43 @@ class Elements:
     errors: DataFrame | None = None
 
 
+# Issue text prefixes and their kinds, in order.
+ISSUE_KINDS = (
+    (r"^missing_initial_state_transition", "missing_initial_state"),
+    (r"^multiple_initial_state_transitions", "multiple_initial_states"),
+    (r"^missing_final_state_transition", "missing_final_state"),
+    (r"^duplicate_transitions_detected", "duplicate_transitions"),
+    (r"^unreachable_states_detected", "unreachable_states"),
+    (r"^unreachable:", "unreachable_state_detail"),
+    (r"^orphan_states_detected", "orphan_states"),
+    (r"^orphan:", "orphan_state_detail"),
+    (r"^choice_node_without_outgoing_transitions", "invalid_choice_node"),
+    (r"^choice_node_without_guarded_outgoing_transitions", "invalid_choice_guards"),
+    (r"^fork_without_multiple_outgoing_branches", "invalid_fork_node"),
+    (r"^join_without_multiple_incoming_branches", "invalid_join_node"),
+    (r"^history_state_used_without_composite_state", "invalid_history_state"),
+    (r"^candidate_line_[0-9]+:", "parse_warning"),
+    (r"^plantuml_syntax_error", "plantuml_syntax_error"),
+    (r"^plantuml_command_not_found", "plantuml_check_unavailable"),
+)
+DETAIL_KINDS = ("unreachable_state_detail", "orphan_state_detail")
+
+
+def issue_kind(issue):
+    """The kind of an issue's text; unknown texts become a slug."""
+    clean = F.trim(issue)
+    slug = F.btrim(F.regexp_replace(F.lower(clean), "[^a-z0-9]+", "_"), F.lit("_"))
+    out = F.when(slug == "", "unknown").otherwise(slug)
+    for pattern, kind in reversed(ISSUE_KINDS):
+        out = F.when(clean.rlike(pattern), kind).otherwise(out)
+    return out
+
+
+def countable(violations: DataFrame) -> DataFrame:
+    """Violations without the kinds that only detail another."""
+    return violations.where(~F.col("kind").isin(*DETAIL_KINDS))
+
+
 def graphs(el: Elements) -> DataFrame:
     """One row for each diagram: states, edges (in line order, duplicates kept), inits (list), finals, errors."""
     state = "struct<state:string,is_explicit:boolean,is_composite:boolean,is_history:boolean,stereotypes:array<string>>"

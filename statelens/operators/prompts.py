@@ -85,3 +85,23 @@ def answer_json(text, schema: str):
     braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     valid = lambda x: F.when(F.try_parse_json(x).isNotNull() & F.ltrim(x).startswith("{"), F.from_json(x, schema))
     return F.coalesce(valid(text), valid(fence), valid(braces))
+
+
+def review_prompts(docs: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(key, prompt): each text with its extracted requirements as JSON, for rewriting or checking."""
+    g = extracted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "requirement"))).alias("r"))
+    payload = F.to_json(F.struct(F.transform("r", lambda x: x["requirement"]).alias("functional_requirements")))
+    return docs.join(g, "key").select("key", F.concat_ws("\n\n", F.lit("Check the requirements against the text."), F.col("text"), payload).alias("prompt"))
+
+
+def normalised_answers(answers: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(key, pos, requirement): answered requirements cleaned and each once, or the extracted ones where none is left.
+
+    answers: key, requirements (array, null where the answer didn't parse); fallback: key, pos, requirement.
+    """
+    from statelens.functions import text as T
+    from statelens.operators.requirements import ordered_distinct
+
+    a = answers.select("key", F.posexplode("requirements").alias("pos", "raw")).withColumn("requirement", T.clean_clause("raw"))
+    a = ordered_distinct(a, "requirement").select("key", "pos", "requirement")
+    return a.unionByName(fallback.select("key", "pos", "requirement").join(a.select("key").distinct(), "key", "left_anti"))

@@ -81,3 +81,15 @@ def kappa(scores: DataFrame, keys: list[str], weights: str = "quadratic", catego
     ma, mb = n.groupBy(*keys, "a").agg(F.sum("_n").alias("ca")), n.groupBy(*keys, "b").agg(F.sum("_n").alias("cb"))
     expected = ma.join(mb, keys).groupBy(*keys).agg((F.sum(w * F.col("ca") * F.col("cb")) / F.sum(F.col("ca") * F.col("cb"))).alias("e"))
     return observed.join(expected, keys).select(*keys, F.when(F.col("e") == 0, 1.0).otherwise(1 - F.col("o") / F.col("e")).alias("kappa"))
+
+
+def with_case(ratings: DataFrame, cases: DataFrame, number: str = "case_number") -> DataFrame:
+    """ratings with the case_id and complexity of the only case whose id starts with case_<number>_; others are left out."""
+    c = cases.withColumn("_n", F.regexp_extract("case_id", "^case_0*([0-9]+)_", 1)).where("_n <> ''")
+    c = c.withColumn("_c", F.count("*").over(Window.partitionBy("_n"))).where("_c = 1").drop("_c")
+    return ratings.join(c, F.col(number).cast("string") == F.col("_n")).drop("_n")
+
+
+def overall(scores: DataFrame) -> DataFrame:
+    """Paired scores with a copy of every row under the criterion ``overall``."""
+    return scores.unionByName(scores.withColumn("criterion", F.lit("overall")))
