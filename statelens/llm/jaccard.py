@@ -3,8 +3,10 @@
 1. Every text becomes its set of hashed word shingles; equal sets form one class, so copies cost nothing more.
 2. Two sets with Jaccard t or more differ in at most D = (1 - t) / t * (smaller size) shingles. The sets of a
    size band are cut by hash into more than D segments, so two linked ones agree in some segment whole.
-   Equal segments (several shingles each, hence seldom equal by chance) link candidates as stars, never as
-   pairs; the connected candidates make the blocks within which all links lie.
+   Classes with an equal segment are candidates: pair by pair where few have it (PAIRED at most), as a star
+   around the least where many do. A pair goes on if the classes' token bitmaps allow enough overlap; a
+   star's edges all do, since its other pairs hang on them. What stays connected makes the blocks within
+   which all links lie.
 3. In each block a signature tree is built over the classes: the nodes hold OR-combined token bitmaps, size
    ranges and the most tokens that share bits. A dual traversal drops node pairs whose greatest possible
    overlap is too small, or that are linked already, and compares the sets of the leaf pairs that stay.
@@ -31,6 +33,8 @@ BLOCK_SHINGLES = 3_000_000
 #: Segment signatures that one bucket of the candidate search is meant to hold.
 BUCKET_ENTRIES = 1_500_000
 MAP_BYTES = 6 << 20
+#: Most classes with one equal segment that are compared pair by pair.
+PAIRED = 32
 FANOUT = 8
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -104,16 +108,54 @@ def segment_signatures(sets: list[np.ndarray], num: int, den: int):
     return np.concatenate(sigs), np.concatenate(owners)
 
 
-def stars(sig: np.ndarray, node: np.ndarray):
-    """(order, start of each run, distinct star edges) of equal signatures: the least node of a run to each other one."""
+def runs_of(sig: np.ndarray, node: np.ndarray):
+    """(signatures, nodes, pairs, star edges): distinct entries sorted by signature; runs of up to PAIRED nodes give all
+    their pairs (lesser node first), longer ones a star around the least node.
+    """
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-    at = np.flatnonzero(first)
-    centre = np.repeat(node[at], np.diff(np.concatenate([at, [len(sig)]])))
-    far = centre != node
-    edges = np.unique(np.stack([centre[far], node[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.uint64)
-    return sig[at], node[at], edges
+    none = np.zeros((0, 2), np.uint64)
+    if not len(sig):
+        return sig, node, none, none
+    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+    sig, node = sig[new], node[new]
+    at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    n = np.diff(np.concatenate([at, [len(sig)]]))
+    pairs = []
+    few = np.repeat((n > 1) & (n <= PAIRED), n)
+    for step in range(1, min(int(n.max()), PAIRED)):
+        i = np.flatnonzero(few[:-step] & (sig[step:] == sig[:-step]))
+        pairs.append(np.stack([node[i], node[i + step]], 1))
+    many = np.repeat(n > PAIRED, n)
+    many[at] = False
+    star = np.stack([np.repeat(node[at], n)[many], node[many]], 1)
+    distinct = lambda e: np.unique(e, axis=0) if len(e) else none
+    return sig, node, distinct(np.concatenate(pairs)) if pairs else none, distinct(star)
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """A bitmap of the set's tokens with about two bits for each, 256 to 8192; half as wide it is the OR of its halves."""
+    bits = 256
+    while bits < 2 * len(s) and bits < 8192:
+        bits *= 2
+    flags = np.zeros(bits, bool)
+    flags[(s % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def may_link(a: bytes, na: int, b: bytes, nb: int, num: int, den: int) -> bool:
+    """Whether two sets of na and nb tokens with these bitmaps can overlap enough: a common token has a common bit, and
+    at most as many tokens share bits as a set has tokens beyond its bits.
+    """
+    if na * den < num * nb or nb * den < num * na:
+        return False
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    spare = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
+    return (int(np.bitwise_count(x & y).sum()) + spare) * (num + den) >= num * (na + nb)
 
 
 def _six(a: np.ndarray) -> bytes:
@@ -127,22 +169,23 @@ def _unsix(b: bytes) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, cls) for each row."""
+    """(doc_id, n_shingles, cls, bits) for each row."""
 
     def run(batches):
         for b in batches:
-            n, cls = [], []
+            n, cls, bits = [], [], []
             for _, s in shingle_sets(b.column(b.schema.get_field_index("text")), k):
                 n.append(len(s))
                 cls.append(digest(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(cls, pa.binary())], ["doc_id", "n_shingles", "cls"])
+                bits.append(bitmap(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "cls", "bits"])
 
-    schema = docs.select("doc_id").schema.add("n_shingles", "long").add("cls", "binary")
+    schema = docs.select("doc_id").schema.add("n_shingles", "long").add("cls", "binary").add("bits", "binary")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def candidates(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Edges (u, v) between 48-bit class numbers: classes with an equal segment are connected."""
+    """(u, v, star) between 48-bit class numbers: classes with an equal segment are paired or joined by a star."""
 
     def emit(batches):
         for b in batches:
@@ -153,7 +196,15 @@ def candidates(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> Dat
             def flush(batch):
                 sig, owner = segment_signatures([s for _, s in batch], num, den)
                 node = np.array([c for c, _ in batch], np.uint64)[owner] if len(owner) else np.zeros(0, np.uint64)
-                sig, node, edges = stars(sig, node)
+                sig, node, _, star = runs_of(sig, node)
+                # a long run within the batch goes on as its least node
+                keep = np.ones(len(sig), bool)
+                if len(star):
+                    at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+                    n = np.diff(np.concatenate([at, [len(sig)]]))
+                    keep = np.repeat(n <= PAIRED, n)
+                    keep[at] = True
+                sig, node = sig[keep], node[keep]
                 where = (sig >> np.uint64(48)) % np.uint64(buckets) if buckets <= 65536 else mix(sig) % np.uint64(buckets)
                 order = np.argsort(where, kind="stable")
                 sig, node, where = sig[order], node[order], where[order]
@@ -161,8 +212,8 @@ def candidates(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> Dat
                 lo = np.concatenate([[0], cut]) if len(where) else np.zeros(0, int)
                 hi = np.concatenate([cut, [len(where)]]) if len(where) else lo
                 rows = [(int(where[i]), _six(sig[i:j]), _six(node[i:j])) for i, j in zip(lo, hi, strict=True)]
-                if len(edges):  # whole stars in one place: bucket -1 - x carries edges
-                    rows.append((-1 - int(edges[0, 0] % np.uint64(buckets)), _six(edges[:, 0]), _six(edges[:, 1])))
+                if len(star):  # a negative bucket carries edges
+                    rows.append((-1 - int(star[0, 0] % np.uint64(buckets)), _six(star[:, 0]), _six(star[:, 1])))
                 return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "a", "b"])
 
             for _, s in shingle_sets(b.column(b.schema.get_field_index("text")), k):
@@ -185,11 +236,30 @@ def candidates(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> Dat
         a = np.concatenate([_unsix(x.as_py()) for x in table.column("a")])
         b = np.concatenate([_unsix(x.as_py()) for x in table.column("b")])
         bucket = table.column("bucket")[0].as_py()
-        edges = np.unique(np.stack([a, b], 1), axis=0) if bucket < 0 else stars(a, b)[2]
-        return pa.table({"u": pa.array(edges[:, 0].astype(np.int64)), "v": pa.array(edges[:, 1].astype(np.int64))})
+        if bucket < 0:
+            pairs, star = np.zeros((0, 2), np.uint64), np.unique(np.stack([a, b], 1), axis=0)
+        else:
+            _, _, pairs, star = runs_of(a, b)
+        edges = np.concatenate([pairs, star]).astype(np.int64)
+        return pa.table({"u": pa.array(edges[:, 0]), "v": pa.array(edges[:, 1]), "star": pa.array(np.arange(len(edges)) >= len(pairs))})
 
     blobs = docs.select("text").mapInArrow(emit, "bucket long, a binary, b binary")
-    return blobs.groupBy("bucket").applyInArrow(gather, "u long, v long")
+    return blobs.groupBy("bucket").applyInArrow(gather, "u long, v long, star boolean")
+
+
+def pruned(edges: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) of the star edges and of those pairs whose bitmaps allow a link. classes: node, n, bits."""
+
+    def run(batches):
+        for b in batches:
+            get = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in ("bu", "nu", "bv", "nv")}
+            ok = pa.array([may_link(*x, num, den) for x in zip(get["bu"], get["nu"], get["bv"], get["nv"], strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).filter(ok) for c in ("u", "v")], ["u", "v"])
+
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")).hint("shuffle_merge")
+    pairs = edges.where("not star").select("u", "v").distinct().join(side("u"), "u").join(side("v"), "v")
+    close = pairs.where(f"nu * {den} >= nv * {num} and nv * {den} >= nu * {num}")
+    return close.select("u", "v", "nu", "bu", "nv", "bv").mapInArrow(run, "u long, v long").union(edges.where("star").select("u", "v"))
 
 
 class Tree:
@@ -364,9 +434,10 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     total = stats.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(24, -(-int(total * 0.5) // BUCKET_ENTRIES))
     edges = staged(candidates(docs, k, num, den, buckets))
-    comps = components(edges)
     number = F.conv(F.concat(*[F.substring(F.hex("cls"), 2 * i + 1, 2) for i in range(5, -1, -1)]), 16, 10).cast("long")
-    classes = stats.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    classes = stats.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    sketches = stats.where("n_shingles > 0").withColumn("node", number).groupBy("node", "cls").agg(F.max("n_shingles").alias("n"), F.max("bits").alias("bits"))
+    comps = components(staged(pruned(edges, sketches, num, den)))
     inside = classes.withColumn("node", number).join(comps, "node").select("doc_id", "cls", "n", F.col("component").alias("comp"))
     blocks = inside.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("nb"))
     reps = staged(inside.join(blocks, "comp").select("doc_id", "cls", "comp", "nb"))
@@ -385,11 +456,13 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
 
     Of fully repeated rows one stays. Different texts under one doc_id each count as a document.
     """
-    found = link(docs, k, num, den)
-    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "cls")
+    found = staged(link(docs, k, num, den))
+    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     times = found.groupBy("doc_id").agg(F.count("*").alias("times"))
     single = times.where("times = 1").join(named, "doc_id", "left_semi").select("doc_id")
     many = times.where("times > 1 or doc_id is null").select("doc_id")
-    kept = docs.join(single, "doc_id", "left_semi")
+    kept = docs.join(single.hint("shuffle_merge"), "doc_id", "left_semi").select(*docs.columns)
+    if many.isEmpty():
+        return kept
     again = docs.join(many, docs["doc_id"].eqNullSafe(many["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).union(again.select(*docs.columns))
+    return kept.union(again.select(*docs.columns))
