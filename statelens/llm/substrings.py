@@ -12,6 +12,9 @@ together are its context.
    costs a logarithm of their length, in a bottom-up mergesort. Windows at one distance from the anchor are
    equal where the extensions to the right reach far enough and the hashes to the left agree; the bytes of
    every match are compared before it counts.
+   A gram with more than HOT different contexts is never gathered: its windows are halved into blocks of
+   neighbouring distances, and 128-bit digests of a block's whole bytes and of the bytes that all its windows
+   share are counted; only blocks with a partner go on to the next, finer level.
 3. Each text's covered bytes are cut out. Texts that occur twice as a whole need no search.
 
 Null is the empty text. Shorter texts than SPAN keep everything. Repeated rows count as places of their own.
@@ -31,6 +34,10 @@ from statelens.llm.common import BYTE_HASH, MULTIPLIER, mix, powers, staged, tex
 SPAN, GRAM = 400, 100
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 SORT_BYTES = 6 << 20
+#: Different contexts of one gram that one task sorts.
+HOT = 16_384
+#: Windows in the blocks of each level for grams beyond that.
+LEVELS = (80, 20, 5, 1)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -223,7 +230,7 @@ def equal_windows(buf, start, anchor, end, group, span: int = SPAN):
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """(gram, key, pos, lo, bytes) of the wanted contexts. wanted: doc_id, key, places (array of gram, pos, lo, hi)."""
+    """(gram, key, pos, lo, data, hot) of the wanted contexts. wanted: doc_id, key, places (array of gram, pos, lo, hi, hot)."""
 
     def run(batches):
         for b in batches:
@@ -234,12 +241,12 @@ def _fetch(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                 for key, text, places in zip(get["key"], get["text"], get["places"], strict=True):
                     raw = (text or "").encode()
                     if _text_key(raw)[1] == key:  # else another text of the same doc_id
-                        out += [(p["gram"], key, p["pos"], p["lo"], raw[p["lo"] : p["hi"] + span]) for p in places]
+                        out += [(p["gram"], key, p["pos"], p["lo"], raw[p["lo"] : p["hi"] + span], p["hot"]) for p in places]
                 if out:
-                    g, k, p, lo, data = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(k, pa.int64()), pa.array(p, pa.int32()), pa.array(lo, pa.int32()), pa.array(data, pa.binary())], ["gram", "key", "pos", "lo", "data"])
+                    g, k, p, lo, data, hot = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(k, pa.int64()), pa.array(p, pa.int32()), pa.array(lo, pa.int32()), pa.array(data, pa.binary()), pa.array(hot, pa.bool_())], ["gram", "key", "pos", "lo", "data", "hot"])
 
-    return docs.join(wanted, "doc_id").select("key", "text", "places").mapInArrow(run, "gram long, key long, pos int, lo int, data binary")
+    return docs.join(wanted, "doc_id").select("key", "text", "places").mapInArrow(run, "gram long, key long, pos int, lo int, data binary, hot boolean")
 
 
 def _compare(contexts: DataFrame, span: int) -> DataFrame:
@@ -277,6 +284,53 @@ def _compare(contexts: DataFrame, span: int) -> DataFrame:
     return contexts.mapInArrow(run, "key long, start long, end long")
 
 
+def _block_digests(contexts: DataFrame, width: int, span: int) -> DataFrame:
+    """(gram, key, pos, a, core, whole) for each wanted block of each context: windows at distances a .. a + width - 1.
+
+    core digests the bytes that all windows of the block share, whole all their bytes (null if the context lacks some).
+    contexts may have ``want`` (array of a); without it every block that the context touches is wanted.
+    """
+
+    def run(batches):
+        for b in batches:
+            get = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in b.schema.names}
+            out: list = []
+            for i, data in enumerate(get["data"]):
+                at = get["pos"][i] - get["lo"][i]
+                low, high = at - (len(data) - span), at
+                for a in get["want"][i] if "want" in get else range(low // width * width, high + 1, width):
+                    z = a + width - 1
+                    if a > high or z < low:
+                        continue
+                    core = hashlib.blake2b(data[at - a : at - z + span], digest_size=16).digest()
+                    whole = hashlib.blake2b(data[at - z : at - a + span], digest_size=16).digest() if low <= a and z <= high else None
+                    out.append((get["gram"][i], get["key"][i], get["pos"][i], a, core, whole))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["gram", "key", "pos", "a", "core", "whole"])
+
+    return contexts.mapInArrow(run, "gram long, key long, pos int, a int, core binary, whole binary")
+
+
+def _compare_hot(contexts: DataFrame, span: int) -> DataFrame:
+    """(key, start, end) as _compare gives them, by counting: no task gathers the contexts of a gram."""
+    covered, active = None, contexts
+    me = F.struct("key", "pos")
+    for width, finer in zip(LEVELS, (*LEVELS[1:], 0), strict=True):
+        h = staged(_block_digests(active, width, span))
+        group = ["gram", "a", "core"]
+        shared = h.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        equal = h.where("whole is not null").groupBy(*group, "whole").agg(F.count("*").alias("n"), F.min(me).alias("one")).where("n > 1").drop("n")
+        done = h.join(equal, [*group, "whole"]).select("key", (F.col("pos") - F.col("a") - (width - 1)).cast("long").alias("start"), (F.col("pos") - F.col("a") + span).cast("long").alias("end"))
+        covered = staged(done) if covered is None else covered.union(staged(done))
+        if finer:
+            # blocks with a partner; of equal ones the first goes on, to witness for contexts that hold only a part
+            left = h.join(shared, group).join(equal, [*group, "whole"], "left").where("one is null or (one.key = key and one.pos = pos)")
+            parts = F.sequence(F.col("a"), F.col("a") + (width - finer), F.lit(finer))
+            want = left.groupBy("key", "pos").agg(F.flatten(F.collect_list(parts)).alias("want"))
+            active = contexts.join(want, ["key", "pos"])
+    return covered
+
+
 def _cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(key, doc_id, n_removed, n_spans, kept_sha256) of the texts with something covered. spans: doc_id, key, covered."""
 
@@ -316,12 +370,17 @@ def dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     place = F.struct("key", "pos", "lo", "hi")
     kinds = found.groupBy("gram", "ctx").agg(F.min(place).alias("one"), F.max(F.struct("key", "pos")).alias("last"))
     kinds = staged(kinds.select("gram", "ctx", "one", (F.struct("one.key", "one.pos") != F.col("last")).alias("many")))
-    several = kinds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    wanted = kinds.join(several, "gram").groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("gram", "one.pos", "one.lo", "one.hi")).alias("places"))
+    several = staged(kinds.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    place = F.struct("gram", "one.pos", "one.lo", "one.hi", (F.col("n") > HOT).alias("hot"))
+    wanted = kinds.join(several, "gram").groupBy(F.col("one.key").alias("key")).agg(F.collect_list(place).alias("places"))
     wanted = wanted.join(texts.select("key", "doc_id"), "key")
-    contexts = _fetch(docs, wanted, span)
+    contexts, any_hot = _fetch(docs, wanted, span), not several.where(F.col("n") > HOT).isEmpty()
+    contexts = staged(contexts) if any_hot else contexts
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = _compare(contexts.repartition(partitions, "gram").sortWithinPartitions("gram", "key", "pos"), span)
+    few = contexts.where("not hot").drop("hot")
+    near = _compare(few.repartition(partitions, "gram").sortWithinPartitions("gram", "key", "pos"), span)
+    if any_hot:
+        near = near.union(_compare_hot(contexts.where("hot").drop("hot"), span))
     same = found.join(kinds.where("many").select("gram", "ctx"), ["gram", "ctx"]).select("key", F.col("lo").cast("long").alias("start"), (F.col("hi") + span).cast("long").alias("end"))
     covered = near.union(same).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("covered"))
     once = texts.where("times = 1").select("key", "doc_id")

@@ -376,7 +376,10 @@ def brute_removal(texts, span=400):
     return out
 
 
-def test_substrings(spark):
+@pytest.mark.parametrize("hot", [None, 2])
+def test_substrings(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(substrings, "HOT", hot)
     rng = random.Random(3)
     p = [words(rng, n) for n in (90, 110, 130, 300)]
     texts = [None, "", "short", "é" * 250, "é" * 250, "aaaa" * 300, "ab" * 199 + "a", p[3], p[3], p[3][:-1] + "!"]
