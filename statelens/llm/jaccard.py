@@ -4,8 +4,8 @@
 2. Two sets with Jaccard t or more differ in at most D = (1 - t) / t * (smaller size) shingles. The sets of a
    size band are cut by hash into more than D segments, so two linked ones agree in some segment whole.
    Classes with an equal segment are candidates: pair by pair where few have it (PAIRED at most), as a star
-   around the least where many do. A pair goes on if the classes' token bitmaps allow enough overlap; a
-   star's edges all do, since its other pairs hang on them. What stays connected makes the blocks within
+   around the least where many do, or where a node stands for the many of one batch. A pair goes on if the
+   classes' token bitmaps allow enough overlap; a star's edges all do, since its other pairs hang on them. What stays connected makes the blocks within
    which all links lie.
 3. In each block a signature tree is built over the classes: the nodes hold OR-combined token bitmaps, size
    ranges and the most tokens that share bits. A dual traversal drops node pairs whose greatest possible
@@ -108,25 +108,30 @@ def segment_signatures(sets: list[np.ndarray], num: int, den: int):
     return np.concatenate(sigs), np.concatenate(owners)
 
 
-def runs_of(sig: np.ndarray, node: np.ndarray):
+def runs_of(sig: np.ndarray, node: np.ndarray, many_behind: np.ndarray | None = None):
     """(signatures, nodes, pairs, star edges): distinct entries sorted by signature; runs of up to PAIRED nodes give all
-    their pairs (lesser node first), longer ones a star around the least node.
+    their pairs (lesser node first), longer ones a star around the least node. A run with an entry that stands for
+    others of its signature (many_behind) is a star at any length: its edges stand for the pairs of those others too.
     """
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     none = np.zeros((0, 2), np.uint64)
     if not len(sig):
         return sig, node, none, none
+    behind = False
+    if many_behind is not None:
+        behind = np.logical_or.reduceat(many_behind[order], np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])))
     new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
     sig, node = sig[new], node[new]
     at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     n = np.diff(np.concatenate([at, [len(sig)]]))
     pairs = []
-    few = np.repeat((n > 1) & (n <= PAIRED), n)
+    starred = (n > PAIRED) | behind
+    few = np.repeat((n > 1) & ~starred, n)
     for step in range(1, min(int(n.max()), PAIRED)):
         i = np.flatnonzero(few[:-step] & (sig[step:] == sig[:-step]))
         pairs.append(np.stack([node[i], node[i + step]], 1))
-    many = np.repeat(n > PAIRED, n)
+    many = np.repeat(starred, n)
     many[at] = False
     star = np.stack([np.repeat(node[at], n)[many], node[many]], 1)
     distinct = lambda e: np.unique(e, axis=0) if len(e) else none
@@ -197,24 +202,26 @@ def candidates(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> Dat
                 sig, owner = segment_signatures([s for _, s in batch], num, den)
                 node = np.array([c for c, _ in batch], np.uint64)[owner] if len(owner) else np.zeros(0, np.uint64)
                 sig, node, _, star = runs_of(sig, node)
-                # a long run within the batch goes on as its least node
-                keep = np.ones(len(sig), bool)
+                # a long run within the batch goes on as its least node, in rows marked as such
+                keep, behind = np.ones(len(sig), bool), np.zeros(len(sig), bool)
                 if len(star):
                     at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
                     n = np.diff(np.concatenate([at, [len(sig)]]))
                     keep = np.repeat(n <= PAIRED, n)
                     keep[at] = True
-                sig, node = sig[keep], node[keep]
+                    behind[at] = n > PAIRED
+                sig, node, behind = sig[keep], node[keep], behind[keep]
                 where = (sig >> np.uint64(48)) % np.uint64(buckets) if buckets <= 65536 else mix(sig) % np.uint64(buckets)
-                order = np.argsort(where, kind="stable")
-                sig, node, where = sig[order], node[order], where[order]
-                cut = np.flatnonzero(np.diff(where)) + 1
+                order = np.lexsort((behind, where))
+                sig, node, where, behind = sig[order], node[order], where[order], behind[order]
+                cut = np.flatnonzero((where[1:] != where[:-1]) | (behind[1:] != behind[:-1])) + 1
                 lo = np.concatenate([[0], cut]) if len(where) else np.zeros(0, int)
                 hi = np.concatenate([cut, [len(where)]]) if len(where) else lo
-                rows = [(int(where[i]), _six(sig[i:j]), _six(node[i:j])) for i, j in zip(lo, hi, strict=True)]
+                rows = [(int(where[i]), _six(sig[i:j]), _six(node[i:j]), bool(behind[i])) for i, j in zip(lo, hi, strict=True)]
                 if len(star):  # a negative bucket carries edges
-                    rows.append((-1 - int(star[0, 0] % np.uint64(buckets)), _six(star[:, 0]), _six(star[:, 1])))
-                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "a", "b"])
+                    rows.append((-1 - int(star[0, 0] % np.uint64(buckets)), _six(star[:, 0]), _six(star[:, 1]), True))
+                types = (pa.int64(), pa.binary(), pa.binary(), pa.bool_())
+                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["bucket", "a", "b", "behind"])
 
             for _, s in shingle_sets(b.column(b.schema.get_field_index("text")), k):
                 if not len(s):
@@ -239,11 +246,12 @@ def candidates(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> Dat
         if bucket < 0:
             pairs, star = np.zeros((0, 2), np.uint64), np.unique(np.stack([a, b], 1), axis=0)
         else:
-            _, _, pairs, star = runs_of(a, b)
+            behind = np.repeat(table.column("behind").to_numpy(), [len(x.as_py()) // 6 for x in table.column("a")])
+            _, _, pairs, star = runs_of(a, b, behind)
         edges = np.concatenate([pairs, star]).astype(np.int64)
         return pa.table({"u": pa.array(edges[:, 0]), "v": pa.array(edges[:, 1]), "star": pa.array(np.arange(len(edges)) >= len(pairs))})
 
-    blobs = docs.select("text").mapInArrow(emit, "bucket long, a binary, b binary")
+    blobs = docs.select("text").mapInArrow(emit, "bucket long, a binary, b binary, behind boolean")
     return blobs.groupBy("bucket").applyInArrow(gather, "u long, v long, star boolean")
 
 

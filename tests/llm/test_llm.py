@@ -279,6 +279,22 @@ def test_jaccard_components(spark, monkeypatch, k, num, block):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, k, num, 100)
 
 
+def test_jaccard_hot_segments(spark):
+    """A segment that many classes of one batch share keeps the links of all of them with other batches."""
+    rng = random.Random(5)
+    stems = [" ".join(f"g{g}w{j}" for j in range(8)) for g in range(12)]
+    # those of one stem share all but a shingle and are not linked with each other; each partner links with one of them
+    hot = [f"{stem} v{i}" for stem in stems for i in range(3 * jaccard.PAIRED)]
+    texts = hot + [f"{rng.choice(hot[i : i + 3 * jaccard.PAIRED])} z" for i in range(0, len(hot), 3 * jaccard.PAIRED)]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, len(hot))  # the partners come in a batch of their own
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs_of(spark, texts).coalesce(1), 4, 85, 100).collect()}
+    finally:
+        spark.conf.unset(batch)
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 4, 85, 100)
+
+
 def test_tree_join_finds_all_links():
     rng = np.random.default_rng(6)
     for trial in range(6):
