@@ -25,7 +25,10 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "d
 FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "object", "dialog", "menu", "header"}
 BAD_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|site-?header|page-?header|masthead|cookies?|consent|notices?|newsletter|subscribe|sign-?up|popup|modal|overlay|share|sharing|social|related|recommend\w*|comments?|comment-?list|respond|disqus|pagination|pager|tags|login|search)(?:$|[\s_-])")
 BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<(?![a-zA-Z/!?]))", re.S)
+# Quotes hold a > only as an attribute's value; "</" before anything but a letter opens a comment.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=]+)*+)>|([^<]+|<(?![a-zA-Z/!?]))", re.S)
+CUT = re.compile(r"<[/!?]?(?:\Z|[a-zA-Z](?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^<])*+\Z)")
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>()")
 NAMES = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 SPACE = re.compile(r"\s+")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -62,11 +65,17 @@ def parse(html: str) -> Node:
     root = at = Node("#root", None)
     pos, n = 0, len(html)
     while pos < n:
-        m = TOKEN.match(html, pos)
-        if not m:  # a tag that never ends: the page was cut off inside it
-            break
+        # a quote that takes in all that follows ends with its tag
+        m = TOKEN.match(html, pos) or LOOSE.match(html, pos)
+        if not m:  # no > follows
+            if CUT.match(html, pos):  # the page was cut off inside a tag
+                break
+            last = html.rfind("<")  # what lies before the last < is text, and so is that if no tag begins there
+            at.kids.append(html[pos : last if last > pos else n])
+            pos = last if last > pos else n
+            continue
         pos = m.end()
-        if m[4] is not None:
+        if m[4]:
             at.kids.append(m[4])
             continue
         if m[2] is None:

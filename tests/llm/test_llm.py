@@ -452,6 +452,16 @@ def test_html():
     assert html.main_text("<nav>a</nav><script>b</script>") == "" and html.main_text(f"<p>{p}</p><div cla") == p
 
 
+def test_html_odd_marks():
+    p = "This is a long enough paragraph, with commas, that tells something of note to whoever reads it."
+    for mark in ("</>", "</ div>", "</3 >", "<i don't></i>", "<a title=it's></a>", '<a title="x></a>', "<a b='>", '<img alt=6">', "<?x>", "<!x>"):
+        assert html.main_text(f"<div>{mark}<p>{p}</p><p>{p}</p></div>") == f"{p}\n{p}", mark
+    assert html.main_text(f"<p>{p} I </3 this</p><p>{p}</p>") == f"{p} I\n{p}"  # a comment up to the next >
+    assert html.main_text(f"<p>{p} I </3 this") == f"{p} I </3 this" and html.main_text(f"<p>{p} a <b and </3 <c") == f"{p} a <b and </3"
+    assert html.main_text(f'<p>{p}</p><a title="x < y') == p == html.main_text(f"<p>{p}</p></") == html.main_text(f"<p>{p}</p><!-- x")
+    assert html.main_text(f"""<p>{p} <a title="1 > 0" rel='>'>link</a></p>""") == f"{p} link"
+
+
 def test_html_pages(spark):
     rows = [(1, "u", f"<article><p>{'word, ' * 4000}end.</p></article>"), (2, None, None), (2, None, None)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
