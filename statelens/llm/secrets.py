@@ -1,8 +1,9 @@
 """Operator 2: secret scan with fixed patterns and a battery of randomness tests.
 
 Fixed patterns find assignments, access keys and long hex runs. Beyond them every maximal token of 20 or
-more characters of ``[A-Za-z0-9+/_=-]`` is a hypothesis "this is ordinary text". Its encoding is inferred
-(hex, base32, base64), and three tests give a p-value each under ordinary text: too few equal pairs of
+more characters of ``[A-Za-z0-9+/_=-]`` is a hypothesis "this is ordinary text". A token with an inner
+``=`` (``NAME=value``) is cut there, and its parts of that length are hypotheses of their own. The encoding
+is inferred (hex, base32, base64), and three tests give a p-value each under ordinary text: too few equal pairs of
 symbols (from the chi-squared statistic of alphabet uniformity), too many runs of character classes, and
 no alternation of vowels (lag-1 serial correlation). Fisher's method combines them. The false-discovery
 step (Benjamini-Hochberg over all words of the document, each weighted by its length, words too short to
@@ -32,6 +33,7 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 MIN_TOKEN, FDR, UNIFORM_P = 20, 0.01, 1e-3
 #: Ordinary text: chance that two letters are equal, that two neighbours differ in class, and the vowels' lag-1 correlation.
 TEXT_PAIR, TEXT_TURN, TEXT_SERIAL = 0.06, 0.1, -0.35
+PART = re.compile(rb"[A-Za-z0-9+/_-]+(?:=+\Z)?")
 _TOKEN = np.ones(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *map(ord, "+/_=-")]] = False
 _CLASS = np.full(256, 3)
@@ -76,6 +78,13 @@ def tests(token: bytes) -> tuple[str, float, float]:
     return name, math.exp(-x) * (1 + x + x * x / 2), uniform
 
 
+def parts(token: bytes) -> list[tuple[int, bytes]]:
+    """(offset, characters) of what is tested of a token: its long parts between inner ``=``, or all of it."""
+    if b"=" not in token.rstrip(b"="):
+        return [(0, token)]
+    return [(m.start(), m[0]) for m in PART.finditer(token) if len(m[0]) >= MIN_TOKEN]
+
+
 def discoveries(found: list[tuple[float, float, int]], n_words: int) -> list[bool]:
     """Which of (p, uniform p, length) are random: weighted Benjamini-Hochberg over n_words hypotheses."""
     if not found:
@@ -108,15 +117,17 @@ def _scan_batch(column) -> list[list[tuple[int, int, str]]]:
             spans = base_spans(text)
             if r in by_row:
                 before = np.concatenate([[0], np.cumsum((raw & 0xC0) == 0x80)])
-                cands = []
+                cands, n_words = [], int(words[r])
                 for s, e in by_row[r]:
                     a = s - int(offs[r])
                     token, at = raw[a : a + e - s].tobytes(), a - int(before[a])
                     spans += [(at + m.start(), at + m.end(), "hex") for m in HEX.finditer(token.decode()) if len(m[0]) >= 32]
-                    cands.append((at, at + len(token), token))
+                    tested = parts(token)
+                    n_words += max(0, len(tested) - 1)
+                    cands += [(at + i, at + i + len(x), x) for i, x in tested]
                 free = [c for c in cands if not any(c[0] < e and s < c[1] for s, e, _ in spans)]
                 judged = [(*tests(c[2])[1:], len(c[2])) for c in free]
-                spans += [(s, e, "random") for (s, e, _), y in zip(free, discoveries(judged, int(words[r])), strict=True) if y]
+                spans += [(s, e, "random") for (s, e, _), y in zip(free, discoveries(judged, n_words), strict=True) if y]
             out.append(sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
     return out
 

@@ -111,6 +111,19 @@ def test_secret_scan(spark):
     assert secrets.scan(d.limit(0)).count() == 0
 
 
+def test_secrets_after_equals_signs(spark):
+    rng = random.Random(9)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(chars, k=40)) for _ in range(8)]
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "export GITHUB_PAT={}", "DB_KEY={}==", "https://x.org/a?X-Amz-Date=2020&X-Amz-Signature={}&b=c", "https://x.org/?sig={}", "={}", "a=b={}", "x={}=y"]
+    texts = [f"# settings\n{form.format(key)}\nother text follows here" for form, key in zip(forms, keys, strict=True)]
+    texts += ["THE_LONG_NAME_OF_A_SETTING=another_long_name_of_a_setting", f"{'=' * 40}\n{keys[0]}={keys[1]}"]
+    out = {r.doc_id: r.text for r in secrets.redact(docs_of(spark, texts)).collect()}
+    for i, key in enumerate(keys):
+        assert out[i] == texts[i].replace("==", "").replace(key, "[REDACTED]"), texts[i]
+    assert out[8] == texts[8] and out[9] == f"{'=' * 40}\n[REDACTED]=[REDACTED]"
+
+
 def test_random_tokens_stand_out():
     rng = random.Random(5)
     chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
