@@ -1,8 +1,9 @@
 """Operator 5 (DataFrame functions only): licence scan by sentence rules.
 
-A text is cut into sentences (after ``.!?`` with white space, and at line breaks). Each sentence is
-normalised (A-Z lower-cased, runs of other characters than a-z and 0-9 become one space, trimmed) and
-looked up among known licence sentences. The identifiers in text order form a sequence; the ordered rules
+A text is normalised (A-Z lower-cased, runs of other characters than a-z and 0-9 become one space, comment
+marks with them). A known licence sentence is found where it begins at the start of a sentence or line and
+ends at the end of one (sentences end after ``.!?`` with white space and at empty lines); in between it may
+run over any number of lines. Where several begin, the longest counts, and the search goes on behind it. The identifiers in text order form a sequence; the ordered rules
 are matched against it, and each licence takes its first rule that occurs as consecutive identifiers.
 
 Null and empty texts have no sentence, hence an empty sequence and no licence. Repeated rows and repeated
@@ -56,10 +57,15 @@ def scan(docs: DataFrame, text: str = "text", sentences=SENTENCES, rules=RULES)
     """docs without the text, with ``sentence_ids`` and ``licenses`` (``licence:rule``) arrays; licences are in rule order."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     known = F.create_map(*[F.lit(x) for kv in sentences.items() for x in kv])
-    parts = F.split(F.col(text), r"(?<=[.!?])[ \t\x0B\f\r]+|\n")
-    norm = lambda s: F.trim(F.regexp_replace(F.translate(s, upper, lower), "[^a-z0-9]+", " "))
-    ids = F.filter(F.transform(F.filter(parts, lambda s: s.rlike(HINT)), lambda s: F.try_element_at(known, norm(s))), lambda x: x.isNotNull())
-    found = docs.withColumn("sentence_ids", F.when(F.col(text).rlike(HINT), ids).otherwise(F.array().cast("array<string>")))
+    # capitals are free once lower-cased: S marks the end of a sentence, N that of a line
+    ends = F.regexp_replace(F.regexp_replace(F.translate(F.col(text), upper, lower), r"(?<=[.!?])[ \t\x0B\f\r\n]+", " S "), "\n", " N ")
+    norm = F.concat(F.lit("N "), F.regexp_replace(ends, "[^a-z0-9SN]+", " "), F.lit(" N"))
+    longest_first = sorted(sentences, key=lambda s: -len(s.split()))
+    pattern = "(?<=[SN] {1,2})(?:" + "|".join(s.replace(" ", " (?:N )?") for s in longest_first) + ")(?= {1,2}[SN])"
+    ids = F.transform(F.regexp_extract_all(norm, F.lit(pattern), F.lit(0)), lambda s: F.element_at(known, F.replace(s, F.lit(" N "), F.lit(" "))))
+    # a text without the longest word of any sentence has no sentence
+    hint = "(?i)" + "|".join(sorted({max(s.split(), key=len) for s in sentences}))
+    found = docs.withColumn("sentence_ids", F.when(F.col(text).rlike(hint), ids).otherwise(F.array().cast("array<string>")))
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
     hit = lambda seq: F.contains(line, F.lit("," + ",".join(seq) + ","))
     taken = []

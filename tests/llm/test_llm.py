@@ -6,6 +6,7 @@ import os
 import random
 import re
 import struct
+import textwrap
 import zlib
 
 import duckdb
@@ -244,6 +245,19 @@ def test_licenses(spark):
     assert got[1].sentence_ids == ["mit-notice", "mit-notice"] and licenses.scan(d.limit(0)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    known = {v: k for k, v in licenses.SENTENCES.items()}
+    wrap = lambda ids, mark="", width=70: "\n".join(mark + line for i in ids for line in [*textwrap.wrap(known[i].capitalize() + ".", width), ""])
+    texts = [
+        "MIT License\n\n" + wrap(["mit-grant", "mit-condition"]), "/*\n" + wrap(["bsd-grant", "bsd3-endorse"], " * ") + "\n */\nint x;", "x = 1\r\n" + wrap(["gpl3-later", "gpl-warranty"], "# ", 40).replace("\n", "\r\n"),
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "ALL RIGHTS-RESERVED\nAll rights\nreserved.", "Licensed under the Apache License, Version 2.0\n(the License)", "Licensed under\n\nthe MIT License", "Not licensed under the\nMIT License", "Licensed under the MIT License\nand more",
+    ]
+    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert [got[i].licenses for i in range(9)] == [["MIT:text"], ["BSD-3-Clause:text", "BSD:grant"], ["GPL-3.0-or-later:header"], ["GPL-3.0-or-later:grant"], [], ["Apache-2.0:notice"], [], [], ["MIT:notice"]]
+    assert got[4].sentence_ids == ["reserved", "reserved"] and got[5].sentence_ids == ["apache2-notice"]
+
+
 # -- 6
 
 
