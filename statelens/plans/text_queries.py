@@ -207,14 +207,14 @@ def h2_prompt_ready(spark, sf):
 
 
 def h3_generation_prompts(spark, sf):
-    cases = _requirements(spark, sf).where("length(text) < 1500").select(F.col("key").alias("case_id"), F.col("text").alias("requirement"))
+    cases = _requirements(spark, sf).select(F.col("key").alias("case_id"), F.col("text").alias("requirement"))
     models = spark.createDataFrame([("local", "m1"), ("local", "m2")], "model_group string, model_label string")
     kinds = spark.createDataFrame([("zero_shot", False), ("few_shot", False), ("rag", True)], "strategy string, use_rag boolean")
     role = S.stratified_split(cases.select("case_id", F.lit("all").alias("s")), "case_id", "s", 0.35, 42)
     picked = S.pick_examples(role.where("role = 'test'"), role.where("role = 'pool'"), "case_id", "s", 2, 42)
     shown = picked.join(cases.select(F.col("case_id").alias("example"), F.col("requirement").alias("r")), "example").groupBy(F.col("target").alias("case_id")).agg(F.array_sort(F.collect_list(F.struct("position", "r"))).alias("x"))
     examples = shown.select("case_id", F.transform("x", lambda x: x["r"]).alias("examples"))
-    context = cases.select("case_id", F.substring("requirement", 1, 80).alias("context"))
+    context = cases.select("case_id", F.col("requirement").alias("context"))
     return H.generation_prompts(cases.join(role.where("role = 'test'").select("case_id"), "case_id", "left_semi"), A.run_matrix(models, kinds), examples, context)
 
 

@@ -15,6 +15,8 @@ from statelens.operators import repair as J
 from statelens.operators import sampling as S
 from statelens.operators import scoring as D
 from statelens.operators import stats as L
+from statelens.plans import report_queries as RQ
+from statelens.plans import text_queries as TQ
 from statelens.sources import files as A
 
 F1 = '@startuml\n[*] --> A\nstate "Alpha" as A\nA --> B : go\nB --> [*]\n@enduml'
@@ -253,3 +255,14 @@ def test_entry_and_registry(spark, sf):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_prompts_and_missing_requirements_take_all_texts(spark, sf):
+    texts = {r.key: r.text for r in TQ._requirements(spark, sf).collect()}
+    prompts = TQ.h3_generation_prompts(spark, sf).collect()
+    n = len({r.case_id for r in prompts})
+    assert len(prompts) == 6 * n and abs(n - 0.35 * len(texts)) <= 1 and max(map(len, texts.values())) > 1500
+    for r in prompts:
+        assert r.prompt.endswith("Requirement:\n" + texts[r.case_id]) and (r.strategy != "rag" or "Context:\n" + texts[r.case_id] in r.prompt)
+    missing = RQ.o12_potential_missing(spark, sf)
+    assert {r.key for r in missing.collect()} == set(texts)
