@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step handles (a longer document is one step of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _RNG = np.random.default_rng(20240117)
 #: A random 64-bit value for each byte, and an odd multiplier of polynomial hashes modulo 2^64.
@@ -24,11 +24,11 @@ LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; sets a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one serves in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/statelens-{uuid.uuid4().hex}"
@@ -42,6 +42,15 @@ def staged(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes what staged() wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        spark, files = df.sparkSession, df.inputFiles()
+        if files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps: it does so once the driver's garbage is collected."""
     gc.collect()
@@ -51,8 +60,7 @@ def release(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Makes checkpoint() usable, in the folder of spark.checkpoint.dir where it is set."""
     if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark).rpartition("/")[0])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -90,6 +98,21 @@ def text_chunks(column, limit: int = CHUNK_BYTES):
         lo = hi
 
 
+def pieces(buf: np.ndarray, not_word: np.ndarray, limit: int = CHUNK_BYTES):
+    """Yields buf in runs of about ``limit`` bytes that end between words (a longer word stays whole)."""
+    lo, n = 0, len(buf)
+    while lo < n:
+        hi = lo + limit
+        while hi < n:
+            free = np.flatnonzero(not_word[buf[hi : hi + 4096]])
+            if len(free):
+                hi += int(free[0])
+                break
+            hi += 4096
+        yield buf[lo : min(hi, n)]
+        lo = hi
+
+
 def word_spans(buf: np.ndarray, offs: np.ndarray, not_word: np.ndarray):
     """Starts and ends of the maximal runs of word bytes, none across rows, and how many words each row has."""
     w = ~not_word[buf]
@@ -129,11 +152,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = e.checkpoint()
     seen = None
+    # the least is given the node's name as an aggregate of its own, so that the join deals both sides out anew and
+    # a node with very many neighbours can be split over tasks
+    least_of = lambda d, m: d.groupBy("u").agg(F.min("u").alias("w"), F.min("v").alias("v")).select(F.col("w").alias("u"), m.alias("m"))
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
+        least = least_of(both, F.least("w", "v"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = least_of(large, F.col("v"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         e = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
