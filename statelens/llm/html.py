@@ -1,18 +1,24 @@
 """Operator 9: main text of web pages by tree scoring.
 
 A page becomes a light tree. Every paragraph (and every other block's own text) passes points for its
-length and commas to its parent, half of them to the grandparent and less further up; a container's score
-is discounted by its link density. The best container and those of its siblings that look like it are
-kept, or the nearest article around it. Their text is read block by block: character references decoded,
+length and commas to its parent, half of them to the grandparent and less to a few ancestors further up; a
+container's score is discounted by its link density. The best container, or the article around it, is kept
+with those of its siblings that look like it. Their text is read block by block: character references decoded,
 white space inside a block made one space, blocks joined by one line break in page order.
 
+Page furniture (menus, adverts, comments and so on) is told by tag, role, or a class or id of which every part
+is a furniture word or a neutral one; a named container that holds a page's h1, article or main element is none.
+If nothing is left, names are ignored, but for comments.
+
 Null and empty pages, and pages without any text outside of scripts and page furniture, give the empty
-text. Nothing is capped; unclosed tags, stray end tags and cut-off pages are read as far as they go.
+text. Nothing is capped; unclosed tags, stray end tags and cut-off pages are read as far as they go. The work
+grows in proportion to the page, however deep its tags are nested.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -23,7 +29,18 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "object", "dialog", "menu", "header"}
-BAD_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|site-?header|page-?header|masthead|cookies?|consent|notices?|newsletter|subscribe|sign-?up|popup|modal|overlay|share|sharing|social|related|recommend\w*|comments?|comment-?list|respond|disqus|pagination|pager|tags|login|search)(?:$|[\s_-])")
+COMMENTS = {"comment", "comments", "commentlist", "respond", "responses", "replies", "discussion", "disqus"}
+BAD_WORDS = COMMENTS | {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "sponsors", "promo", "promos", "promotion", "banner", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
+    "footer", "masthead", "cookie", "cookies", "consent", "notice", "notices", "newsletter", "subscribe", "signup", "popup", "modal", "overlay", "share", "sharing", "social", "related", "recommend", "recommended", "recommendations",
+    "pagination", "pager", "tags", "login", "search",
+}
+NEUTRAL = {
+    "site", "page", "main", "top", "bottom", "left", "right", "side", "bar", "list", "area", "box", "wrap", "wrapper", "container", "inner", "outer", "block", "section", "widget", "slot", "unit", "post", "posts", "article", "articles", "links", "link",
+    "buttons", "button", "icons", "form", "text", "header", "primary", "secondary", "global", "reader", "user", "the", "sign", "up", "sticky", "fixed", "mobile", "desktop", "small", "large",
+}
+BAD_NAMES = {"site-header", "page-header", "side-bar", "sign-up"}
+PART = re.compile(r"[-_:]+")
 BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
 # Quotes hold a > only as an attribute's value; "</" before anything but a letter opens a comment.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=]+)*+)>|([^<]+|<(?![a-zA-Z/!?]))", re.S)
@@ -35,35 +52,59 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Node:
-    """An element: its tag, parent, children (nodes and strings) and whether it is page furniture."""
+    """An element: its tag, parent, children (nodes and strings), nearest block and whether it is page furniture.
+
+    bad is 0 for content, 1 for furniture by name, 2 for furniture of any other kind and for comments. size and
+    links count the characters of its text, and of them those in links.
+    """
+
+    __slots__ = ("bad", "block", "kids", "links", "parent", "points", "size", "story", "tag")
 
-    __slots__ = ("bad", "kids", "parent", "points", "tag")
+    def __init__(self, tag, parent, bad=0):
+        self.tag, self.parent, self.bad, self.kids, self.points, self.size, self.links = tag, parent, bad, [], 0.0, 0, 0
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.story = parent is not None and (parent.story or parent.tag in ("article", "main"))
 
-    def __init__(self, tag, parent, bad=False):
-        self.tag, self.parent, self.bad, self.kids, self.points = tag, parent, bad, [], 0.0
 
+def bad_name(value: str) -> int:
+    """Whether a class or id names furniture (1) or comments (2)."""
+    for token in value.lower().split():
+        parts = [x for x in PART.split(token) if x and not x.isdigit()]
+        if token in BAD_NAMES or parts and any(x in BAD_WORDS for x in parts) and all(x in BAD_WORDS or x in NEUTRAL for x in parts):
+            return 2 if any(x in COMMENTS for x in parts) else 1
+    return 0
 
-def _is_bad(tag: str, attrs: str, parent: Node) -> bool:
+
+def _is_bad(tag: str, attrs: str, parent: Node) -> int:
     if tag == "header":
-        up = parent
-        while up and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None  # a header inside the article holds its headings
+        return 0 if parent.story or parent.tag in ("article", "main") else 2  # a header inside the article holds its headings
     if tag in FURNITURE:
-        return True
+        return 2
+    most = 0
     for m in NAMES.finditer(attrs) if attrs.strip() else ():
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and BAD_NAME.search(value):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            most = max(most, bad_name(value))
         if name == "role" and value.lower() in BAD_ROLE or name == "hidden" and tag != "body" or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+            return 2
+    return most
 
 
 def parse(html: str) -> Node:
     """The page's tree."""
     root = at = Node("#root", None)
     pos, n = 0, len(html)
+    opened: Counter = Counter()
+
+    def close(node):
+        """Leaves node and all that is open inside it."""
+        up = at
+        while up is not node:
+            opened[up.tag] -= 1
+            up = up.parent
+        opened[node.tag] -= 1
+        return node.parent
+
     while pos < n:
         # a quote that takes in all that follows ends with its tag
         m = TOKEN.match(html, pos) or LOOSE.match(html, pos)
@@ -82,58 +123,59 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = at
-            while up.parent and up.tag != tag:
-                up = up.parent
-            if up.parent:
-                at = up.parent
+            if opened[tag] > 0:
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                at = close(up)
             continue
         if tag in BLOCK:
             closes = ("p", "li") if tag == "li" else ("p", "td", "th", "tr") if tag == "tr" else ("p", "td", "th") if tag in ("td", "th") else ("p",)
-            up = at
-            while up.parent and up.tag not in BLOCK:
-                up = up.parent
-            while up.parent and up.tag in closes:
-                at = up = up.parent
-                while up.parent and up.tag not in BLOCK:
-                    up = up.parent
+            while at.block.parent and at.block.tag in closes:
+                at = close(at.block)
         node = Node(tag, at, _is_bad(tag, m[3], at))
         at.kids.append(node)
+        if tag in ("h1", "article", "main"):
+            up = at
+            while up and up.bad == 1:  # furniture by name only, but the page's matter is in it
+                up.bad = 0
+                up = up.parent
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, pos)
             pos = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
             at = node
+            opened[tag] += 1
     return root
 
 
-def _walk(node: Node):
-    """Nodes outside of furniture, parents first."""
+def _walk(node: Node, ignored: int = 0):
+    """Nodes outside of furniture (of more than ``ignored``), parents first."""
     stack = [node]
     while stack:
         x = stack.pop()
-        if not x.bad:
+        if x.bad <= ignored:
             yield x
             stack += [k for k in reversed(x.kids) if isinstance(k, Node)]
 
 
-def _sizes(node: Node) -> tuple[int, int]:
-    """(characters of text, of them in links) below node."""
-    size = links = 0
-    stack = [(node, False)]
-    while stack:
-        x, link = stack.pop()
-        for k in x.kids:
-            if isinstance(k, str):
-                n = len(k.strip())
-                size += n
-                links += n * link
-            elif not k.bad:
-                stack.append((k, link or k.tag == "a"))
-    return size, links
+def _measure(root: Node, ignored: int) -> list[Node]:
+    """The nodes outside of furniture, parents first, with size and links set: each is summed once, from its children."""
+    nodes = list(_walk(root, ignored))
+    for x in nodes:
+        x.points = 0.0
+        x.size = sum(len(k.strip()) for k in x.kids if isinstance(k, str))
+        x.links = x.size if x.tag == "a" else 0
+    for x in reversed(nodes):
+        if x.tag == "a":
+            x.links = x.size
+        if x.parent and x is not root:
+            x.parent.size += x.size
+            x.parent.links += x.links
+    return nodes
 
 
-def _own(node: Node) -> str:
+def _own(node: Node, ignored: int) -> str:
     """A block's text without that of the blocks inside."""
     out, stack = [], [node]
     while stack:
@@ -141,60 +183,57 @@ def _own(node: Node) -> str:
         for k in x.kids:
             if isinstance(k, str):
                 out.append(k)
-            elif not k.bad and k.tag not in BLOCK:
+            elif k.bad <= ignored and k.tag not in BLOCK:
                 stack.append(k)
     return SPACE.sub(" ", "".join(out)).strip()
 
 
-def best(root: Node) -> list[Node]:
+#: Shares of a paragraph's points for its parent and the ancestors above.
+SHARES = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12, 1 / 15)
+
+
+def best(root: Node, ignored: int = 0) -> list[Node]:
     """The nodes to keep, in page order."""
-    scored = []
-    for node in _walk(root):
+    nodes, scored = _measure(root, ignored), {}
+    density = lambda x: 1 - x.links / max(1, x.size)
+    for node in nodes:
         if node.tag not in BLOCK or node.tag in HEADINGS:
             continue
-        text = _own(node)
+        text = _own(node, ignored)
         if len(text) < 25:
             continue
-        size, links = _sizes(node)
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / max(1, size))
-        up, share = (node.parent if node.tag in ("p", "pre", "td", "blockquote", "li", "dd") else node), 1.0
-        depth = 0
-        while up and up.tag != "#root":
-            if not up.points:
-                scored.append(up)
+        points = (1 + text.count(",") + min(len(text) / 100, 3)) * density(node)
+        up = node.parent if node.tag in ("p", "pre", "td", "blockquote", "li", "dd") else node
+        for share in SHARES:
+            if not up or up.tag == "#root":
+                break
             up.points += points * share
-            depth += 1
-            up, share = up.parent, (0.5 if depth == 1 else 1 / (3 * depth))
+            scored[up] = None
+            up = up.parent
     if not scored:
         return [root]
-    final = {}
-    for node in scored:
-        size, links = _sizes(node)
-        final[node] = node.points * (1 - links / max(1, size))
+    final = {node: node.points * density(node) for node in scored}
     top = max(scored, key=lambda x: final[x])
     up = top
     while up and up.tag not in ("article", "main"):
         up = up.parent
-    if up:
-        return [up]
-    if top.parent is None or top.tag in ("body", "html"):
+    top = up or top
+    if top.parent is None or top.tag in ("body", "html", "main"):
         return [top]
-    keep, bar = [], max(10.0, 0.2 * final[top])
+    keep, bar, alike = [], max(10.0, 0.2 * final.get(top, 0.0)), 0.1 * top.size
     for k in top.parent.kids:
-        if not isinstance(k, Node) or k.bad:
+        if not isinstance(k, Node) or k.bad > ignored:
             continue
-        if k is top or final.get(k, 0) >= bar:
+        if k is top or final.get(k, 0) >= bar or k.tag == top.tag == "article" and k.size >= alike and k.points and density(k) > 0.5:
             keep.append(k)
         elif k.tag in HEADINGS:
             keep.append(k)
-        elif k.tag == "p":
-            size, links = _sizes(k)
-            if links * 4 < size and (size > 80 or (links == 0 and size and _own(k)[-1:] in ".!?")):
-                keep.append(k)
+        elif k.tag == "p" and k.links * 4 < k.size and (k.size > 80 or (k.links == 0 and k.size and _own(k, ignored)[-1:] in ".!?")):
+            keep.append(k)
     return keep
 
 
-def text_of(nodes: list[Node]) -> str:
+def text_of(nodes: list[Node], ignored: int = 0) -> str:
     """The nodes' blocks, one on a line."""
     blocks: list[list[str]] = [[]]
     for top in nodes:
@@ -205,7 +244,7 @@ def text_of(nodes: list[Node]) -> str:
                 blocks.append([])
             elif isinstance(x, str):
                 blocks[-1].append(x)
-            elif not x.bad:
+            elif x.bad <= ignored:
                 edge = x.tag in BLOCK or x.tag == "#root"
                 if x.tag == "br":
                     blocks[-1].append(" ")
@@ -220,7 +259,10 @@ def text_of(nodes: list[Node]) -> str:
 
 def main_text(html: str | None) -> str:
     """The main text of one page."""
-    return text_of(best(parse(html))) if html else ""
+    if not html:
+        return ""
+    root = parse(html)
+    return text_of(best(root)) or text_of(best(root, 1), 1)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
