@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statelens.llm.common import LOWER, SPACE, components, mix, staged, text_chunks, word_hashes, word_spans
+from statelens.llm.common import LOWER, SPACE, components, discard, mix, pieces, staged, text_chunks, word_hashes, word_spans
 
 #: Shingles that one task holds of a block.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 2_000_000
 #: Segment signatures that one bucket of the candidate search is meant to hold.
-BUCKET_ENTRIES = 1_500_000
-MAP_BYTES = 6 << 20
+BUCKET_ENTRIES = 500_000
+#: Shingles whose segments one map step signs at once.
+MAP_SHINGLES = 400_000
 #: Most classes with one equal segment that are compared pair by pair.
 PAIRED = 32
 FANOUT = 8
@@ -41,10 +42,15 @@ LOW48 = np.uint64((1 << 48) - 1)
 
 def shingle_sets(column, k: int):
     """Yields (row, sorted distinct shingle hashes) for every row of an Arrow string column."""
-    for lo, buf, offs in text_chunks(column, MAP_BYTES):
-        buf = LOWER[buf]
-        starts, ends, per = word_spans(buf, offs, SPACE)
-        h = word_hashes(buf, starts, ends)
+    for lo, buf, offs in text_chunks(column):
+        if len(offs) == 2:  # one text of any length, in pieces
+            parts = [word_hashes(x, *word_spans(x, np.array([0, len(x)]), SPACE)[:2]) for x in map(LOWER.take, pieces(buf, SPACE))]
+            h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            per = [len(h)]
+        else:
+            buf = LOWER[buf]
+            starts, ends, per = word_spans(buf, offs, SPACE)
+            h = word_hashes(buf, starts, ends)
         acc = np.zeros(max(0, len(h) - k + 1), np.uint64)
         for j in range(k):
             acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(acc)]
@@ -226,13 +232,13 @@ def candidates(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> Dat
             for _, s in shingle_sets(b.column(b.schema.get_field_index("text")), k):
                 if not len(s):
                     continue
-                c = int.from_bytes(digest(s)[:6], "little")
-                if c in seen:
+                d = digest(s)
+                if d in seen:
                     continue
-                seen.add(c)
-                batch.append((c, s))
+                seen.add(d)
+                batch.append((int.from_bytes(d[:6], "little"), s))
                 size += len(s)
-                if size >= 1_000_000:
+                if size >= MAP_SHINGLES:
                     yield flush(batch)
                     batch, size = [], 0
                     seen = set()
@@ -275,7 +281,7 @@ class Tree:
 
     def __init__(self, sets: list[np.ndarray], bits: int):
         n = len(sets)
-        flags = np.zeros((n, bits), bool) if n * bits <= 1 << 26 else None
+        flags = np.zeros((n, bits), bool) if n * bits <= 1 << 24 else None
         rows = np.zeros((n, bits // 64), np.uint64)
         for i, s in enumerate(sets):
             f = flags[i] if flags is not None else np.zeros(bits, bool)
@@ -400,18 +406,23 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> Data
     def sets(batches):
         for b in batches:
             want = b.column(b.schema.get_field_index("cls")).to_pylist()
-            rows, data = [], []
+            rows, cls, data = [], [], []
             for r, s in shingle_sets(b.column(b.schema.get_field_index("text")), k):
-                if digest(s) == want[r]:  # else another text of the same doc_id
+                d = digest(s) if len(s) else None
+                if d and want[r] in (d, None):  # else another text of the same doc_id
                     rows.append(r)
+                    cls.append(d)
                     data.append(s.tobytes())
             take = pa.array(rows, pa.int64())
-            cols = [b.column(b.schema.get_field_index(c)).take(take) for c in ("cls", "comp", "nb")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(data, pa.binary())], ["cls", "comp", "nb", "data"])
+            cols = [b.column(b.schema.get_field_index(c)).take(take) for c in ("comp", "nb")]
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), *cols, pa.array(data, pa.binary())], ["cls", "comp", "nb", "data"])
 
     # the same join at every size: a broadcast of reps would grow with the input
     texts = docs.select("doc_id", "text").join(reps.hint("shuffle_merge"), "doc_id")
     data = texts.select("cls", "comp", "nb", "text").mapInArrow(sets, "cls binary, comp long, nb long, data binary")
+    # classes of rows without an id meet by their digest
+    unnamed = docs.where("doc_id is null").select(F.lit(None).cast("binary").alias("cls"), F.lit(0).cast("long").alias("comp"), F.lit(0).cast("long").alias("nb"), "text").mapInArrow(sets, "cls binary, comp long, nb long, data binary")
+    data = data.union(unnamed.drop("comp", "nb").join(reps.where("doc_id is null").drop("doc_id"), "cls").select("cls", "comp", "nb", "data"))
     cut = data.withColumn("x", F.pmod(F.xxhash64("cls"), "nb"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda y: F.struct(F.least("x", y).alias("i"), F.greatest("x", y).alias("j")))
     dealt = cut.select("cls", "comp", "x", "data", F.explode(pairs).alias("ij")).select("cls", "comp", "x", "data", "ij.i", "ij.j")
@@ -445,32 +456,50 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     number = F.conv(F.concat(*[F.substring(F.hex("cls"), 2 * i + 1, 2) for i in range(5, -1, -1)]), 16, 10).cast("long")
     classes = stats.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     sketches = stats.where("n_shingles > 0").withColumn("node", number).groupBy("node", "cls").agg(F.max("n_shingles").alias("n"), F.max("bits").alias("bits"))
-    comps = components(staged(pruned(edges, sketches, num, den)))
+    close = staged(pruned(edges, sketches, num, den))
+    comps = components(close)
     inside = classes.withColumn("node", number).join(comps, "node").select("doc_id", "cls", "n", F.col("component").alias("comp"))
     blocks = inside.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("nb"))
     reps = staged(inside.join(blocks, "comp").select("doc_id", "cls", "comp", "nb"))
+    discard(edges, close)
     links = staged(_links(docs, reps, k, num, den))
     linked = components(links)
     named = classes.join(linked, classes["cls"] == linked["node"]).select("cls", "component", "doc_id")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("cls", "component_id")
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("cls").alias("rep"))).alias("least"))
+    named = named.join(least, "component").select("cls", F.col("least.id").alias("component_id"), "least.rep")
     first = classes.select("cls", F.col("doc_id").alias("own"))
-    names = first.join(named, "cls", "left").select("cls", F.coalesce("component_id", "own").alias("component_id"))
-    return stats.join(names, "cls", "left").select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
+    names = staged(first.join(named, "cls", "left").select("cls", F.when(F.col("rep").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("rep", "cls").alias("rep")))
+    discard(reps, links)
+    found = stats.drop("bits").join(names, "cls", "left")
+    return found.select("doc_id", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "rep")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents that name their component: one of each group of linked documents, and all that link with none.
+    """One document of each group of linked documents, and all that link with none; those without words all stay.
 
-    Of fully repeated rows one stays. Different texts under one doc_id each count as a document.
+    The least doc_id of a group stays (an id comes before none), with its least class if that id has several texts.
+    Of rows that repeat doc_id and class one stays; of rows without words one of those that are equal in every column.
     """
     found = staged(link(docs, k, num, den))
-    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    named = found.where(F.col("cls").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("cls") == F.col("rep"))))
     times = found.groupBy("doc_id").agg(F.count("*").alias("times"))
     single = times.where("times = 1").join(named, "doc_id", "left_semi").select("doc_id")
-    many = times.where("times > 1 or doc_id is null").select("doc_id")
+    many = times.where("times > 1 or doc_id is null").select(F.col("doc_id").alias("d"))
     kept = docs.join(single.hint("shuffle_merge"), "doc_id", "left_semi").select(*docs.columns)
     if many.isEmpty():
         return kept
-    again = docs.join(many, docs["doc_id"].eqNullSafe(many["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.union(again.select(*docs.columns))
+    again = with_class(docs.join(many, docs["doc_id"].eqNullSafe(many["d"]), "left_semi"), k)
+    stay = named.where("cls is not null").select(F.col("doc_id").alias("d"), F.col("cls").alias("c")).distinct()
+    chosen = again.join(stay, again["doc_id"].eqNullSafe(stay["d"]) & (again["_cls"] == stay["c"]), "left_semi").dropDuplicates(["doc_id", "_cls"])
+    return kept.union(chosen.select(*docs.columns)).union(again.where("_cls is null").select(*docs.columns).distinct())
+
+
+def with_class(docs: DataFrame, k: int) -> DataFrame:
+    """docs with ``_cls``, the class of its text's set (null for no words)."""
+
+    def run(batches):
+        for b in batches:
+            cls = [digest(s) if len(s) else None for _, s in shingle_sets(b.column(b.schema.get_field_index("text")), k)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cls, pa.binary())], [*b.schema.names, "_cls"])
+
+    return docs.mapInArrow(run, docs.withColumn("_cls", F.lit(None).cast("binary")).schema)

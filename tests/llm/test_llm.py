@@ -355,6 +355,30 @@ def test_jaccard_edges(spark):
     assert jaccard.link(d.limit(0)).count() == 0 and jaccard.one_of_each(d.limit(0)).count() == 0
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    rng = random.Random(17)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(3, a), (5, a + " x"), (5, b), (None, a + " y"), (None, c), (None, c + " z"), (8, c + " u v w " + b), (None, ""), (None, None), (9, " "), (9, " ")]
+    d = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], DOCS)
+    got = sorted((((r.doc_id, r.n_shingles), r.component_id) for r in jaccard.link(d, 4, 85, 100).collect()), key=repr)
+    assert got == sorted([((3, 57), 3), ((5, 58), 3), ((5, 57), 5), ((None, 58), 3), ((None, 57), None), ((None, 58), None), ((8, 120), 8), ((None, 0), None), ((None, 0), None), ((9, 0), 9), ((9, 0), 9)], key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(d).collect()), key=repr)
+    assert len(kept) == 7 and (3, a) in kept and (5, b) in kept and [x for x in kept if x[1] in (c, c + " z")][1:] == [] and (9, " ") in kept
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    long = words(rng, 3000) + " " + "x" * 30_000 + " é " + words(rng, 500)
+    whole = dict(jaccard.shingle_sets(pa.array([long, "a b c d e"]), 4))
+    monkeypatch.setattr(common.text_chunks, "__defaults__", (5000,))
+    monkeypatch.setattr(common.pieces, "__defaults__", (5000,))
+    cut = dict(jaccard.shingle_sets(pa.array([long, "a b c d e"]), 4))
+    assert all(np.array_equal(whole[i], cut[i]) for i in (0, 1)) and len(whole[0]) == len(shingles(long, 4))
+    assert b"".join(x.tobytes() for x in common.pieces(np.frombuffer(long.encode(), np.uint8), common.SPACE)) == long.encode()
+
+
 # -- 7
 
 
@@ -419,21 +443,45 @@ def brute_removal(texts, span=400):
     return out
 
 
-@pytest.mark.parametrize("hot", [None, 2])
-def test_substrings(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "piece"), [(None, None), (2, None), (None, 700)])
+def test_substrings(spark, monkeypatch, hot, piece):
     if hot:
         monkeypatch.setattr(substrings, "HOT", hot)
+    if piece:
+        monkeypatch.setattr(substrings, "PIECE", piece)
     rng = random.Random(3)
     p = [words(rng, n) for n in (90, 110, 130, 300)]
     texts = [None, "", "short", "é" * 250, "é" * 250, "aaaa" * 300, "ab" * 199 + "a", p[3], p[3], p[3][:-1] + "!"]
     texts += [f"{words(rng, rng.randrange(5, 60))} {rng.choice(p)} {words(rng, rng.randrange(5, 60))}{rng.choice(p)[3:]}" for _ in range(12)]
     texts += [p[1] + "€" + p[1], p[2][50:480], p[2][79:479]]
-    got = {r.doc_id: tuple(r)[1:] for r in substrings.dedup(docs_of(spark, texts).withColumn("key", F.lit("clash"))).collect()}
-    want = brute_removal(texts)
-    assert [got[i] for i in range(len(texts))] == want
+    got = {r.doc_id: r for r in substrings.dedup(docs_of(spark, texts).withColumn("key", F.lit("clash"))).collect()}
+    want, near = brute_removal(texts), brute_removal(texts, 300)
+    assert [tuple(got[i])[1:5] for i in range(len(texts))] == want
+    for i, t in enumerate(texts):
+        if not near[i][1]:
+            assert got[i].text == (t or "") and got[i].n_passages == 0
+    assert got[7].text == "" and got[7].n_passages == 1 and sum(got[i].n_passages > 0 for i in range(10, 22)) == 12
     assert substrings.dedup(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_substrings_passages_and_null_ids(spark):
+    rng = random.Random(31)
+    short, long = words(rng, 75), words(rng, 120)  # about 330 and 530 bytes
+    assert 300 < len(short) < 400 < len(long)
+    rows = [(i, f"{words(rng, 40)} {x} {words(rng, 40)}", None, None, None) for i, x in ((1, short), (2, short), (3, long), (None, long), (None, long))] + [(6, "z", None, None, None)]
+    rows += [(None, rows[4][1], None, None, None), (7, words(rng, 200), None, None, None)]
+    got = substrings.dedup(spark.createDataFrame(rows, DOCS)).collect()
+    texts = [r[1] for r in rows]
+    want = {t: w for t, w in zip(texts, brute_removal(texts), strict=True)}
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    assert len(got) == len(rows) and all(by[r[0]][0][:4] == want[r[1]] for r in rows if r[0] is not None)
+    assert sorted(x[:4] for x in by[None]) == sorted(want[r[1]] for r in rows if r[0] is None)
+    assert all(by[i][0][4] == 1 and short not in by[i][0][5] for i in (1, 2)) and by[1][0][1] == 0 and by[3][0][1] > 400
+    assert by[7][0][4:] == (0, rows[-1][1]) and by[6][0][4:] == (0, "z")
+
+
 def test_suffix_sort():
     rng = random.Random(1)
     buf = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(600)), np.uint8)
@@ -458,10 +506,12 @@ def test_collisions_are_verified(monkeypatch):
     start = end - np.array([len(x) for x in parts])
     anchor = np.array([s + x.find(shared) + 100 if shared in x else s + 200 for s, x in zip(start, parts)])
     span = 300
-    cover = lambda r: {(int(i), t) for i, p, q in zip(*r) for t in range(p, q + 1)}
-    want = cover(substrings.equal_windows(buf, start, anchor, end, np.zeros(4, int), span))
+    args = (buf, start, anchor, end, anchor - (end - span), np.zeros(4, int), (span, 250))
+    cover = lambda found: [{(int(i), t) for i, p, q in zip(*r) for t in range(p, q + 1)} for r in found]
+    want = cover(substrings.equal_windows(*args))
     monkeypatch.setattr(substrings, "Hashes", Weak)
-    assert want and cover(substrings.equal_windows(buf, start, anchor, end, np.zeros(4, int), span)) <= want
+    got = cover(substrings.equal_windows(*args))
+    assert all(want) and all(g <= w for g, w in zip(got, want))
 
 
 # -- 9
@@ -489,6 +539,45 @@ def test_html_odd_marks():
     assert html.main_text(f"""<p>{p} <a title="1 > 0" rel='>'>link</a></p>""") == f"{p} link"
 
 
+P1 = "This is a long enough paragraph, with commas, that tells something of note to whoever reads it."
+P2 = "Another one follows, also of some length, and it is about something else, as the reader may see."
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout no-sidebar", "post tag-login", "with-comments", "sidebar", "search-results"])
+def test_html_containers_keep_their_article(name):
+    page = f'<body><nav><a href="/">Menu</a></nav><div class="{name}"><h1>Head</h1><p>{P1}</p><p>{P2}</p></div><footer><p>{P1}</p></footer></body>'
+    assert html.main_text(page) == f"Head\n{P1}\n{P2}"
+    assert html.main_text(page.replace("<h1>Head</h1>", "")) == f"{P1}\n{P2}"
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "sidebar", "left-sidebar", "comments", "comments-area", "reader-responses", "related-posts", "share buttons", "ad", "ad-slot-3", "newsletter-signup", "site-footer", "main-nav"])
+def test_html_furniture_goes(name):
+    extra = f'<div class="{name}"><p>{P2}</p><p>{P2}</p></div>'
+    for at in ("class", "id"):
+        page = f"<body><div id=main>{extra}<p>{P1}</p><p>{P1}</p>{extra}</div>{extra}</body>".replace("class=", f"{at}=")
+        assert html.main_text(page) == f"{P1}\n{P1}", name
+
+
+def test_html_several_articles():
+    two = f"<main><article><h2>A</h2><div><p>{P1}</p><p>{P1}</p></div></article><article><h2>B</h2><p>{P2}</p></article></main>"
+    want = f"A\n{P1}\n{P1}\nB\n{P2}"
+    assert html.main_text(two) == want == html.main_text(two.replace("main>", "div>"))
+    assert html.main_text(f"<div><article><p>{P1}</p><p>{P1}</p></article><article><a href=x>{P2}</a></article></div>") == f"{P1}\n{P1}"
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (1000, 10_000):
+        pages = ["<div>" * n + f"<p>{P1}</p>" + "</div>" * n, f"<div>{P1}" * n, "<i>" * n + f"<p>{P1}" * n, "<div>" * n + "</b>" * n + P1]
+        began = time.process_time()
+        got = [html.main_text(x) for x in pages]
+        took.append(time.process_time() - began)
+        assert P1 in got[0] and got[1].count(P1) >= 1 and got[2].count(P1) == n and got[3] == P1
+    assert took[1] < 40 * took[0] + 1
+
+
 def test_html_pages(spark):
     rows = [(1, "u", f"<article><p>{'word, ' * 4000}end.</p></article>"), (2, None, None), (2, None, None)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
