@@ -1,13 +1,14 @@
 """Supervised subword embeddings: hashed word and character n-gram vectors, averaged, softmax, numpy SGD.
 
 A document's vector is the mean over its words of the word's vector, which is the mean of the learned
-vectors of its hashed features: the word itself, its byte n-grams with word borders, its shape, and
-whether it repeats the word before it. The model is linear after the averages, so scoring needs only one
+vectors of its hashed features: the word itself, its character n-grams with word borders, and on request its
+shape and whether it repeats the word before it. The model is linear after the averages, so scoring needs only one
 number per bucket and class. Training sees a bounded sample of labelled rows (``max_docs`` documents of
 at most ``max_chars`` code points, by seeded hash), in the driver; scoring is one map over all rows.
 
 Null and empty texts have no words: they get the softmax of the bias. Words are the runs of bytes other
-than ASCII white space.
+than ASCII white space. A long text is summed over pieces that end between words (a repeat across two pieces
+isn't seen).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statelens.llm.common import BYTE_HASH, LOWER, SPACE, mix, powers, text_chunks, word_hashes, word_spans
+from statelens.llm.common import BYTE_HASH, LOWER, SPACE, mix, pieces, powers, text_chunks, word_hashes, word_spans
 
 
 @dataclass(frozen=True)
@@ -40,13 +41,16 @@ class Params:
 
 @dataclass(frozen=True)
 class Model:
-    """classes, a bucket x class table of linear contributions, a bias and the calibrated temperature."""
+    """classes, a bucket x class table of linear contributions, a bias, the calibrated temperature, and the least
+    probability of the right answer among the documents that calibrated it.
+    """
 
     classes: tuple
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     params: Params
+    surest_low: float = 0.0
 
 
 def word_features(buf, starts, ends, p: Params):
@@ -61,16 +65,23 @@ def word_features(buf, starts, ends, p: Params):
     inner = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
     raw = buf[np.repeat(starts, lens) + inner]
     text[np.repeat(at0 + 1, lens) + inner] = raw if p.shapes else LOWER[raw]
-    word = np.repeat(np.arange(n), padded)
-    left = np.repeat(at0 + padded, padded) - np.arange(len(text))
-    hashed, base = BYTE_HASH[text], powers(max(p.ngrams) + 1)
+    # characters: a byte 10xxxxxx goes with the one before
+    begins = (text & 0xC0) != 0x80
+    begins[at0] = begins[np.minimum(at0 + 1, len(text) - 1)] = True
+    first = np.flatnonzero(begins)
+    char = np.cumsum(begins) - 1
+    hashed = np.add.reduceat(BYTE_HASH[text] * powers(8, np.uint64(0x2545F4914F6CDD1D))[np.minimum(np.arange(len(text)) - first[char], 7)], first)
+    word = np.repeat(np.arange(n), padded)[first]
+    size = np.bincount(word, minlength=n)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(first))
+    base = powers(max(p.ngrams) + 1)
     owners, buckets = [np.arange(n)], [mix(word_hashes(text, at0, at0 + padded) + np.uint64(99))]
     for k in p.ngrams:
-        if len(text) < k:
+        if len(first) < k:
             continue
-        h = hashed[: len(text) - k + 1].copy()
+        h = hashed[: len(first) - k + 1].copy()
         for j in range(1, k):
-            h += hashed[j : len(text) - k + 1 + j] * base[j]
+            h += hashed[j : len(first) - k + 1 + j] * base[j]
         ok = left[: len(h)] >= k
         owners.append(word[: len(h)][ok])
         buckets.append(mix(h[ok] + np.uint64(k)))
@@ -136,10 +147,18 @@ def _train_numpy(texts: list[str], y: np.ndarray, n_classes: int, p: Params):
 
 
 def _logits(buf, offs, model: Model) -> np.ndarray:
+    if len(offs) == 2:  # one text of any length
+        sums = [_sums(x, np.array([0, len(x)]), model) for x in pieces(buf, SPACE)] or [_sums(buf, offs, model)]
+        return sum(x for x, _ in sums) / max(1, sum(n for _, n in sums)) + model.bias
+    total, n = _sums(buf, offs, model)
+    return total / np.maximum(1, n)[:, None] + model.bias
+
+
+def _sums(buf, offs, model: Model):
+    """(sum of the words' contributions, number of words) of each row."""
     feats, sizes, rows, words, n = bag(buf, offs, model.params)
     per_word = np.add.reduceat(model.table[feats], np.cumsum(sizes) - sizes) / sizes[:, None]
-    total = np.maximum(1, np.bincount(rows, minlength=n))
-    return np.stack([np.bincount(rows, per_word[words, c], minlength=n) / total for c in range(len(model.classes))], 1) + model.bias
+    return np.stack([np.bincount(rows, per_word[words, c], minlength=n) for c in range(len(model.classes))], 1), np.bincount(rows, minlength=n)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -179,13 +198,16 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model | None:
     texts, held = [r["text"] for r in sample], np.arange(len(sample)) % 5 == 4
     table, bias = _train_numpy([t for t, x in zip(texts, held, strict=True) if not x], y[~held], len(classes), params)
     model = Model(classes, table.astype(np.float32), bias, 1.0, params)
-    best = 1.0
+    best, low = 1.0, 0.0
     if held.any():
         data = [t.encode() for t, x in zip(texts, held, strict=True) if x]
         z = _logits(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]), model)
         loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(z)), y[held]] + 1e-9).mean()
         best = float(min(np.geomspace(0.1, 10, 41), key=loss))
-    return Model(classes, model.table, bias, best, params)
+        prob = _softmax(z / best)
+        right = prob.argmax(1) == y[held]
+        low = float(prob.max(1)[right].min()) if right.any() else 0.0
+    return Model(classes, model.table, bias, best, params, low)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", keep_text: bool = False) -> DataFrame:
