@@ -5,9 +5,11 @@ no target exceeds ``most`` times its source's size, and what is over is shared a
 a closed form: sort the sources by size / weight; the smallest are full, the rest get a common rate.
 
 Selection: every document is taken floor(target / size of the source) times. For the budget that is left,
-documents are counted by exact length within the source; each length gives its share of whole documents,
-and a bounded-knapsack dynamic programme over the counts of each length fits the rest to the word. Then
-each length's number of documents is picked by seeded hash.
+documents are counted by exact length within the source. At every size each length gives its share of whole
+documents, rounded down or (largest remainders first) up, until at most ``reach`` words are left; a
+bounded-knapsack dynamic programme over the documents that remain of each length fits those to the word. Then
+each length's number of documents is picked by seeded hash. ``gap`` says how many words of the target a source
+still lacks: 0 wherever some set of documents fits.
 
 Empty and null texts have size 0 and are taken 0 times; an empty table gives no rows; a source of size 0
 has target 0. Equal lengths are told apart by (hash of doc_id, doc_id); fully repeated rows by an
@@ -21,13 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from statelens.llm.common import staged
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents that one task ranks at once; longer lists of equal length are cut into hash buckets.
 RANKED = 2000
-#: Largest budget in words that the dynamic programme fits exactly; what exceeds it is filled longest first.
-EXACT = 40_000
+#: Most words that the dynamic programme fits, in one bitset of as many bits for each length.
+REACH = 40_000
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -47,7 +51,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return per.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(common * F.col("w")).alias("target"))
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, reach_words: int = REACH) -> np.ndarray:
     """How many documents of each length (distinct, positive) to take so that their words come as near to budget as can be, from below."""
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
@@ -55,15 +59,14 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     if budget >= total:
         return counts.astype(np.int64)
     take = np.array([int(c) * budget // total for c in counts], np.int64)
+    rest = np.array([int(c) * budget % total for c in counts], dtype=object)
     left = budget - int((take * lengths).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:  # longest first until the programme can hold what is left
-        if left <= EXACT:
+    for i in sorted(range(len(lengths)), key=lambda i: (-rest[i], i)):
+        if left <= reach_words:
             break
-        n = min(int(counts[i] - take[i]), (left - EXACT // 2) // int(lengths[i]))
-        if n > 0:
-            take[i] += n
-            left -= n * int(lengths[i])
+        if take[i] < counts[i] and lengths[i] <= left:
+            take[i] += 1
+            left -= int(lengths[i])
     # bit s of reach: a set of the items so far has s words; items are 1, 2, 4, ... documents of one length
     mask, reach, items = (1 << (left + 1)) - 1, 1, []
     for i in range(len(lengths)):
@@ -84,9 +87,13 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     return take
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words of all the document's repeats) and repeats for each document."""
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 11, reach: int = REACH) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words of all the document's repeats), repeats and gap for each document.
+
+    Columns of docs other than doc_id, source and text play no part.
+    """
+    # counted once: every step below reads the sizes
+    sized = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     plan = targets(sized, weights, most)
     lengths = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
     lengths = lengths.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -95,12 +102,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 11) -> D
         pdf = pdf.sort_values("size")
         total, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         whole = min(most, int(target // total))
-        extra = fit_budget(pdf["size"].to_numpy(), pdf["n"].to_numpy(), int(round(target)) - whole * total if whole < most else 0)
-        return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "n": pdf["n"], "source_size": total, "target": target, "whole": whole, "extra": extra})
+        extra = fit_budget(pdf["size"].to_numpy(), pdf["n"].to_numpy(), int(round(target)) - whole * total if whole < most else 0, reach)
+        gap = int(round(target)) - whole * total - int((extra * pdf["size"].to_numpy()).sum())
+        return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "n": pdf["n"], "whole": whole, "extra": extra, "gap": gap})
 
     # one row for each distinct length: d lengths need d (d + 1) / 2 words at least
-    fitted = lengths.groupBy("source").applyInPandas(choose, "source string, size long, n long, source_size long, target double, whole long, extra long")
+    fitted = lengths.groupBy("source").applyInPandas(choose, "source string, size long, n long, whole long, extra long, gap long")
     row = F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.col("doc_id"))
+    fitted = staged(fitted)
     f = fitted.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "whole", "extra")
     placed = sized.where("size > 0").join(f, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
     placed = placed.withColumn("row", row).withColumn("bucket", F.pmod(F.shiftrightunsigned(F.col("row.h"), 8), F.ceil(F.col("n") / RANKED)))
@@ -112,5 +121,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 11) -> D
     repeats = F.col("whole") + (F.col("earlier") + rank <= F.col("extra")).cast("long")
     chosen = placed.select("doc_id", "source", "size", repeats.alias("repeats"))
     chosen = chosen.union(sized.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long")))
-    out = chosen.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+    gaps = fitted.groupBy("source").agg(F.max("gap").alias("gap")).withColumnRenamed("source", "g")
+    plan = plan.join(gaps, F.col("source").eqNullSafe(F.col("g")), "left").select(F.col("source").alias("s"), "source_size", "target", F.coalesce("gap", F.lit(0).cast("long")).alias("gap"))
+    out = chosen.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", "gap")
