@@ -5,14 +5,19 @@ then walks its structure and says how long the object is; only objects that it c
 confirmed object at offset 0 gives the true type (the declared one is corrected); confirmed objects
 inside are carved. Text payloads are stored losslessly as 8-bit mono samples of a WAV file.
 
-Null bytes give a null type and nothing carved; empty ones have type ``application/octet-stream``.
+Null bytes give a null type and nothing carved; empty ones have type ``application/octet-stream``. Null texts
+are stored as empty ones. Repeated rows each get their result, an empty table gives no rows, and columns of the
+input with the name of a new one are replaced. Ends of formats without a length are located once for all
+their magic numbers, so the work stays in proportion to the bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +38,36 @@ UNKNOWN = "application/octet-stream"
 RATE = 8000
 
 
-def _png(b: bytes, at: int) -> int:
+class Marks:
+    """Where the byte strings are that end objects, each located once for all bytes, in order."""
+
+    def __init__(self, b: bytes):
+        self.b, self.found, self.archives = b, {}, None
+
+    def of(self, mark: bytes) -> list[int]:
+        if mark not in self.found:
+            self.found[mark] = [m.start() for m in re.finditer(re.escape(mark), self.b)]
+        return self.found[mark]
+
+    def first(self, mark: bytes, at: int) -> int:
+        """The first place of mark from at on, or -1."""
+        where = self.of(mark)
+        i = bisect_left(where, at)
+        return where[i] if i < len(where) else -1
+
+    def archive(self, at: int) -> int:
+        """The end of the zip archive that begins at ``at``, or 0: its end record says where it begins."""
+        if self.archives is None:
+            self.archives = {}
+            for end in self.of(b"PK\x05\x06"):
+                if end + 22 <= len(self.b):
+                    size, start, note = struct.unpack_from("<IIH", self.b, end + 12)
+                    if end + 22 + note <= len(self.b):
+                        self.archives[end - size - start] = end + 22 + note
+        return self.archives.get(at, 0)
+
+
+def _png(b: bytes, at: int, marks: Marks) -> int:
     p = at + 8
     while p + 12 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, p)
@@ -45,17 +79,17 @@ def _png(b: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(b: bytes, at: int) -> int:
+def _jpeg(b: bytes, at: int, marks: Marks) -> int:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         if b[p + 1] == 0xDA:
-            end = b.find(b"\xff\xd9", p)
+            end = marks.first(b"\xff\xd9", p)
             return end + 2 - at if end > 0 else 0
         p += 2 + struct.unpack_from(">H", b, p + 2)[0]
     return 0
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: bytes, at: int, marks: Marks) -> int:
     if at + 13 > len(b):
         return 0
     flags = b[at + 10]
@@ -77,7 +111,7 @@ def _gif(b: bytes, at: int) -> int:
     return 0
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(b: bytes, at: int, marks: Marks) -> int:
     if at + 30 > len(b):
         return 0
     size, _, start, header = struct.unpack_from("<IIII", b, at + 2)
@@ -85,7 +119,7 @@ def _bmp(b: bytes, at: int) -> int:
     return size if ok else 0
 
 
-def _riff(b: bytes, at: int) -> int:
+def _riff(b: bytes, at: int, marks: Marks) -> int:
     if at + 12 > len(b):
         return 0
     n = struct.unpack_from("<I", b, at + 4)[0] + 8
@@ -98,17 +132,18 @@ def _riff(b: bytes, at: int) -> int:
     return n if p in (at + n, at + n + 1) else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
+def _pdf(b: bytes, at: int, marks: Marks) -> int:
+    """Up to the last end mark before the next header: an updated document has several."""
+    start = marks.first(b"startxref", at)
+    stop = marks.first(b"%PDF-", at + 1)
+    ends = marks.of(b"%%EOF")
+    i = bisect_left(ends, stop if stop > 0 else len(b)) - 1
+    return ends[i] + 5 - at if i >= 0 and at < start < ends[i] else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(b) else 0
+def _zip(b: bytes, at: int, marks: Marks) -> int:
+    end = marks.archive(at)
+    return end - at if end else 0
 
 
 VALIDATORS = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "riff": _riff, "application/pdf": _pdf, "application/zip": _zip}
@@ -128,10 +163,10 @@ def automaton():
 
 def objects(b: bytes, a) -> list[tuple[int, int, str]]:
     """(offset, length, type) of every confirmed object, outer before inner, by offset."""
-    out = []
+    out, marks = [], Marks(b)
     for end, (n, kind) in a.iter(b.decode("latin-1")):
         at = end - n + 1
-        size = VALIDATORS[kind](b, at)
+        size = VALIDATORS[kind](b, at, marks)
         if size:
             out.append((at, size, RIFF_TYPES[b[at + 8 : at + 12]] if kind == "riff" else kind))
     return sorted(out, key=lambda x: (x[0], -x[1]))
@@ -156,9 +191,8 @@ def wav_samples(b: bytes) -> bytes:
 
 def _map(df: DataFrame, drop: str, added: str, f) -> DataFrame:
     """df without the column ``drop`` and with the columns that f makes of its values (dicts), row by row."""
-    keep = [c for c in df.columns if c != drop]
-    spark = df.sparkSession
-    new = spark.createDataFrame([], added).schema
+    new = df.sparkSession.createDataFrame([], added).schema
+    keep = [c for c in df.columns if c != drop and c not in new.names]
     schema = df.select(*keep).schema
     for field in new:
         schema = schema.add(field)
@@ -179,36 +213,45 @@ def _map(df: DataFrame, drop: str, added: str, f) -> DataFrame:
 
 
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with its text as ``media``: UTF-8, zero bytes up to a positive multiple of 64, as WAV samples. Null is empty."""
+    """docs with its text as ``media``: UTF-8, zero bytes up to a positive multiple of 64, as WAV samples. Null is empty.
+
+    ``declared`` says what the column was declared as: text.
+    """
 
     def make():
         def one(t):
             raw = (t or "").encode()
-            return {"media": wav(raw + bytes(-len(raw) % 64 or (0 if raw else 64))), "n_bytes": len(raw), "declared": UNKNOWN}
+            return {"media": wav(raw + bytes(-len(raw) % 64 or (0 if raw else 64))), "n_bytes": len(raw), "declared": "text/plain"}
 
         return one
 
     return _map(docs, text, "media binary, n_bytes long, declared string", make)
 
 
+CARVED = "array<struct<offset:bigint,length:bigint,type:string>>"
+
+
+def sniffed(b: bytes, a) -> tuple[str, list[dict]]:
+    """(true type, confirmed objects inside)."""
+    found = objects(b, a)
+    whole = next((x for x in found if x[0] == 0), None)
+    return whole[2] if whole else UNKNOWN, [{"offset": o, "length": n, "type": t} for o, n, t in found if (o, n, t) != whole]
+
+
 def sniff(media: DataFrame, column: str = "media", declared: str = "declared") -> DataFrame:
-    """media (kept) with ``kind`` (true type), ``corrected`` and ``carved``: (offset, length, type) of the objects inside."""
+    """media (kept) with ``kind`` (true type), ``corrected`` (the declared one was wrong) and ``carved``: (offset, length, type) of the objects inside."""
 
     def make():
         a = automaton()
 
         def one(b):
-            if b is None:
-                return {"kind": None, "carved": None}
-            found = objects(b, a)
-            whole = next((x for x in found if x[0] == 0), None)
-            inner = [{"offset": o, "length": n, "type": t} for o, n, t in found if (o, n, t) != whole]
-            return {"kind": whole[2] if whole else UNKNOWN, "carved": inner}
+            kind, carved = (None, None) if b is None else sniffed(b, a)
+            return {"kind": kind, "carved": carved}
 
         return one
 
     twin = media.withColumn("_bytes", F.col(column))
-    out = _map(twin, "_bytes", "kind string, carved array<struct<offset:bigint,length:bigint,type:string>>", make)
+    out = _map(twin, "_bytes", f"kind string, carved {CARVED}", make)
     return out.withColumn("corrected", ~F.col("kind").eqNullSafe(F.col(declared)))
 
 
@@ -219,20 +262,19 @@ def features(media: DataFrame) -> DataFrame:
         a = automaton()
 
         def one(b):
-            found = objects(b, a)
-            if not found or found[0][0] or found[0][2] != "audio/wav":
+            kind, carved = sniffed(b, a)
+            if kind != "audio/wav":
                 raise ValueError("the stored bytes aren't a whole WAV file")
-            p = wav_samples(b[: found[0][1]])
-            low, high = min(p), max(p)
-            mean = sum(p) / len(p)
-            carved = ";".join(f"{t}@{o - 44}+{n}" for o, n, t in found[1:])
+            p = wav_samples(b)
+            inner = ";".join(f"{x['type']}@{x['offset'] - 44}+{x['length']}" for x in carved)
             return {
                 "payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-64:]),
-                "media_bytes": len(b), "media_sha256": hashlib.sha256(b).hexdigest(),
-                "feature": f"audio/wav rate={RATE} samples={len(p)} min={low} max={high} mean={mean:.6f} carved={carved}",
+                "media_bytes": len(b), "media_sha256": hashlib.sha256(b).hexdigest(), "kind": kind,
+                "feature": f"audio/wav rate={RATE} samples={len(p)} min={min(p)} max={max(p)} mean={sum(p) / len(p):.6f} carved={inner}",
             }
 
         return one
 
-    new = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _map(media.select("doc_id", "n_bytes", "media"), "media", new, make)
+    new = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, kind string"
+    out = _map(media.select("doc_id", "n_bytes", "declared", "media"), "media", new, make)
+    return out.withColumn("corrected", ~F.col("kind").eqNullSafe(F.col("declared")))

@@ -20,7 +20,7 @@ def op2_secret_scan(spark, sf_dir):
 
 
 def op3_source_mixing(spark, sf_dir):
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "gap")
 
 
 def op4_media_columns(spark, sf_dir):

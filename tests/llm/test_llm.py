@@ -183,6 +183,20 @@ def test_fit_budget_is_best():
         assert (take * lengths).sum() == best
 
 
+def test_fit_budget_keeps_shares_beyond_its_reach():
+    rng = random.Random(14)
+    lengths = np.array(sorted(rng.sample(range(1, 3000), 400)))
+    counts = np.array([rng.randrange(1, 60) for _ in lengths])
+    total = int((lengths * counts).sum())
+    for reach in (500, 40_000):
+        for budget in (total // 7, total // 2, total - 5000):
+            take = mixing.fit_budget(lengths, counts, budget, reach)
+            assert (take <= counts).all() and (take >= 0).all() and 0 <= budget - (take * lengths).sum() <= (reach if budget > total * 0.9 else 0)
+            # no length is favoured: all but what the programme fits stay within a document of their share
+            off = np.abs(take - counts * budget / total)
+            assert (lengths * np.maximum(0, off - 1)).sum() <= reach + 1
+
+
 def test_mix(spark):
     rng = random.Random(8)
     rows = [(i, words(rng, rng.randrange(0, 40)), None, rng.choice(["a", "a", "a", "b", "c", None]), None) for i in range(400)] + [(None, None, None, "d", 1), (1, "x y", None, "a", 0), (1, "x y", None, "a", 0)]
@@ -190,7 +204,8 @@ def test_mix(spark):
     one, two = (sorted(map(tuple, mixing.mix(d).collect()), key=repr) for _ in range(2))
     assert one == two and len(one) == len(rows)
     by = {}
-    for _, source, size, source_size, target, taken, _ in one:
+    for _, source, size, source_size, target, taken, _, gap in one:
+        assert abs(gap) <= 1
         assert taken <= 3 * size
         by.setdefault((source, source_size, target), []).append((size, taken))
     for (source, source_size, target), x in by.items():
@@ -210,7 +225,36 @@ def test_media_digest(spark):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
         assert r.media_bytes == len(pay) + 44 and len(pay) % 64 == 0 and len(pay) >= 64
+        assert (r.declared, r.kind, r.corrected) == ("text/plain", "audio/wav", True)
+        assert r.feature.startswith(f"audio/wav rate={media.RATE} samples={len(pay)} min={min(pay)} max={max(pay)} mean={sum(pay) / len(pay):.6f} carved=")
     assert got[1].feature == got[2].feature
+    clash = docs_of(spark, ["a", "a"]).withColumns({"media": F.lit("x"), "n_bytes": F.lit("y"), "kind": F.lit("z")})
+    assert [tuple(r)[:2] for r in media.features(media.store(clash)).select("n_bytes", "payload_bytes").collect()] == [(1, 64)] * 2
+    assert media.features(media.store(clash.limit(0))).count() == 0 == media.sniff(media.store(clash.limit(0))).count()
+
+
+def test_embedded_ends_and_linear_time():
+    import io
+    import time
+    import zipfile
+
+    a = media.automaton()
+    pdf = b"%PDF-1.4 a startxref 9 %%EOF update startxref 20 %%EOF"
+    f = io.BytesIO()
+    with zipfile.ZipFile(f, "w") as z:
+        z.writestr("x", b"1" * 50)
+        z.writestr("y", b"2")
+    f = f.getvalue()
+    assert media.objects(b"--" + pdf + b"\n" + pdf, a) == [(2, len(pdf), "application/pdf"), (3 + len(pdf), len(pdf), "application/pdf")]
+    assert media.objects(b"..." + f + b"tail", a) == [(3, len(f), "application/zip")]
+    assert media.objects(b"%PDF- no end", a) == [] == media.objects(b"startxref %%EOF %PDF- startxref", a)
+    took = []
+    for n in (3000, 30_000):
+        began = time.process_time()
+        for b in (b"%PDF-" * n, b"PK\x03\x04" * n + f, b"\xff\xd8\xff\xda" * n, b"%PDF- startxref " * n + b"%%EOF"):
+            media.objects(b, a)
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0] + 0.5
 
 
 def chunk(kind, data):
