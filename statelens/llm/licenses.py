@@ -3,11 +3,12 @@
 A text is normalised (A-Z lower-cased, runs of other characters than a-z and 0-9 become one space, comment
 marks with them). A known licence sentence is found where it begins at the start of a sentence or line and
 ends at the end of one (sentences end after ``.!?`` with white space and at empty lines); in between it may
-run over any number of lines. Where several begin, the longest counts, and the search goes on behind it. The identifiers in text order form a sequence; the ordered rules
+run over any number of lines, or hold an abbreviation. Where several begin, the longest counts, and the search goes on behind it. The identifiers in text order form a sequence; the ordered rules
 are matched against it, and each licence takes its first rule that occurs as consecutive identifiers.
 
-Null and empty texts have no sentence, hence an empty sequence and no licence. Repeated rows and repeated
-sentences keep their repeats. Texts are read whole.
+Null and empty texts have no sentence, hence an empty sequence and no licence; an empty table gives no rows.
+Repeated rows and repeated sentences keep their repeats. Columns named like a new one are replaced. Texts are
+read whole.
 """
 
 from __future__ import annotations
@@ -15,42 +16,111 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Normalised sentences of public licence texts and notices, with identifiers of our own.
-SENTENCES = {
-    "released under the mit license": "mit-notice",
-    "licensed under the mit license": "mit-notice",
+# Names of licences as notices give them, and SPDX identifiers.
+NAMES = {
+    "mit license": "MIT", "apache license version 2 0": "Apache-2.0", "apache license version 2 0 the license": "Apache-2.0", "apache license 2 0": "Apache-2.0", "apache 2 0 license": "Apache-2.0",
+    "gnu general public license version 2": "GPL-2.0", "gnu general public license version 3": "GPL-3.0", "gnu general public license v3 0": "GPL-3.0", "gnu lesser general public license version 2 1": "LGPL-2.1",
+    "gnu lesser general public license version 3": "LGPL-3.0", "gnu affero general public license version 3": "AGPL-3.0", "mozilla public license version 2 0": "MPL-2.0", "mozilla public license 2 0": "MPL-2.0", "mpl 2 0 license": "MPL-2.0",
+    "bsd 2 clause license": "BSD-2-Clause", "bsd 3 clause license": "BSD-3-Clause", "isc license": "ISC", "eclipse public license 2 0": "EPL-2.0", "boost software license version 1 0": "BSL-1.0", "unlicense": "Unlicense", "zlib license": "Zlib",
+}
+NOTICES = ("licensed under the", "released under the", "distributed under the", "this work is licensed under the", "this project is licensed under the", "this software is licensed under the", "this file is licensed under the")
+COMMONS = {
+    "cc by nc 4 0": "CC-BY-NC-4.0", "cc by 4 0": "CC-BY-4.0", "cc by sa 4 0": "CC-BY-SA-4.0", "cc0 1 0": "CC0-1.0", "a creative commons attribution 4 0 international license": "CC-BY-4.0",
+    "a creative commons attribution sharealike 4 0 international license": "CC-BY-SA-4.0", "a creative commons attribution noncommercial 4 0 international license": "CC-BY-NC-4.0",
+}
+SPDX = (
+    "MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+    "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "EPL-2.0", "BSL-1.0", "Unlicense", "Zlib", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+)
+# Normalised sentences of public licence texts, with identifiers of our own.
+TEXTS = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-condition",
-    "licensed under the apache license version 2 0": "apache2-notice",
-    "licensed under the apache license version 2 0 the license": "apache2-notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
     "you may not use this file except in compliance with the license": "apache2-compliance",
     "you may obtain a copy of the license at": "apache2-copy",
-    "this work is licensed under the gnu general public license version 3": "gpl3-notice",
-    "licensed under the gnu general public license version 3": "gpl3-notice",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-warranty",
+    "see the license for the specific language governing permissions and limitations under the license": "apache2-see",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-only",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
-    "licensed under cc by nc 4 0": "cc-by-nc4-notice",
-    "licensed under cc by 4 0": "cc-by4-notice",
-    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by4-notice",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
+    "see the gnu general public license for more details": "gpl-see",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "see the gnu affero general public license for more details": "agpl-see",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-terms",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd3-endorse",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0": "epl2-terms",
+    "this is free and unencumbered software released into the public domain": "unlicense-grant",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
     "all rights reserved": "reserved",
-}
+}
+
+
+def _sentences() -> dict[str, str]:
+    """TEXTS, every notice with every name, and every SPDX tag."""
+    out = dict(TEXTS)
+    for notice in NOTICES:
+        out |= {f"{notice} {name}": f"{of}-notice" for name, of in NAMES.items()}
+        if "licensed" in notice:
+            out |= {f"{notice.removesuffix(' the')} {name}": f"{of}-notice" for name, of in COMMONS.items()}
+    return out | {f"spdx license identifier {x.lower().replace('-', ' ').replace('.', ' ')}": f"{x}-tag" for x in SPDX}
+
+
+SENTENCES = _sentences()
 #: (licence, rule, consecutive identifiers), in order: a licence takes its first rule that matches.
 RULES = (
-    ("Apache-2.0", "header", ("apache2-notice", "apache2-compliance", "apache2-copy")),
-    ("Apache-2.0", "notice", ("apache2-notice",)),
+    ("Apache-2.0", "header", ("Apache-2.0-notice", "apache2-compliance", "apache2-copy")),
+    ("MIT", "text", ("mit-grant", "mit-condition")),
+    ("GPL-2.0-or-later", "header", ("gpl2-later", "gpl-warranty")),
+    ("GPL-2.0-or-later", "grant", ("gpl2-later",)),
+    ("GPL-2.0-only", "grant", ("gpl2-only",)),
     ("GPL-3.0-or-later", "header", ("gpl3-later", "gpl-warranty")),
     ("GPL-3.0-or-later", "grant", ("gpl3-later",)),
-    ("GPL-3.0", "notice", ("gpl3-notice",)),
-    ("MIT", "text", ("mit-grant", "mit-condition")),
-    ("MIT", "notice", ("mit-notice",)),
-    ("BSD-3-Clause", "text", ("bsd-grant", "bsd3-endorse")),
+    ("LGPL-2.1-or-later", "header", ("lgpl21-later", "gpl-warranty")),
+    ("LGPL-2.1-or-later", "grant", ("lgpl21-later",)),
+    ("LGPL-3.0-or-later", "header", ("lgpl3-later", "gpl-warranty")),
+    ("LGPL-3.0-or-later", "grant", ("lgpl3-later",)),
+    ("AGPL-3.0-or-later", "header", ("agpl3-later", "gpl-warranty")),
+    ("AGPL-3.0-or-later", "grant", ("agpl3-later",)),
+    ("MPL-2.0", "header", ("mpl2-terms",)),
+    ("BSD-3-Clause", "text", ("bsd-grant", "bsd-source", "bsd-binary", "bsd3-endorse")),
+    ("BSD-3-Clause", "short", ("bsd-grant", "bsd3-endorse")),
+    ("BSD-2-Clause", "text", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty")),
     ("BSD", "grant", ("bsd-grant",)),
-    ("CC-BY-NC-4.0", "notice", ("cc-by-nc4-notice",)),
-    ("CC-BY-4.0", "notice", ("cc-by4-notice",)),
+    ("ISC", "text", ("isc-grant",)),
+    ("EPL-2.0", "header", ("epl2-terms",)),
+    ("Unlicense", "text", ("unlicense-grant",)),
+    ("Zlib", "text", ("zlib-grant",)),
+    *((x, "tag", (f"{x}-tag",)) for x in SPDX),
+    *((x, "notice", (f"{x}-notice",)) for x in dict.fromkeys([*NAMES.values(), *COMMONS.values()])),
 )
-HINT = "(?i)licen[sc]e|permission|redistribut|copyright|warranty|rights reserved"
+
+
+def hints(sentences) -> list[str]:
+    """A few words of which every sentence holds one, found greedily."""
+    left, out = set(sentences), []
+    words = sorted({w for s in sentences for w in s.split() if len(w) > 4})
+    while left:
+        best = max(words, key=lambda w: (sum(w in s for s in left), len(w)), default="")
+        held = {s for s in left if best in s} if best else set()
+        if not held:  # sentences of short words only: each is its own hint
+            return out + sorted(min(s.split(), key=lambda w: (-len(w), w)) for s in left)
+        out.append(best)
+        left -= held
+    return out
 
 
 def scan(docs: DataFrame, text: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
@@ -61,10 +131,10 @@ def scan(docs: DataFrame, text: str = "text", sentences=SENTENCES, rules=RULES)
     ends = F.regexp_replace(F.regexp_replace(F.translate(F.col(text), upper, lower), r"(?<=[.!?])[ \t\x0B\f\r\n]+", " S "), "\n", " N ")
     norm = F.concat(F.lit("N "), F.regexp_replace(ends, "[^a-z0-9SN]+", " "), F.lit(" N"))
     longest_first = sorted(sentences, key=lambda s: -len(s.split()))
-    pattern = "(?<=[SN] {1,2})(?:" + "|".join(s.replace(" ", " (?:N )?") for s in longest_first) + ")(?= {1,2}[SN])"
-    ids = F.transform(F.regexp_extract_all(norm, F.lit(pattern), F.lit(0)), lambda s: F.element_at(known, F.replace(s, F.lit(" N "), F.lit(" "))))
-    # a text without the longest word of any sentence has no sentence
-    hint = "(?i)" + "|".join(sorted({max(s.split(), key=len) for s in sentences}))
+    pattern = "(?<=[SN] {1,2})(?:" + "|".join(s.replace(" ", " (?:[NS] )?") for s in longest_first) + ")(?= {1,2}[SN])"
+    ids = F.transform(F.regexp_extract_all(norm, F.lit(pattern), F.lit(0)), lambda s: F.element_at(known, F.regexp_replace(s, " [NS] ", " ")))
+    # a text with none of these words has no sentence
+    hint = "(?i)" + "|".join(hints(sentences))
     found = docs.withColumn("sentence_ids", F.when(F.col(text).rlike(hint), ids).otherwise(F.array().cast("array<string>")))
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
     hit = lambda seq: F.contains(line, F.lit("," + ",".join(seq) + ","))
@@ -79,9 +149,13 @@ def scan(docs: DataFrame, text: str = "text", sentences=SENTENCES, rules=RULES)
 
 
 def oracle() -> str:
-    """DuckDB SQL of the columns of query op5, from the same fixed values."""
+    """DuckDB SQL of the columns of query op5, from the same fixed values: each mark of an end is doubled, so that every
+    sentence takes a mark of its own on either side.
+    """
     keys = ", ".join(f"'{k}'" for k in SENTENCES)
     vals = ", ".join(f"'{v}'" for v in SENTENCES.values())
+    longest_first = sorted(SENTENCES, key=lambda s: -len(s.split()))
+    pattern = "[SN] (" + "|".join(s.replace(" ", " (?:N N |S S )?") for s in longest_first) + ") [SN]"
     cases = []
     for i, (name, rule, seq) in enumerate(RULES):
         hit = lambda s: f"contains(line, ',{','.join(s)},')"
@@ -89,10 +163,10 @@ def oracle() -> str:
         cases.append(f"case when {hit(seq)}{no} then '{name}:{rule}' end")
     return f"""
 with known as (select map([{keys}], [{vals}]) as m),
-cut as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\x0B\\f\\r]+', '\\1' || chr(10), 'g'), chr(10)) as parts from documents),
-norm as (select doc_id, list_transform(list_filter(parts, lambda s: regexp_matches(s, '{HINT}')),
-         lambda s: trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))) as sents from cut),
-ids as (select doc_id, list_filter(list_transform(sents, lambda s: m[s]), lambda x: x is not null) as ids from norm, known),
+low as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+marked as (select doc_id, replace(regexp_replace(t, '([.!?])[ \\t\\x0B\\f\\r\\n]+', '\\1 S S ', 'g'), chr(10), ' N N ') as t from low),
+norm as (select doc_id, 'N ' || trim(regexp_replace(t, '[^a-z0-9SN]+', ' ', 'g')) || ' N' as t from marked),
+ids as (select doc_id, list_transform(regexp_extract_all(t, '{pattern}', 1), lambda s: m[replace(replace(s, ' N N ', ' '), ' S S ', ' ')]) as ids from norm, known),
 lines as (select doc_id, len(ids) as n, coalesce(array_to_string(ids, ','), '') as joined, ',' || coalesce(array_to_string(ids, ','), '') || ',' as line from ids)
 select doc_id, cast(n as bigint) as n_sentences, joined as sentence_ids,
        coalesce(array_to_string(list_filter([{", ".join(cases)}], lambda x: x is not null), ','), '') as licenses

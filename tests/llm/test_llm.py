@@ -286,7 +286,7 @@ def test_licenses(spark):
     d = docs_of(spark, texts).withColumn("licenses", F.lit("clash"))
     got = {r.doc_id: r for r in licenses.scan(d).collect()}
     assert [got[i].licenses for i in range(6)] == [["Apache-2.0:header"], ["MIT:notice"], ["GPL-3.0:notice"], [], [], []]
-    assert got[1].sentence_ids == ["mit-notice", "mit-notice"] and licenses.scan(d.limit(0)).count() == 0
+    assert got[1].sentence_ids == ["MIT-notice", "MIT-notice"] and licenses.scan(d.limit(0)).count() == 0
 
 
 def test_wrapped_licenses(spark):
@@ -298,8 +298,51 @@ def test_wrapped_licenses(spark):
         "ALL RIGHTS-RESERVED\nAll rights\nreserved.", "Licensed under the Apache License, Version 2.0\n(the License)", "Licensed under\n\nthe MIT License", "Not licensed under the\nMIT License", "Licensed under the MIT License\nand more",
     ]
     got = {r.doc_id: r for r in licenses.scan(docs_of(spark, texts)).collect()}
-    assert [got[i].licenses for i in range(9)] == [["MIT:text"], ["BSD-3-Clause:text", "BSD:grant"], ["GPL-3.0-or-later:header"], ["GPL-3.0-or-later:grant"], [], ["Apache-2.0:notice"], [], [], ["MIT:notice"]]
-    assert got[4].sentence_ids == ["reserved", "reserved"] and got[5].sentence_ids == ["apache2-notice"]
+    assert [got[i].licenses for i in range(9)] == [["MIT:text"], ["BSD-3-Clause:short", "BSD:grant"], ["GPL-3.0-or-later:header"], ["GPL-3.0-or-later:grant"], [], ["Apache-2.0:notice"], [], [], ["MIT:notice"]]
+    assert got[4].sentence_ids == ["reserved", "reserved"] and got[5].sentence_ids == ["Apache-2.0-notice"]
+
+
+PUBLISHED = {
+    "MIT:text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+    "GPL-3.0-or-later:header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "LGPL-2.1-or-later:header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "MPL-2.0:header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "BSD-2-Clause:text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "ISC:text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Apache-2.0:header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0""",
+    "MIT:tag": "SPDX-License-Identifier: MIT",
+    "MPL-2.0:notice": "Licensed under the MPL 2.0 license",
+    "Unlicense:text": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def test_published_licenses(spark):
+    """Wrapped and unwrapped, bare and as a comment: all give the same."""
+    texts = []
+    for t in PUBLISHED.values():
+        paragraphs = t.split("\n\n")
+        if "Apache" in t:  # published with a line break between the notice and the condition
+            paragraphs[0] = paragraphs[0].replace("; you", ";\nyou")
+        for mark, width in (("", 0), ("", 72), (" * ", 60), ("# ", 40), ("// ", 70)):
+            lines = [x for p in paragraphs for x in [*(y for z in p.split("\n") for y in (textwrap.wrap(z, width) if width else [z])), ""]]
+            texts.append("A head\n\n" + "\n".join(mark + x for x in lines) + "\ncode = 1")
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs_of(spark, texts)).collect()}
+    for i, name in enumerate(n for n in PUBLISHED for _ in range(5)):
+        assert [x for x in got[i] if not x.startswith("BSD:")] == [name], (name, texts[i], got[i])
 
 
 # -- 6
