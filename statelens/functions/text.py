@@ -5,20 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Stopwords and synonyms that the event tokens must use for equal results.
-EVENT_STOPWORDS = ("the", "a", "an", "to", "for", "and", "or", "of", "on", "in", "by", "with", "from", "user", "system")
-EVENT_SYNONYMS = {
-    "login": "authenticate", "signin": "authenticate", "sign": "authenticate", "authorization": "authorize", "authorise": "authorize",
-    "approval": "approve", "accepted": "approve", "accept": "approve", "decline": "reject", "deny": "reject",
-    "failed": "fail", "failure": "fail", "error": "fail", "signout": "logout", "cancelled": "cancel", "canceled": "cancel", "abort": "cancel",
-    "pay": "payment", "paid": "payment", "purchase": "payment", "billing": "payment", "registration": "register",
-    "view": "access", "open": "access", "select": "access", "choose": "access", "send": "submit", "reattempt": "retry",
-}
-RATING_STOPWORDS = ("all", "allow", "allows", "an", "and", "are", "as", "at", "be", "by", "can", "complete", "do", "for", "from", "if", "in", "into", "is", "it", "of", "on", "or", "shall", "system", "the", "their", "to", "user", "users", "when", "with")
-CAPABILITY_VERBS = ("allow", "allows", "enable", "enables", "support", "supports", "generate", "generates", "calculate", "calculates", "notify", "notifies", "update", "updates", "manage", "manages", "monitor", "monitors", "track", "tracks", "operate", "operated", "submit", "submitted", "cancel", "cancelled", "pass", "passed", "regulate", "regulated", "detect", "detection", "warn", "stock", "view", "check", "log", "register", "issue", "search", "replace", "remove", "add", "place", "create", "select", "selects", "order", "orders", "provide", "provides", "fill", "fills", "upload", "uploads", "verify", "verifies", "purchase", "purchases", "transition", "transitions", "enter", "enters", "reenter", "reenters", "leave", "leaves", "open", "opens", "close", "closes", "press", "presses", "input", "inputs", "expire", "expires", "list", "lists", "serve", "serves", "predict", "predicts", "shortlist", "shortlists", "assess", "assesses", "map", "maps", "alert", "alerts")
-AMBIGUOUS_TERMS = ("etc", "and so on", "user friendly", "easy to use", "efficient", "quickly", "some", "many", "appropriate", "suitable", "as needed")
-ACTORS = ("inventory managers", "inventory manager", "salespersons", "salesperson", "administrators", "administrator", "admin", "customers", "customer", "patients", "patient", "caregivers", "caregiver", "doctors", "doctor", "sellers", "seller", "users", "user", "citizens", "citizen", "students", "student", "drivers", "driver", "donors", "donor", "volunteers", "volunteer", "authorities", "authority", "companies", "company", "employers", "employer", "job seekers", "job seeker")
-
+from statelens.functions.lexicon import ACTORS, AMBIGUOUS_TERMS, CAPABILITY_VERBS, DOMAIN_TERMS, EVENT_STOPWORDS, EVENT_SYNONYMS, RATING_STOPWORDS, REQUIREMENT_STOPWORDS  # noqa: F401
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x

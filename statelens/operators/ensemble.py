@@ -144,7 +144,8 @@ def coverage(items: DataFrame, candidates: DataFrame) -> DataFrame:
 def final_ranks(scored: DataFrame) -> DataFrame:
     """scored (case_id, diagram_id, structural, coverage, consensus, quality) with final and rank within the case."""
     f = sum(F.col(k) * w for k, w in WEIGHTS.items())
-    w = Window.partitionBy("case_id").orderBy(F.desc("final"), F.desc("coverage"), F.desc("structural"), F.desc("quality"), "diagram_id")
+    # nine decimals decide: sums of the same parts in another order are ties
+    w = Window.partitionBy("case_id").orderBy(*[F.round(c, 9).desc() for c in ("final", "coverage", "structural", "quality")], "diagram_id")
     return scored.withColumn("final", f).withColumn("rank", F.row_number().over(w))
 
 

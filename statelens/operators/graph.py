@@ -93,9 +93,15 @@ def graphs(el: Elements) -> DataFrame:
 
 
 def reachable(edges, start, rounds):
-    """Expression: the states that the edges reach from start in at most ``rounds`` steps."""
-    step = lambda seen, _: F.array_union(seen, F.transform(F.filter(edges, lambda e: F.array_contains(seen, e["src"])), lambda e: e["dst"]))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), F.array(start), step)
+    """Expression: the states that the edges reach from start in at most ``rounds`` steps; it rests once a step adds none."""
+    more = lambda seen: F.array_union(seen, F.transform(F.filter(edges, lambda e: F.array_contains(seen, e["src"])), lambda e: e["dst"]))
+
+    def step(acc, _):
+        grown = F.transform(F.array(more(acc["seen"])), lambda m: F.struct(m.alias("seen"), (F.size(m) == F.size(acc["seen"])).alias("done")))
+        return F.when(acc["done"], acc).otherwise(F.get(grown, F.lit(0)))
+
+    begin = F.struct(F.array(start).alias("seen"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), begin, step, lambda acc: acc["seen"])
 
 
 def rules(g: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TASK = "Draw one state machine for the requirement below. Answer with a single diagram block between @startuml and @enduml."
+CLOSE = "Answer with the diagram only."
 # Fixed order: the first rule whose key occurs in an issue gives its advice.
 GUIDANCE = (
     ("missing_initial", "Add exactly one transition from [*] to the first state."),
@@ -39,16 +40,22 @@ def prompt_ready(text):
 def generation_prompts(cases: DataFrame, configs: DataFrame, examples: DataFrame, contexts: DataFrame) -> DataFrame:
     """(case_id, run_id, strategy, prompt): zero_shot and few_shot have templates of their own, all else the general one.
 
-    configs is a small dimension; examples: case_id, examples (array of text); contexts: case_id, context.
+    configs is a small dimension, listed by name; examples: case_id, examples (array of requirement, diagram); contexts:
+    case_id, context. A context follows the requirement, which comes first then.
     """
-    j = cases.crossJoin(F.broadcast(configs)).join(examples, "case_id", "left").join(contexts, "case_id", "left")
-    shown = F.array_join(F.transform(F.coalesce("examples", F.array().cast("array<string>")), lambda x, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(":\n"), x)), "\n\n")
+    runs = [F.struct(*[F.lit(r[c]).alias(c) for c in ("run_id", "strategy", "use_rag")]) for r in configs.select("run_id", "strategy", "use_rag").collect()]
+    if not runs:
+        return cases.select("case_id", F.lit("").alias("run_id"), F.lit("").alias("strategy"), F.lit("").alias("prompt")).limit(0)
+    j = cases.join(examples, "case_id", "left").join(contexts, "case_id", "left").withColumn("r", F.explode(F.array(*runs))).select("*", "r.*")
+    number = lambda i: (i + 1).cast("string")
+    one = lambda x, i: F.concat(F.lit("Requirement of example "), number(i), F.lit(":\n"), x["requirement"], F.lit("\n\nDiagram of example "), number(i), F.lit(":\n"), x["diagram"])
+    shown = F.coalesce(F.nullif(F.array_join(F.transform("examples", one), "\n\n"), F.lit("")), F.lit("There are no examples."))
     head, req = F.lit(TASK), F.concat(F.lit("Requirement:\n"), F.col("requirement"))
-    context = F.when(F.col("use_rag"), F.concat(F.lit("Context:\n"), F.coalesce("context", F.lit(""))))
+    context = F.when(F.col("use_rag") & (F.coalesce("context", F.lit("")) != ""), F.concat(F.lit("Context, to support the requirement:\n"), "context"))
     prompt = (
         F.when(F.col("strategy") == "zero_shot", F.concat_ws("\n\n", head, req))
-        .when(F.col("strategy") == "few_shot", F.concat_ws("\n\n", head, F.nullif(shown, F.lit("")), req))
-        .otherwise(F.concat_ws("\n\n", head, context, req))
+        .when(F.col("strategy") == "few_shot", F.concat_ws("\n\n", head, shown, req, context))
+        .otherwise(F.concat_ws("\n\n", head, req, context, F.lit(CLOSE)))
     )
     return j.select("case_id", "run_id", "strategy", prompt.alias("prompt"))
 
@@ -87,11 +94,29 @@ def answer_json(text, schema: str):
     return F.coalesce(valid(text), valid(fence), valid(braces))
 
 
-def review_prompts(docs: DataFrame, extracted: DataFrame) -> DataFrame:
-    """(key, prompt): each text with its extracted requirements as JSON, for rewriting or checking."""
-    g = extracted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "requirement"))).alias("r"))
-    payload = F.to_json(F.struct(F.transform("r", lambda x: x["requirement"]).alias("functional_requirements")))
-    return docs.join(g, "key").select("key", F.concat_ws("\n\n", F.lit("Check the requirements against the text."), F.col("text"), payload).alias("prompt"))
+def extraction_prompts(docs: DataFrame) -> DataFrame:
+    """(key, prompt): asks for a text's functional requirements, each with a quote, as JSON."""
+    ask = "List the functional requirements of the text, each with a short quote that shows it. Invent nothing. Answer as JSON: functional_requirements, a list of requirement and evidence_quote."
+    return docs.select("key", F.concat_ws("\n\n", F.lit(ask), F.concat(F.lit("Text:\n"), "text")).alias("prompt"))
+
+
+def _payload(rows: DataFrame, name: str, fields: list[str]) -> DataFrame:
+    g = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("r"))
+    item = (lambda x: x[fields[0]]) if len(fields) == 1 else (lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    return g.select("key", F.to_json(F.struct(F.transform("r", item).alias(name))).alias("payload"))
+
+
+def rewriting_prompts(extracted: DataFrame) -> DataFrame:
+    """(key, prompt): asks for extracted requirements (key, pos, requirement, evidence_quote) in "The system shall" form."""
+    ask = 'Rewrite each requirement to begin with "The system shall". Keep their number, order and meaning. Answer as JSON: rewritten_requirements, a list of source_requirement and rewritten_requirement.'
+    return _payload(extracted, "functional_requirements", ["requirement", "evidence_quote"]).select("key", F.concat_ws("\n\n", F.lit(ask), "payload").alias("prompt"))
+
+
+def review_prompts(docs: DataFrame, rewritten: DataFrame) -> DataFrame:
+    """(key, prompt): asks to check rewritten requirements (key, pos, requirement) against their text."""
+    ask = "Check the requirements against the text. Answer as JSON: missing_requirements, hallucinations, duplicates, ambiguities, and overall_assessment, pass or needs_review."
+    p = _payload(rewritten, "rewritten_requirements", ["requirement"])
+    return docs.join(p, "key").select("key", F.concat_ws("\n\n", F.lit(ask), F.concat(F.lit("Text:\n"), "text"), "payload").alias("prompt"))
 
 
 def normalised_answers(answers: DataFrame, fallback: DataFrame) -> DataFrame:

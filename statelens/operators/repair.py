@@ -8,6 +8,28 @@ from pyspark.sql import functions as F
 from statelens.functions import text as T
 
 
+def paired_stages(diagrams: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """(run_id, case_id, run_index, initial_id, final_id) of the runs with a first and a final diagram, and with metadata if that is given.
+
+    diagrams: diagram_id, run_id, case_id, run_index, stage. Both ends come from one pass: a run's stages meet in one group.
+    """
+    run = ["run_id", "case_id", "run_index"]
+    at = lambda stage: F.max(F.when(F.col("stage") == stage, F.col("diagram_id")))
+    pairs = diagrams.where(F.col("stage").isin("initial", "final")).groupBy(*run).agg(at("initial").alias("initial_id"), at("final").alias("final_id"))
+    pairs = pairs.where("initial_id is not null and final_id is not null")
+    return pairs if meta is None else pairs.join(meta.select(*run), run, "left_semi")
+
+
+def review_manifest(detail: DataFrame, most: int, root: str = "review") -> DataFrame:
+    """detail's rows of up to ``most`` attempted repairs, with the case's number and the folder they are reviewed in.
+
+    detail: model, method, case_id, attempted, ...
+    """
+    slug = F.btrim(F.regexp_replace(F.lower("model"), "[^a-z0-9]+", "_"), F.lit("_"))
+    rows = detail.where(F.col("attempted").between(0, most))
+    return rows.withColumn("case_number", F.regexp_extract("case_id", "([0-9]+)", 1)).withColumn("review_folder", F.concat_ws("/", F.lit(root), slug, F.concat(F.lit("iteration_"), F.col("attempted").cast("string")), "case_id"))
+
+
 def graph_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Counts of added and deleted states, transitions and edges, of relabelled edges, and their total, from graph rows."""
     a = before.select(key, F.transform("states", lambda s: s["state"]).alias("s0"), F.col("edges").alias("e0"))

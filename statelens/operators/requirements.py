@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from statelens.functions import text as T
 
-CAPABILITY = r"(^|[^a-z0-9_])(" + "|".join(T.CAPABILITY_VERBS) + r")([^a-z0-9_]|$)"
+
+def capable(x):
+    """Whether a lower-case clause has a capability verb as a whole word."""
+    return F.arrays_overlap(F.regexp_extract_all(x, F.lit("([a-z0-9_]+)"), F.lit(1)), F.array(*[F.lit(v) for v in T.CAPABILITY_VERBS]))
+
 
 
 def normalise(x):
@@ -31,10 +35,10 @@ def ordered_distinct(rows: DataFrame, column: str) -> DataFrame:
 
 def capabilities(docs: DataFrame) -> DataFrame:
     """(key, pos, clause): cleaned sentences with a capability verb and no "figure", each once."""
-    c = sentence_rows(docs).withColumn("clause", T.clean_clause("sentence"))
-    low = F.lower("clause")
-    c = c.where((F.length("clause") > 0) & ~F.contains(low, F.lit("figure")) & low.rlike(CAPABILITY))
-    return ordered_distinct(c, "clause").select("key", "pos", "clause")
+    # cleaned and tested inside the array: what explode gives is not computed again by the conditions above it
+    fit = lambda c: (F.length(c["clause"]) > 0) & ~F.contains(F.lower(c["clause"]), F.lit("figure")) & capable(F.lower(c["clause"]))
+    clauses = F.transform(T.sentences("text"), lambda s, i: F.struct(i.alias("pos"), T.clean_clause(s).alias("clause")))
+    return ordered_distinct(docs.select("key", F.inline(F.filter(clauses, fit))), "clause").select("key", "pos", "clause")
 
 
 def shall(clauses: DataFrame) -> DataFrame:
@@ -70,7 +74,7 @@ def best_overlap(left: DataFrame, right: DataFrame, column_l: str, column_r: str
 
     Rows of one document are compared; tokens are distinct words of over two characters without stopwords.
     """
-    tokens = lambda c: T.alnum(c, T.RATING_STOPWORDS, 3)
+    tokens = lambda c: T.alnum(c, T.REQUIREMENT_STOPWORDS, 3)
     l = left.select("key", "pos", tokens(column_l).alias("lt"))  # noqa: E741
     r = right.groupBy("key").agg(F.collect_list(tokens(column_r)).alias("rt"))
     j = l.join(r, "key", "left")
@@ -112,28 +116,78 @@ def band(x, cuts):
     return sum(((x >= c).cast("int") for c in cuts), F.lit(1))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(key, pos, requirement): the lines "1. text" in order, trimmed."""
+    lines = F.transform(F.split("text", r"\r\n|\r|\n"), lambda x: F.regexp_extract(x, r"^\s*[0-9]+\.\s+(.*\S)\s*$", 1))
+    return docs.select("key", F.posexplode(F.filter(lines, lambda x: x != "")).alias("pos", "requirement"))
+
+
+def diagram_words(text):
+    """A diagram's text without markers, title, punctuation and keywords."""
+    body = F.regexp_replace(F.regexp_replace(text, r"(?i)@startuml|@enduml|title\s+.*", " "), r"['\"{}\[\]():;/_\-]+", " ")
+    return F.regexp_replace(body, r"(?i)\b(state|as|entry|exit|do)\b", " ")
+
+
+def named_states(text):
+    """How many states a diagram's text shows: its state lines, or the different ends of its arrows if those are more."""
+    ends = F.concat(*[F.regexp_extract_all(text, F.lit(r"(?m)^[^\S\n]*([^\n:]+?)[^\S\n]*-->[^\S\n]*([^\n:]+)"), F.lit(i)) for i in (1, 2)])
+    bare = F.transform(ends, lambda x: F.btrim(F.trim(F.regexp_replace(x, r"\[\*\]|\[.+?\]", "")), F.lit('"')))
+    return F.greatest(F.regexp_count(text, F.lit(r"(?m)^\s*state\s+")), F.size(F.array_distinct(F.filter(bare, lambda x: x != ""))))
+
+
 def heuristic_ratings(items: DataFrame, diagrams: DataFrame) -> DataFrame:
-    """(key, completeness, terminology, correctness, understandability) of 1 to 5.
+    """(key, the four ratings of 1 to 5, covered, total, coverage_percent, terminology_percent, and the facts behind them).
 
-    items: key, pos, requirement; diagrams: key, text. A requirement is covered by a quarter of its stems or three of them.
+    items: key, pos, requirement; diagrams: key, text. A requirement is covered by a quarter of its stems or three of
+    them. A diagram without requirements has a coverage of 0.
     """
-    body = F.regexp_replace(F.regexp_replace("text", r"(?i)@startuml|@enduml|title\s+.*", " "), r"['\"{}\[\]():;/_\-]+", " ")
-    body = F.regexp_replace(body, r"(?i)(^|[^A-Za-z0-9_])(state|as|entry|exit|do)(?=[^A-Za-z0-9_]|$)", "$1 ")
     d = diagrams.select(
-        "key", T.stems(body).alias("have"), F.regexp_count("text", F.lit("-->")).alias("arrows"), F.col("text").rlike(r"\[\*\]\s*-->").alias("starts"), F.col("text").rlike(r"-->\s*\[\*\]").alias("ends"),
-        F.regexp_count("text", F.lit(r"-->[^\n]*\[[^\]]+\]")).alias("guards"), F.regexp_count("text", F.lit(r"(?m)^\s*state\s+")).alias("named"),
+        "key", T.stems(diagram_words(F.col("text"))).alias("have"), F.regexp_count("text", F.lit("-->")).alias("arrows"), F.col("text").rlike(r"\[\*\]\s*-->").alias("starts"), F.col("text").rlike(r"-->\s*\[\*\]").alias("ends"),
+        F.regexp_count("text", F.lit(r"-->[^\n]*\[[^\]]+\]")).alias("guards"), named_states(F.col("text")).alias("states"),
         F.regexp_count("text", F.lit(r"\b[JLFRC][0-9]+\b")).alias("terse"), F.size(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 120)).alias("long_lines"),
     )
     tokens = items.select("key", T.stems("requirement").alias("t"), F.regexp_count(F.lower("requirement"), F.lit(r"\b(if|choose|choice|either|fail|failed|valid|invalid|available|not available)\b")).alias("cues"))
-    j = tokens.join(d, "key")
-    hits = F.size(F.array_intersect("t", "have"))
-    j = j.withColumn("ok", (F.size("t") > 0) & ((hits / F.size("t") >= 0.25) | (hits >= 3)))
-    g = j.groupBy("key").agg(F.count("*").alias("n"), F.count_if("ok").alias("covered"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("all"), F.sum("cues").alias("cues"))
-    g = g.join(d, "key").withColumn("completeness", band(F.col("covered") / F.col("n"), (0.35, 0.55, 0.75, 0.90)))
-    g = g.withColumn("terminology", band(T.ratio(F.size(F.array_intersect("all", "have")), F.size("all")), (0.20, 0.34, 0.48, 0.62)))
+    # a diagram's requirements are those of one case: a short list
+    g = tokens.groupBy("key").agg(F.collect_list("t").alias("ts"), F.sum("cues").alias("cues"))
+    g = d.join(g, "key", "left").withColumn("ts", F.coalesce("ts", F.array().cast("array<array<string>>"))).fillna(0, ["cues"])
+
+    def met(t):
+        hits = F.size(F.array_intersect(t, "have"))
+        return (F.size(t) > 0) & ((hits / F.size(t) >= 0.25) | (hits >= 3))
+
+    g = g.withColumn("n", F.size("ts")).withColumn("covered", F.size(F.filter("ts", met))).withColumn("all", F.array_distinct(F.flatten("ts")))
+    g = g.withColumn("coverage", T.ratio("covered", "n")).withColumn("shared", T.ratio(F.size(F.array_intersect("all", "have")), F.size("all")))
+    g = g.withColumn("completeness", band(F.col("coverage"), (0.35, 0.55, 0.75, 0.90))).withColumn("terminology", band(F.col("shared"), (0.20, 0.34, 0.48, 0.62)))
     less = lambda ok, n=1: F.when(ok, n).otherwise(0)
     correct = 5 - less(~F.col("starts")) - less(~F.col("ends")) - less(F.col("arrows") < F.greatest(F.lit(3), F.floor(F.col("n") / 2)))
     correct = correct - F.when(F.col("completeness") <= 2, 2).when(F.col("completeness") == 3, 1).otherwise(0) - less((F.col("cues") >= 2) & (F.col("guards") == 0))
-    clear = 5 - less(F.col("named") > 22) - less(F.col("named") > 35) - less(F.col("terse") >= 3) - less(F.col("long_lines") >= 3) - less(F.col("arrows") < 2)
+    clear = 5 - less(F.col("states") > 22) - less(F.col("states") > 35) - less(F.col("terse") >= 3) - less(F.col("long_lines") >= 3) - less(F.col("arrows") < 2)
     clamp = lambda x: F.greatest(F.lit(1), F.least(F.lit(5), x)).cast("int")
-    return g.select("key", F.col("completeness").cast("int").alias("completeness"), F.col("terminology").cast("int").alias("terminology"), clamp(correct).alias("correctness"), clamp(clear).alias("understandability"))
+    return g.select(
+        "key", F.col("completeness").cast("int").alias("completeness"), F.col("terminology").cast("int").alias("terminology"), clamp(correct).alias("correctness"), clamp(clear).alias("understandability"),
+        F.col("covered").cast("long").alias("covered"), F.col("n").cast("long").alias("total"), F.round(100 * F.col("coverage"), 1).alias("coverage_percent"), F.round(100 * F.col("shared"), 1).alias("terminology_percent"),
+        "arrows", "starts", "ends", "guards", "cues", "states", "terse", "long_lines",
+    )
+
+
+# Fixed order: reasons of a deduction, the first ones are named. The wording is our own.
+FLOW = (("not starts", "no start is shown"), ("not ends", "no end is shown"), ("cues >= 2 and guards = 0", "branches carry no guards"), ("arrows < 3", "there are hardly any transitions"))
+READING = (("states > 22", "it has many states"), ("terse >= 3", "node names are abbreviated"), ("long_lines >= 3", "labels are very long"))
+SCALE = {"completeness": ("hardly any of the requirements", "part of the requirements", "the main requirements", "nearly all requirements", "all requirements that matter"), "terminology": ("other words than the requirements", "few words of the requirements", "some words of the requirements", "mostly the words of the requirements", "the words of the requirements")}
+
+
+def rating_sheet(ratings: DataFrame, manifest: DataFrame) -> DataFrame:
+    """ratings (key, ...) with the manifest's case_id and label, model and method (the label before and after its first
+    ``__``), and a sentence for each rating. manifest: key, case_id, label; diagrams that it lacks are left out.
+    """
+    held = lambda rules: F.array_compact(F.array(*[F.when(F.expr(c), F.lit(t)) for c, t in rules]))
+    told = lambda rules, otherwise: F.coalesce(F.nullif(F.array_join(F.slice(held(rules), 1, 2), "; "), F.lit("")), F.lit(otherwise))
+    scale = lambda c: F.element_at(F.array(*[F.lit(x) for x in SCALE[c]]), F.col(c))
+    parts = F.split("label", "__", 2)
+    return ratings.join(manifest.select("key", "case_id", "label"), "key").select(
+        "key", "case_id", parts[0].alias("model"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("method"), "completeness", "correctness", "understandability", "terminology", "covered", "total", "coverage_percent", "terminology_percent",
+        F.format_string("It models %s: %d of %d.", scale("completeness"), "covered", "total").alias("why_completeness"),
+        F.when(F.col("correctness") == 5, "The flow is sound.").otherwise(F.concat(F.lit("In the flow, "), told(FLOW, "some behaviour is not connected"), F.lit("."))).alias("why_correctness"),
+        F.when(F.col("understandability") == 5, "It reads well.").otherwise(F.concat(F.lit("To a reader, "), told(READING, "parts are hard to follow"), F.lit("."))).alias("why_understandability"),
+        F.format_string("It uses %s.", scale("terminology")).alias("why_terminology"),
+    )

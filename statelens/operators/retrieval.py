@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from statelens.functions import text as T
 
 QUERY_BLOCK = 4096
+#: Queries in a block of the lexical search, and documents that answer them at once.
+LEXICAL_BLOCK, SLICE = 1024, 2000
 
 
 def source_type(name, content):
     """From the path prefix, else the front matter's key, else ``reference``."""
-    front = F.regexp_extract(content, r"(?m)^source_type:\s*([A-Za-z_]+)", 1)
+    front = F.regexp_extract(content, r"(?m)^source_type:\s*([A-Za-z0-9_\-/]+)\s*$", 1)
     return F.when(name.startswith("dataset_examples/"), "dataset_example").when(name.startswith("plantuml_rules/"), "plantuml_rule").when(name.startswith("state_diagram_theory/"), "state_diagram_theory").when(front != "", front).otherwise("reference")
 
 
@@ -23,43 +25,128 @@ def name_domain(name):
     return F.regexp_extract(F.lower(name), r"(?:^|/)domain_(.+?)_rules(?:\.[a-z]+)?$", 1)
 
 
-def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query, name, source_type, lexical, title, domain, score, token_count) of pairs that share a token or a domain.
+def domain_terms(tokens):
+    """The tokens that name a domain."""
+    return F.array_intersect(tokens, F.array(*[F.lit(t) for t in T.DOMAIN_TERMS]))
 
-    queries: query, text, domains (array); docs: name, content, source_type. Tokens are distinct for each document
-    before the join, so a row is one shared token; counts are partial before the shuffle.
+
+def query_domains(text, hints=None):
+    """Domains of a query: the terms in its text, and explicit hints (an array), trimmed and lower-cased."""
+    found = domain_terms(T.words(text))
+    if hints is None:
+        return found
+    clean = F.filter(F.transform(F.coalesce(hints, F.array().cast("array<string>")), lambda h: F.lower(F.trim(h))), lambda h: h != "")
+    return F.array_distinct(F.concat(found, clean))
+
+
+def doc_domains(name, tokens):
+    """Domains of a document: its name's, and the terms among its tokens."""
+    return F.array_distinct(F.filter(F.concat(F.array(name_domain(name)), domain_terms(tokens)), lambda x: x != ""))
+
+
+ORDER = ("score", "domain", "title", "lexical", "token_count")
+SCORED = "query long, name string, source_type string, lexical long, title long, domain long, token_count long, score long"
+
+
+def lexical_top(queries: DataFrame, docs: DataFrame, limits: dict[str, int] | None, default: int | None, block: int = LEXICAL_BLOCK) -> DataFrame:
+    """(query, name, source_type, lexical, title, domain, token_count, score, rank): the best documents of each query and
+    category, by score (shared tokens, twice those with the name, three times the domains), domain, title, lexical, token
+    count (all descending) and name.
+
+    A category gives ``limits`` documents, others ``default`` (None: nothing). Without limits there are no categories: the
+    best ``default`` of all. Documents that share nothing come only where a query's category has none that does.
+    queries: query (long), text, domains (array of hints); docs: name, content, source_type. Queries go out in blocks of a
+    fixed size; every batch of documents answers with its own best ones, so that no token joins the two sides.
     """
-    q = queries.select("query", F.explode(T.words("text")).alias("token"))
-    d = docs.select("name", "source_type", T.words("content").alias("tokens"), T.words(F.regexp_replace("name", "[^A-Za-z0-9]+", " ")).alias("title"), name_domain(F.col("name")).alias("domain"))
-    one = lambda df, l, t, m: df.select("query", "name", F.lit(l).alias("lexical"), F.lit(t).alias("title"), F.lit(m).alias("domain"))
-    lex = one(q.join(d.select("name", F.explode("tokens").alias("token")), "token"), 1, 0, 0)
-    title = one(q.join(d.select("name", F.explode("title").alias("token")), "token"), 0, 1, 0)
-    dom = one(queries.select("query", F.explode("domains").alias("domain")).distinct().join(d.where("domain <> ''").select("name", "domain"), "domain"), 0, 0, 1)
-    s = lex.union(title).union(dom).groupBy("query", "name").agg(F.sum("lexical").alias("lexical"), F.sum("title").alias("title"), F.sum("domain").alias("domain"))
-    s = s.withColumn("score", F.col("lexical") + 2 * F.col("title") + 3 * F.col("domain"))
-    return s.join(d.select("name", "source_type", F.size("tokens").cast("long").alias("token_count")), "name")
-
-
-def top_by_category(scores: DataFrame, limits: dict[str, int], default: int) -> DataFrame:
-    """The best documents of each query and category; order: score, domain, title, lexical, token count, then name."""
-    keys = [F.desc(c) for c in ("score", "domain", "title", "lexical", "token_count")]
-    limit = F.lit(default)
-    for kind, n in limits.items():
-        limit = F.when(F.col("source_type") == kind, n).otherwise(limit)
-    w = Window.partitionBy("query", "source_type").orderBy(*keys, "name")
-    most = max([default, *limits.values()])
-    return scores.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).where(F.col("rank") <= limit)
+    d = docs.select("name", "source_type", T.words("content").alias("tokens"), T.words(F.regexp_replace("name", "[^A-Za-z0-9]+", " ")).alias("title"))
+    d = d.withColumn("domains", doc_domains(F.col("name"), F.col("tokens")))
+    q = queries.select("query", T.words("text").alias("tokens"), query_domains(F.col("text"), F.col("domains")).alias("domains"))
+    blocks = max(1, -(-q.count() // block))
+    out = None
+    for b in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()
+        part = _scored(d, rows, limits, default)
+        out = part if out is None else out.union(part)
+    group = ["query", "source_type"] if limits is not None else ["query"]
+    w = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in ORDER], "name")
+    ranked = out.withColumn("rank", F.row_number().over(w)).withColumn("any", F.max("score").over(Window.partitionBy(*group)))
+    return ranked.where("score > 0 or any = 0").where(F.col("rank") <= _limit(limits, default)).drop("any")
+
+
+def _limit(limits, default):
+    out = F.lit(default or 0)
+    for kind, n in (limits or {}).items():
+        out = F.when(F.col("source_type") == kind, n).otherwise(out)
+    return out
+
+
+def _scored(docs: DataFrame, queries: list, limits, default) -> DataFrame:
+    """Each batch's best documents of each query of one block."""
+
+    def postings(column):
+        out: dict = {}
+        for j, r in enumerate(queries):
+            for t in r[column]:
+                out.setdefault(t, []).append(j)
+        return {t: np.array(x, np.int32) for t, x in out.items()}
+
+    shared = docs.sparkSession.sparkContext.broadcast(([r["query"] for r in queries], postings("tokens"), postings("domains")))  # one block
+
+    def run(batches):
+        ids, tokens, domains = shared.value
+
+        def count(column, index):
+            hits = ([index[t] for t in x if t in index] for x in column.to_pylist())
+            return np.stack([np.bincount(np.concatenate(h), minlength=len(ids)) if h else np.zeros(len(ids), int) for h in hits])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows if ids else 0, SLICE):
+                part = batch.slice(lo, SLICE)
+                get = {c: part.column(part.schema.get_field_index(c)) for c in part.schema.names}
+                lexical, title, domain = count(get["tokens"], tokens), count(get["title"], tokens), count(get["domains"], domains)
+                size = np.array([len(x) for x in get["tokens"]])
+                score = lexical + 2 * title + 3 * domain
+                name, kinds = np.array(get["name"].to_pylist(), object), np.array(get["source_type"].to_pylist(), object)
+                by_name = np.empty(len(name), int)
+                by_name[np.argsort(name, kind="stable")] = np.arange(len(name))
+                groups = [(np.arange(len(name)), default)] if limits is None else [(np.flatnonzero(kinds == k), limits.get(k, default)) for k in set(kinds)]
+                found = []
+                for at, n in groups:
+                    for j in range(len(ids)) if n else ():
+                        mine = score[at, j]
+                        some = at[mine >= np.partition(mine, len(at) - min(n, len(at)))[len(at) - min(n, len(at))]]
+                        best = some[np.lexsort((by_name[some], -size[some], -lexical[some, j], -title[some, j], -domain[some, j], -score[some, j]))[:n]]
+                        found.append((np.full(len(best), j), best))
+                if found:
+                    j, i = (np.concatenate(x) for x in zip(*found, strict=True))
+                    cols = [np.array(ids)[j], name[i], kinds[i], lexical[i, j], title[i, j], domain[i, j], size[i], score[i, j]]
+                    types = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [f.split()[0] for f in SCORED.split(", ")])
+
+    return docs.mapInArrow(run, SCORED)
+
+
+#: The categories that contexts are made of, in their order; examples are limited by the caller.
+CATEGORIES = (("plantuml_rule", 2), ("state_diagram_theory", 2), ("dataset_example", None))
+
+
+def retrieve(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """lexical_top() by the known categories where documents have any; the best k of all documents otherwise."""
+    limits = {name: n or k for name, n in CATEGORIES}
+    if docs.where(F.col("source_type").isin(*limits)).isEmpty():
+        return lexical_top(queries, docs, None, k)
+    return lexical_top(queries, docs, limits, None)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, category: str | None = None) -> DataFrame:
     """(query_id, category, vec_id, distance, rank): the k nearest vectors by squared L2 of each query and category.
 
     Queries go out in blocks; each batch of vectors answers with its own k best of each, so the shuffle moves
-    k rows for each query, category and batch.
+    k rows for each query, category and batch. A matrix product finds the candidates; their distances are exact.
     """
     spark = vectors.sparkSession
     v = vectors.select("vec_id", (F.col(category) if category else F.lit(0)).cast("long").alias("category"), "embedding").where("embedding is not null")
-    q = queries.select(F.col("vec_id").alias("query_id"), "embedding")
+    q = queries.select(F.col("vec_id").alias("query_id"), "embedding").where("embedding is not null")
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     out = None
     for b in range(blocks):
@@ -70,17 +157,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, category: str | None
 
         def run(batches, shared=shared):
             ids, m = shared.value
+            norms = (m**2).sum(1)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = np.array(batch.column(2).to_pylist(), np.float64)
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 vid, cat = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
                 for c in np.unique(cat):
                     at = np.flatnonzero(cat == c)
-                    d = np.stack([((x[at] - row) ** 2).sum(1) for row in m])
-                    best = np.lexsort((np.broadcast_to(vid[at], d.shape), d), axis=1)[:, :k]
-                    n = best.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.full(best.size, int(c))), pa.array(vid[at][best].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel())], ["query_id", "category", "vec_id", "distance"])
+                    near = norms[:, None] - 2 * (m @ x[at].T) + (x[at] ** 2).sum(1)[None, :]
+                    n = min(k, len(at))
+                    # rounding may move a distance by far less than this; ties are all kept
+                    bar = np.partition(near, n - 1, axis=1)[:, n - 1 : n] + 1e-9 * (1 + norms[:, None] + np.abs(near).max())
+                    i, j = np.nonzero(near <= bar)
+                    d = ((x[at[j]] - m[i]) ** 2).sum(1)
+                    order = np.lexsort((vid[at[j]], d, i))
+                    i, j, d = i[order], j[order], d[order]
+                    first = np.searchsorted(i, np.arange(len(ids)))
+                    keep = np.arange(len(i)) - first[i] < n
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i[keep]]), pa.array(np.full(int(keep.sum()), int(c))), pa.array(vid[at[j[keep]]]), pa.array(d[keep])], ["query_id", "category", "vec_id", "distance"])
 
         part = v.mapInArrow(run, "query_id long, category long, vec_id long, distance double")
         out = part if out is None else out.union(part)
@@ -90,15 +185,81 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, category: str | None
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def clip_lines(x, limit: int):
-    """At most ``limit`` characters, cut at the last line break within if there is one."""
-    head = F.substring(x, 1, limit)
-    cut = F.regexp_extract(head, r"(?s)^(.*)\n", 1)
-    return F.when(F.length(x) <= limit, x).otherwise(F.when(cut != "", cut).otherwise(head))
+def nearest_in(vectors: DataFrame, queries: DataFrame, k: int, category: str, wanted: list[int]) -> DataFrame:
+    """nearest() within the wanted categories; over all vectors (category 0) where none of them has a vector."""
+    some = vectors.where(F.col(category).isin(*wanted))
+    return nearest(vectors, queries, k) if some.isEmpty() else nearest(some, queries, k, category)
+
+
+def clip_lines(x, limit):
+    """At most ``limit`` characters, cut at the last line break within if there is one; trimmed."""
+    x = F.btrim(x, F.lit(" \t\n\r\f\x0b"))
+    limit = limit if hasattr(limit, "cast") else F.lit(limit)
+    head = F.substring(x, F.lit(1), limit)
+    clean = lambda y: F.btrim(y, F.lit(" \t\n\r\f\x0b"))
+    cut = clean(F.regexp_extract(head, r"(?s)^(.*)\n", 1))
+    return F.when(F.length(x) <= limit, x).otherwise(F.when(cut != "", cut).otherwise(clean(head)))
+
+
+def body(content):
+    """A document without its front matter (between the first two ``---``)."""
+    x = F.btrim(content, F.lit(" \t\n\r"))
+    return F.when(x.rlike(r"(?s)^---.*?---"), F.btrim(F.regexp_replace(x, r"(?s)^---.*?---", ""), F.lit(" \t\n\r"))).otherwise(x)
+
+
+def section(content, heading: str):
+    """The lines below the heading ``## heading`` up to the next ``## ``, trimmed; empty without it."""
+    return F.btrim(F.regexp_extract(F.concat(F.lit("\n"), F.regexp_replace(content, "\r\n?", "\n")), rf"(?is)\n[ \t]*##\s+{heading}[ \t]*(?:\n(.*?))?(?=\n## |\z)", 1), F.lit(" \t\n"))
+
+
+def diagram_code(content):
+    """The diagram in a document: its fenced block, or from the first start marker to the last end marker; else empty."""
+    fence, plain = r"(?is)```plantuml\s*(.*?)```", r"(?s)(@startuml.*@enduml)"
+    return F.btrim(F.when(content.rlike(fence), F.regexp_extract(content, fence, 1)).otherwise(F.regexp_extract(content, plain, 1)), F.lit(" \t\n\r"))
 
 
-def contexts(chosen: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
-    """(query, context, n_docs): clipped snippets joined in rank order."""
-    s = chosen.join(docs.select("name", "content"), "name").withColumn("snippet", clip_lines(F.col("content"), limit))
-    g = s.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("source_type", "rank", "snippet"))).alias("s"))
+def snippet(kind, content, limit: int):
+    """What a document of a category gives to a context: examples their requirement and diagram, rules and theory 800
+    characters at most, others ``limit``; all cut between lines. The labels are our own.
+    """
+    b = body(content)
+    need, code = clip_lines(section(b, "Requirement"), min(650, limit // 3)), diagram_code(b)
+    cut = F.length(code) > 5000
+    example = F.concat(F.lit("Requirement of an example:\n"), need, F.when(cut, "\n\nPart of its diagram:\n").otherwise("\n\nIts diagram:\n"), F.when(cut, clip_lines(code, 5000)).otherwise(code))
+    return F.when(kind == "dataset_example", example).when(kind.isin("plantuml_rule", "state_diagram_theory"), clip_lines(b, min(limit, 800))).otherwise(clip_lines(b, limit))
+
+
+def trace(chosen: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
+    """chosen with each document's snippet and its length: what went into each query's context, and why."""
+    d = docs.select("name", snippet(F.col("source_type"), F.col("content"), limit).alias("snippet"))
+    return chosen.join(d, "name").withColumn("clipped_chars", F.length("snippet"))
+
+
+def contexts(traced: DataFrame) -> DataFrame:
+    """(query, context, n_docs): snippets joined in the order of categories and ranks."""
+    place = F.coalesce(F.array_position(F.array(*[F.lit(c) for c, _ in CATEGORIES]), F.col("source_type")), F.lit(0))
+    g = traced.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), "source_type", "rank", "snippet"))).alias("s"))
     return g.select("query", F.array_join(F.transform("s", lambda x: x["snippet"]), "\n\n").alias("context"), F.size("s").cast("long").alias("n_docs"))
+
+
+def example_documents(pool: DataFrame) -> DataFrame:
+    """(name, content, source_type) of pool cases (case_id, complexity, structured_requirement, gold_text) as example documents.
+
+    The title is the requirement's first line with text; the domain what stands before its first dash, or the case's name.
+    """
+    lines = F.filter(F.transform(F.split("structured_requirement", "\n"), F.trim), lambda x: x != "")
+    title = F.coalesce(F.try_element_at(lines, F.lit(1)), F.col("case_id"))
+    before = F.when(F.contains(title, F.lit("—")), F.substring_index(title, "—", 1)).otherwise(F.substring_index(title, "-", 1))
+    own = F.initcap(F.replace(F.regexp_replace("case_id", r"^case_[0-9]+_", ""), F.lit("_"), F.lit(" ")))
+    domain = F.coalesce(F.nullif(F.trim(F.replace(before, F.lit("Polished Requirement Specification"), F.lit(""))), F.lit("")), own)
+    front = F.concat_ws("\n", F.lit("---"), F.lit("source_type: dataset_example"), F.concat(F.lit("case_id: "), "case_id"), F.concat(F.lit("domain: "), domain), F.concat(F.lit("complexity: "), "complexity"), F.lit("split_role: rag_train"), F.lit("---"))
+    trim = lambda c: F.btrim(F.col(c), F.lit(" \t\n\r"))
+    text = F.concat(front, F.lit("\n\n# "), title, F.lit("\n\n## Requirement\n\n"), trim("structured_requirement"), F.lit("\n\n## Reference PlantUML\n\n```plantuml\n"), trim("gold_text"), F.lit("\n\n```\n"))
+    return pool.select(F.concat(F.lit("dataset_examples/"), "case_id", F.lit(".md")).alias("name"), text.alias("content"), F.lit("dataset_example").alias("source_type"))
+
+
+def with_case_documents(docs: DataFrame, pool: DataFrame) -> DataFrame:
+    """docs (name, content, source_type) and the pool's cases as further, uncategorised documents."""
+    need = F.coalesce(F.nullif(F.col("structured_requirement"), F.lit("")), F.col("raw_requirement"))
+    text = F.concat(F.lit("Case ID: "), "case_id", F.lit("\nComplexity: "), "complexity", F.lit("\n\nRequirement:\n"), need, F.lit("\n\nReference PlantUML:\n"), "gold_text", F.lit("\n"))
+    return docs.select("name", "content", "source_type").union(pool.select(F.concat("case_id", F.lit(".txt")), text, source_type(F.concat("case_id", F.lit(".txt")), text)))

@@ -12,6 +12,10 @@ from pyspark.sql.types import DoubleType
 from statelens.functions import text as T
 
 
+#: Least similarity of two events that are matched.
+LEAST_SIMILAR = 0.55
+
+
 def set_prf(pred: DataFrame, gold: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
     """by columns with n_pred, n_gold, tp, fp, fn, precision, recall and f1 of the distinct keys; zero where a denominator is.
 
@@ -54,7 +58,7 @@ def event_similarity(a, b, sequence: bool = True):
     return F.when((F.size(ta) == 0) & (F.size(tb) == 0), F.lit(1.0)).when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.7)).otherwise(full)
 
 
-def greedy_matches(pred: DataFrame, gold: DataFrame, by: list[str], threshold: float = 0.55, sequence: bool = True) -> DataFrame:
+def greedy_matches(pred: DataFrame, gold: DataFrame, by: list[str], threshold: float = LEAST_SIMILAR, sequence: bool = True) -> DataFrame:
     """(by, src, dst, matches: count, sims: sum) of the greedy one-to-one match of events on equal endpoints.
 
     The pairs of one (by, src, dst) share no event with those of another, so the greedy order decides within
@@ -91,42 +95,55 @@ def complexity(n):
     return F.when(n <= 6, "simple").when(n <= 14, "medium").otherwise("complex")
 
 
-def score_runs(pred_diagrams: DataFrame, pred, gold, sequence: bool = True) -> DataFrame:
-    """All scores of each predicted diagram whose case has a gold graph. pred and gold: Elements; gold is keyed by case_id
-    (its diagrams have one row for each case).
+def score_runs(pred: DataFrame, gold: DataFrame, sequence: bool = True) -> DataFrame:
+    """All scores of each predicted graph whose case has a gold graph.
+
+    pred (diagram_id, case_id, run_index, states, edges) and gold (case_id, states, edges; one row for each case) are graph
+    rows: after the join by case every score but the semantic one is an expression on the row. The semantic one compares
+    the events of transitions with equal ends, and matches each once, in descending similarity.
     """
-    gold_of = gold.diagrams.select("case_id", F.col("diagram_id").alias("gold_id"))
-    pairs = pred_diagrams.select("diagram_id", "case_id", "run_index").join(gold_of, "case_id")
-    ids = pairs.select("diagram_id", "gold_id")
-
-    def both(name):
-        p = getattr(pred, name).join(ids.select("diagram_id"), "diagram_id", "left_semi")
-        g = getattr(gold, name).withColumnRenamed("diagram_id", "gold_id").join(ids, "gold_id").drop("gold_id")
-        return p, g
-
-    (ps, gs), (pt, gt) = both("states"), both("transitions")
-    by = ["diagram_id"]
-    named = lambda df, tag, *cols: df.select("diagram_id", *[F.col(c).alias(f"{tag}_{c}") for c in cols])
-    cols = ("n_pred", "n_gold", "tp", "fp", "fn", "precision", "recall", "f1")
-    rt, rg = relaxed_transitions(pt), relaxed_transitions(gt)
-    parts = [
-        named(set_prf(ps, gs, by, ["state"]), "state", *cols),
-        named(set_prf(pt, gt, by, ["src", "event", "dst"]), "transition", *cols),
-        named(set_prf(relaxed_states(ps), relaxed_states(gs), by, ["state"]), "relaxed_state", *cols),
-        named(set_prf(rt, rg, by, ["src", "dst"]), "relaxed_transition", *cols),
-        named(semantic_prf(rt, rg, by, sequence), "semantic_transition", "tp", "precision", "recall", "f1", "mean_similarity"),
-    ]
-    out = pairs.drop("gold_id")
-    for p in parts:
-        out = out.join(p, "diagram_id", "left")
-    out = out.fillna(0)
-    c = F.col
-    for tag in ("state", "transition", "relaxed_state", "relaxed_transition"):
-        out = out.withColumn(f"{tag}_hallucination_rate", T.ratio(f"{tag}_fp", f"{tag}_n_pred"))
-        if "transition" in tag:
-            out = out.withColumn(f"missing_{tag}_rate", T.ratio(f"{tag}_fn", f"{tag}_n_gold"))
+    key = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
+    ends = lambda e: (key(e["src"]).alias("src"), key(e["dst"]).alias("dst"))
+
+    def sets(states, edges, tag):
+        """The graph's distinct states, transitions, relaxed states, relaxed transitions, and transitions with relaxed ends."""
+        return [
+            F.array_distinct(F.transform(states, lambda s: s["state"])).alias(f"{tag}_state"),
+            F.array_distinct(edges).alias(f"{tag}_transition"),
+            F.array_distinct(F.filter(F.transform(states, lambda s: key(s["state"])), lambda k: k != "")).alias(f"{tag}_relaxed_state"),
+            F.array_distinct(F.transform(edges, lambda e: F.struct(*ends(e)))).alias(f"{tag}_relaxed_transition"),
+            F.array_distinct(F.transform(edges, lambda e: F.struct(*ends(e), F.coalesce(e["event"], F.lit("")).alias("event")))).alias(f"{tag}_semantic_transition"),
+        ]
+
+    p = pred.select("diagram_id", "case_id", "run_index", *sets("states", "edges", "p"))
+    j = p.join(gold.select("case_id", *sets("states", "edges", "g")), "case_id")
+    c, tags = F.col, ("state", "transition", "relaxed_state", "relaxed_transition")
+    out = j
+    for t in tags:
+        out = out.withColumns({f"{t}_n_pred": F.size(f"p_{t}"), f"{t}_n_gold": F.size(f"g_{t}"), f"{t}_tp": F.size(F.array_intersect(f"p_{t}", f"g_{t}"))})
+    sem = "semantic_transition"
+    # transitions with equal relaxed ends; distinct ones keep the order in which they first occur
+    same = lambda x: F.filter(F.transform(f"g_{sem}", lambda g, i: F.struct(g.alias("g"), i.alias("go"))), lambda y: (y["g"]["src"] == x["src"]) & (y["g"]["dst"] == x["dst"]))
+    cands = F.flatten(F.transform(f"p_{sem}", lambda x, i: F.transform(same(x), lambda y: F.struct(x["event"].alias("pe"), y["g"]["event"].alias("ge"), i.alias("po"), y["go"].alias("go")))))
+    pairs = j.select("diagram_id", F.inline(cands)).withColumn("sim", event_similarity("pe", "ge", sequence)).where(F.col("sim") >= LEAST_SIMILAR)
+    grouped = pairs.groupBy("diagram_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("neg"), "po", "go"))).alias("cs"))
+    start = F.struct(F.array().cast("array<int>").alias("ps"), F.array().cast("array<int>").alias("gs"), F.lit(0).alias("n"), F.lit(0.0).alias("s"))
+
+    def take(acc, x):
+        free = ~F.array_contains(acc["ps"], x["po"]) & ~F.array_contains(acc["gs"], x["go"])
+        return F.when(free, F.struct(F.array_append(acc["ps"], x["po"]).alias("ps"), F.array_append(acc["gs"], x["go"]).alias("gs"), (acc["n"] + 1).alias("n"), (acc["s"] - x["neg"]).alias("s"))).otherwise(acc)
+
+    matched = grouped.withColumn("m", F.aggregate("cs", start, take)).select("diagram_id", c("m.n").alias(f"{sem}_tp"), c("m.s").alias("sims"))
+    out = out.withColumns({f"{sem}_n_pred": F.size(f"p_{sem}"), f"{sem}_n_gold": F.size(f"g_{sem}")})
+    out = out.drop(*[f"{x}_{t}" for x in "pg" for t in (*tags, sem)]).join(matched, "diagram_id", "left").fillna({f"{sem}_tp": 0, "sims": 0.0})
+    for t in (*tags, sem):
+        out = out.withColumns({f"{t}_fp": c(f"{t}_n_pred") - c(f"{t}_tp"), f"{t}_fn": c(f"{t}_n_gold") - c(f"{t}_tp"), f"{t}_precision": T.ratio(f"{t}_tp", f"{t}_n_pred"), f"{t}_recall": T.ratio(f"{t}_tp", f"{t}_n_gold")})
+        out = out.withColumn(f"{t}_f1", T.ratio(2 * c(f"{t}_precision") * c(f"{t}_recall"), c(f"{t}_precision") + c(f"{t}_recall"))).withColumn(f"{t}_hallucination_rate", T.ratio(f"{t}_fp", f"{t}_n_pred"))
+        if "transition" in t:
+            out = out.withColumn(f"missing_{t}_rate", T.ratio(f"{t}_fn", f"{t}_n_gold"))
     return (
-        out.withColumn("overall_f1", (c("state_f1") + c("transition_f1")) / 2)
+        out.withColumn(f"{sem}_mean_similarity", T.ratio("sims", f"{sem}_tp")).drop("sims")
+        .withColumn("overall_f1", (c("state_f1") + c("transition_f1")) / 2)
         .withColumn("overall_relaxed_f1", (c("relaxed_state_f1") + c("relaxed_transition_f1")) / 2)
         .withColumn("overall_semantic_f1", (c("relaxed_state_f1") + c("semantic_transition_f1")) / 2)
         .withColumn("weighted_relaxed_f1", 0.7 * c("relaxed_state_f1") + 0.3 * c("relaxed_transition_f1"))

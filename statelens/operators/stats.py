@@ -132,7 +132,8 @@ def chi_square(df: DataFrame, by: list[str], row: str, column: str) -> DataFrame
 def fisher_pairs(counts: DataFrame, by: list[str], group: str) -> DataFrame:
     """(by, group_a, group_b, odds_ratio, p): two-sided exact test for each pair of groups of (valid, invalid) counts.
 
-    The log-factorials come from a table made with ln and a running sum, as long as the largest pair's total.
+    One walk over the possible tables of each pair: each probability follows from the one before, so the work is linear
+    in the counts.
     """
     a = counts.select(*by, F.col(group).alias("group_a"), F.col("valid").alias("a"), F.col("invalid").alias("b"))
     b = counts.select(*by, F.col(group).alias("group_b"), F.col("valid").alias("c"), F.col("invalid").alias("d"))
@@ -140,16 +141,23 @@ def fisher_pairs(counts: DataFrame, by: list[str], group: str) -> DataFrame:
     pairs = joined.where("group_a < group_b")
     log_fact = lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, k: s + F.log(k.cast("double")))
     n1, n2, m = F.col("a") + F.col("b"), F.col("c") + F.col("d"), F.col("a") + F.col("c")
-    pairs = pairs.withColumn("const", log_fact(n1) + log_fact(n2) + log_fact(m) + log_fact(n1 + n2 - m) - log_fact(n1 + n2))
-    x = pairs.withColumn("x", F.explode(F.sequence(F.greatest(F.lit(0), m - n2).cast("int"), F.least(n1, m).cast("int"))))
-    lp = F.exp(F.col("const") - log_fact(F.col("x")) - log_fact(n1 - F.col("x")) - log_fact(m - F.col("x")) - log_fact(n2 - m + F.col("x")))
-    x = x.withColumn("prob", lp)
-    key = [*by, "group_a", "group_b", "a", "b", "c", "d"]
-    at = x.groupBy(*key).agg(F.max(F.when(F.col("x") == F.col("a"), F.col("prob"))).alias("obs"), F.collect_list("prob").alias("ps"))
-    p = F.least(F.lit(1.0), F.aggregate(F.filter("ps", lambda q: q <= F.col("obs") + 1e-12), F.lit(0.0), lambda s, q: s + q))
+    lo, hi = F.greatest(F.lit(0), m - n2).cast("int"), F.least(n1, m).cast("int")
+    pairs = pairs.withColumn("lo", lo).withColumn("hi", hi)
+    lo, hi, x0 = F.col("lo"), F.col("hi"), F.col("a").cast("int")
+    first = log_fact(n1) + log_fact(n2) + log_fact(m) + log_fact(n1 + n2 - m) - log_fact(n1 + n2) - log_fact(lo) - log_fact(n1 - lo) - log_fact(m - lo) - log_fact(n2 - m + lo)
+    pairs = pairs.withColumn("first", first)
+    step = lambda x: F.log(((n1 - x) * (m - x)).cast("double")) - F.log(((x + 1) * (n2 - m + x + 1)).cast("double"))
+    before = F.when(x0 > lo, F.sequence(lo, F.greatest(lo, x0 - 1))).otherwise(F.array().cast("array<int>"))
+    pairs = pairs.withColumn("obs", F.exp(F.aggregate(before, F.col("first"), lambda s, x: s + step(x))))
+
+    def add(acc, x):
+        here = F.exp(acc["lp"])
+        return F.struct(F.when(x < hi, acc["lp"] + step(x)).otherwise(acc["lp"]).alias("lp"), (acc["s"] + F.when(here <= F.col("obs") + 1e-12, here).otherwise(0.0)).alias("s"))
+
+    p = F.least(F.lit(1.0), F.aggregate(F.sequence(lo, hi), F.struct(F.col("first").alias("lp"), F.lit(0.0).alias("s")), add)["s"])
     bc = F.col("b") * F.col("c")
     odds = F.when(bc == 0, F.when(F.col("a") * F.col("d") == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))).otherwise(F.col("a") * F.col("d") / bc)
-    return at.select(*by, "group_a", "group_b", odds.alias("odds_ratio"), p.alias("p"))
+    return pairs.select(*by, "group_a", "group_b", odds.alias("odds_ratio"), p.alias("p"))
 
 
 def p_text(p: Column) -> Column:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import difflib
+
 from pyspark.sql import functions as F
 
+from statelens.functions import text as T
 from statelens.operators import graph as G
 from statelens.operators import scoring as S
 from statelens.plans import bindings as B
 
-METRICS = ("state_f1", "transition_f1", "relaxed_state_f1", "relaxed_transition_f1", "overall_f1", "overall_relaxed_f1", "weighted_relaxed_f1", "state_hallucination_rate", "missing_transition_rate")
+METRICS = ("semantic_transition_f1", "semantic_transition_mean_similarity", "overall_semantic_f1", "weighted_semantic_f1", "transition_hallucination_rate", "relaxed_state_hallucination_rate", "relaxed_transition_hallucination_rate", "missing_relaxed_transition_rate", "state_f1", "transition_f1", "relaxed_state_f1", "relaxed_transition_f1", "overall_f1", "overall_relaxed_f1", "weighted_relaxed_f1", "state_hallucination_rate", "missing_transition_rate")
 
 
 def _ruled(spark, sf):
-    return G.rules(G.graphs(B.event_graphs(spark, sf)))
+    return G.rules(B.graph_rows(spark, sf))
 
 
 def _pred_gold(spark, sf):
@@ -78,38 +81,38 @@ def d5_relaxed_transition_prf(spark, sf):
 
 
 def d6_event_tokens(spark, sf):
-    from statelens.functions import text as T
-
     el = B.event_graphs(spark, sf)
     return el.transitions.select("event").distinct().select("event", F.array_join(T.event_tokens("event"), " ").alias("tokens"))
 
 
 def d7_event_similarity(spark, sf):
-    ev = B.event_graphs(spark, sf).transitions.select("event").distinct()
-    a, b = ev.withColumnRenamed("event", "a"), ev.withColumnRenamed("event", "b")
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(S.event_similarity("a", "b", sequence=False), 9).alias("similarity"))
+    """Every two events of different transitions between equal ends: no pair is formed without a key."""
+    t = B.event_graphs(spark, sf).transitions.select("src", "dst", "event").distinct()
+    pairs = t.withColumnRenamed("event", "a").join(t.withColumnRenamed("event", "b"), ["src", "dst"]).where("a < b").select("a", "b").distinct()
+    return pairs.select("a", "b", F.round(S.event_similarity("a", "b"), 9).alias("similarity"))
 
 
 def d8_semantic_prf(spark, sf):
     p, g = _paired(spark, sf, "transitions")
-    return S.semantic_prf(S.relaxed_transitions(p), S.relaxed_transitions(g), ["diagram_id"])
+    out = S.semantic_prf(S.relaxed_transitions(p), S.relaxed_transitions(g), ["diagram_id"])
+    return out.select("diagram_id", "n_pred", "n_gold", "tp", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "mean_similarity")])
 
 
 def _metrics(spark, sf):
-    pred, gold = _pred_gold(spark, sf)
-    return S.score_runs(pred.diagrams, pred, gold, sequence=False)
+    g = B.graph_rows(spark, sf)
+    return S.score_runs(g.where("run_index > 0"), g.where("run_index = 0"))
 
 
 def d13_score_runs(spark, sf):
-    return _metrics(spark, sf).select("diagram_id", "case_id", "run_index", "complexity", *METRICS)
+    return _metrics(spark, sf).select("diagram_id", "case_id", "run_index", "complexity", *[F.round(c, 9).alias(c) for c in METRICS])
 
 
 def e1_summary_by_config(spark, sf):
-    return S.summarise(_metrics(spark, sf), ["run_index"], list(METRICS))
+    return S.summarise(_metrics(spark, sf), ["run_index"], list(METRICS[8:]))
 
 
 def e2_summary_by_complexity(spark, sf):
-    return S.summarise_sets(_metrics(spark, sf), [["run_index"], ["run_index", "complexity"]], list(METRICS[:4]))
+    return S.summarise_sets(_metrics(spark, sf), [["run_index"], ["run_index", "complexity"]], list(METRICS[8:12]))
 
 
 def e3_case_stability(spark, sf):
@@ -156,16 +159,42 @@ PRF = {
     "relaxed_state": _with(_prf(["state"], "states", [_KEY.format("t.state")])),
     "relaxed_transition": _with(_prf(["src", "dst"], "transitions", [_KEY.format("t.src"), _KEY.format("t.dst")])),
 }
+_LABELS = [f"{e} k{i}" for e in ("click", "error", "purchase", "signup", "view") for i in range(4)]
+
+
+def _sim(a: str, b: str) -> float:
+    """The similarity of two labels, from first principles."""
+    x, y = (sorted({T.EVENT_SYNONYMS.get(w, w) for w in e.split()}) for e in (a, b))
+    j = len({*x} & {*y}) / len({*x} | {*y})
+    return 0.7 * j + 0.3 * difflib.SequenceMatcher(None, " ".join(x), " ".join(y)).ratio()
+
+
+_SIMS = ", ".join(f"('{a}', '{b}', {_sim(a, b)!r}::double)" for a in _LABELS for b in _LABELS)
+#: Greedy one-to-one matches of each predicted run: walks its candidates in order and keeps those whose ends are both free.
+MATCHED = f"""sims as (select * from (values {_SIMS}) v(pe, ge, sim)),
+pt as (select i.diagram_id, {_KEY.format("t.src")} as src, {_KEY.format("t.dst")} as dst, event as pe, min(line_no) as po from transitions t join ids i on t.diagram_id = i.diagram_id group by 1, 2, 3, 4),
+gt as (select i.diagram_id, {_KEY.format("t.src")} as src, {_KEY.format("t.dst")} as dst, event as ge, min(line_no) as go from transitions t join ids i on t.diagram_id = i.gold_id group by 1, 2, 3, 4),
+cand as (select diagram_id, po, go, sim, row_number() over (partition by diagram_id order by sim desc, po, go) as rn from pt join gt using (diagram_id, src, dst) join sims using (pe, ge) where sim >= 0.55),
+walk as (select diagram_id, 0::bigint as rn, []::bigint[] as ps, []::bigint[] as gs, 0::bigint as tp, 0.0::double as sims from ids
+  union all select w.diagram_id, c.rn, case when free then list_append(ps, po) else ps end, case when free then list_append(gs, go) else gs end, tp + case when free then 1 else 0 end, w.sims + case when free then sim else 0 end
+  from walk w join (select * from cand) c on c.diagram_id = w.diagram_id and c.rn = w.rn + 1, lateral (select not list_contains(w.ps, c.po) and not list_contains(w.gs, c.go) as free)),
+sm as (select diagram_id, max(tp) as tp, max(sims) as sims from walk group by 1),
+sn as (select diagram_id, (select count(*) from pt where pt.diagram_id = ids.diagram_id) as n_pred, (select count(*) from gt where gt.diagram_id = ids.diagram_id) as n_gold from ids),
+se as (select diagram_id, n_pred, n_gold, tp, case when n_pred = 0 then 0.0 else tp / n_pred end as precision, case when n_gold = 0 then 0.0 else tp / n_gold end as recall, case when tp = 0 then 0.0 else sims / tp end as mean_similarity from sn join sm using (diagram_id)),
+sf as (select *, case when precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end as f1 from se)"""
 _Z = lambda t, c: f"coalesce({t}.{c}, 0)"
-SCORED = f"""with {PAIRED},
+SCORED = f"""with recursive {PAIRED}, {MATCHED},
 s as ({PRF["state"]}), t as ({PRF["transition"]}), rs as ({PRF["relaxed_state"]}), rt as ({PRF["relaxed_transition"]}),
 m as (select i.diagram_id, i.case_id, i.run_index, case when {_Z("s", "n_gold")} <= 6 then 'simple' when {_Z("s", "n_gold")} <= 14 then 'medium' else 'complex' end as complexity,
   {_Z("s", "f1")} as state_f1, {_Z("t", "f1")} as transition_f1, {_Z("rs", "f1")} as relaxed_state_f1, {_Z("rt", "f1")} as relaxed_transition_f1,
   ({_Z("s", "f1")} + {_Z("t", "f1")}) / 2 as overall_f1, ({_Z("rs", "f1")} + {_Z("rt", "f1")}) / 2 as overall_relaxed_f1,
   cast(0.7 as double) * {_Z("rs", "f1")} + cast(0.3 as double) * {_Z("rt", "f1")} as weighted_relaxed_f1,
   case when {_Z("s", "n_pred")} = 0 then 0.0 else s.fp / s.n_pred end as state_hallucination_rate,
-  case when {_Z("t", "n_gold")} = 0 then 0.0 else t.fn / t.n_gold end as missing_transition_rate
-  from ids i left join s using (diagram_id) left join t using (diagram_id) left join rs using (diagram_id) left join rt using (diagram_id))
+  case when {_Z("t", "n_gold")} = 0 then 0.0 else t.fn / t.n_gold end as missing_transition_rate,
+  case when {_Z("t", "n_pred")} = 0 then 0.0 else t.fp / t.n_pred end as transition_hallucination_rate, case when {_Z("rs", "n_pred")} = 0 then 0.0 else rs.fp / rs.n_pred end as relaxed_state_hallucination_rate,
+  case when {_Z("rt", "n_pred")} = 0 then 0.0 else rt.fp / rt.n_pred end as relaxed_transition_hallucination_rate, case when {_Z("rt", "n_gold")} = 0 then 0.0 else rt.fn / rt.n_gold end as missing_relaxed_transition_rate,
+  sf.f1 as semantic_transition_f1, sf.mean_similarity as semantic_transition_mean_similarity, ({_Z("rs", "f1")} + sf.f1) / 2 as overall_semantic_f1, cast(0.7 as double) * {_Z("rs", "f1")} + cast(0.3 as double) * sf.f1 as weighted_semantic_f1
+  from ids i join sf using (diagram_id) left join s using (diagram_id) left join t using (diagram_id) left join rs using (diagram_id) left join rt using (diagram_id))
 """
 _means = lambda cols: ", ".join(f"avg({c}) as mean_{c}" for c in cols)
 DEG = f"""with {B.VG}, deg as (select diagram_id, state, cast(sum(i) as bigint) as n_in, cast(sum(o) as bigint) as n_out from (
@@ -196,13 +225,14 @@ coalesce(w.n, 0) = 0 as strict_valid, cast(coalesce(w.n, 0) as bigint) as score
     "d3_transition_prf": f"with {PAIRED} {PRF['transition']}",
     "d4_relaxed_state_prf": f"with {PAIRED} {PRF['relaxed_state']}",
     "d5_relaxed_transition_prf": f"with {PAIRED} {PRF['relaxed_transition']}",
-    "d7_event_similarity": f"""with {B.VG}, ev as (select distinct event, list_distinct(list_transform(string_split(event, ' '), lambda x: case x when 'error' then 'fail' when 'purchase' then 'payment' when 'view' then 'access' else x end)) as t from transitions)
-select a.event as a, b.event as b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 9) as similarity from ev a join ev b on a.event < b.event""",
+    "d7_event_similarity": f"""with {B.VG}, t as (select distinct src, dst, event from transitions), sims as (select * from (values {_SIMS}) v(a, b, sim))
+select distinct a, b, round(sim, 9) as similarity from (select x.event as a, y.event as b from t x join t y on x.src = y.src and x.dst = y.dst and x.event < y.event) join sims using (a, b)""",
+    "d8_semantic_prf": f"with recursive {PAIRED}, {MATCHED} select diagram_id, n_pred, n_gold, tp, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1, round(mean_similarity, 9) as mean_similarity from sf where n_pred + n_gold > 0",
     "d6_event_tokens": f"""with {B.VG}, ev as (select distinct event from transitions)
 select event, array_to_string(list_sort(list_transform(string_split(event, ' '), lambda x: case x when 'error' then 'fail' when 'purchase' then 'payment' when 'view' then 'access' else x end)), ' ') as tokens from ev""",
-    "d13_score_runs": f"{SCORED} select diagram_id, case_id, run_index, complexity, {', '.join(METRICS)} from m",
-    "e1_summary_by_config": f"{SCORED} select run_index, count(*) as n, {_means(METRICS)} from m group by 1",
-    "e2_summary_by_complexity": f"{SCORED} select run_index, complexity, count(*) as n, {_means(METRICS[:4])} from m group by grouping sets ((run_index), (run_index, complexity))",
+    "d13_score_runs": f"{SCORED} select diagram_id, case_id, run_index, complexity, {', '.join(f'round({c}, 9) as {c}' for c in METRICS)} from m",
+    "e1_summary_by_config": f"{SCORED} select run_index, count(*) as n, {_means(METRICS[8:])} from m group by 1",
+    "e2_summary_by_complexity": f"{SCORED} select run_index, complexity, count(*) as n, {_means(METRICS[8:12])} from m group by grouping sets ((run_index), (run_index, complexity))",
     "e3_case_stability": f"{SCORED} select case_id, count(*) as runs, stddev_pop(overall_f1) as std_overall_f1, stddev_pop(overall_relaxed_f1) as std_overall_relaxed_f1 from m group by 1",
     "e4_config_stability": f"""{SCORED}, per as (select run_index % 2 as config, case_id, stddev_pop(overall_f1) as a, stddev_pop(overall_relaxed_f1) as b from m group by 1, 2)
 select m.*, s.mean_std_overall_f1, s.mean_std_overall_relaxed_f1 from (select run_index % 2 as config, count(*) as n, {_means(["overall_f1", "overall_relaxed_f1"])} from m group by 1) m

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from statelens.functions import text as T
 from statelens.operators import ensemble as I
 from statelens.operators import graph as G
 from statelens.operators import prompts as H
@@ -22,7 +23,8 @@ from statelens.sources import files as A
 
 def a8_status_gate(spark, sf):
     d = B.table(spark, sf, "documents").select("doc_id", "lang")
-    meta = B.table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 0, "ok").otherwise("error").alias("status"))
+    # every seventh row has no status: it didn't parse
+    meta = B.table(spark, sf, "labels").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.when(F.col("toxic") == 0, "ok").otherwise("error")).alias("status"))
     return A.status_gate(d, meta, ["doc_id"]).groupBy("lang").agg(F.count("*").alias("n"))
 
 
@@ -134,6 +136,15 @@ def h6_base_runs(spark, sf):
     return r.select("run_id", H.base_run(F.col("run_id")).alias("base"))
 
 
+def h8_extraction_prompts(spark, sf):
+    return H.extraction_prompts(TQ._actions(spark, sf)).select("key", F.md5("prompt").alias("prompt_md5"))
+
+
+def h8_rewriting_prompts(spark, sf):
+    c = O.capabilities(TQ._actions(spark, sf)).select("key", "pos", F.col("clause").alias("requirement"), F.concat(F.lit("see "), F.col("pos").cast("string")).alias("evidence_quote"))
+    return H.rewriting_prompts(c).select("key", F.md5("prompt").alias("prompt_md5"))
+
+
 def h8_review_prompts(spark, sf):
     d = TQ._actions(spark, sf)
     return H.review_prompts(d, O.shall(O.capabilities(d))).select("key", F.md5("prompt").alias("prompt_md5"))
@@ -147,9 +158,11 @@ def o12_potential_missing(spark, sf):
 
 
 def o13_potential_hallucinations(spark, sf):
+    """Rewritten requirements and an invented one, which shares a word or two with some texts."""
     d = TQ._actions(spark, sf)
-    r = d.select("key", F.lit(0).alias("pos"), F.lit("The system shall brew coffee.").alias("requirement"))
-    return O.best_overlap(r, O.capabilities(d), "requirement", "clause").where("best < 0.12").select("key", F.round("best", 6).alias("best"))
+    odd = d.select("key", F.lit(-1).alias("pos"), F.concat(F.lit("The system shall brew coffee in "), T.words("text")[F.lit(0)], F.lit(".")).alias("requirement"))
+    r = O.shall(O.capabilities(d)).union(odd)
+    return O.best_overlap(r, O.capabilities(d), "requirement", "clause").where("best < 0.12").select("key", F.col("pos").cast("long").alias("pos"), F.round("best", 6).alias("best"))
 
 
 def o17_normalised_answers(spark, sf):
@@ -168,7 +181,7 @@ _RATED = f"""{RQ._R}, cs as (select s.*, case when o_totalprice < 1e5 then 'simp
 med as (select complexity, method, criterion, count(*) as responses, count(distinct item_id) as diagrams, median(score) as median from cs group by 1, 2, 3)"""
 _RUN = "select distinct 'local__' || s.source || '__rag_' || l.lang || '_validation_repair' as run_id, 'local__' || s.source || '__rag_' || l.lang as base from documents s cross join (select distinct lang from documents) l"
 ORACLES = {
-    "a8_status_gate": "select lang, count(*) as n from documents where doc_id not in (select doc_id from labels where toxic <> 0) group by 1",
+    "a8_status_gate": "select lang, count(*) as n from documents where doc_id not in (select doc_id from labels where toxic <> 0 or doc_id % 7 = 0) group by 1",
     "a11_subset_counts": "select subset, count(*) as n from documents d join (values ('full', 'en'), ('full', 'fr'), ('full', 'de'), ('full', 'es'), ('rules', 'fr'), ('theory', 'de'), ('theory', 'es')) t(subset, g) on d.lang = t.g group by 1",
     "a15_manifest": f"with {B.VG} select count(*) as diagrams, count(distinct case_id) as cases, (select string_agg(cast(r as varchar), ',' order by r) from (select distinct run_index as r from diagrams)) as runs from diagrams",
     "a16_attempt_artifacts": f"{SQ._AT} select case_id, attempt, score from att",
@@ -195,8 +208,43 @@ n as (select case_id, cast(sum(p) as bigint) as n_pred, cast(sum(g) as bigint) a
 select *, case when precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end as f1 from r""",
     "h1_requirement_fallback": "select conv_id, coalesce(case when conv_id % 2 = 0 then null else nullif(trim(max(text) filter (role = 'system')), '') end, nullif(trim(min(text) filter (role = 'user')), ''), nullif(trim(min(text) filter (role = 'assistant')), '')) as requirement from conversations group by 1",
     "h6_base_runs": _RUN,
-    "o18_job_status": None,
-    "o13_potential_hallucinations": "select doc_id as key, 0.0::double as best from documents where text is not null",
+}
+_REQ = "('the', 'a', 'an', 'and', 'or', 'of', 'to', 'in', 'on', 'for', 'with', 'by', 'is', 'are', 'was', 'were', 'be', 'been', 'being', 'that', 'this', 'these', 'those', 'it', 'its', 'as', 'at', 'from', 'into', 'than', 'then', 'if', 'when', 'while', 'can', 'will', 'shall', 'should', 'would', 'could', 'may', 'might', 'must', 'not', 'no', 'so', 'such', 'their', 'his', 'her', 'our', 'your', 'they', 'them', 'he', 'she', 'we', 'you', 'i')"
+_TK = f"list_distinct(list_filter(regexp_extract_all(lower({{x}}), '[a-z0-9]+'), lambda t: length(t) > 2 and t not in {_REQ}))"
+_BY = "case when len({a}) = 0 or len({b}) = 0 then 0.0 else len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) end"
+#: Capability clauses (caps) and their requirements (rq) of the action texts.
+_RQ2 = f"""{TQ._CAP}, c2 as (select key, pos, {TQ._CLEAN.replace('sentence', 'clause')} as clause from caps), lf as (select key, pos, clause, lower(clause) as low, {TQ._LF} as l from c2),
+{TQ._SHALL[TQ._SHALL.index('sh as (select'):]}, r1 as (select key, pos, {TQ._PERIOD} as requirement from sh), r2 as (select *, {TQ._CANON.replace('sentence', 'requirement')} as c from r1),
+rq as (select key, pos, requirement from r2 where c <> '' qualify row_number() over (partition by key, c order by pos) = 1),
+ct as (select key, pos, {_TK.format(x='clause')} as t from caps), qt as (select key, pos, {_TK.format(x='requirement')} as t from rq)"""
+_BEST = lambda l, r: f"select l.key, l.pos, coalesce(max({_BY.format(a='l.t', b='r.t')}), 0.0) as best from {l} l left join {r} r on l.key = r.key group by 1, 2"  # noqa: E731, E741
+_AUDIT = f"""{_RQ2}, du as (select key, count(*) as n from (select key, pos, min(pos) over (partition by key, c) as f from (select key, pos, {TQ._CANON.replace('sentence', 'requirement')} as c from rq)) where pos > f group by 1),
+am as (select key, count(*) as n from rq where {' or '.join(f"contains(lower(requirement), '{t}')" for t in ("etc", "and so on", "user friendly", "easy to use", "efficient", "quickly", "some", "many", "appropriate", "suitable", "as needed"))} group by 1),
+mi as (select key, count(*) as n from ({_BEST('ct', 'qt')}) where best < 0.2 group by 1), ha as (select key, count(*) as n from ({_BEST('qt', 'ct')}) where best < 0.12 group by 1),
+au as (select doc_id as key, coalesce(du.n, 0) as duplicates, coalesce(am.n, 0) as ambiguities, coalesce(mi.n, 0) as missing, coalesce(ha.n, 0) as hallucinations from documents d left join du on du.key = doc_id left join am on am.key = doc_id left join mi on mi.key = doc_id left join ha on ha.key = doc_id where text is not null),
+av as (select *, case when duplicates + ambiguities + missing + hallucinations > 0 then 'needs_review' else 'pass' end as verdict from au)"""
+_ACTION = "text || ' However, managers view the ' || source || ' list. Users can select ' || lang || ' and cancel. Users can select ' || lang || ' and cancel.'"
+ORACLES |= {
+    "o14_audit": f"{_AUDIT} select * from av",
+    "o18_job_status": f"{_AUDIT} select verdict, count(*) as n from av group by 1",
+    "o12_potential_missing": f"""{_RQ2}, more as (select key, max(pos) + 1 as pos, {_TK.format(x="'Editors view archived calendars'")} as t from sr group by 1), every as (select * from ct union all select * from more)
+select key, pos, round(best, 6) as best from ({_BEST('every', 'qt')}) where best < 0.2""",
+    "o13_potential_hallucinations": f"""{_RQ2}, odd as (select doc_id as key, -1 as pos, {_TK.format(x="'The system shall brew coffee in ' || regexp_extract_all(lower(" + _ACTION + "), '[a-z][a-z0-9_]+')[1] || '.'")} as t from documents where text is not null), every as (select * from qt union all select * from odd)
+select key, cast(pos as bigint) as pos, round(best, 6) as best from ({_BEST('every', 'ct')}) where best < 0.12""",
+    "o17_normalised_answers": f"{TQ._CAP} select key, pos, clause as requirement from caps where key % 2 <> 0 union all select doc_id, 0, 'view lists' from documents where text is not null and doc_id % 2 = 0",
+    "o16_structured_document": f"""{_RQ2}, dn as (select key, string_agg(rn || '. ' || requirement, chr(10) order by rn) as l from (select key, requirement, row_number() over (partition by key order by pos) as rn from rq) group by 1),
+sm as (select key, coalesce(array_to_string(list_slice(list_filter(s, lambda x: not contains(lower(x), 'figure')), 1, 3), ' '), '') as sm from f),
+hh as (select doc_id as key, list_filter([{', '.join(f"'{a}'" for a in T.ACTORS)}], lambda a: regexp_matches(lower({_ACTION}), '(^|[^a-z0-9_])' || a || '([^a-z0-9_]|$)')) as h from documents where text is not null),
+aa as (select key, coalesce(array_to_string(list_filter(h, lambda a: not (right(a, 1) = 's' and list_contains(h, left(a, length(a) - 1)))), ', '), '') as a from hh)
+select key, concat_ws(chr(10), 'Overview', sm, 'Actors', a, 'Functional Requirements', l) as document from sm join aa using (key) left join dn using (key)""",
+    "h8_extraction_prompts": f"select doc_id as key, md5('List the functional requirements of the text, each with a short quote that shows it. Invent nothing. Answer as JSON: functional_requirements, a list of requirement and evidence_quote.' || chr(10) || chr(10) || 'Text:' || chr(10) || {_ACTION}) as prompt_md5 from documents where text is not null",
+    "h8_rewriting_prompts": f"""{TQ._CAP} select key, md5('Rewrite each requirement to begin with "The system shall". Keep their number, order and meaning. Answer as JSON: rewritten_requirements, a list of source_requirement and rewritten_requirement.' || chr(10) || chr(10) || '{{"functional_requirements":[' || string_agg('{{"requirement":' || to_json(clause) || ',"evidence_quote":"see ' || pos || '"}}', ',' order by pos) || ']}}') as prompt_md5 from caps group by 1""",
+    "h8_review_prompts": f"""{_RQ2}, pj as (select key, '{{"rewritten_requirements":[' || string_agg(cast(to_json(requirement) as varchar), ',' order by pos) || ']}}' as j from rq group by 1)
+select key, md5('Check the requirements against the text. Answer as JSON: missing_requirements, hallucinations, duplicates, ambiguities, and overall_assessment, pass or needs_review.' || chr(10) || chr(10) || 'Text:' || chr(10) || {_ACTION} || chr(10) || chr(10) || j) as prompt_md5 from pj join documents on doc_id = key""",
+    "c12_issue_kinds": """select kind, count(*) as n from (select case event_id % 18 when 0 then 'missing_initial_state' when 1 then 'multiple_initial_states' when 2 then 'missing_final_state' when 3 then 'duplicate_transitions' when 4 then 'unreachable_states' when 6 then 'orphan_states'
+ when 8 then 'invalid_choice_node' when 9 then 'invalid_choice_guards' when 10 then 'invalid_fork_node' when 11 then 'invalid_join_node' when 12 then 'invalid_history_state' when 13 then 'parse_warning' when 14 then 'plantuml_syntax_error' when 15 then 'plantuml_check_unavailable' when 16 then 'odd_thing' when 17 then 'unknown' end as kind from events) where kind is not null group by 1""",
+    "c16_guidance": f"""{GQ._RULES}, a as (select diagram_id, count(distinct case when contains(kind, 'duplicate') then 1 when contains(kind, 'choice') then 2 when contains(kind, 'fork') then 3 when contains(kind, 'join') then 4 when contains(kind, 'history') then 5 end) as n from viol group by 1)
+select diagram_id, greatest(1, coalesce(n, 0)) as n_advice from diagrams left join a using (diagram_id)""",
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[0] in "achijkmno" and n[1:2].isdigit()}

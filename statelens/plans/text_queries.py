@@ -18,7 +18,7 @@ from statelens.sources import files as A
 
 
 def _texts(spark, sf):
-    return G.to_text(G.graphs(B.event_graphs(spark, sf)))
+    return G.to_text(B.graph_rows(spark, sf))
 
 
 def b17_graph_to_text(spark, sf):
@@ -40,7 +40,7 @@ def b15_parsed_ends(spark, sf):
 
 
 def b18_element_export(spark, sf):
-    g = G.graphs(B.event_graphs(spark, sf))
+    g = B.graph_rows(spark, sf)
     return g.select("diagram_id", F.array_join(F.transform("states", lambda s: s["state"]), ",").alias("states"), F.size(F.array_distinct("edges")).cast("long").alias("n_transitions"), F.array_join("inits", ",").alias("initials"), F.array_join("finals", ",").alias("finals"))
 
 
@@ -50,9 +50,37 @@ def b1_answer_blocks(spark, sf):
     return t.select("diagram_id", E.boundaries(F.col("text")).alias("text"))
 
 
+def _rich(spark, sf):
+    return E.parse(B.rich_texts(spark, sf))
+
+
+def b9_rich_states(spark, sf):
+    """States of texts that use the whole diagram language: declared, described, composite, history, stereotypes (B4 to B11, B13, B14)."""
+    return _rich(spark, sf).states.select("diagram_id", "state", "is_explicit", "is_composite", "is_history", F.array_join("stereotypes", ",").alias("stereotypes"))
+
+
+def b12_rich_transitions(spark, sf):
+    return _rich(spark, sf).transitions.select("diagram_id", "src", "event", "dst")
+
+
+def b15_rich_ends(spark, sf):
+    el = _rich(spark, sf)
+    ends = el.initials.select("diagram_id", F.col("target").alias("state"), F.lit("initial").alias("kind")).union(el.finals.select("diagram_id", "state", F.lit("final")))
+    return ends.union(el.errors.select("diagram_id", F.lit("[*]"), "kind"))
+
+
+def c1_rich_violations(spark, sf):
+    """All rules over parsed texts: missing and double initial states, missing final states, orphans, unreachable states, parse errors."""
+    return G.violations(G.rules(G.graphs(_rich(spark, sf))))
+
+
+def c11_rich_validation(spark, sf):
+    v = G.validation(G.rules(G.graphs(_rich(spark, sf))))
+    return v.select("diagram_id", "warning_count", "initial_state", "duplicate_transition_count", F.array_join("unreachable_states", ",").alias("unreachable"), "state_count", "transition_count", "strict_valid", "score")
+
+
 def _pool(spark, sf):
-    el = B.event_graphs(spark, sf)
-    g = G.rules(G.graphs(el)).join(el.diagrams.where("run_index > 0"), "diagram_id")
+    g = G.rules(B.graph_rows(spark, sf).where("run_index > 0"))
     return g.withColumn("model", F.concat(F.lit("m"), (F.col("run_index") % 3).cast("string")))
 
 
@@ -110,9 +138,20 @@ def i9_requirement_coverage(spark, sf):
     return out.withColumn("coverage", F.round("coverage", 9))
 
 
+def _coverage(spark, sf, pool):
+    """How far each candidate covers its case's requirement: a sentence for each state of the gold run."""
+    handle = F.transform("states", lambda s: F.concat(F.lit("Handle "), F.replace(s["state"], F.lit("_"), F.lit(" ")), F.lit(".")))
+    need = B.graph_rows(spark, sf).where("run_index = 0").select("case_id", F.array_join(handle, " ").alias("text"))
+    said = F.concat_ws(" ", F.transform("states", lambda s: F.replace(s["state"], F.lit("_"), F.lit(" "))), F.transform("edges", lambda e: e["event"]))
+    have = pool.select("case_id", F.col("diagram_id").alias("key"), T.alnum(said, least=2).alias("tokens"))
+    items = I.requirement_items(have.select("case_id", "key").join(need, "case_id"))
+    return I.coverage(items, have).select(F.col("key").alias("diagram_id"), "coverage")
+
+
 def _ranked(spark, sf):
     p = _pool(spark, sf)
-    scored = p.select("case_id", "diagram_id", I.structural_score().alias("structural"), I.quality_score().alias("quality"), F.lit(0.5).alias("coverage")).join(I.consensus(p), ["case_id", "diagram_id"])
+    scored = p.select("case_id", "diagram_id", I.structural_score().alias("structural"), I.quality_score().alias("quality"))
+    scored = scored.join(I.consensus(p), ["case_id", "diagram_id"]).join(_coverage(spark, sf, p), "diagram_id")
     return I.final_ranks(scored)
 
 
@@ -126,7 +165,7 @@ def i14_diverse_selection(spark, sf):
 
 
 def i15_legacy_selection(spark, sf):
-    p = _pool(spark, sf).withColumn("syntax_valid", F.lit(True)).withColumn("error_count", F.lit(0)).withColumn("transition_count", F.size("edges")).withColumn("state_count", F.size("states"))
+    p = _pool(spark, sf).withColumn("syntax_valid", F.col("n_dup") == 0).withColumn("error_count", F.size("violations")).withColumn("transition_count", F.size("edges")).withColumn("state_count", F.size("states"))
     return I.legacy(p.join(_texts(spark, sf), "diagram_id"), 2).select("case_id", "diagram_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -195,10 +234,41 @@ def q1_stems(spark, sf):
     return _requirements(spark, sf).select("key", F.size(T.stems("text")).cast("long").alias("n_stems"), F.md5(F.array_join(F.array_sort(T.stems("text")), " ")).alias("stems_md5"))
 
 
-def q3_heuristic_ratings(spark, sf):
+def _numbered(spark, sf):
+    """Turns as numbered requirements: a line for each sentence of the user's text, and lines without a number."""
     t = _turns(spark, sf)
-    items = t.select("key", F.posexplode(T.sentences("text")).alias("pos", "requirement"))
-    return O.heuristic_ratings(items, t.select("key", F.col("answer").alias("text")))
+    lines = F.transform(T.sentences("text"), lambda x, i: F.concat(F.lit(" "), (i + 1).cast("string"), F.lit(". "), x, F.lit("  ")))
+    return t.select("key", F.array_join(F.concat(F.array(F.lit("Requirements"), F.lit("1) no number")), lines), "\n").alias("text"))
+
+
+def q2_numbered_requirements(spark, sf):
+    return O.numbered(_numbered(spark, sf)).select("key", F.col("pos").cast("long").alias("pos"), "requirement")
+
+
+def _rated(spark, sf):
+    """The gold runs as rated diagrams: requirements about their states and one thing more."""
+    g = B.graph_rows(spark, sf).where("run_index < 3")
+    say = F.transform("states", lambda s: F.concat(F.lit("The system shall handle "), F.replace(s["state"], F.lit("_"), F.lit(" ")), F.lit(" when available.")))
+    extra = F.when(F.col("case_id") % 2 == 0, F.array(F.lit("The system shall print yearly invoices."), F.lit("The system shall archive printed ledgers."))).otherwise(F.array().cast("array<string>"))
+    items = g.select(F.col("diagram_id").alias("key"), F.posexplode(F.concat(say, extra)).alias("pos", "requirement"))
+    return O.heuristic_ratings(items, G.to_text(g).select(F.col("diagram_id").alias("key"), "text"))
+
+
+def q3_heuristic_ratings(spark, sf):
+    return _rated(spark, sf).select("key", "completeness", "terminology", "correctness", "understandability", "covered", "total", "coverage_percent", "terminology_percent")
+
+
+def q7_rating_sheet(spark, sf):
+    d = B.event_graphs(spark, sf).diagrams
+    m = d.select(F.col("diagram_id").alias("key"), "case_id", F.concat_ws("__", F.concat(F.lit("m"), (F.col("case_id") % 3).cast("string")), F.concat(F.lit("run"), F.col("run_index").cast("string")), F.lit("x")).alias("label"))
+    return O.rating_sheet(_rated(spark, sf), m)
+
+
+def o1_normalised(spark, sf):
+    """Texts with carriage returns, a hyphenated line break, trailing blanks and blank lines put in, normalised."""
+    d = _requirements(spark, sf)
+    rough = F.concat(F.lit(" A"), F.lit("\r"), F.regexp_replace("text", r"\. ", ".\n"), F.lit("  \nhyphen-\n ated\n\n\n\nend\u200bed \n"))
+    return d.select("key", F.md5(O.normalise(rough)).alias("normal_md5"))
 
 
 def h2_prompt_ready(spark, sf):
@@ -207,13 +277,15 @@ def h2_prompt_ready(spark, sf):
 
 
 def h3_generation_prompts(spark, sf):
+    """Prompts for the test cases: three strategies, two models, examples with their diagrams, the case's own text as context."""
     cases = _requirements(spark, sf).select(F.col("key").alias("case_id"), F.col("text").alias("requirement"))
     models = spark.createDataFrame([("local", "m1"), ("local", "m2")], "model_group string, model_label string")
     kinds = spark.createDataFrame([("zero_shot", False), ("few_shot", False), ("rag", True)], "strategy string, use_rag boolean")
     role = S.stratified_split(cases.select("case_id", F.lit("all").alias("s")), "case_id", "s", 0.35, 42)
     picked = S.pick_examples(role.where("role = 'test'"), role.where("role = 'pool'"), "case_id", "s", 2, 42)
-    shown = picked.join(cases.select(F.col("case_id").alias("example"), F.col("requirement").alias("r")), "example").groupBy(F.col("target").alias("case_id")).agg(F.array_sort(F.collect_list(F.struct("position", "r"))).alias("x"))
-    examples = shown.select("case_id", F.transform("x", lambda x: x["r"]).alias("examples"))
+    drawn = cases.select(F.col("case_id").alias("example"), F.struct("requirement", F.concat(F.lit("@startuml\n[*] --> S"), F.col("case_id").cast("string"), F.lit("\n@enduml")).alias("diagram")).alias("x"))
+    shown = picked.join(drawn, "example").groupBy(F.col("target").alias("case_id")).agg(F.array_sort(F.collect_list(F.struct("position", "x"))).alias("x"))
+    examples = shown.select("case_id", F.transform("x", lambda x: x["x"]).alias("examples"))
     context = cases.select("case_id", F.col("requirement").alias("context"))
     return H.generation_prompts(cases.join(role.where("role = 'test'").select("case_id"), "case_id", "left_semi"), A.run_matrix(models, kinds), examples, context)
 
@@ -239,6 +311,23 @@ def a12_run_matrix(spark, sf):
     return A.run_matrix(m, d.select(F.concat(F.lit("rag_"), "lang").alias("strategy")).distinct()).select("run_id")
 
 
+def _runs(spark, sf):
+    """Runs as stored diagrams: run ids of four families and three strategies; first, repair and final stages."""
+    d = B.graph_rows(spark, sf).select("case_id", "run_index", "diagram_id")
+    family = F.element_at(F.array(*[F.lit(x) for x in ("Qwen2-7b", "llama3", "DeepSeek-r1", "mistral")]), (F.col("case_id") % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(F.lit("few_shot"), F.lit("rag"), F.lit("rag_repair")), (F.col("case_id") % 3 + 1).cast("int"))
+    stage = F.when(F.col("run_index") == 0, "initial").when(F.col("run_index") == 1, "final").otherwise("repair")
+    return d.select("diagram_id", F.concat_ws("__", F.lit("local"), family, kind).alias("run_id"), F.col("case_id"), F.lit(1).alias("run_index"), stage.alias("stage"), F.greatest(F.lit(0), F.col("run_index") - 1).alias("attempt"))
+
+
+def i1_candidate_pools(spark, sf):
+    """Candidate pools by listed run ids and by prefix and strategy."""
+    r = _runs(spark, sf)
+    listed = A.pool_of_runs(r, r.where("run_id like '%Qwen%' or run_id like '%mistral%'").select("run_id").distinct())
+    by_name = A.pool_of_strategy(r, {"qwen": "local__Qwen2-7b", "llama": "local__llama3", "deepseek": ""}, "rag")
+    return listed.select(F.lit("listed").alias("pool"), "run_id", "diagram_id", "model").union(by_name.select(F.lit("strategy"), "run_id", "diagram_id", "model"))
+
+
 def a14_decoded_runs(spark, sf):
     r = a12_run_matrix(spark, sf).select("run_id", A.decode_run_id(F.col("run_id")).alias("d"))
     return r.select("run_id", "d.model", "d.method")
@@ -296,7 +385,7 @@ _ACT = _SENT.replace("x='text'", "x='text'").replace("from documents where text
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(sentence, '(?i)\(figures?[^)]*\)', '', 'g')), '([A-Za-z0-9_])\.([0-9]+)\.', '\1. ', 'g'),
  '(?i)^(however|hence|furthermore|therefore|moreover|in addition|on one hand|on the other hand|as a result|before it|next|then|if instead)\s*,?\s*', ''), '(?i)^to\s+', ''), ' :-')"""
 _CAP = f"""{_ACT}, cl as (select key, pos, {_CLEAN} as clause from sr), cap as (select key, pos, clause, {_CANON.replace("sentence", "clause")} as c from cl
- where clause <> '' and not contains(lower(clause), 'figure') and regexp_matches(lower(clause), '{O.CAPABILITY}')), caps as (select key, pos, clause from cap where c <> '' qualify row_number() over (partition by key, c order by pos) = 1)"""
+ where clause <> '' and not contains(lower(clause), 'figure') and regexp_matches(lower(clause), '(^|[^a-z0-9_])({"|".join(T.CAPABILITY_VERBS)})([^a-z0-9_]|$)')), caps as (select key, pos, clause from cap where c <> '' qualify row_number() over (partition by key, c order by pos) = 1)"""
 _LF = "case when regexp_matches(left(clause, 2), '^[A-Z]') and not regexp_matches(left(clause, 2), '^[A-Z]([A-Z]|[^A-Za-z])$') then lower(left(clause, 1)) || substr(clause, 2) else clause end"
 _PERIOD = "case when x = '' or regexp_matches(x, '[.!?]$') then x else x || '.' end"
 _SHALL = f"""{_ACT}, cl as (select key, pos, {_CLEAN} as clause from sr), lf as (select key, pos, clause, lower(clause) as low, {_LF} as l from cl),
@@ -334,5 +423,72 @@ ORACLES["q1_stems"] = f"""with w as (select doc_id as key, list_filter(regexp_ex
 s as (select key, list_sort(list_distinct(list_transform(w, lambda t: case when length(t) > 5 and right(t, 3) = 'ing' then left(t, length(t) - 3) when length(t) > 5 and right(t, 2) in ('ed', 'es') then left(t, length(t) - 2) when length(t) > 5 and right(t, 1) = 's' then left(t, length(t) - 1) else t end))) as s from w)
 select key, cast(len(s) as bigint) as n_stems, md5(array_to_string(s, ' ')) as stems_md5 from s"""
 ORACLES["b1_answer_blocks"] = ORACLES["b17_graph_to_text"].replace("'@enduml') as text", "'@enduml') || chr(10) as text")
+ORACLES |= {
+    "b9_rich_states": f"with {B.VG}, {B.VRICH} select diagram_id, state, is_explicit, is_composite, is_history, coalesce(stereo, '') as stereotypes from rst",
+    "b12_rich_transitions": f"with {B.VG}, {B.VRICH} select diagram_id, src, event, dst from rt",
+    "b15_rich_ends": f"with {B.VG}, {B.VRICH} select diagram_id, state, 'initial' as kind from rin union all select diagram_id, state, 'final' from rfi union all select diagram_id, '[*]', 'invalid_pseudo_transition' from rn where c = 3",
+}
+_RICH_RULES = f"""{B.VG}, {B.VRICH},
+deg as (select diagram_id, state, sum(i) as n_in, sum(o) as n_out from (select diagram_id, state, 1 as i, 0 as o from rin union all select diagram_id, state, 0, 1 from rfi union all select diagram_id, dst, 1, 0 from rt union all select diagram_id, src, 0, 1 from rt) group by 1, 2),
+s as (select rst.*, coalesce(n_in, 0) as n_in, coalesce(n_out, 0) as n_out from rst left join deg using (diagram_id, state)),
+one as (select diagram_id, min(state) as state from rin group by 1 having count(*) = 1),
+seen as (select diagram_id, state from one union select rt.diagram_id, rt.dst from rt join seen on rt.diagram_id = seen.diagram_id and rt.src = seen.state),
+far as (select s.diagram_id, string_agg(s.state, ',' order by s.state) as l from s join one using (diagram_id) where (s.diagram_id, s.state) not in (select diagram_id, state from seen) group by 1),
+dups as (select diagram_id, count(*) - count(distinct (src, event, dst)) as n from rt group by 1),
+listed as (select diagram_id, kind, string_agg(state, ',' order by state) as detail from (
+  select diagram_id, state, 'orphan_states' as kind from s where is_explicit and n_in + n_out = 0
+  union all select diagram_id, state, 'invalid_choice_node' from s where stereo = 'choice' and not exists (select 1 from rt where rt.diagram_id = s.diagram_id and rt.src = s.state)
+  union all select diagram_id, state, 'invalid_choice_guards' from s where stereo = 'choice' and exists (select 1 from rt where rt.diagram_id = s.diagram_id and rt.src = s.state)
+  union all select diagram_id, state, 'invalid_fork_node' from s where stereo = 'fork' and n_out < 2 union all select diagram_id, state, 'invalid_join_node' from s where stereo = 'join' and n_in < 2) group by 1, 2),
+rv as (select * from listed union all select diagram_id, 'missing_initial_state', '0' from rn where c = 1 union all select diagram_id, 'multiple_initial_states', '2' from rn where c = 2 union all select diagram_id, 'missing_final_state', '0' from rn where c = 4
+  union all select diagram_id, 'duplicate_transitions', cast(n as varchar) from dups where n > 0 union all select diagram_id, 'unreachable_states', l from far union all select diagram_id, 'invalid_pseudo_transition', '' from rn where c = 3
+  union all select diagram_id, 'invalid_history_state', '' from s group by 1 having bool_or(is_history) and not bool_or(is_composite))"""
+ORACLES |= {
+    "c1_rich_violations": f"with recursive {_RICH_RULES} select * from rv",
+    "c11_rich_validation": f"""with recursive {_RICH_RULES}, w as (select diagram_id, count(*) as n from rv group by 1)
+select rn.diagram_id, coalesce(w.n, 0) as warning_count, one.state as initial_state, cast(coalesce(dups.n, 0) as bigint) as duplicate_transition_count, coalesce(far.l, '') as unreachable,
+(select count(*) from s where s.diagram_id = rn.diagram_id) as state_count, (select count(*) from rt where rt.diagram_id = rn.diagram_id) as transition_count, coalesce(w.n, 0) = 0 as strict_valid, coalesce(w.n, 0) as score
+from rn left join w using (diagram_id) left join one using (diagram_id) left join far using (diagram_id) left join dups using (diagram_id)""",
+    "q2_numbered_requirements": rf"""{_TURN}, sn as (select key, list_filter(string_split(regexp_replace({_SQUEEZE.format(x='text')}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as s from u)
+select key, unnest(range(len(s))) as pos, unnest(list_transform(s, lambda x: trim(x))) as requirement from sn""",
+    "o1_normalised": r"""select doc_id as key, md5(trim(regexp_replace(regexp_replace(' A' || chr(10) || replace(text, '. ', '.' || chr(10)) || '  ' || chr(10) || 'hyphenated' || chr(10) || chr(10) || chr(10) || chr(10) || 'end ed ' || chr(10), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))) as normal_md5 from documents where text is not null""",
+}
+_RUNS = f"""{B.VG}, rs as (select diagram_id, case_id, run_index, 'local__' || (['Qwen2-7b', 'llama3', 'DeepSeek-r1', 'mistral'])[case_id % 4 + 1] || '__' || (['few_shot', 'rag', 'rag_repair'])[case_id % 3 + 1] as run_id from diagrams)"""
+ORACLES["i1_candidate_pools"] = f"""with {_RUNS} select 'listed' as pool, run_id, diagram_id, case when run_id like '%Qwen%' then 'qwen' else run_id end as model from rs where run_index = 1 and (run_id like '%Qwen%' or run_id like '%mistral%')
+union all select 'strategy', run_id, diagram_id, case when run_id like '%Qwen%' then 'qwen' else 'llama' end from rs where run_index = 1 and run_id in ('local__Qwen2-7b__rag', 'local__llama3__rag')"""
+_STEM = "list_distinct(list_transform(list_filter(regexp_extract_all(lower({x}), '[a-z][a-z0-9]+'), lambda t: length(t) > 2 and t not in ('a', 'about', 'access', 'after', 'all', 'allow', 'allows', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'can', 'complete', 'do', 'for', 'from', 'if', 'in', 'into', 'is', 'it', 'of', 'on', 'or', 'shall', 'system', 'the', 'their', 'to', 'user', 'users', 'when', 'with')), lambda t: case when length(t) > 5 and right(t, 3) = 'ing' then left(t, length(t) - 3) when length(t) > 5 and right(t, 2) in ('ed', 'es') then left(t, length(t) - 2) when length(t) > 5 and right(t, 1) = 's' then left(t, length(t) - 1) else t end))"
+ORACLES["q1_stems"] = f"""with s as (select doc_id as key, list_sort({_STEM.format(x='text')}) as s from documents where text is not null)
+select key, cast(len(s) as bigint) as n_stems, md5(array_to_string(s, ' ')) as stems_md5 from s"""
+#: Ratings from the runs, not from their texts: a drawn run has one start and one end, its states are its names.
+_SHEET = rf"""{B.VG}, gd as (select * from diagrams where run_index < 3),
+it as (select diagram_id as key, 'The system shall handle ' || replace(state, '_', ' ') || ' when available.' as q from states join gd using (diagram_id)
+  union all select diagram_id, unnest(['The system shall print yearly invoices.', 'The system shall archive printed ledgers.']) from gd where case_id % 2 = 0),
+hv as (select diagram_id as key, {_STEM.format(x="string_agg(replace(w, '_', ' '), ' ')")} as have, count(*) filter (k = 's') as states from (select diagram_id, state as w, 's' as k from states join gd using (diagram_id) union all select diagram_id, event, 't' from transitions join gd using (diagram_id)) group by 1),
+ar as (select diagram_id as key, 2 + (select count(*) from (select distinct src, event, dst from transitions t where t.diagram_id = gd.diagram_id)) as arrows from gd),
+tk as (select key, {_STEM.format(x='q')} as t from it),
+sc as (select key, any_value(states) as states, count(*) as total, count(*) filter (len(list_intersect(t, have)) / len(t) >= 0.25 or len(list_intersect(t, have)) >= 3) as covered, list_distinct(flatten(list(t))) as every, any_value(have) as have, count(*) filter (contains(array_to_string(t, ' '), 'available')) as cues from tk join hv using (key) group by 1),
+r0 as (select *, covered / total as cr, len(list_intersect(every, have)) / len(every) as tr from sc join ar using (key)),
+r1 as (select *, 1 + (cr >= 0.35)::int + (cr >= 0.55)::int + (cr >= 0.75)::int + (cr >= 0.9)::int as completeness, 1 + (tr >= 0.2)::int + (tr >= 0.34)::int + (tr >= 0.48)::int + (tr >= 0.62)::int as terminology from r0),
+rd as (select *, greatest(1, 5 - (arrows < greatest(3, total // 2))::int - case when completeness <= 2 then 2 when completeness = 3 then 1 else 0 end) as correctness, 5 - (states > 22)::int - (arrows < 2)::int as understandability from r1 join (select diagram_id as key, case_id, run_index from gd) g2 using (key))"""
+ORACLES["q3_heuristic_ratings"] = f"with {_SHEET} select key, completeness, terminology, correctness, understandability, covered, total, round(100 * cr, 1) as coverage_percent, round(100 * tr, 1) as terminology_percent from rd"
+_OF = lambda c: f"([{', '.join(repr(x) for x in O.SCALE[c])}])[{c}]"
+ORACLES["q7_rating_sheet"] = f"""with {_SHEET} select key, case_id, 'm' || (case_id % 3) as model, 'run' || run_index || '__x' as method, completeness, correctness, understandability, terminology, covered, total, round(100 * cr, 1) as coverage_percent, round(100 * tr, 1) as terminology_percent,
+'It models ' || {_OF('completeness')} || ': ' || covered || ' of ' || total || '.' as why_completeness,
+case when correctness = 5 then 'The flow is sound.' else 'In the flow, ' || coalesce(nullif(array_to_string(list_filter([case when arrows < 3 then 'there are hardly any transitions' end], lambda x: x is not null), '; '), ''), 'some behaviour is not connected') || '.' end as why_correctness,
+case when understandability = 5 then 'It reads well.' else 'To a reader, ' || case when states > 22 then 'it has many states' else 'parts are hard to follow' end || '.' end as why_understandability, 'It uses ' || {_OF('terminology')} || '.' as why_terminology from rd"""
+ORACLES["i15_legacy_selection"] = f"""{_FACTS}, t as (select diagram_id, string_agg(src || '>' || dst || ':' || event, chr(10) order by src, event, dst) as l from (select distinct diagram_id, src, event, dst from transitions) group by 1),
+p as (select d.case_id, d.diagram_id, concat_ws(chr(10), i.target, t.l, f.state) as text, x.m, x.n, x.dups = 0 as valid, len(x.kinds) as errors from diagrams d join x using (diagram_id) join initials i using (diagram_id) join finals f using (diagram_id) left join t using (diagram_id)),
+one as (select * from p qualify row_number() over (partition by case_id, text order by valid desc, errors, m desc, n desc, diagram_id) = 1)
+select case_id, diagram_id, row_number() over (partition by case_id order by valid desc, errors, m desc, n desc, diagram_id) as rank from one qualify rank <= 2"""
+_FINAL = f"""{_FACTS}, {_SIM.split(B.VG, 1)[1].lstrip(', ')}, u as (select case_id, a as diagram_id, similarity from jac union all select case_id, b, similarity from jac),
+co as (select pool.case_id, pool.diagram_id, coalesce(avg(similarity), 1.0) as consensus from pool left join u using (diagram_id) group by 1, 2),
+st as ({ORACLES["i7_structural_scores"].split(_FACTS, 1)[1].replace("round(", "(", 1).replace(", 9) as structural", ") as structural")}),
+ql as ({ORACLES["i12_quality_scores"].split(_FACTS, 1)[1].replace("round(", "(", 1).replace(", 9) as quality", ") as quality")}),
+need as (select case_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower('handle ' || replace(state, '_', ' ')), '[a-z0-9]+'), lambda t: length(t) >= 2))) as t from diagrams join states using (diagram_id) where run_index = 0),
+said as (select case_id, diagram_id, list_distinct(list_filter(regexp_extract_all(lower(string_agg(w, ' ')), '[a-z0-9]+'), lambda t: length(t) >= 2)) as h from (select case_id, diagram_id, replace(state, '_', ' ') as w from pool join states using (diagram_id) union all select case_id, diagram_id, event from pool join transitions using (diagram_id)) group by 1, 2),
+hh as (select diagram_id, len(t) as n, len(list_intersect(t, h)) as k from need join said using (case_id)),
+cv as (select diagram_id, least(1, greatest(0, 0.65::double * count(*) filter (k >= (case when n <= 2 then 1 else 2 end) or k / n >= 0.35) / count(*) + 0.35::double * avg(least(1.0, k / n / 0.45::double)))) as coverage from hh group by 1),
+fr as (select co.case_id, co.diagram_id, 0.35::double * structural + 0.30::double * coverage + 0.20::double * consensus + 0.15::double * quality as final, coverage, structural, quality from co join st using (diagram_id) join ql using (diagram_id) join cv using (diagram_id))"""
+ORACLES["i13_final_ranks"] = f"{_FINAL} select case_id, diagram_id, round(final, 9) as final, row_number() over (partition by case_id order by round(final, 9) desc, round(coverage, 9) desc, round(structural, 9) desc, round(quality, 9) desc, diagram_id) as rank from fr"
 ORACLES = {k: v for k, v in ORACLES.items() if v}
-QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[0] in "abhioq" and n[1:2].isdigit()}
+QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[0] in "abchioq" and n[1:2].isdigit()}

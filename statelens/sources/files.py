@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +44,7 @@ def with_tokens(diagrams: DataFrame, tokens: list[str]) -> DataFrame:
 def read_docs(spark: SparkSession, root: str) -> DataFrame:
     """(name, content) of *.md below root, without manifests; the name is the path from root on."""
     t = _texts(spark, root, "*.md").where(~F.col("path").endswith("manifest.md"))
-    return t.select(F.regexp_replace("path", "^.*" + root.rstrip("/").replace("file://", "").replace(".", r"\.") + "/", "").alias("name"), F.col("text").alias("content"))
+    return t.select(F.regexp_replace("path", "^.*" + re.escape(root.rstrip("/").replace("file://", "")) + "/", "").alias("name"), F.col("text").alias("content"))
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -62,8 +63,32 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def status_gate(diagrams: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
-    """Diagrams without a metadata row, or whose status is ok."""
-    return diagrams.join(meta.select(*keys, "status"), keys, "left").where("status is null or status = 'ok'")
+    """Diagrams without a metadata row, or whose status is ok; a row that has no status or didn't parse shuts its diagram out."""
+    return diagrams.join(meta.where("status is null or status <> 'ok'").select(*keys), keys, "left_anti")
+
+
+#: Fixed order: the first that a run id contains names its model family.
+FAMILIES = ("qwen", "llama", "deepseek", "gpt")
+
+
+def model_family(run_id):
+    """The model family in a run id, else the run id."""
+    out = run_id
+    for name in reversed(FAMILIES):
+        out = F.when(F.contains(F.lower(run_id), F.lit(name)), name).otherwise(out)
+    return out
+
+
+def pool_of_runs(diagrams: DataFrame, run_ids: DataFrame) -> DataFrame:
+    """Final diagrams of the runs listed in run_ids (run_id), with ``model``, their family."""
+    return finals(diagrams).join(run_ids.select("run_id"), "run_id", "left_semi").withColumn("model", model_family(F.col("run_id")))
+
+
+def pool_of_strategy(diagrams: DataFrame, prefixes: dict[str, str], strategy: str) -> DataFrame:
+    """Final diagrams of the runs ``prefix__strategy``, with ``model``, the name that the prefix stands for; empty prefixes are left out."""
+    names = {f"{prefix}__{strategy}": model for model, prefix in prefixes.items() if prefix}
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.lit(None).cast("map<string,string>")
+    return finals(diagrams).where(F.col("run_id").isin(*names)).withColumn("model", F.try_element_at(known, F.col("run_id")))
 
 
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -263,6 +263,7 @@ def test_prompts_and_missing_requirements_take_all_texts(spark, sf):
     n = len({r.case_id for r in prompts})
     assert len(prompts) == 6 * n and abs(n - 0.35 * len(texts)) <= 1 and max(map(len, texts.values())) > 1500
     for r in prompts:
-        assert r.prompt.endswith("Requirement:\n" + texts[r.case_id]) and (r.strategy != "rag" or "Context:\n" + texts[r.case_id] in r.prompt)
+        assert "Requirement:\n" + texts[r.case_id] in r.prompt and (r.strategy != "rag" or "to support the requirement:\n" + texts[r.case_id] in r.prompt)
+        assert r.strategy != "few_shot" or ("Diagram of example 2:\n@startuml" in r.prompt and r.prompt.endswith("Requirement:\n" + texts[r.case_id]))
     missing = RQ.o12_potential_missing(spark, sf)
     assert {r.key for r in missing.collect()} == set(texts)
