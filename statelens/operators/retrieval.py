@@ -247,7 +247,7 @@ def example_documents(pool: DataFrame) -> DataFrame:
 
     The title is the requirement's first line with text; the domain what stands before its first dash, or the case's name.
     """
-    lines = F.filter(F.transform(F.split("structured_requirement", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("structured_requirement", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     title = F.coalesce(F.try_element_at(lines, F.lit(1)), F.col("case_id"))
     before = F.when(F.contains(title, F.lit("—")), F.substring_index(title, "—", 1)).otherwise(F.substring_index(title, "-", 1))
     own = F.initcap(F.replace(F.regexp_replace("case_id", r"^case_[0-9]+_", ""), F.lit("_"), F.lit(" ")))
