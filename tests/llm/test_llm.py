@@ -507,7 +507,49 @@ def test_longest_match(spark):
     item = words(rng, 40, 5000)
     d = docs_of(spark, [f"x y {' '.join(item.split()[5:33])} z"])
     r = decontam.annotate(d, spark.createDataFrame([(1, item)], "item_id long, text string")).first()
-    assert r.longest == 28 and [(s.start, s.end) for s in r.spans] == [(2, 30)]
+    assert (r.longest, r.longest_start, r.longest_item) == (28, 2, "1") and [(s.start, s.end) for s in r.spans] == [(2, 30)]
+
+
+def brute_longest(text, items):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    w, best = cut(text), (0, None)
+    for _, t in items:
+        v = cut(t)
+        for p in range(len(w)):
+            for q in range(len(v)):
+                n = 0
+                while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                    n += 1
+                if n >= decontam.LEAST and n > best[0]:
+                    best = (n, p)
+                elif n and n == best[0] and p < best[1]:
+                    best = (n, p)
+    return best
+
+
+@pytest.mark.parametrize("block", [None, 300])
+def test_longest_matches_of_any_length(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(decontam, "BLOCK_CHARS", block)
+    rng = random.Random(19)
+    items = [(i, words(rng, n, 30)) for i, n in enumerate((13, 16, 25, 40, 60, 5))]
+    texts = [words(rng, 60, 30) for _ in range(12)] + [f"{words(rng, 9)} {' '.join(items[i % 5][1].split()[i : i + i])} {words(rng, 9)}" for i in range(2, 12)] + ["", None]
+    got = {r.doc_id: (r.longest, r.longest_start) for r in decontam.annotate(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute_longest(t, items) for t in texts]
+
+
+def test_colliding_words_do_not_match(monkeypatch):
+    real = common.word_hashes
+    monkeypatch.setattr(decontam, "word_hashes", lambda buf, s, e: real(buf, s, e) % np.uint64(7))
+    rng = random.Random(3)
+    item, other = words(rng, 20), words(rng, 300)
+    t = decontam.TestSuffixes([(1, item)], 13)
+    data = [f"{other} {item} {other}".encode(), other.encode()]
+    buf = np.frombuffer(b"".join(data), np.uint8)
+    per, out = decontam._shard(buf, np.array([0, len(data[0]), len(buf)]), t, 13)
+    assert per.tolist() == [620, 300]
+    for d, row in out.items():  # what is left has equal bytes
+        assert row[0] is None or all(any(data[d].decode().split()[s:e] == item.split()[i : i + e - s] for i in range(20)) for s, e in zip(*row[0]))
 
 
 # -- 8
