@@ -172,6 +172,7 @@ def diverse(ranked: DataFrame, k: int) -> DataFrame:
                 if chosen:
                     score -= 0.2 * max(0.6 * jac(sk[i], sk[j]) + 0.4 * jac(tk[i], tk[j]) for j in chosen)
                     score += 0.03 * (rows[i]["model"] not in {rows[j]["model"] for j in chosen})
+                score = round(score, 9)  # sums in another order are ties, which the rank decides
                 if score > top:
                     best, top = i, score
             if best is None:

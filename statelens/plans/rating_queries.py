@@ -124,8 +124,8 @@ def l7_fisher_pairs(spark, sf):
 
 
 def l8_tails(spark, sf):
-    d = L.dunn(_scores(spark, sf), ["criterion"], "method", "score").withColumn("p", L.normal_two_sided("z"))
-    return d.withColumn("p_text", L.p_text(F.col("p"))).withColumn("verdict", L.significance(F.col("p")))
+    d = L.dunn(_scores(spark, sf), ["criterion"], "method", "score").withColumn("p", F.round(L.normal_two_sided("z"), 8))
+    return d.select("criterion", "group_a", "group_b", F.round("z", 9).alias("z"), "p", L.p_text(F.col("p")).alias("p_text"), L.significance(F.col("p")).alias("verdict"))
 
 
 def l9_significance_text(spark, sf):
@@ -280,4 +280,10 @@ select model, {', '.join(f"max(cell) filter (method = '{m}') as {m}" for m in ("
     "n4_median_cells": f"{_R} select method, model, criterion, median(score) as median, count(*) as n from s group by 1, 2, 3",
     "n5_preferred_order": f"{_V} select method, {_RATE.format(f='syntax_valid')} from v group by 1",
 }
+#: Two-sided normal tail by Simpson's rule over twelve deviations.
+_TAIL = "2 * list_sum(list_transform(range(0, 4001), lambda i: case when i = 0 or i = 4000 then 1 when i % 2 = 1 then 4 else 2 end * exp(-pow(abs(z) + i * 0.003::double, 2) / 2))) * 0.001::double / sqrt(2 * pi())"
+_PTEXT = "case when {p} < 1e-8 then '<1e-8' else regexp_replace(regexp_replace(printf('%.8f', {p}), '0+$', ''), '[.]$', '') end"
+_VERDICT = "case when {p} < 0.05 then 'significant' else 'not significant' end"
+ORACLES["l8_tails"] = f"{_DUNN}, dp as (select *, round({_TAIL}, 8) as p from d) select criterion, group_a, group_b, round(z, 9) as z, p, {_PTEXT.format(p='p')} as p_text, {_VERDICT.format(p='p')} as verdict from dp"
+ORACLES["l9_significance_text"] = f"{_R}, {_ranked(['criterion'])} select criterion, {_PTEXT.format(p='round(exp(-h / 2), 8)')} as p_text, {_VERDICT.format(p='exp(-h / 2)')} as verdict from kw"
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[0] in "klmn" and n[1:2].isdigit()}

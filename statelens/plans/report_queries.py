@@ -246,5 +246,31 @@ select key, md5('Check the requirements against the text. Answer as JSON: missin
     "c16_guidance": f"""{GQ._RULES}, a as (select diagram_id, count(distinct case when contains(kind, 'duplicate') then 1 when contains(kind, 'choice') then 2 when contains(kind, 'fork') then 3 when contains(kind, 'join') then 4 when contains(kind, 'history') then 5 end) as n from viol group by 1)
 select diagram_id, greatest(1, coalesce(n, 0)) as n_advice from diagrams left join a using (diagram_id)""",
 }
+_NL2 = "chr(10) || chr(10)"
+_TEXTED = TQ.ORACLES["b17_graph_to_text"].split(B.VG, 1)[1].lstrip(", ")
+_GUIDE = {"duplicate": "Write each transition once.", "choice": "Give a choice node at least two outgoing transitions, each with a [guard].", "fork": "Give a fork at least two outgoing transitions.", "join": "Give a join at least two incoming transitions.", "history": "Use a history marker only inside a composite state."}
+ORACLES["h3_generation_prompts"] = f"""with rq as (select doc_id as case_id, 'all' as s, text, row_number() over (order by md5('42:' || doc_id)) as rank from documents where text is not null), nq as (select least(greatest(round_even(count(*) * 0.35::double, 0), 1), count(*) - 1) as take from rq),
+te as (select rq.* from rq, nq where rank <= take), po as (select rq.* from rq, nq where rank > take), {SQ.picks('te', 'po', 2)},
+ex as (select target, string_agg('Requirement of example ' || position || ':' || chr(10) || text || {_NL2} || 'Diagram of example ' || position || ':' || chr(10) || '@startuml' || chr(10) || '[*] --> S' || example || chr(10) || '@enduml', {_NL2} order by position) as e from pk join rq on rq.case_id = example group by 1),
+b as (select te.case_id, 'Draw one state machine for the requirement below. Answer with a single diagram block between @startuml and @enduml.' || {_NL2} as head, 'Requirement:' || chr(10) || text as req, e, text from te left join ex on target = case_id)
+select case_id, 'local__' || m || '__' || strategy as run_id, strategy, case strategy when 'zero_shot' then head || req when 'few_shot' then head || e || {_NL2} || req else head || req || {_NL2} || 'Context, to support the requirement:' || chr(10) || text || {_NL2} || 'Answer with the diagram only.' end as prompt
+from b cross join (values ('m1'), ('m2')) u(m) cross join (values ('zero_shot'), ('few_shot'), ('rag')) v(strategy)"""
+ORACLES["h4_repair_prompts"] = f"""{GQ._RULES}, {_TEXTED.split('select i.diagram_id', 1)[0].rstrip()}, tx as (select i.diagram_id{_TEXTED.split('select i.diagram_id', 1)[1]}),
+io as (select diagram_id, kind, list_position(['duplicate_transitions', 'invalid_choice_node', 'invalid_choice_guards', 'invalid_fork_node', 'invalid_join_node', 'invalid_history_state'], kind) as place from viol),
+iss as (select diagram_id, string_agg('- ' || kind, chr(10) order by place) as l from io group by 1),
+adv as (select diagram_id, string_agg('- ' || a, chr(10) order by n) as l from (select distinct diagram_id, n, a from io join (values {', '.join(f"({i}, '{k}', '{a}')" for i, (k, a) in enumerate(_GUIDE.items()))}) g(n, k, a) on contains(kind, k)) group by 1)
+select d.diagram_id, 'Repair the diagram.' || {_NL2} || 'Requirement:' || chr(10) || 'Follow the flow.' || {_NL2} || 'Diagram:' || chr(10) || text || {_NL2} || 'Issues:' || chr(10) || coalesce(iss.l, '') || {_NL2} || 'Advice:' || chr(10) || coalesce(adv.l, '- Fix the syntax and keep the behaviour.') as prompt
+from diagrams d join tx using (diagram_id) left join iss using (diagram_id) left join adv using (diagram_id) where run_index > 0"""
+_SEL = TQ.ORACLES["i15_legacy_selection"]
+ORACLES["h5_stacked_prompts"] = f"""{_SEL[: _SEL.rindex('select case_id')]}, sl as ({_SEL[_SEL.rindex('select case_id') :]}), {_TEXTED.split('select i.diagram_id', 1)[0].rstrip().replace('t as (', 't2 as (', 1)}, tx as (select i.diagram_id{_TEXTED.split('select i.diagram_id', 1)[1].replace('left join t ', 'left join t2 as t ')})
+select case_id, 'Merge the candidates into one diagram.' || {_NL2} || string_agg('Candidate ' || rank || ':' || chr(10) || left(text, 2600), {_NL2} order by rank) as prompt from sl join tx using (diagram_id) group by 1"""
+_S = lambda x: f"(select similarity from jac where (a = c.diagram_id and b = {x}) or (b = c.diagram_id and a = {x}))"
+ORACLES["i14_diverse_selection"] = f"""{TQ._FINAL}, {_TEXTED.split('select i.diagram_id', 1)[0].rstrip().replace('t as (', 't2 as (', 1)}, tx as (select i.diagram_id{_TEXTED.split('select i.diagram_id', 1)[1].replace('left join t ', 'left join t2 as t ')}),
+c as (select fr.*, text, 'm' || cast(split_part(diagram_id, '/', 2) as int) % 3 as model, row_number() over (partition by case_id order by round(final, 9) desc, round(coverage, 9) desc, round(structural, 9) desc, round(quality, 9) desc, diagram_id) as rank from fr join tx using (diagram_id)),
+s1 as (select case_id, diagram_id, text, model, round(final, 9) as adjusted from c where rank = 1),
+s2 as (select c.case_id, c.diagram_id, c.text, c.model, round(final - 0.2::double * {_S('s1.diagram_id')} + case when c.model <> s1.model then 0.03::double else 0 end, 9) as adj from c join s1 using (case_id) where c.text <> s1.text and c.diagram_id <> s1.diagram_id qualify row_number() over (partition by c.case_id order by adj desc, rank) = 1),
+s3 as (select c.case_id, c.diagram_id, round(final - 0.2::double * greatest({_S('s1.diagram_id')}, {_S('s2.diagram_id')}) + case when c.model <> s1.model and c.model <> s2.model then 0.03::double else 0 end, 9) as adj3 from c join s1 using (case_id) join s2 using (case_id)
+ where c.text not in (s1.text, s2.text) and c.diagram_id not in (s1.diagram_id, s2.diagram_id) qualify row_number() over (partition by c.case_id order by adj3 desc, rank) = 1)
+select case_id, diagram_id, 1 as selection, adjusted from s1 union all select case_id, diagram_id, 2, adj from s2 union all select case_id, diagram_id, 3, adj3 from s3"""
 ORACLES = {k: v for k, v in ORACLES.items() if v}
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[0] in "achijkmno" and n[1:2].isdigit()}

@@ -35,7 +35,7 @@ def f3_balanced_subset(spark, sf):
 
 def f4_examples_per_target(spark, sf):
     s = f1_stratified_split(spark, sf)
-    return S.pick_examples(s.where("role = 'test'"), s.where("role = 'pool'"), "case_id", "complexity", 4, SEED)
+    return S.pick_examples(s.where("role = 'test'"), s.where("role = 'pool'"), "case_id", "complexity", 4, SEED).select("target", "example", F.col("position").cast("long").alias("position"))
 
 
 def f5_leakage(spark, sf):
@@ -299,6 +299,20 @@ select *, case when denominator = 0 then 0.0 else 100.0 * strict_valid / denomin
     "j11_accept_if_better": f"{_AT} select case_id, attempt, score, accepted from mk",
     "j12_before_after": f"{_AT}, p as (select case_id % 4 as model, avg(cast(strict_valid as int)) filter (attempt = 0) as before, avg(cast(strict_valid as int)) filter (attempt = 1) as after from att group by 1) select *, 100 * (after - before) as change from p",
 }
+_START = "cast('0x' || left(md5('42:' || {x}), 8) as bigint)"
+
+
+def picks(test: str, pool: str, k: int) -> str:
+    """CTEs up to pk (target, example, position) for tables of test and pool cases (case_id, s)."""
+    return f"""bs as (select case_id as example, s, row_number() over (partition by s order by md5('42:' || case_id)) as i from {pool}), ov as (select case_id as example, row_number() over (order by md5('42:' || case_id)) as i from {pool}),
+sz as (select s, count(*) as n, row_number() over (order by s) as place from bs group by 1), tg as (select case_id as target, {_START.format(x='case_id')} as start from {test}),
+f1 as (select target, example, sz.s, step * 500 + place as o from tg cross join sz cross join (values (0), (1)) v(step) join bs on bs.s = sz.s and bs.i = (start + step) % n + 1 where target <> example),
+f2 as (select target, example, o % 500 as o from f1 qualify row_number() over (partition by target, s order by o) = 1),
+f3 as (select target, example, 1000 + step as o from tg cross join (select unnest(range({2 * k + 1})) as step) join ov on ov.i = (start + step) % (select count(*) from {pool}) + 1),
+pk as (select target, example, row_number() over (partition by target order by min(o), example) as position from (select * from f2 union all select * from f3) where target <> example group by 1, 2 qualify position <= {k})"""
+
+
+ORACLES["f4_examples_per_target"] = f"{_SPLIT}, te as (select case_id, complexity as s from sp where role = 'test'), po as (select case_id, complexity as s from sp where role = 'pool'), {picks('te', 'po', 4)} select target, example, position from pk"
 ORACLES["n8_review_manifest"] = f"""{_DELTA}, it as (select case_id, max(attempt) as attempted, coalesce(max(attempt) filter (accepted and attempt > 0), max(attempt)) as repaired from mk group by 1)
 select 'Model ' || case_id % 4 || '!' as model, 'Repair' as method, 'case_' || case_id as case_id, attempted, repaired, before as initial_violations, after as final_violations, cast(it.case_id as varchar) as case_number, 'review/model_' || it.case_id % 4 || '/iteration_' || attempted || '/case_' || it.case_id as review_folder
 from it join delta using (case_id) where attempted <= 4"""
