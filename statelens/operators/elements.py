@@ -1,8 +1,8 @@
-"""Diagram text to element tables: one corpus-wide job over lines, one shuffle by diagram."""
+"""Diagram text to graph rows and element tables: one expression on each text, no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statelens.functions import text as T
@@ -40,54 +40,104 @@ def name(x):
     return T.squeeze(F.when(x.rlike('^".*"$') & (F.length(x) >= 2), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x))
 
 
-def parse(diagrams: DataFrame) -> Elements:
-    """Elements of (diagram_id, text, ...). Null and empty texts give a diagram without elements."""
-    c = F.col
-    rows = diagrams.select("diagram_id", F.posexplode(F.split(block(F.coalesce("text", F.lit(""))), "\n")).alias("pos", "raw"))
-    rows = rows.select("diagram_id", (c("pos") + 1).cast("long").alias("line_no"), F.trim(F.substring_index(F.regexp_replace("raw", "\t", " "), "'", 1)).alias("line"))
-    rows = rows.withColumn("low", F.lower("line"))
-    note = c("low").startswith("note ") | (c("low") == "note on link")
-    opens = note & ~F.contains("low", F.lit("end note")) & ~c("low").rlike(r"^note\s+.+\s*:\s*")
-    before = Window.partitionBy("diagram_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.last(F.when(opens, 1).when(c("low") == "end note", 0), ignorenulls=True).over(before), F.lit(0))
-    rows = rows.withColumn("inside", inside).where((c("inside") == 0) & ~note & (c("line") != "") & ~c("line").startswith("@") & ~c("line").isin("}", "--", "||"))
-    rows = rows.where(~c("line").rlike("^(skinparam|hide|title|left to right direction)"))
-    get = lambda pattern, i: F.regexp_extract("line", pattern, i)
-    is_transition = c("line").rlike(TRANSITION)
-    part = F.trim(F.substring_index("line", ":", 1))
-    described = F.contains("line", F.lit(":")) & ~is_transition & (part != "") & ~F.contains(part, F.lit(" ")) & ~part.startswith("note")
-    rows = rows.withColumn("kind", F.when(described, "description").when(c("line").rlike(ALIAS), "alias").when(c("line").rlike(ALIAS_REVERSE), "reverse").when(c("line").rlike(STATE), "state").when(is_transition, "transition")).where("kind is not null")
-    is_kind = lambda k: c("kind") == k
-    rows = rows.withColumn("alias", F.when(is_kind("alias"), get(ALIAS, 2)).when(is_kind("reverse"), get(ALIAS_REVERSE, 1)))
-    rows = rows.withColumn("label", F.when(is_kind("alias"), name(get(ALIAS, 1))).when(is_kind("reverse"), name(get(ALIAS_REVERSE, 2))))
-    decl = F.when(c("alias").isNotNull(), F.struct("line_no", "alias", "label"))
-    # a diagram's declarations above each line: the latest one of a name wins
-    rows = rows.withColumn("known", F.collect_list(decl).over(before))
-    resolve = lambda x: F.coalesce(F.try_element_at(F.filter("known", lambda d: d["alias"] == x), F.lit(-1))["label"], x)
-    history = r"\s*\[H\*?\]$"
-    ends = [name(get(TRANSITION, i)) for i in (1, 2)]
-    bare = lambda x: F.when(x.isin("[H]", "[H*]"), "").otherwise(F.regexp_replace(x, history, ""))
+def _let(value, f):
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _kept_lines(text):
+    """(line_no, line) outside of notes, without comments, markers and lines that say nothing."""
+    lines = F.transform(F.split(block(F.coalesce(text, F.lit(""))), "\n"), lambda r, i: F.struct((i + 1).cast("long").alias("line_no"), F.trim(F.substring_index(F.regexp_replace(r, "\t", " "), "'", 1)).alias("line")))
+
+    def step(acc, x):
+        line, low = x["line"], F.lower(x["line"])
+        note = low.startswith("note ") | (low == "note on link")
+        opens = note & ~F.contains(low, F.lit("end note")) & ~low.rlike(r"^note\s+.+\s*:\s*")
+        says = ~note & (line != "") & ~line.startswith("@") & ~line.isin("}", "--", "||") & ~line.rlike("^(skinparam|hide|title|left to right direction)")
+        inside = F.when(opens, True).when(low == "end note", False).otherwise(acc["inside"])
+        return F.struct(inside.alias("inside"), F.when(~acc["inside"] & says, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"))
+
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<line_no:bigint,line:string>>").alias("kept"))
+    return F.aggregate(lines, start, step, lambda acc: acc["kept"])
+
+
+HISTORY = r"\s*\[H\*?\]$"
+
+
+def _read(x):
+    """What a line says: kind, declared names, ends, event."""
+    line = x["line"]
+    get = lambda pattern, i: F.regexp_extract(line, pattern, i)
+    part = F.trim(F.substring_index(line, ":", 1))
+    is_transition = line.rlike(TRANSITION)
+    described = F.contains(line, F.lit(":")) & ~is_transition & (part != "") & ~F.contains(part, F.lit(" ")) & ~part.startswith("note")
+    kind = F.when(described, "description").when(line.rlike(ALIAS), "alias").when(line.rlike(ALIAS_REVERSE), "reverse").when(line.rlike(STATE), "state").when(is_transition, "transition")
+    of = lambda k, value: F.when(kind == k, value)
+    stereo = F.coalesce(of("alias", get(ALIAS, 3)), of("reverse", get(ALIAS_REVERSE, 3)), of("state", get(STATE, 2)))
+    return F.struct(
+        x["line_no"].alias("line_no"), kind.alias("kind"), F.coalesce(of("alias", get(ALIAS, 2)), of("reverse", get(ALIAS_REVERSE, 1))).alias("alias"),
+        F.coalesce(of("alias", name(get(ALIAS, 1))), of("reverse", name(get(ALIAS_REVERSE, 2)))).alias("label"), of("state", name(get(STATE, 1))).alias("named"), of("description", name(part)).alias("described"),
+        of("transition", name(get(TRANSITION, 1))).alias("s0"), of("transition", name(get(TRANSITION, 2))).alias("d0"), of("transition", T.squeeze(get(TRANSITION, 3))).alias("event"),
+        F.nullif(F.lower(T.squeeze(stereo)), F.lit("")).alias("stereo"), (~(kind == "description") & line.endswith("{")).alias("composite"),
+    )
+
+
+def _graph(rows):
+    """The graph of read lines: a name declared above a line stands for its label there, the latest declaration wins."""
+    bare = lambda x: F.when(x.isin("[H]", "[H*]"), "").otherwise(F.regexp_replace(x, HISTORY, ""))
     flagged = lambda x: x.rlike(r"\[H\*?\]$")
-    rows = rows.withColumn("s0", ends[0]).withColumn("d0", ends[1]).withColumn("src", resolve(bare(c("s0")))).withColumn("dst", resolve(bare(c("d0"))))
-    rows = rows.withColumn("hist", F.when(flagged(c("s0")), bare(c("s0"))).when(flagged(c("d0")), bare(c("d0"))))
-    rows = rows.withColumn("event", T.squeeze(get(TRANSITION, 3)))
-    stereo = F.when(is_kind("alias"), get(ALIAS, 3)).when(is_kind("reverse"), get(ALIAS_REVERSE, 3)).when(is_kind("state"), get(STATE, 2))
-    rows = rows.withColumn("stereo", F.nullif(F.lower(T.squeeze(stereo)), F.lit("")))
-    declared = F.coalesce("label", F.when(is_kind("state"), name(get(STATE, 1))).when(is_kind("description"), resolve(name(part))))
-    rows = rows.withColumn("declared", declared).withColumn("composite", ~is_kind("description") & c("line").endswith("{"))
     star = F.lit("[*]")
-    t = rows.where(is_kind("transition"))
-    both = (c("src") == star) & (c("dst") == star)
-    empty = (c("src") == "") | (c("dst") == "")
-    plain = t.where((c("src") != star) & (c("dst") != star) & ~empty)
-    initials = t.where((c("src") == star) & (c("dst") != star)).select("diagram_id", "line_no", c("dst").alias("target"))
-    finals = t.where((c("dst") == star) & (c("src") != star)).select("diagram_id", c("src").alias("state")).distinct()
-    errors = t.where(both | (empty & (c("src") != star) & (c("dst") != star))).select("diagram_id", "line_no", F.when(both, "invalid_pseudo_transition").otherwise("empty_endpoint").alias("kind"))
-    flags = lambda df, state, explicit, composite, stereo: df.select("diagram_id", state.alias("state"), explicit.alias("x"), composite.alias("m"), F.lit(False).alias("h"), stereo.alias("stereo"))
-    no, none = F.lit(False), F.lit(None).cast("string")
-    found = flags(rows.where("declared is not null"), c("declared"), F.lit(True), c("composite"), c("stereo"))
-    for side in ("src", "dst"):
-        found = found.union(flags(t, c(side), no, no, none))
-    found = found.union(t.where("hist is not null").select("diagram_id", resolve(c("hist")), no, no, F.lit(True), none))
-    states = found.where((c("state") != star) & (c("state") != "")).groupBy("diagram_id", "state").agg(F.max("x").alias("is_explicit"), F.max("m").alias("is_composite"), F.max("h").alias("is_history"), F.array_sort(F.collect_set("stereo")).alias("stereotypes"))
-    return Elements(diagrams, states, plain.select("diagram_id", "line_no", "src", "event", "dst"), initials, finals, errors)
+
+    def with_names(known):
+        resolve = lambda x, at: F.coalesce(F.try_element_at(F.filter(known, lambda d: (d["alias"] == x) & (d["line_no"] < at)), F.lit(-1))["label"], x)
+
+        def arrow(r):
+            ends = (resolve(bare(r["s0"]), r["line_no"]).alias("src"), resolve(bare(r["d0"]), r["line_no"]).alias("dst"))
+            past = F.when(flagged(r["s0"]), bare(r["s0"])).when(flagged(r["d0"]), bare(r["d0"]))
+            return F.struct(*ends, r["event"].alias("event"), resolve(past, r["line_no"]).alias("past"))
+
+        node = lambda state, x=False, m=None, h=False, stereo=None: F.struct(state.alias("state"), F.lit(x).alias("x"), (F.lit(False) if m is None else m).alias("m"), F.lit(h).alias("h"), (F.lit(None).cast("string") if stereo is None else stereo).alias("stereo"))
+        declared = lambda r: node(F.coalesce(r["label"], r["named"], resolve(r["described"], r["line_no"])), True, r["composite"], stereo=r["stereo"])
+        arrows = F.transform(F.filter(rows, lambda r: r["kind"] == "transition"), arrow)
+        return _let(arrows, lambda t: _let(F.filter(F.concat(
+            F.transform(F.filter(rows, lambda r: r["kind"] != "transition"), declared), F.transform(t, lambda e: node(e["src"])), F.transform(t, lambda e: node(e["dst"])), F.transform(F.filter(t, lambda e: e["past"].isNotNull()), lambda e: node(e["past"], h=True)),
+        ), lambda n: (n["state"] != star) & (n["state"] != "")), lambda found: built(t, found)))
+
+    def built(t, found):
+        merge = lambda n: _let(F.filter(found, lambda f: f["state"] == n), lambda fs: F.struct(
+            n.alias("state"), F.exists(fs, lambda f: f["x"]).alias("is_explicit"), F.exists(fs, lambda f: f["m"]).alias("is_composite"), F.exists(fs, lambda f: f["h"]).alias("is_history"),
+            F.array_sort(F.array_distinct(F.array_compact(F.transform(fs, lambda f: f["stereo"])))).alias("stereotypes"),
+        ))
+        empty = lambda e: (e["src"] == "") | (e["dst"] == "")
+        plain = lambda e: (e["src"] != star) & (e["dst"] != star)
+        wrong = lambda e: F.when((e["src"] == star) & (e["dst"] == star), "invalid_pseudo_transition").when(empty(e) & plain(e), "empty_endpoint")
+        return F.struct(
+            F.transform(F.array_sort(F.array_distinct(F.transform(found, lambda f: f["state"]))), merge).alias("states"),
+            F.transform(F.filter(t, lambda e: plain(e) & ~empty(e)), lambda e: F.struct(e["src"].alias("src"), e["event"].alias("event"), e["dst"].alias("dst"))).alias("edges"),
+            F.array_sort(F.transform(F.filter(t, lambda e: (e["src"] == star) & (e["dst"] != star)), lambda e: e["dst"])).alias("inits"),
+            F.array_sort(F.array_distinct(F.transform(F.filter(t, lambda e: (e["dst"] == star) & (e["src"] != star)), lambda e: e["src"]))).alias("finals"),
+            F.array_sort(F.array_compact(F.transform(t, wrong))).alias("errors"),
+        )
+
+    return _let(F.filter(rows, lambda r: r["alias"].isNotNull()), with_names)
+
+
+def parse_graphs(diagrams: DataFrame) -> DataFrame:
+    """diagrams (diagram_id, text, ...) without the text, as graph rows: states, edges in line order, inits, finals, errors.
+
+    All of it is one expression on the text: nothing is shuffled. Null and empty texts give a graph without elements.
+    """
+    g = _let(F.filter(F.transform(_kept_lines(F.col("text")), _read), lambda r: r["kind"].isNotNull()), _graph)
+    rest = [c for c in diagrams.columns if c != "text"]
+    # explode keeps the optimiser from computing the graph once for each of its fields
+    return diagrams.select(*rest, F.explode(F.array(g)).alias("g")).select(*rest, "g.*")
+
+
+def parse(diagrams: DataFrame) -> Elements:
+    """Elements of (diagram_id, text, ...), from graph rows."""
+    g = parse_graphs(diagrams.select("diagram_id", "text"))
+    edges = g.select("diagram_id", F.posexplode("edges").alias("p", "e")).select("diagram_id", (F.col("p") + 1).cast("long").alias("line_no"), "e.src", "e.event", "e.dst")
+    each = lambda c, alias: g.select("diagram_id", F.explode(c).alias(alias))
+    starts = g.select("diagram_id", F.posexplode("inits").alias("p", "target")).select("diagram_id", (F.col("p") + 1).cast("long").alias("line_no"), "target")
+    errors = g.select("diagram_id", F.posexplode("errors").alias("p", "kind")).select("diagram_id", (F.col("p") + 1).cast("long").alias("line_no"), "kind")
+    return Elements(diagrams, each("states", "s").select("diagram_id", "s.*"), edges, starts, each("finals", "state"), errors)

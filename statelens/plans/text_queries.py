@@ -71,11 +71,11 @@ def b15_rich_ends(spark, sf):
 
 def c1_rich_violations(spark, sf):
     """All rules over parsed texts: missing and double initial states, missing final states, orphans, unreachable states, parse errors."""
-    return G.violations(G.rules(G.graphs(_rich(spark, sf))))
+    return G.violations(G.rules(E.parse_graphs(B.rich_texts(spark, sf))))
 
 
 def c11_rich_validation(spark, sf):
-    v = G.validation(G.rules(G.graphs(_rich(spark, sf))))
+    v = G.validation(G.rules(E.parse_graphs(B.rich_texts(spark, sf))))
     return v.select("diagram_id", "warning_count", "initial_state", "duplicate_transition_count", F.array_join("unreachable_states", ",").alias("unreachable"), "state_count", "transition_count", "strict_valid", "score")
 
 
