@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statelens.functions.small import times
+
 TASK = "Draw one state machine for the requirement below. Answer with a single diagram block between @startuml and @enduml."
 CLOSE = "Answer with the diagram only."
 # Fixed order: the first rule whose key occurs in an issue gives its advice.
@@ -40,13 +42,10 @@ def prompt_ready(text):
 def generation_prompts(cases: DataFrame, configs: DataFrame, examples: DataFrame, contexts: DataFrame) -> DataFrame:
     """(case_id, run_id, strategy, prompt): zero_shot and few_shot have templates of their own, all else the general one.
 
-    configs is a small dimension, listed by name; examples: case_id, examples (array of requirement, diagram); contexts:
+    configs is a dimension, whose size is checked; examples: case_id, examples (array of requirement, diagram); contexts:
     case_id, context. A context follows the requirement, which comes first then.
     """
-    runs = [F.struct(*[F.lit(r[c]).alias(c) for c in ("run_id", "strategy", "use_rag")]) for r in configs.select("run_id", "strategy", "use_rag").collect()]
-    if not runs:
-        return cases.select("case_id", F.lit("").alias("run_id"), F.lit("").alias("strategy"), F.lit("").alias("prompt")).limit(0)
-    j = cases.join(examples, "case_id", "left").join(contexts, "case_id", "left").withColumn("r", F.explode(F.array(*runs))).select("*", "r.*")
+    j = times(cases.join(examples, "case_id", "left").join(contexts, "case_id", "left"), configs.select("run_id", "strategy", "use_rag"))
     number = lambda i: (i + 1).cast("string")
     one = lambda x, i: F.concat(F.lit("Requirement of example "), number(i), F.lit(":\n"), x["requirement"], F.lit("\n\nDiagram of example "), number(i), F.lit(":\n"), x["diagram"])
     shown = F.coalesce(F.nullif(F.array_join(F.transform("examples", one), "\n\n"), F.lit("")), F.lit("There are no examples."))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from statelens.functions.small import times
+
 BUCKETS = 4096
 
 
@@ -61,9 +63,8 @@ def pick_examples(targets: DataFrame, pool: DataFrame, key: str, stratum: str, k
     sizes = by_stratum.groupBy(stratum).agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(stratum)))
     start = F.conv(F.substring(seeded(seed, "target"), 1, 8), 16, 10).cast("long")
     t = targets.select(F.col(key).alias("target")).withColumn("start", start)
-    wanted = t.join(F.broadcast(sizes), F.lit(True)) if k > 1 else None  # one row for each stratum
-    total = pool.agg(F.count("*").alias("n"))
-    fill = t.join(F.broadcast(total), F.lit(True)).select("target", "start", "n", F.explode(F.sequence(F.lit(0), F.lit(2 * k))).alias("step"))
+    wanted = times(t, sizes) if k > 1 else None  # one row for each stratum
+    fill = times(t, pool.agg(F.count("*").alias("n"))).select("target", "start", "n", F.explode(F.sequence(F.lit(0), F.lit(2 * k))).alias("step"))
     fill = fill.withColumn("i", (F.col("start") + F.col("step")) % F.col("n") + 1).join(overall, "i").select("target", "example", (1000 + F.col("step")).alias("o"))
     out = fill
     if wanted is not None:

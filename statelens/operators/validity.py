@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statelens.functions import text as T
+from statelens.functions.small import times
 
 
 def pass_rates(rows: DataFrame, keys: list[str], flag: str) -> DataFrame:
@@ -25,7 +26,7 @@ def dense_rates(rows: DataFrame, keys: list[str], flag: str) -> DataFrame:
     rates = pass_rates(rows, keys, flag)
     grid = rates.select(keys[0]).distinct()
     for k in keys[1:]:
-        grid = grid.crossJoin(rates.select(k).distinct())
+        grid = times(grid, rates.select(k).distinct())
     return grid.join(rates, keys, "left").fillna(0)
 
 
@@ -45,7 +46,7 @@ def kind_deltas(distribution: DataFrame, group: str, reference: str) -> DataFram
     """Each group against the reference group on the dense grid of kinds: frequencies, difference and status."""
     d = distribution.groupBy(group, "kind").agg(F.sum("count").alias("count"), F.max("total").alias("total"))
     totals = distribution.groupBy(group).agg(F.max("total").alias("total"))
-    grid = totals.crossJoin(d.select("kind").distinct())
+    grid = times(totals, d.select("kind").distinct())
     full = grid.join(d.select(group, "kind", "count"), [group, "kind"], "left").fillna(0, ["count"]).withColumn("share", T.ratio(100.0 * F.col("count"), "total"))
     ref = full.where(F.col(group) == reference).select("kind", F.col("share").alias("ref_share"))
     out = full.where(F.col(group) != reference).join(ref, "kind").withColumn("delta", F.col("share") - F.col("ref_share"))
@@ -59,6 +60,15 @@ def top_kinds(distribution: DataFrame, n: int) -> DataFrame:
     return distribution.groupBy("kind").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "kind").limit(n)
 
 
+def cases_per_group(rows: DataFrame, keys: list[str], number: str, width: int = 1000) -> DataFrame:
+    """(keys, part, n, cases): the case numbers of each group as lists in order, one list for each ``width`` numbers, so that
+    no row grows with the group.
+    """
+    part = F.floor(F.col(number) / width)
+    g = rows.groupBy(*keys, part.alias("part")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(number)).alias("c"))
+    return g.select(*keys, "part", "n", F.array_join("c", ", ").alias("cases"))
+
+
 def composition(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(keys, change, mean, total): mean of each change column and the sum of the means within keys."""
     m = rows.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns]).unpivot(keys, columns, "change", "mean")

@@ -85,8 +85,7 @@ def k17_valid_counts_with_total(spark, sf):
 
 
 def k18_cases_per_group(spark, sf):
-    v = B.validity(spark, sf)
-    return v.groupBy("model", "method").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.col("case_id"))), ", ").alias("cases"))
+    return K.cases_per_group(B.validity(spark, sf), ["model", "method"], "case_id")
 
 
 def _scores(spark, sf):
@@ -252,7 +251,7 @@ select m.model, t.method, coalesce(total, 0) as total, coalesce(valid, 0) as val
     "k14_overall_pass_rate": f"{_V} select 'all' as pool, {_RATE.format(f='strict_valid')} from v",
     "k15_top_kinds": f"{_KIND} select kind, cast(sum(count) as bigint) as count from dist group by 1 order by 2 desc, 1 limit 3",
     "k17_valid_counts_with_total": f"{_V} select case when grouping(method) = 1 then 'TOTAL' else method end as method, count(*) as total, count(*) filter (strict_valid) as valid from v group by rollup (method)",
-    "k18_cases_per_group": f"{_V} select model, method, count(*) as n, string_agg(cast(case_id as varchar), ', ' order by case_id) as cases from v group by 1, 2",
+    "k18_cases_per_group": f"{_V} select model, method, case_id // 1000 as part, count(*) as n, string_agg(cast(case_id as varchar), ', ' order by case_id) as cases from v group by 1, 2, 3",
     "l1_midranks": f"{_R}, h as (select criterion, score, count(*) as ties from s group by 1, 2) select criterion, score, ties, coalesce(sum(ties) over (partition by criterion order by score rows between unbounded preceding and 1 preceding), 0) + (ties + 1) / 2 as midrank from h",
     "l2_kruskal_wallis": f"{_R}, {_ranked(['criterion'])} select criterion, groups, cast(total as bigint) as n, h, groups - 1 as df, exp(-h / 2) as p from kw",
     "l3_dunn": f"{_DUNN} select * from d",

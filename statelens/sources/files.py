@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statelens.functions.small import times
+
 KINDS = {"raw_requirement.txt": "raw_requirement", "structured_requirement.txt": "structured_requirement", "diagram.puml": "gold_text"}
 
 
@@ -97,10 +99,10 @@ def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_matrix(models: DataFrame, strategies: DataFrame, tag: str = "") -> DataFrame:
-    """Every model with every strategy (both small dimensions) and the composed run_id."""
+    """Every model with every strategy (a dimension, whose size is checked) and the composed run_id."""
     label = F.regexp_replace(F.lower(F.lit(tag)), "[^a-z0-9]+", "_")
     parts = F.concat_ws("__", "model_group", "model_label", F.when(F.length(label) > 0, F.concat_ws("_", "strategy", label)).otherwise(F.col("strategy")))
-    return models.crossJoin(F.broadcast(strategies)).withColumn("run_id", parts)
+    return times(models, strategies).withColumn("run_id", parts)
 
 
 def one_shot_ids(configs: DataFrame, examples: int) -> DataFrame:
@@ -125,9 +127,8 @@ def explode_attempts(meta: DataFrame) -> DataFrame:
 
 def subsets(docs: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """(subset, name, ...): documents under each named subset that lists their group."""
-    pairs = [(s, g) for s, gs in groups.items() for g in gs]
-    spark = docs.sparkSession
-    return docs.join(F.broadcast(spark.createDataFrame(pairs, "subset string, group string")), "group")
+    names = [F.when(F.col("group").isin(*gs), F.lit(s)) for s, gs in groups.items()]
+    return docs.withColumn("subset", F.explode(F.array_compact(F.array(*names))))
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple = ()) -> None:
