@@ -42,6 +42,14 @@ def staged(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def aside(columns, taken) -> dict[str, str]:
+    """New names for the columns whose names are taken; they clash with no other column."""
+    prefix = "_"
+    while any(f"{prefix}{c}" in columns for c in taken if c in columns):
+        prefix += "_"
+    return {c: f"{prefix}{c}" for c in columns if c in taken}
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what staged() wrote for these frames; nothing may read them any more."""
     for df in frames:

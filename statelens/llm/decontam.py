@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statelens.llm.common import LOWER, text_chunks, word_hashes, word_spans
+from statelens.llm.common import LOWER, aside, text_chunks, word_hashes, word_spans
 
 WINDOW = 13
 BLOCK_CHARS = 4_000_000
@@ -190,6 +190,10 @@ def _shard(buf, offs, t: TestSuffixes, window: int):
     return per, out
 
 
+#: Columns that annotate() adds.
+TAKEN = ("n_words", "spans", "items", "longest", "longest_start", "longest_item", "n_hit", "contaminated")
+
+
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs with n_words, spans (word intervals inside occurring windows), items (sorted ids), longest (words of the longest
     verbatim match), longest_start (its first word's number in the document), longest_item, n_hit and contaminated.
@@ -197,7 +201,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text:
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_CHARS))
     added = {"n_words": "long", "spans": KIND, "items": "array<string>", "longest": "long", "longest_start": "long", "longest_item": "string"}
-    names = {c: f"_{c}" for c in docs.columns if c in (*added, "n_hit", "contaminated")}  # clashing columns step aside
+    names = aside(docs.columns, TAKEN)  # clashing columns step aside
     docs = docs.withColumnsRenamed(names)
     part = benchmark.select("item_id", "text").withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     sc = docs.sparkSession.sparkContext
@@ -256,7 +260,8 @@ def digest(found: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that aren't contaminated, as they are."""
     kept = annotate(docs, benchmark, window, keep_text=True).where("not contaminated")
-    return kept.select(*[F.col(f"_{c}" if f"_{c}" in kept.columns and f"_{c}" not in docs.columns else c).alias(c) for c in docs.columns])
+    names = aside(docs.columns, TAKEN)
+    return kept.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

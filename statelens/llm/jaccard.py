@@ -488,18 +488,19 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     kept = docs.join(single.hint("shuffle_merge"), "doc_id", "left_semi").select(*docs.columns)
     if many.isEmpty():
         return kept
-    again = with_class(docs.join(many, docs["doc_id"].eqNullSafe(many["d"]), "left_semi"), k)
-    stay = named.where("cls is not null").select(F.col("doc_id").alias("d"), F.col("cls").alias("c")).distinct()
-    chosen = again.join(stay, again["doc_id"].eqNullSafe(stay["d"]) & (again["_cls"] == stay["c"]), "left_semi").dropDuplicates(["doc_id", "_cls"])
-    return kept.union(chosen.select(*docs.columns)).union(again.where("_cls is null").select(*docs.columns).distinct())
+    cls = next(n for n in ("_cls", *(f"_cls{i}" for i in range(len(docs.columns)))) if n not in docs.columns)
+    again = with_class(docs.join(many, docs["doc_id"].eqNullSafe(many["d"]), "left_semi"), k, cls)
+    stay = named.where("cls is not null").select(F.col("doc_id").alias("_d"), F.col("cls").alias("_c")).distinct()
+    chosen = again.join(stay, again["doc_id"].eqNullSafe(stay["_d"]) & (again[cls] == stay["_c"]), "left_semi").dropDuplicates(["doc_id", cls])
+    return kept.union(chosen.select(*docs.columns)).union(again.where(F.col(cls).isNull()).select(*docs.columns).distinct())
 
 
-def with_class(docs: DataFrame, k: int) -> DataFrame:
-    """docs with ``_cls``, the class of its text's set (null for no words)."""
+def with_class(docs: DataFrame, k: int, name: str) -> DataFrame:
+    """docs with the column ``name``: the class of its text's set (null for no words)."""
 
     def run(batches):
         for b in batches:
             cls = [digest(s) if len(s) else None for _, s in shingle_sets(b.column(b.schema.get_field_index("text")), k)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cls, pa.binary())], [*b.schema.names, "_cls"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cls, pa.binary())], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, docs.withColumn("_cls", F.lit(None).cast("binary")).schema)
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(None).cast("binary")).schema)

@@ -1,8 +1,8 @@
 """Operator 10: language identification on averaged hashed subword embeddings, with calibrated rejection.
 
 The documents that the training keeps aside set the temperature of the probabilities and the rejection: a document
-is rejected whose best language is less sure than MARGIN times the least sure right answer among those (a half at
-most: who is surer of one language than of all others keeps it), or less sure than CHANCE times a guess.
+is rejected whose best language is less sure than MARGIN times the least sure right answer among those, or than CHANCE
+times a guess; but who is surer of one language than of all others together never is.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statelens.llm import embed
+from statelens.llm.common import aside
 from statelens.llm.quality import held_out
 
 PARAMS = embed.Params()
@@ -23,7 +24,7 @@ def rejection(model: embed.Model | None, reject_below: float | None = None) -> f
     """The probability of the best language below which a document is rejected."""
     if reject_below is not None or model is None:
         return reject_below or 0.0
-    return max(CHANCE / len(model.classes), min(0.5, MARGIN * model.surest_low))
+    return min(0.5, max(CHANCE / len(model.classes), MARGIN * model.surest_low))
 
 
 def annotate(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float | None = None, keep_text: bool = True) -> DataFrame:
@@ -38,7 +39,7 @@ def annotate(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float
     known = docs.where(~held_out("doc_id") & F.col("lang").isNotNull())
     train = known.where(embed.chosen("doc_id", known.count(), params)).select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label"))
     model = embed.fit(train.where(F.col("text").rlike(LETTER)), params)
-    docs = docs.drop("lang_pred", "lang_score", "rejected", "probs")
+    docs = docs.drop("lang_pred", "lang_score", "rejected", "probs", "_letters")
     letters = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)) if model else F.lit(False)
     scored = embed.score(docs.withColumn("_letters", letters), model, keep_text=keep_text)
     best = F.array_max("probs")
@@ -56,6 +57,6 @@ def identify(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float
 
 def accept(docs: DataFrame, params: embed.Params = PARAMS, reject_below: float | None = None) -> DataFrame:
     """The documents that aren't rejected, as they are."""
-    aside = {c: f"_in_{c}" for c in docs.columns if c in ("lang_pred", "lang_score", "rejected", "probs")}
-    kept = annotate(docs.withColumnsRenamed(aside), params, reject_below).where("not rejected")
-    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+    names = aside(docs.columns, ("lang_pred", "lang_score", "rejected", "probs", "_letters"))
+    kept = annotate(docs.withColumnsRenamed(names), params, reject_below).where("not rejected")
+    return kept.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

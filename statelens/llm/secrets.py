@@ -10,7 +10,7 @@ step (Benjamini-Hochberg over all words of the document, each weighted by its le
 test counting as hypotheses never rejected) decides; a token whose symbols uniformity itself rejects at
 ``UNIFORM_P`` is never called random.
 
-Null and empty texts have no span. Offsets count code points, ends are exclusive. Repeated rows each get
+Null and empty texts have no span; an empty table gives no rows; a column named ``found`` is replaced by scan(). Offsets count code points, ends are exclusive. Repeated rows each get
 their own result; texts of any length are read whole.
 """
 
@@ -136,7 +136,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, with ``found``: an array of (start, end, kind) sorted by start, then kind."""
     import pyarrow as pa
 
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, "found")]
     kind = "array<struct<start:bigint,end:bigint,kind:string>>"
     schema = docs.select(*keep, F.lit(None).cast(kind).alias("found")).schema
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))

@@ -755,3 +755,22 @@ def test_pipeline(spark, tmp_path):
     out = P.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == kept[3] and all(r.taken <= 3 * r.size for r in out)
     assert P.ORACLE_SQL is None and 4 <= len(P.STAGES) <= 5
+
+
+def test_stages_take_clashing_columns_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(4)
+    texts = [f"the and of {words(rng, 60)}" for _ in range(12)] + ["the and of x", None, ""]
+    names = ["probs", "rejected", "lang_pred", "_lang_pred", "_letters", "spans", "_spans", "items", "contaminated", "found", "cls", "_cls", "rep", "size", "bits", "d", "_d", "key", "text_"]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS).union(spark.createDataFrame([(0, texts[1], "en", "s", 3)], DOCS))
+    d = d.withColumns({n: F.lit(n) for n in names})
+    spark.createDataFrame([(1, words(rng, 30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, f in P.STAGES[:-1]:
+        out = f(spark, d, str(tmp_path))
+        assert out.columns == d.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == n for r in rows for n in names), name
+        assert f(spark, d.limit(0), str(tmp_path)).count() == 0
+    assert P.STAGES[-1][1](spark, d, str(tmp_path)).count() == d.count() and P.STAGES[-1][1](spark, d.limit(0), str(tmp_path)).count() == 0
+    assert secrets.scan(d.limit(0)).count() == 0 and secrets.scan(d).columns.count("found") == 1
