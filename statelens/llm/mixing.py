@@ -110,12 +110,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 11, reac
     fitted = lengths.groupBy("source").applyInPandas(choose, "source string, size long, n long, whole long, extra long, gap long")
     row = F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.col("doc_id"))
     fitted = staged(fitted)
-    f = fitted.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "whole", "extra")
+    # a row for each source and length: too many to send out at scale
+    f = fitted.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "whole", "extra").hint("shuffle_merge")
     placed = sized.where("size > 0").join(f, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
     placed = placed.withColumn("row", row).withColumn("bucket", F.pmod(F.shiftrightunsigned(F.col("row.h"), 8), F.ceil(F.col("n") / RANKED)))
     buckets = placed.groupBy("source", "size", "bucket").agg(F.count("*").alias("b"))
     earlier = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("k"), F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("earlier"))
+    buckets = buckets.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("k"), F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("earlier")).hint("shuffle_merge")
     placed = placed.join(buckets, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("k"))).drop("s", "z", "k")
     rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("row"))
     repeats = F.col("whole") + (F.col("earlier") + rank <= F.col("extra")).cast("long")
