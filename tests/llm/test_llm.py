@@ -82,6 +82,52 @@ def test_classifier_edges(spark):
     assert langid.identify(d.limit(0), small).count() == 0 and langid.accept(d, small).columns == d.columns
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & M64
+    return h ^ (h >> 31)
+
+
+def plain_probs(text, m):
+    """Probabilities of a text, feature by feature, in plain Python integers and floats."""
+    p, mult = m.params, int(common.MULTIPLIER)
+    word_hash = lambda b: plain_mix((sum(int(common.BYTE_HASH[x]) * pow(mult, i, 1 << 64) for i, x in enumerate(b)) + len(b)) & M64)
+    char_hash = lambda c: sum(int(common.BYTE_HASH[x]) * pow(0x2545F4914F6CDD1D, i, 1 << 64) for i, x in enumerate(c)) & M64
+    vectors, before = [], None
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+        low = w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        chars = [b"\1", *(c.encode() for c in (w if p.shapes else low)), b"\2"]
+        feats = [plain_mix((word_hash(b"".join(chars)) + 99) & M64)]
+        for k in p.ngrams:
+            feats += [plain_mix((sum(char_hash(chars[i + j]) * pow(mult, j, 1 << 64) for j in range(k)) + k) & M64) for i in range(len(chars) - k + 1)]
+        if p.shapes:
+            shape = 0
+            for x in w.encode():
+                shape |= 1 if 65 <= x <= 90 else 2 if 97 <= x <= 122 or x > 127 else 4 if 48 <= x <= 57 else 8
+            feats.append(plain_mix((shape * 31 + min(len(w.encode()), 20) * 1009 + 5) & M64))
+        vectors.append(np.mean([m.table[f % (p.buckets - 8) + 8] for f in feats], axis=0))
+        if p.shapes and w == before:
+            vectors.append(m.table[0])
+        before = w
+    z = ((np.mean(vectors, axis=0) if vectors else np.zeros(len(m.classes))) + m.bias) / m.temperature
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+@pytest.mark.parametrize("shapes", [False, True])
+def test_scores_match_plain_python(spark, shapes):
+    rng = random.Random(6)
+    rows = [(i, f"{'der Und niçht über' if i % 2 else 'the AND of 12'} {words(rng, 12)}", "de" if i % 2 else "en") for i in range(40)]
+    small = embed.Params(max_docs=40, epochs=10, buckets=1 << 10, rate=1.0, shapes=shapes)
+    m = embed.fit(spark.createDataFrame(rows, "key long, text string, label string"), small)
+    texts = [r[1] for r in rows[:6]] + ["", None, "a", "Ünïcödé 漢字 漢字 漢字 x!", "the the  the\n\tDer der", "w1 " * 3000, "😀 и так далее"]
+    got = [r.probs for r in embed.score(docs_of(spark, texts).select("doc_id", "text").orderBy("doc_id"), m).orderBy("doc_id").collect()]
+    assert np.allclose(got, [plain_probs(t or "", m) for t in texts], atol=1e-5)
+
+
 # -- 2
 
 
@@ -694,6 +740,39 @@ def test_html_several_articles():
     assert html.main_text(f"<div><article><p>{P1}</p><p>{P1}</p></article><article><a href=x>{P2}</a></article></div>") == f"{P1}\n{P1}"
 
 
+def made_page(rng):
+    """A page and its main text: paragraphs, lists and headings in an article or a plain container, amid furniture."""
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) + rng.choice(["", "", ","]) for _ in range(n)) + "."
+    want, inner = [], []
+    for kind in ["p", "p", *rng.choices(["h2", "p", "ul", "quote", "table", "loose"], k=rng.randrange(2, 9)), "p"]:
+        text = prose(rng.randrange(3, 6) if kind == "h2" else rng.randrange(12, 60))
+        marked = text.replace(" ", rng.choice([" ", "\n  ", " <b>x</b> "]), 1)
+        plain = re.sub(r"\s+", " ", re.sub(r"<.*?>", "", marked))
+        if kind == "ul":
+            more = [prose(8) for _ in range(3)]
+            inner.append("<ul>" + "".join(f"<li>{x}" for x in more) + "</ul>")
+            want += more
+        elif kind == "table":
+            inner.append(f"<table><tr><td>{text}<td>{text}</table>")
+            want += [text, text]
+        else:
+            inner.append({"p": f"<p>{marked}</p>", "h2": f"<h2>{marked}</h2>", "quote": f"<blockquote><p>{marked}</p></blockquote>", "loose": f"<div>{marked}</div>"}[kind])
+            want.append(plain)
+    junk = ['<nav><ul><li><a href="/a">Home</a></li></ul></nav>', f'<aside><p>{prose(30)}</p></aside>', f'<div class="ad-box">{prose(25)}</div>', f"<script>var x = '<p>{prose(20)}</p>';</script>", f"<!-- {prose(20)} -->", f'<form><p>{prose(20)}</p><input></form>', f'<div id="comments"><p>{prose(40)}</p></div>', f"<style>p::after {{ content: '{prose(5)}' }}</style>"]
+    for x in rng.sample(junk, 3):
+        inner.insert(rng.randrange(len(inner) + 1), x)
+    outer = lambda: "".join(rng.sample([*junk, f"<footer><p>{prose(30)}</p></footer>", f"<header>{prose(4)}</header>"], 3))
+    tag, close = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content has-sidebar">', "</div>"), ("<div id=x><section>", "</section></div>")])
+    return f"<!DOCTYPE html><html><head><title>{prose(4)}</title></head><body>{outer()}{tag}{''.join(inner)}{close}{outer()}</body></html>", "\n".join(want)
+
+
+def test_html_generated_pages():
+    rng = random.Random(77)
+    for _ in range(300):
+        page, want = made_page(rng)
+        assert html.main_text(page) == want, page
+
+
 def test_html_deep_pages_take_linear_time():
     import time
 
