@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from statelens.llm.common import BYTE_HASH, MULTIPLIER, discard, mix, powers, staged, text_chunks
 
-SPAN, SHORT, GRAM, WORDS = 400, 300, 100, 50
+SPAN, SHORT, GRAM, WORDS = 400, 240, 80, 50
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 PIECE = 1 << 20
 SORT_BYTES = 2 << 20

@@ -630,7 +630,7 @@ def test_substrings(spark, monkeypatch, hot, piece):
     texts += [f"{words(rng, rng.randrange(5, 60))} {rng.choice(p)} {words(rng, rng.randrange(5, 60))}{rng.choice(p)[3:]}" for _ in range(12)]
     texts += [p[1] + "€" + p[1], p[2][50:480], p[2][79:479]]
     got = {r.doc_id: r for r in substrings.dedup(docs_of(spark, texts).withColumn("key", F.lit("clash"))).collect()}
-    want, near = brute_removal(texts), brute_removal(texts, 300)
+    want, near = brute_removal(texts), brute_removal(texts, substrings.SHORT)
     assert [tuple(got[i])[1:5] for i in range(len(texts))] == want
     for i, t in enumerate(texts):
         if not near[i][1]:
@@ -642,7 +642,7 @@ def test_substrings(spark, monkeypatch, hot, piece):
 def test_substrings_passages_and_null_ids(spark):
     rng = random.Random(31)
     short, long = words(rng, 75), words(rng, 120)  # about 330 and 530 bytes
-    assert 300 < len(short) < 400 < len(long)
+    assert substrings.SHORT < len(short) < 400 < len(long)
     rows = [(i, f"{words(rng, 40)} {x} {words(rng, 40)}", None, None, None) for i, x in ((1, short), (2, short), (3, long), (None, long), (None, long))] + [(6, "z", None, None, None)]
     rows += [(None, rows[4][1], None, None, None), (7, words(rng, 200), None, None, None)]
     got = substrings.dedup(spark.createDataFrame(rows, DOCS)).collect()
