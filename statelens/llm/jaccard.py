@@ -37,6 +37,8 @@ MAP_SHINGLES = 400_000
 #: Most classes with one equal segment that are compared pair by pair.
 PAIRED = 32
 FANOUT = 8
+#: Bytes of the exact bitmaps of a block's shared tokens; beyond that leaf pairs are compared one by one.
+EXACT_BYTES = 64 << 20
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -305,6 +307,25 @@ class Tree:
         return out
 
 
+def shared_bits(sets: list[np.ndarray]) -> np.ndarray | None:
+    """A row of bits for each set, one bit for each token that several sets have; None if that takes over EXACT_BYTES."""
+    size = np.array([len(s) for s in sets])
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    width = -(-int(number[-1] + 1) // 64) or 1
+    if len(sets) * width * 8 > EXACT_BYTES:
+        return None
+    out = np.zeros((len(sets), width * 8), np.uint8)
+    row, keep = np.repeat(np.arange(len(sets)), size), times[token] > 1
+    row, bit = row[keep], number[token[keep]]
+    for lo in range(0, len(sets), step := max(1, (1 << 24) // (width * 64))):
+        mine = slice(*np.searchsorted(row, [lo, lo + step]))
+        flags = np.zeros((min(step, len(sets) - lo), width * 64), bool)
+        flags[row[mine] - lo, bit[mine]] = True
+        out[lo : lo + step] = np.packbits(flags, axis=1)
+    return out.view(np.uint64)
+
+
 def join(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect what is linked: (i, j) indexes into left, or into left + right if right is given
     (then only pairs across). Links between sets that earlier links connect already are left out.
@@ -359,6 +380,7 @@ def join(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den:
     tree_a = Tree([sets[i] for i in order_a], bits)
     tree_b = tree_a if right is None else Tree([sets[i] for i in order_b], bits)
     order_a, order_b = np.array(order_a), np.array(order_b)
+    exact, sizes = shared_bits(sets), np.array([len(s) for s in sets], np.int64)
     roots = lambda order: np.array([find(int(i)) for i in order])
     stamp, la, lb = -1, None, None
     top_a, top_b = len(tree_a.levels) - 1, len(tree_b.levels) - 1
@@ -379,9 +401,14 @@ def join(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den:
             if not len(i):
                 continue
             if ka == 0 and kb == 0:
-                for x, y in zip(order_a[i].tolist(), order_b[j].tolist(), strict=True):
-                    if x != y:
-                        visit(x, y)
+                x, y = order_a[i], order_b[j]
+                if exact is not None:
+                    both = np.concatenate([np.bitwise_count(exact[x[c : c + 512]] & exact[y[c : c + 512]]).sum(1, dtype=np.int64) for c in range(0, len(x), 512)])
+                    ok = den * both >= num * (sizes[x] + sizes[y] - both)
+                    x, y = x[ok], y[ok]
+                for u, v in zip(x.tolist(), y.tolist(), strict=True):
+                    if u != v:
+                        visit(u, v)
                 continue
             # the higher of the two nodes is opened; in a self-join both, so that mirrored pairs can be dropped
             def opened(nodes, level, tree):

@@ -455,7 +455,10 @@ def test_jaccard_hot_segments(spark):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, 4, 85, 100)
 
 
-def test_tree_join_finds_all_links():
+@pytest.mark.parametrize("exact", [None, 0])
+def test_tree_join_finds_all_links(monkeypatch, exact):
+    if exact is not None:
+        monkeypatch.setattr(jaccard, "EXACT_BYTES", exact)
     rng = np.random.default_rng(6)
     for trial in range(6):
         base = [rng.integers(0, 1 << 62, 60, dtype=np.uint64) for _ in range(8)]
@@ -479,6 +482,18 @@ def test_tree_join_finds_all_links():
                 assert find(i) == find(j)
 
 
+def test_near_misses_take_little_time():
+    """Thousands of sets just under the threshold: every pair is compared, none links."""
+    import time
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(120)[:104]], rng.integers(0, 1 << 62, 16, dtype=np.uint64)])) for _ in range(2500)]
+    began = time.process_time()
+    links = jaccard.join(sets, None, 85, 100)
+    assert time.process_time() - began < 60 and all(100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j])) for i, j in links)
+
+
 def test_jaccard_edges(spark):
     d = spark.createDataFrame([(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (1, "q r s t u v w", "x"), (None, None, "x"), (5, "a b c d e f g", "y")], "doc_id long, text string, component_id string")
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.link(d, 4, 85, 100).collect()), key=repr)
