@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from statelens.llm.common import BYTE_HASH, LOWER, SPACE, mix, pieces, powers, text_chunks, word_hashes, word_spans
 
 
+#: Text bytes whose words' features are held at once: some hundred bytes for each.
+STEP_BYTES = 1 << 18
+
+
 @dataclass(frozen=True)
 class Params:
     """max_docs, max_chars: the bounds of the training sample. shapes: also learn from case, symbols and repeats."""
@@ -148,7 +152,7 @@ def _train_numpy(texts: list[str], y: np.ndarray, n_classes: int, p: Params):
 
 def _logits(buf, offs, model: Model) -> np.ndarray:
     if len(offs) == 2:  # one text of any length
-        sums = [_sums(x, np.array([0, len(x)]), model) for x in pieces(buf, SPACE)] or [_sums(buf, offs, model)]
+        sums = [_sums(x, np.array([0, len(x)]), model) for x in pieces(buf, SPACE, STEP_BYTES)] or [_sums(buf, offs, model)]
         return sum(x for x, _ in sums) / max(1, sum(n for _, n in sums)) + model.bias
     total, n = _sums(buf, offs, model)
     return total / np.maximum(1, n)[:, None] + model.bias
@@ -226,7 +230,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep_text: b
         m = shared.value
         for b in batches:
             column = b.column(b.schema.get_field_index(text))
-            got = [_softmax(_logits(buf, offs, m) / m.temperature) for _, buf, offs in text_chunks(column)]
+            got = [_softmax(_logits(buf, offs, m) / m.temperature) for _, buf, offs in text_chunks(column, STEP_BYTES)]
             probs = np.concatenate(got) if got else np.zeros((0, len(m.classes)))
             arrays = [b.column(b.schema.get_field_index(c)) for c in keep]
             flat = pa.ListArray.from_arrays(np.arange(0, probs.size + 1, len(m.classes), dtype=np.int32), pa.array(probs.ravel(), pa.float64()))

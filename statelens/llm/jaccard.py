@@ -38,7 +38,7 @@ MAP_SHINGLES = 400_000
 PAIRED = 32
 FANOUT = 8
 #: Bytes of the exact bitmaps of a block's shared tokens; beyond that leaf pairs are compared one by one.
-EXACT_BYTES = 64 << 20
+EXACT_BYTES = 32 << 20
 LOW48 = np.uint64((1 << 48) - 1)
 
 

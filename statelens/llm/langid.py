@@ -17,7 +17,7 @@ from statelens.llm.quality import held_out
 PARAMS = embed.Params()
 #: Has a letter of any alphabet.
 LETTER = r"\p{L}"
-MARGIN, CHANCE = 0.7, 1.4
+MARGIN, CHANCE = 0.45, 1.4
 
 
 def rejection(model: embed.Model | None, reject_below: float | None = None) -> float:
