@@ -57,6 +57,8 @@ def graph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("case_id"), F.floor((F.dayofmonth("ts") - 1) / 7).cast("long").alias("run_index"),
         F.struct("ts", "event_id", F.concat_ws("_", "event_type", F.floor(k / 25).cast("string")).alias("state"), F.concat(F.col("event_type"), F.lit(" k"), (k % 4).cast("string")).alias("label")).alias("s"),
     )
+    # dealt out by number: what follows costs time by the row, and merging small partitions would leave it to a few tasks
+    e = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "case_id", "run_index")
     g = e.groupBy("case_id", "run_index").agg(F.array_sort(F.collect_list("s")).alias("s"))
     end = lambda n: F.substring(n, -2, 2)
     kind = lambda n: F.array_compact(F.array(F.when(end(n) == "_0", "choice").when(end(n) == "_1", "fork").when(end(n) == "_2", "join")))
