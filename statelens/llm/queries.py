@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statelens.llm import decontam, html, jaccard, langid, licenses, media, mixing, quality, secrets, substrings
+from statelens.llm import alignment, decontam, html, jaccard, langid, licenses, media, mixing, quality, secrets, substrings
 
 
 def _table(spark, sf_dir, name):
@@ -53,6 +53,10 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark, sf_dir):
+    return alignment.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
@@ -64,5 +68,6 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_text": op9_html_text,
     "op10_language_id": op10_language_id,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
 }
 ORACLES = {"op5_license_scan": licenses.oracle(), "op7_decontamination": decontam.ORACLE}

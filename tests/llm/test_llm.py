@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips, planted cases and held-out labels."""
 
+import bisect
 import hashlib
 import itertools
 import os
@@ -8,13 +9,14 @@ import re
 import struct
 import textwrap
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statelens.llm import common, decontam, embed, html, jaccard, langid, licenses, media, mixing, quality, queries, secrets, substrings
+from statelens.llm import alignment, common, decontam, embed, html, jaccard, langid, licenses, media, mixing, quality, queries, secrets, substrings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SMALL = "/root/testdata/sf0.01"
@@ -868,3 +870,77 @@ def test_stages_take_clashing_columns_and_empty_tables(spark, tmp_path):
         assert f(spark, d.limit(0), str(tmp_path)).count() == 0
     assert P.STAGES[-1][1](spark, d, str(tmp_path)).count() == d.count() and P.STAGES[-1][1](spark, d.limit(0), str(tmp_path)).count() == 0
     assert secrets.scan(d.limit(0)).count() == 0 and secrets.scan(d).columns.count("found") == 1
+
+
+# -- 11
+
+
+def plain_alignment(rows):
+    """For each row what op11 returns, by sets and loops, with the public tokenizers library for A."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(alignment.Files.a), sentencepiece.SentencePieceProcessor(model_file=alignment.Files.b)
+    a.encode_special_tokens = True
+    byte = alignment._byte_characters()
+    out, held = [], Counter()
+    for _, text in rows:
+        ai, bi = a.encode(f" {text or ''}", add_special_tokens=False).ids, b.encode(text or "")
+        ab = [bytes(byte[c] for c in a.id_to_token(i)) for i in ai]
+        bb = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in bi]
+        if not text or not b"".join(ab) == b"".join(bb) == f" {text}".encode():
+            out.append(None)
+            continue
+        ends = [list(itertools.accumulate(map(len, x))) for x in (ab, bb)]
+        common = sorted({*ends[0]} & {*ends[1]})
+        groups = [([], []) for _ in common]
+        for k, ids in enumerate((ai, bi)):
+            for i, z in zip(ids, ends[k]):
+                groups[bisect.bisect_left(common, z)][k].append(i)
+        links = [p for g in groups for p in itertools.product(*g)]
+        held.update(set(links))
+        out.append((len(ai), len(bi), len(groups), links, ";".join("|".join(",".join(map(str, s)) for s in g) for g in groups)))
+    top = Counter()
+    for (i, _), n in held.items():
+        top[i] = max(top[i], n)
+    return [
+        (0, 0, 0, 0, 0, 0, "") if v is None else (*v[:3], len(v[3]), sum(held[p] == top[p[0]] for p in v[3]), sum(held[p] for p in v[3]), hashlib.sha256(v[4].encode()).hexdigest()) for v in out
+    ], held, top
+
+
+def test_alignment_against_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, f"{words(rng, rng.randrange(1, 60), 90)} the cat's naïve 東京 🙂 1{i}") for i in range(60)]
+    rows += [(None, "a null id"), (7, rows[7][1]), (7, rows[7][1]), (100, None), (101, ""), (102, " "), (103, "▁x"), (104, "x  \t\n y z <s> <|endoftext|> <0x41>"), (105, "ﬁ\u0000nal Å"), (106, "the " * 6000)]
+    rows += [(107, "\U0001f600́" * 900), (108, "a" * 5000 + "　" * 300)]
+    want, held, top = plain_alignment(rows)
+    columns = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    expected = sorted(((k, *w) for (k, _), w in zip(rows, want, strict=True)), key=repr)
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", F.lit(1)).withColumn("groups", F.lit("x"))
+    assert sorted((tuple(r[c] for c in columns) for r in alignment.digest(d.repartition(5)).collect()), key=repr) == expected
+    al = alignment.Alignment(d, radixes=2)
+    assert {(r.a, r.b): (r.documents, r.best) for r in al.pairs().collect()} == {p: (n, n == top[p[0]]) for p, n in held.items()}
+    texts = [r.groups for r in al.documents().collect()]
+    assert sorted("" if not t else hashlib.sha256(t.encode()).hexdigest() for t in texts) == sorted(w[-1] for w in want)
+    assert alignment.digest(d.limit(0)).count() == 0
+
+
+def test_alignment_steps_and_slices(monkeypatch):
+    """Chunks, slices, wide groups and the heap merge give the same whatever their sizes are."""
+    tok = alignment.Pair(*(open(p, "rb").read() for p in (alignment.Files.a, alignment.Files.b)))
+    texts = ["the quick brown fox " * 20, "\U0001f600́" * 50, "zzzzqqq" * 40]
+    a, b = (np.concatenate([x[k] for x in tok.encode(texts)]) for k in (0, 1))
+    ga, gb, last = alignment._groups(a, b, tok)
+    doc = np.repeat(np.arange(3), [len(x[1]) for x in tok.encode(texts)])[last]
+    want = alignment._records(a, b, ga, gb, doc, len(doc), tok.side)
+    assert want[1].sum() == (np.bincount(ga) * np.bincount(gb)).sum()
+    for name, value in (("SLICE_PAIRS", 7), ("WIDE", 0), ("WIDE", 1 << 30)):
+        monkeypatch.setattr(alignment, name, value)
+        got = alignment._records(a, b, ga, gb, doc, len(doc), tok.side)
+        assert all((x == y).all() for x, y in zip(want, got, strict=True))
+    rng = np.random.default_rng(3)
+    runs = [(k := np.unique(rng.integers(0, 200_000, n)), np.ones(len(k), np.int64)) for n in (300_000, 5, 70_000, 1)]
+    keys, n = alignment.merged(runs)
+    k, c = np.unique(np.concatenate([r[0] for r in runs]), return_counts=True)
+    assert (keys == k).all() and (n == c).all() and len(alignment.merged([])[0]) == 0
+    assert [x.tolist() for x in alignment._unpack(alignment._pack(np.array([1, 300]), np.array([70_000, 1 << 40])))] == [[1, 300], [70_000, 1 << 40]]
