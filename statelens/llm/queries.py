@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statelens.llm import alignment, decontam, html, jaccard, langid, licenses, media, mixing, quality, secrets, substrings
+from statelens.llm import alignment, decontam, html, jaccard, langid, licenses, media, mixing, quality, redirects, secrets, substrings
 
 
 def _table(spark, sf_dir, name):
@@ -57,6 +57,17 @@ def op11_cross_tokenizer_alignment(spark, sf_dir):
     return alignment.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: The contract's rules.
+URL_RULES = [
+    redirects.Rule(True, "org", "/"), redirects.Rule(False, "example.org", "/es/"), redirects.Rule(False, "example.org", "/en/1"),
+    redirects.Rule(True, "com", "/fr/"), redirects.Rule(False, "com", "/de/"),
+]
+
+
+def op12_url_filter(spark, sf_dir):
+    return redirects.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
@@ -69,5 +80,6 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_language_id": op10_language_id,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_url_filter": op12_url_filter,
 }
-ORACLES = {"op5_license_scan": licenses.oracle(), "op7_decontamination": decontam.ORACLE}
+ORACLES = {"op5_license_scan": licenses.oracle(), "op7_decontamination": decontam.ORACLE, "op12_url_filter": redirects.oracle(URL_RULES)}

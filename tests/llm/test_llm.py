@@ -16,7 +16,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statelens.llm import alignment, common, decontam, embed, html, jaccard, langid, licenses, media, mixing, quality, queries, secrets, substrings
+from statelens.llm import alignment, common, decontam, embed, html, jaccard, langid, licenses, media, mixing, quality, queries, redirects, secrets, substrings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SMALL = "/root/testdata/sf0.01"
@@ -944,3 +944,76 @@ def test_alignment_steps_and_slices(monkeypatch):
     k, c = np.unique(np.concatenate([r[0] for r in runs]), return_counts=True)
     assert (keys == k).all() and (n == c).all() and len(alignment.merged([])[0]) == 0
     assert [x.tolist() for x in alignment._unpack(alignment._pack(np.array([1, 300]), np.array([70_000, 1 << 40])))] == [[1, 300], [70_000, 1 << 40]]
+
+
+# -- 12
+
+URL_ROWS = [
+    (1, "https://A.example.ORG/es/x?q#f", None),
+    (2, "http://x.net/one", '<head><link href="https://a.example.org/es/x?q" rel="Canonical nofollow"></head>'),
+    (3, "https://y.net:443/two?a=1#z", "<meta http-equiv='Refresh' content='0; url=/three'>"),
+    (4, "https://y.net/three", '<base href="http://x.net/deep/"><link rel=canonical href=../one>'),
+    (5, "https://z.net/", '<!-- <link rel="canonical" href="http://x.net/one"> --><script>"<link rel=canonical href=http://x.net/one>"</script><title><link rel=canonical href=http://x.net/one></title>'),
+    (6, "https://w.net/a", '<link rel="canonical" href="https://shop.com/fr/a">'),
+    (7, "https://w.net/b", '<link rel=canonical href="https://w.net/a"><link rel="canonical" href="https://shop.com/de/a">'),
+    (8, "https://v.net", '<LINK REL=canonical HREF="https://shop.com/de/&amp;">'),
+    (9, "http://V.net/#top", ""),
+    (10, None, "<link rel=canonical href=https://shop.com/de/1>"),
+    (11, "no host", "<link rel=canonical href=https://shop.com/de/1>"),
+    (12, "https://example.org/en/12", None), (13, "https://example.org/en/2", None), (14, "https://notexample.org/en/1", None), (15, "ftp://org?x", None), (16, "https://com/fr/", None),
+    (17, "https://u.net/", '<link rel=canonical href="https://[bad/">'),
+    (18, "https://t.net/r", None), (None, "http://x.net/one", None), (2, "http://x.net/one", None),
+]
+
+
+def test_url_filter(spark):
+    d = spark.createDataFrame(URL_ROWS, "page_id long, url string, html string").withColumn("rule", F.lit("mine"))
+    moved = spark.createDataFrame([("http://t.net/r", "http://s.net/"), ("http://s.net", "http://y.net/three"), (None, "http://s.net")], "src string, dst string")
+    rows = redirects.judge(d.repartition(3), queries.URL_RULES, moved).collect()
+    assert len(rows) == len(URL_ROWS) and {r["_rule"] for r in rows} == {"mine"}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows}
+    assert got[1] == ("a.example.org", "/es/x", "example.org/es/", "block")
+    blocked = ("x.net", "/one", None, "block")
+    assert got[2] == got[None] == blocked and got[3] == ("y.net:443", "/two", None, "block") and got[4][3] == "block"
+    assert got[5] == ("z.net", "/", None, "allow")
+    assert [got[k][3] for k in (6, 7)] == ["allow", "allow"]  # an alias is explicitly allowed
+    assert got[8] == ("v.net", "", None, "block") and got[9][3] == "block"
+    assert got[10] == ("", "", None, "allow") == got[11]
+    assert got[12] == ("example.org", "/en/12", "example.org/en/1", "block") and got[13][2:] == ("org/", "allow") and got[14][2:] == ("org/", "allow")
+    assert got[15] == ("org", "", None, "allow") and got[16][2:] == ("com/fr/", "allow") and got[17][3] == "allow" and got[18][3] == "block"
+    assert redirects.judge(d.limit(0), queries.URL_RULES).count() == 0
+    assert {r.verdict for r in redirects.judge(d, []).collect()} == {"allow"}
+
+
+def test_url_filter_hubs_and_long_pages(spark):
+    """A third of all pages name one address; one page is of several MB."""
+    rows = [(i, f"https://h.net/{i}", f'<p>{i}</p><link rel="canonical" href="https://h.net/hub">' if i % 3 == 0 else f"<p>{i}</p>") for i in range(900)]
+    rows += [(900, "https://h.net/hub", '<link rel="canonical" href="https://e.com/de/x">'), (901, "https://h.net/long", "<p>words " * 500_000 + "<link rel=canonical href=/hub>")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in redirects.judge(d.repartition(6), queries.URL_RULES).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {*range(0, 900, 3), 900, 901}
+
+
+def test_url_filter_query(spark):
+    """Against plain Python on the driver's pages, which hold no edges of their own."""
+    rules = [("org", "/", 1), ("example.org", "/es/", 0), ("example.org", "/en/1", 0), ("com", "/fr/", 1), ("com", "/de/", 0)]
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    for r in queries.op12_url_filter(spark, SMALL).collect():
+        rest = pages[r.page_id].split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        fit = [x for x in rules if ("." + host.lower()).endswith("." + x[0]) and path.startswith(x[1])]
+        best = max(fit, key=lambda x: len(x[0] + x[1]), default=None)
+        assert (r.host, r.path, r.rule, r.verdict) == (host.lower(), path, best and best[0] + best[1], "block" if best and not best[2] else "allow")
+
+
+def test_url_filter_oracle(spark):
+    """The SQL on pages with edges, repeated rows and null URLs."""
+    rows = [(k, u, h if k in (1, 5, 6, 9, 12, 18) else f'<link rel="canonical" href="{t}">') for k, u, h in URL_ROWS if k for t in [f"https://{'shop.com/de/1' if k % 5 == 3 else f'n{k % 4}.net/x'}"]]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", d.toPandas())
+    want = con.execute(queries.ORACLES["op12_url_filter"]).fetchall()
+    columns = [c[0] for c in con.description]
+    got = [tuple(r[c] for c in columns) for r in redirects.judge(d, queries.URL_RULES).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len({r[-1] for r in got}) == 2
