@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statelens.llm import alignment, decontam, html, jaccard, langid, licenses, media, mixing, quality, redirects, secrets, substrings
+from statelens.llm import alignment, decontam, html, jaccard, langid, licenses, media, mixing, quality, redirects, search, secrets, substrings
 
 
 def _table(spark, sf_dir, name):
@@ -68,6 +68,10 @@ def op12_url_filter(spark, sf_dir):
     return redirects.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_lexical_search(spark, sf_dir):
+    return search.Index(_table(spark, sf_dir, "documents")).search(_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
@@ -81,5 +85,6 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_url_filter": op12_url_filter,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLES = {"op5_license_scan": licenses.oracle(), "op7_decontamination": decontam.ORACLE, "op12_url_filter": redirects.oracle(URL_RULES)}
+ORACLES = {"op5_license_scan": licenses.oracle(), "op7_decontamination": decontam.ORACLE, "op12_url_filter": redirects.oracle(URL_RULES), "op13_lexical_search": search.ORACLE}

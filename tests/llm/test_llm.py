@@ -3,6 +3,7 @@
 import bisect
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -13,10 +14,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from statelens.llm import alignment, common, decontam, embed, html, jaccard, langid, licenses, media, mixing, quality, queries, redirects, secrets, substrings
+from statelens.llm import alignment, common, decontam, embed, html, jaccard, langid, licenses, media, mixing, quality, queries, redirects, search, secrets, substrings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SMALL = "/root/testdata/sf0.01"
@@ -1017,3 +1019,83 @@ def test_url_filter_oracle(spark):
     columns = [c[0] for c in con.description]
     got = [tuple(r[c] for c in columns) for r in redirects.judge(d, queries.URL_RULES).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and len({r[-1] for r in got}) == 2
+
+
+# -- 13
+
+
+def plain_ranking(docs, items, k=10):
+    """The ranking by the formula alone, in Python's integers."""
+    terms = lambda t: search.TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    d = [(i, terms(t)) for i, t in docs if terms(t)]
+    n, total, df = len(d), sum(len(t) for _, t in d), Counter(x for _, t in d for x in set(t))
+    out = []
+    for item, text in items:
+        scored = []
+        for i, t in d:
+            tf, m = Counter(t), 25 + 75 * len(t) * n // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[x] + 1))) * (10**9 * tf[x] // (1000 * tf[x] + 8 * m)) for x in terms(text) if x in tf)
+            scored += [(-s, i is None, i or 0, i)] if s > 0 else []
+        out += [(item, r, x[3], -x[0]) for r, x in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def test_search_against_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    zipf = [f"W{int(1 / (rng.random() + 0.002))}" for _ in range(5000)]
+    docs = [(i, " ".join(rng.choice(zipf) for _ in range(rng.choice([1, 5, 40, 300])))) for i in range(500)]
+    docs += [(900, None), (901, ""), (902, "?! _"), (None, "w7 naïve É"), (None, "w7 naïve é"), (3, docs[3][1]), (3, docs[3][1]), (903, "w7 W7 " * 60_000), (904, "ties here"), (905, "ties here"), (906, "here ties")]
+    items = [(i, " ".join(rng.choice(zipf) for _ in range(rng.choice([1, 3, 12])))) for i in range(25)]
+    items += [(50, None), (51, "!"), (52, "naïve É nowhere"), (None, "ties"), (53, "w7 w7 W7 ties"), (53, "w7 w7 W7 ties"), (54, docs[10][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit(1.0)).repartition(3)
+    q = spark.createDataFrame(items, "item_id long, text string").withColumn("rank", F.lit("x"))
+    for block, shard, chars in ((128, 8 << 20, 1_000_000), (4, 3000, 40)):
+        monkeypatch.setattr(search, "BLOCK", block)  # the workers of local mode are forked from here or see the driver's value in the closure's module
+        monkeypatch.setattr(search, "SHARD_BYTES", shard)
+        monkeypatch.setattr(search, "QUERY_CHARS", chars)
+        got = sorted(((r.item_id, r.rank, r.doc_id, r.score) for r in search.Index(d).search(q).collect()), key=repr)
+        assert got == plain_ranking(docs, items)
+    index = search.Index(d)
+    assert index.search(q.limit(0)).count() == 0 and search.Index(d.limit(0)).search(q).count() == 0
+    assert search.Index(spark.createDataFrame([(1, None)], "doc_id long, text string")).search(q).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 128])
+def test_search_prunes_and_stays_exact(monkeypatch, block):
+    """One shard: blocks of lists that are not essential are decoded only where a candidate may need them."""
+    monkeypatch.setattr(search, "BLOCK", block)
+    rng = random.Random(block)
+    texts = [" ".join(["common"] * rng.randrange(1, 4) + ["often"] * rng.randrange(2) + [f"x{rng.randrange(300)}"] + ["pad"] * rng.randrange(200)) for _ in range(2000)]
+    data = [t.encode() for t in texts]
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    row = search.build(list(range(2000)), np.frombuffer(b"".join(data), np.uint8), offs)
+    terms = [b"common", b"nowhere", b"often", b"x7"]
+    shard = search.Shard(row, 0, pa.array(terms, pa.binary()), 2000, int(sum(len(t.split()) for t in texts)))
+    for q, t in enumerate(terms):
+        if q == 1:
+            continue
+        doc, part = shard.whole(q)
+        assert sorted(shard.ids[doc]) == [i for i, x in enumerate(texts) if t.decode() in x.split()]
+        blocks = [shard.block(q, b) for b in range(-(-len(doc) // block))]
+        assert (np.concatenate([b[0] for b in blocks]) == doc).all() and (np.concatenate([b[1] for b in blocks]) == part).all()
+    seen = []
+    query = [(0, 200), (1, 9000), (2, 900), (3, 6000)]
+    docs, score = search.best(shard, query, 0, 3, seen)
+    whole = np.zeros(len(shard.ids), np.int64)
+    for q, w in query:
+        if q != 1:
+            doc, part = shard.whole(q)
+            whole[doc] += w * part
+    top = np.sort(whole)[-3]
+    assert {*docs[score >= top].tolist()} == {*np.flatnonzero(whole >= top).tolist()} and (whole[docs] == score).all()
+    if block == 3:
+        assert 0 < len(seen) < len(shard.first) / 4
+
+
+def test_search_oracle(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.execute(f"select item_id, rank, doc_id, score from ({search.ORACLE})").fetchall()
+    got = [(r.item_id, r.rank, r.doc_id, r.score) for r in queries.op13_lexical_search(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(want) and len(got) > 100
