@@ -27,11 +27,11 @@ def block(text):
 
 
 def boundaries(text):
-    """The block with one start marker first and one end marker last, lines right-trimmed."""
+    """The block with one start marker first and one end marker last, lines right-trimmed; blank lines between stay."""
     lines = F.transform(F.split(block(text), "\n"), lambda x: F.rtrim(x))
     inner = F.filter(lines, lambda x: ~F.lower(F.trim(x)).isin("@startuml", "@enduml"))
-    body = F.btrim(F.array_join(inner, "\n"), F.lit("\n "))
-    return F.concat(F.lit("@startuml\n"), F.when(body == "", "").otherwise(F.concat(body, F.lit("\n"))), F.lit("@enduml\n"))
+    body = F.when(block(text) == "", F.array().cast("array<string>")).otherwise(inner)
+    return F.array_join(F.concat(F.array(F.lit("@startuml")), body, F.array(F.lit("@enduml"), F.lit(""))), "\n")
 
 
 def name(x):
@@ -46,8 +46,8 @@ def _let(value, f):
 
 
 def _kept_lines(text):
-    """(line_no, line) outside of notes, without comments, markers and lines that say nothing."""
-    lines = F.transform(F.split(block(F.coalesce(text, F.lit(""))), "\n"), lambda r, i: F.struct((i + 1).cast("long").alias("line_no"), F.trim(F.substring_index(F.regexp_replace(r, "\t", " "), "'", 1)).alias("line")))
+    """(line_no, line) outside of notes, without comments, markers and lines that say nothing; the start marker is line 1."""
+    lines = F.transform(F.split(boundaries(F.coalesce(text, F.lit(""))), "\n"), lambda r, i: F.struct((i + 1).cast("long").alias("line_no"), F.trim(F.substring_index(F.regexp_replace(r, "\t", " "), "'", 1)).alias("line")))
 
     def step(acc, x):
         line, low = x["line"], F.lower(x["line"])
@@ -94,7 +94,7 @@ def _graph(rows):
         def arrow(r):
             ends = (resolve(bare(r["s0"]), r["line_no"]).alias("src"), resolve(bare(r["d0"]), r["line_no"]).alias("dst"))
             past = F.when(flagged(r["s0"]), bare(r["s0"])).when(flagged(r["d0"]), bare(r["d0"]))
-            return F.struct(*ends, r["event"].alias("event"), resolve(past, r["line_no"]).alias("past"))
+            return F.struct(*ends, r["event"].alias("event"), resolve(past, r["line_no"]).alias("past"), r["line_no"].alias("line_no"))
 
         node = lambda state, x=False, m=None, h=False, stereo=None: F.struct(state.alias("state"), F.lit(x).alias("x"), (F.lit(False) if m is None else m).alias("m"), F.lit(h).alias("h"), (F.lit(None).cast("string") if stereo is None else stereo).alias("stereo"))
         declared = lambda r: node(F.coalesce(r["label"], r["named"], resolve(r["described"], r["line_no"])), True, r["composite"], stereo=r["stereo"])
@@ -110,20 +110,21 @@ def _graph(rows):
         ))
         empty = lambda e: (e["src"] == "") | (e["dst"] == "")
         plain = lambda e: (e["src"] != star) & (e["dst"] != star)
-        wrong = lambda e: F.when((e["src"] == star) & (e["dst"] == star), "invalid_pseudo_transition").when(empty(e) & plain(e), "empty_endpoint")
+        at = lambda e, what: F.concat(F.lit("candidate_line_"), e["line_no"].cast("string"), F.lit(f": {what}"))
+        wrong = lambda e: F.when((e["src"] == star) & (e["dst"] == star), at(e, "invalid [*] -> [*] transition")).when(empty(e) & plain(e), at(e, "empty src/dst in transition"))
         return F.struct(
             F.transform(F.array_sort(F.array_distinct(F.transform(found, lambda f: f["state"]))), merge).alias("states"),
             F.transform(F.filter(t, lambda e: plain(e) & ~empty(e)), lambda e: F.struct(e["src"].alias("src"), e["event"].alias("event"), e["dst"].alias("dst"))).alias("edges"),
-            F.array_sort(F.transform(F.filter(t, lambda e: (e["src"] == star) & (e["dst"] != star)), lambda e: e["dst"])).alias("inits"),
+            F.transform(F.filter(t, lambda e: (e["src"] == star) & (e["dst"] != star)), lambda e: e["dst"]).alias("inits"),
             F.array_sort(F.array_distinct(F.transform(F.filter(t, lambda e: (e["dst"] == star) & (e["src"] != star)), lambda e: e["src"]))).alias("finals"),
-            F.array_sort(F.array_compact(F.transform(t, wrong))).alias("errors"),
+            F.array_compact(F.transform(t, wrong)).alias("errors"), F.exists(t, lambda e: e["past"].isNotNull()).alias("history"),
         )
 
     return _let(F.filter(rows, lambda r: r["alias"].isNotNull()), with_names)
 
 
 def parse_graphs(diagrams: DataFrame) -> DataFrame:
-    """diagrams (diagram_id, text, ...) without the text, as graph rows: states, edges in line order, inits, finals, errors.
+    """diagrams (diagram_id, text, ...) without the text, as graph rows: states, edges and inits in line order, finals, errors, history.
 
     All of it is one expression on the text: nothing is shuffled. Null and empty texts give a graph without elements.
     """
@@ -139,5 +140,5 @@ def parse(diagrams: DataFrame) -> Elements:
     edges = g.select("diagram_id", F.posexplode("edges").alias("p", "e")).select("diagram_id", (F.col("p") + 1).cast("long").alias("line_no"), "e.src", "e.event", "e.dst")
     each = lambda c, alias: g.select("diagram_id", F.explode(c).alias(alias))
     starts = g.select("diagram_id", F.posexplode("inits").alias("p", "target")).select("diagram_id", (F.col("p") + 1).cast("long").alias("line_no"), "target")
-    errors = g.select("diagram_id", F.posexplode("errors").alias("p", "kind")).select("diagram_id", (F.col("p") + 1).cast("long").alias("line_no"), "kind")
+    errors = g.select("diagram_id", F.explode("errors").alias("issue")).select("diagram_id", F.regexp_extract("issue", "_([0-9]+):", 1).cast("long").alias("line_no"), "issue")
     return Elements(diagrams, each("states", "s").select("diagram_id", "s.*"), edges, starts, each("finals", "state"), errors)

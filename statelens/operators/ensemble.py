@@ -71,9 +71,9 @@ def _clamp(x):
 
 
 def structural_score(syntax=None):
-    """1 less the penalties of a graph row's rules, between 0 and 1."""
+    """1 less the penalties of a graph row's rules, between 0 and 1; transitions are counted once each."""
     syntax = F.lit(True) if syntax is None else syntax
-    n, m = F.size("states"), F.size("edges")
+    n, m = F.size("states"), F.size(F.array_distinct("edges"))
     pen = lambda ok, p: F.when(ok, F.lit(p)).otherwise(0.0)
     kinds = F.transform("violations", lambda v: v["kind"])
     p = pen(~syntax, 0.5) + pen(F.col("initial_state").isNull(), 0.15) + pen(F.size("finals") == 0, 0.15) + pen(n == 0, 0.2) + pen(m == 0, 0.2)
@@ -84,12 +84,14 @@ def structural_score(syntax=None):
 
 
 def quality_score():
-    """1 less the penalties for size, sparsity, density, missing labels and ends."""
-    n, m = F.size("states").cast("double"), F.size("edges").cast("double")
+    """1 less the penalties for size, sparsity, density, missing labels and ends. Transitions are counted once each, but labels
+    are missing out of all of them.
+    """
+    n, m = F.size("states").cast("double"), F.size(F.array_distinct("edges")).cast("double")
     pen = lambda ok, p: F.when(ok, p).otherwise(0.0)
     kinds = F.transform("violations", lambda v: v["kind"])
     need = F.greatest(n - 1, F.lit(1.0))
-    unlabelled = F.size(F.filter("edges", lambda e: F.trim(F.coalesce(e["event"], F.lit(""))) == "")) / F.greatest(m, F.lit(1.0))
+    unlabelled = F.size(F.filter("edges", lambda e: F.trim(F.coalesce(e["event"], F.lit(""))) == "")) / F.greatest(F.size("edges"), F.lit(1))
     p = F.when(n < 3, 0.25).when(n > 30, F.least(F.lit(0.25), (n - 30) / 80)).otherwise(0.0)
     p = p + F.when(m < need, F.least(F.lit(0.2), (need - m) / F.greatest(n, F.lit(5.0)) * 0.2)).when((n > 0) & (m > 3 * n), F.least(F.lit(0.15), (m - 3 * n) / 100)).otherwise(0.0)
     p = p + pen(unlabelled > 0.6, F.least(F.lit(0.15), (unlabelled - 0.6) * 0.3)) + pen(F.col("initial_state").isNull(), 0.1) + pen(F.size("finals") == 0, 0.1)
@@ -188,7 +190,7 @@ def diverse(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def legacy(pool: DataFrame, k: int) -> DataFrame:
-    """The first k candidates with different texts by (syntax_valid, fewest errors, transitions, states)."""
+    """The first k candidates with different texts by (syntax_valid, fewest errors, distinct transitions, states)."""
     order = [F.desc("syntax_valid"), F.asc("error_count"), F.desc("transition_count"), F.desc("state_count"), F.asc("diagram_id")]
     one = pool.withColumn("_t", F.row_number().over(Window.partitionBy("case_id", "text").orderBy(*order))).where("_t = 1").drop("_t")
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(*order))).where(F.col("rank") <= k)

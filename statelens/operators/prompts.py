@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,20 +12,27 @@ from statelens.functions.small import times
 
 TASK = "Draw one state machine for the requirement below. Answer with a single diagram block between @startuml and @enduml."
 CLOSE = "Answer with the diagram only."
-# Fixed order: the first rule whose key occurs in an issue gives its advice.
+# The marks that an issue's lower-cased text is searched for, in their order. The advice is in our own words.
 GUIDANCE = (
-    ("missing_initial", "Add exactly one transition from [*] to the first state."),
-    ("multiple_initial", "Keep one transition from [*] and remove the others."),
-    ("missing_final", "Add a transition to [*] from every state that ends the process."),
-    ("unreachable", "Connect every listed state to the flow that starts at [*]."),
-    ("orphan", "Connect or remove states without any transition."),
-    ("duplicate", "Write each transition once."),
-    ("choice", "Give a choice node at least two outgoing transitions, each with a [guard]."),
-    ("fork", "Give a fork at least two outgoing transitions."),
-    ("join", "Give a join at least two incoming transitions."),
-    ("history", "Use a history marker only inside a composite state."),
-)
-OTHERWISE = "Fix the syntax and keep the behaviour."
+    (("invalid [*]",), ("A line from [*] to [*] says nothing: let it leave the last state instead.",)),
+    (("multiple_initial_state_transitions",), (
+        "Only one line may start the whole diagram at [*].",
+        "Where a second one stands inside a composite state, start that line at the composite state instead; no choice is needed.",
+        "Mend several starts by changing arrows alone: no state is new, nothing else moves.",
+    )),
+    (("missing_initial_state_transition",), ("Start the first state of the life cycle from [*].",)),
+    (("missing_final_state_transition",), ("Let a state in which the process is over lead to [*].",)),
+    (("orphan",), ("Tie lone states into the flow as the requirement says, or leave them out.",)),
+    (("unreachable",), ("Lead a path from the start to every state that can't be reached, through a choice or its predecessor.",)),
+    (("duplicate_transitions",), ("Write each transition once, labels joined.",)),
+    (("choice_node_without_outgoing",), ("A choice leads to two states or more.",)),
+    (("choice_node_without_guarded",), ("Every arrow that leaves a choice has its [guard].",)),
+    (("fork_without_multiple_outgoing",), ("A fork opens two branches or more.",)),
+    (("join_without_multiple_incoming",), ("A join closes two branches or more.",)),
+    (("history_state_used_without_composite_state",), ("A history mark belongs into a composite state, or goes.",)),
+    (("plantuml_syntax_error", "empty src/dst"), ("Make the syntax right before all else, and answer with the diagram alone.",)),
+)
+OTHERWISE = "Mend what is listed and keep what the requirement means."
 
 
 def requirement(preferred, raw, structured):
@@ -60,16 +70,23 @@ def generation_prompts(cases: DataFrame, configs: DataFrame, examples: DataFrame
 
 
 def guidance(issues):
-    """Advice for an array of issue kinds, in rule order and each once; the default where no rule holds."""
-    has = lambda k: F.exists(issues, lambda i: F.contains(i, F.lit(k)))
-    hits = F.array_compact(F.array(*[F.when(has(k), F.lit(text)) for k, text in GUIDANCE]))
-    return F.when(F.size(hits) == 0, F.array(F.lit(OTHERWISE))).otherwise(hits)
+    """Advice for an array of issue texts: rule by rule for each issue in turn, every advice where it first comes up; the
+    default where no rule holds.
+    """
+
+    def of(issue):
+        low = F.lower(issue)
+        rule = lambda marks, texts: F.when(reduce(or_, [F.contains(low, F.lit(m)) for m in marks]), F.array(*map(F.lit, texts)))
+        return F.flatten(F.array_compact(F.array(*[rule(m, t) for m, t in GUIDANCE])))
+
+    hits = F.array_distinct(F.flatten(F.transform(issues, of)))
+    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(OTHERWISE)))
 
 
 def repair_prompts(candidates: DataFrame) -> DataFrame:
     """(diagram_id, prompt) from diagram_id, requirement, text and issues (array)."""
     bullets = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.lit("- "), x)), "\n")
-    parts = F.concat_ws("\n\n", F.lit("Repair the diagram."), F.concat(F.lit("Requirement:\n"), "requirement"), F.concat(F.lit("Diagram:\n"), "text"), F.concat(F.lit("Issues:\n"), bullets(F.col("issues"))), F.concat(F.lit("Advice:\n"), bullets(guidance(F.col("issues")))))
+    parts = F.concat_ws("\n\n", F.lit("Repair the diagram."), F.concat(F.lit("Requirement:\n"), "requirement"), F.concat(F.lit("Diagram:\n"), "text"), F.concat(F.lit("Issues:\n"), F.coalesce(F.nullif(bullets(F.col("issues")), F.lit("")), F.lit("- none"))), F.concat(F.lit("Advice:\n"), bullets(guidance(F.col("issues")))))
     return candidates.select("diagram_id", parts.alias("prompt"))
 
 

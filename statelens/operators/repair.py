@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statelens.functions import text as T
+from statelens.operators.graph import counted
 
 
 def paired_stages(diagrams: DataFrame, meta: DataFrame | None = None) -> DataFrame:
@@ -49,8 +50,11 @@ def graph_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def violation_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Violation counts before and after, reduction, new and eliminated kinds, and improved, worsened or unchanged."""
-    kinds = lambda df, n: df.select(key, F.array_distinct(F.transform("violations", lambda v: v["kind"])).alias(f"k{n}"), F.size("violations").cast("long").alias(f"n{n}"))
+    """Issue counts before and after, reduction, new and eliminated kinds, and improved, worsened or unchanged.
+
+    Every issue counts, so that one broken node less of several is an improvement; lines that only list states don't.
+    """
+    kinds = lambda df, n: df.select(key, F.array_distinct(counted(F.col("violations"))).alias(f"k{n}"), F.size(counted(F.col("violations"))).cast("long").alias(f"n{n}"))
     j = kinds(before, 0).join(kinds(after, 1), key)
     status = F.when(F.col("n1") < F.col("n0"), "improved").when(F.col("n1") > F.col("n0"), "worsened").otherwise("unchanged")
     line = lambda c: F.array_join(F.array_sort(c), ",")

@@ -59,7 +59,7 @@ def c11_validation(spark, sf):
 
 
 def c12_violation_kinds(spark, sf):
-    return c1_violations(spark, sf).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("diagram_id").alias("diagrams"))
+    return G.countable(c1_violations(spark, sf)).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("diagram_id").alias("diagrams"))
 
 
 def d2_state_prf(spark, sf):
@@ -200,14 +200,16 @@ _means = lambda cols: ", ".join(f"avg({c}) as mean_{c}" for c in cols)  # noqa:
 DEG = f"""with {B.VG}, deg as (select diagram_id, state, cast(sum(i) as bigint) as n_in, cast(sum(o) as bigint) as n_out from (
 select diagram_id, target as state, 1 as i, 0 as o from initials union all select diagram_id, state, 0, 1 from finals
 union all select diagram_id, dst, 1, 0 from transitions union all select diagram_id, src, 0, 1 from transitions) group by 1, 2)"""
+#: Issues as a validator lists them, one for each broken node; a group of the list, then states by name, then the node's rules.
 _RULES = f"""{DEG},
 dup as (select diagram_id, count(*) - count(distinct (src, event, dst)) as n from transitions group by 1),
-viol as (select diagram_id, 'duplicate_transitions' as kind, cast(n as varchar) as detail from dup where n > 0
-union all select diagram_id, 'invalid_choice_node', string_agg(state, ',' order by state) from states s where stereo = 'choice' and not exists (select 1 from transitions t where t.diagram_id = s.diagram_id and t.src = s.state) group by 1
-union all select diagram_id, 'invalid_choice_guards', string_agg(state, ',' order by state) from states s where stereo = 'choice' and exists (select 1 from transitions t where t.diagram_id = s.diagram_id and t.src = s.state and not starts_with(t.event, '[')) group by 1
-union all select diagram_id, 'invalid_fork_node', string_agg(state, ',' order by state) from states join deg using (diagram_id, state) where stereo = 'fork' and n_out < 2 group by 1
-union all select diagram_id, 'invalid_join_node', string_agg(state, ',' order by state) from states join deg using (diagram_id, state) where stereo = 'join' and n_in < 2 group by 1
-union all select diagram_id, 'invalid_history_state', '' from states group by 1 having bool_or(state = 'view_3') and not bool_or(state = 'signup_3'))"""
+iss as (select diagram_id, 4 as g, '' as st, 0 as k, 'duplicate_transitions' as kind, 'duplicate_transitions_detected (' || n || ')' as issue from dup where n > 0
+union all select diagram_id, 7, state, 1, 'invalid_choice_node', 'choice_node_without_outgoing_transitions (' || state || ')' from states s where stereo = 'choice' and not exists (select 1 from transitions t where t.diagram_id = s.diagram_id and t.src = s.state)
+union all select diagram_id, 7, state, 2, 'invalid_choice_guards', 'choice_node_without_guarded_outgoing_transitions (' || state || ')' from states s where stereo = 'choice' and exists (select 1 from transitions t where t.diagram_id = s.diagram_id and t.src = s.state and not starts_with(trim(t.event), '['))
+union all select diagram_id, 7, state, 3, 'invalid_fork_node', 'fork_without_multiple_outgoing_branches (' || state || ')' from states join deg using (diagram_id, state) where stereo = 'fork' and n_out < 2
+union all select diagram_id, 7, state, 4, 'invalid_join_node', 'join_without_multiple_incoming_branches (' || state || ')' from states join deg using (diagram_id, state) where stereo = 'join' and n_in < 2
+union all select diagram_id, 8, '', 0, 'invalid_history_state', 'history_state_used_without_composite_state' from states group by 1 having bool_or(state = 'view_3') and not bool_or(state = 'signup_3')),
+viol as (select diagram_id, row_number() over (partition by diagram_id order by g, st, k) as pos, kind, issue from iss)"""
 QUERIES = {f.__name__: f for f in (c1_violations, c3_duplicate_transitions, c4_degrees, c5_unreachable_states, c11_validation, c12_violation_kinds, d2_state_prf, d3_transition_prf, d4_relaxed_state_prf, d5_relaxed_transition_prf, d6_event_tokens, d7_event_similarity, d8_semantic_prf, d13_score_runs, e1_summary_by_config, e2_summary_by_complexity, e3_case_stability, e4_config_stability, e5_metric_table, e6_complexity_map)}
 ORACLES = {
     "c1_violations": f"{_RULES} select * from viol",
@@ -218,7 +220,7 @@ seen as (select diagram_id, state from start union select t.diagram_id, t.dst fr
 select diagram_id, state from states where diagram_id in (select diagram_id from start) and (diagram_id, state) not in (select diagram_id, state from seen)""",
     "c11_validation": f"""{_RULES}, w as (select diagram_id, count(*) as n from viol group by 1)
 select d.diagram_id, cast(coalesce(w.n, 0) as bigint) as warning_count, i.target as initial_state, cast(coalesce(dup.n, 0) as bigint) as duplicate_transition_count, cast(0 as bigint) as n_unreachable,
-(select count(*) from states s where s.diagram_id = d.diagram_id) as state_count, (select count(*) from transitions t where t.diagram_id = d.diagram_id) as transition_count,
+(select count(*) from states s where s.diagram_id = d.diagram_id) as state_count, (select count(distinct (src, event, dst)) from transitions t where t.diagram_id = d.diagram_id) as transition_count,
 coalesce(w.n, 0) = 0 as strict_valid, cast(coalesce(w.n, 0) as bigint) as score from diagrams d left join w using (diagram_id) left join dup using (diagram_id) left join initials i using (diagram_id)""",
     "c12_violation_kinds": f"{_RULES} select kind, count(*) as n, count(distinct diagram_id) as diagrams from viol group by kind",
     "d2_state_prf": f"with {PAIRED} {PRF['state']}",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statelens.functions import text as T
+from statelens.operators import elements as E
 from statelens.operators import ensemble as I
 from statelens.operators import graph as G
 from statelens.operators import prompts as H
@@ -52,8 +53,9 @@ def c12_issue_kinds(spark, sf):
 
 
 def c16_guidance(spark, sf):
-    r = GQ._ruled(spark, sf)
-    return r.select("diagram_id", F.size(H.guidance(F.transform("violations", lambda v: v["kind"]))).cast("long").alias("n_advice"))
+    """Advice for parsed texts in its order: start, end, reach and broken nodes."""
+    r = G.rules(E.parse_graphs(B.rich_texts(spark, sf)))
+    return r.select("diagram_id", F.array_join(H.guidance(F.transform("violations", lambda v: v["issue"])), "\n").alias("advice"))
 
 
 def _complex(spark, sf):
@@ -243,12 +245,22 @@ select key, concat_ws(chr(10), 'Overview', sm, 'Actors', a, 'Functional Requirem
 select key, md5('Check the requirements against the text. Answer as JSON: missing_requirements, hallucinations, duplicates, ambiguities, and overall_assessment, pass or needs_review.' || chr(10) || chr(10) || 'Text:' || chr(10) || {_ACTION} || chr(10) || chr(10) || j) as prompt_md5 from pj join documents on doc_id = key""",
     "c12_issue_kinds": """select kind, count(*) as n from (select case event_id % 18 when 0 then 'missing_initial_state' when 1 then 'multiple_initial_states' when 2 then 'missing_final_state' when 3 then 'duplicate_transitions' when 4 then 'unreachable_states' when 6 then 'orphan_states'
  when 8 then 'invalid_choice_node' when 9 then 'invalid_choice_guards' when 10 then 'invalid_fork_node' when 11 then 'invalid_join_node' when 12 then 'invalid_history_state' when 13 then 'parse_warning' when 14 then 'plantuml_syntax_error' when 15 then 'plantuml_check_unavailable' when 16 then 'odd_thing' when 17 then 'unknown' end as kind from events) where kind is not null group by 1""",
-    "c16_guidance": f"""{GQ._RULES}, a as (select diagram_id, count(distinct case when contains(kind, 'duplicate') then 1 when contains(kind, 'choice') then 2 when contains(kind, 'fork') then 3 when contains(kind, 'join') then 4 when contains(kind, 'history') then 5 end) as n from viol group by 1)
-select diagram_id, greatest(1, coalesce(n, 0)) as n_advice from diagrams left join a using (diagram_id)""",
 }
 _NL2 = "chr(10) || chr(10)"
 _TEXTED = TQ.ORACLES["b17_graph_to_text"].split(B.VG, 1)[1].lstrip(", ")
-_GUIDE = {"duplicate": "Write each transition once.", "choice": "Give a choice node at least two outgoing transitions, each with a [guard].", "fork": "Give a fork at least two outgoing transitions.", "join": "Give a join at least two incoming transitions.", "history": "Use a history marker only inside a composite state."}
+#: Which advice a kind of issue gives, and where it stands among those of one issue; written out here for the SQL alone.
+_GUIDE = (
+    ("parse_warning", 1, "A line from [*] to [*] says nothing: let it leave the last state instead."), ("multiple_initial_states", 1, "Only one line may start the whole diagram at [*]."),
+    ("multiple_initial_states", 2, "Where a second one stands inside a composite state, start that line at the composite state instead; no choice is needed."),
+    ("multiple_initial_states", 3, "Mend several starts by changing arrows alone: no state is new, nothing else moves."), ("missing_initial_state", 1, "Start the first state of the life cycle from [*]."),
+    ("missing_final_state", 1, "Let a state in which the process is over lead to [*]."), ("orphan_states", 1, "Tie lone states into the flow as the requirement says, or leave them out."),
+    ("unreachable_states", 1, "Lead a path from the start to every state that can''t be reached, through a choice or its predecessor."), ("duplicate_transitions", 1, "Write each transition once, labels joined."),
+    ("invalid_choice_node", 1, "A choice leads to two states or more."), ("invalid_choice_guards", 1, "Every arrow that leaves a choice has its [guard]."), ("invalid_fork_node", 1, "A fork opens two branches or more."),
+    ("invalid_join_node", 1, "A join closes two branches or more."), ("invalid_history_state", 1, "A history mark belongs into a composite state, or goes."),
+)
+_ADVICE = f"gu as (select * from (values {', '.join(f"('{k}', {i}, '{t}')" for k, i, t in _GUIDE)}) v(kind, n, a)), ga as (select diagram_id, a, min(pos * 10 + n) as place from {{v}} join gu using (kind) group by 1, 2)"
+ORACLES["c16_guidance"] = f"""with recursive {TQ._RICH_RULES}, {_ADVICE.format(v='rv')}, gl as (select diagram_id, string_agg(a, chr(10) order by place) as l from ga group by 1)
+select diagram_id, coalesce(l, 'Mend what is listed and keep what the requirement means.') as advice from diagrams left join gl using (diagram_id)"""
 ORACLES["h3_generation_prompts"] = f"""with rq as (select doc_id as case_id, 'all' as s, text, row_number() over (order by md5('42:' || doc_id)) as rank from documents where text is not null), nq as (select least(greatest(round_even(count(*) * 0.35::double, 0), 1), count(*) - 1) as take from rq),
 te as (select rq.* from rq, nq where rank <= take), po as (select rq.* from rq, nq where rank > take), {SQ.picks('te', 'po', 2)},
 ex as (select target, string_agg('Requirement of example ' || position || ':' || chr(10) || text || {_NL2} || 'Diagram of example ' || position || ':' || chr(10) || '@startuml' || chr(10) || '[*] --> S' || example || chr(10) || '@enduml', {_NL2} order by position) as e from pk join rq on rq.case_id = example group by 1),
@@ -256,11 +268,9 @@ b as (select te.case_id, 'Draw one state machine for the requirement below. Answ
 select case_id, 'local__' || m || '__' || strategy as run_id, strategy, case strategy when 'zero_shot' then head || req when 'few_shot' then head || e || {_NL2} || req else head || req || {_NL2} || 'Context, to support the requirement:' || chr(10) || text || {_NL2} || 'Answer with the diagram only.' end as prompt
 from b cross join (values ('m1'), ('m2')) u(m) cross join (values ('zero_shot'), ('few_shot'), ('rag')) v(strategy)"""
 ORACLES["h4_repair_prompts"] = f"""{GQ._RULES}, {_TEXTED.split('select i.diagram_id', 1)[0].rstrip()}, tx as (select i.diagram_id{_TEXTED.split('select i.diagram_id', 1)[1]}),
-io as (select diagram_id, kind, list_position(['duplicate_transitions', 'invalid_choice_node', 'invalid_choice_guards', 'invalid_fork_node', 'invalid_join_node', 'invalid_history_state'], kind) as place from viol),
-iss as (select diagram_id, string_agg('- ' || kind, chr(10) order by place) as l from io group by 1),
-adv as (select diagram_id, string_agg('- ' || a, chr(10) order by n) as l from (select distinct diagram_id, n, a from io join (values {', '.join(f"({i}, '{k}', '{a}')" for i, (k, a) in enumerate(_GUIDE.items()))}) g(n, k, a) on contains(kind, k)) group by 1)
-select d.diagram_id, 'Repair the diagram.' || {_NL2} || 'Requirement:' || chr(10) || 'Follow the flow.' || {_NL2} || 'Diagram:' || chr(10) || text || {_NL2} || 'Issues:' || chr(10) || coalesce(iss.l, '') || {_NL2} || 'Advice:' || chr(10) || coalesce(adv.l, '- Fix the syntax and keep the behaviour.') as prompt
-from diagrams d join tx using (diagram_id) left join iss using (diagram_id) left join adv using (diagram_id) where run_index > 0"""
+iss2 as (select diagram_id, string_agg('- ' || issue, chr(10) order by pos) as l from viol group by 1), {_ADVICE.format(v='viol')}, adv as (select diagram_id, string_agg('- ' || a, chr(10) order by place) as l from ga group by 1)
+select d.diagram_id, 'Repair the diagram.' || {_NL2} || 'Requirement:' || chr(10) || 'Follow the flow.' || {_NL2} || 'Diagram:' || chr(10) || text || {_NL2} || 'Issues:' || chr(10) || coalesce(iss2.l, '- none') || {_NL2} || 'Advice:' || chr(10) || coalesce(adv.l, '- Mend what is listed and keep what the requirement means.') as prompt
+from diagrams d join tx using (diagram_id) left join iss2 using (diagram_id) left join adv using (diagram_id) where run_index > 0"""
 _SEL = TQ.ORACLES["i15_legacy_selection"]
 ORACLES["h5_stacked_prompts"] = f"""{_SEL[: _SEL.rindex('select case_id')]}, sl as ({_SEL[_SEL.rindex('select case_id') :]}), {_TEXTED.split('select i.diagram_id', 1)[0].rstrip().replace('t as (', 't2 as (', 1)}, tx as (select i.diagram_id{_TEXTED.split('select i.diagram_id', 1)[1].replace('left join t ', 'left join t2 as t ')})
 select case_id, 'Merge the candidates into one diagram.' || {_NL2} || string_agg('Candidate ' || rank || ':' || chr(10) || left(text, 2600), {_NL2} order by rank) as prompt from sl join tx using (diagram_id) group by 1"""

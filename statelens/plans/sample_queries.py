@@ -235,7 +235,7 @@ mk as (select *, coalesce(score < min(score) over (partition by case_id order by
 _DELTA = f"""{_AT}, k as (select d.case_id, d.run_index, coalesce(list(v.kind) filter (v.kind is not null), []) as kinds from diagrams d left join viol v using (diagram_id) where d.run_index in (0, 1) group by 1, 2),
 delta as (select a.case_id, cast(len(a.kinds) as bigint) as before, cast(len(b.kinds) as bigint) as after, cast(len(a.kinds) - len(b.kinds) as bigint) as reduction,
 case when len(a.kinds) = 0 then 0.0 else 100.0 * (len(a.kinds)::bigint - len(b.kinds)::bigint) / len(a.kinds) end as reduction_percent,
-coalesce(array_to_string(list_sort(list_filter(b.kinds, lambda x: not list_contains(a.kinds, x))), ','), '') as new_kinds, coalesce(array_to_string(list_sort(list_filter(a.kinds, lambda x: not list_contains(b.kinds, x))), ','), '') as eliminated_kinds,
+coalesce(array_to_string(list_sort(list_distinct(list_filter(b.kinds, lambda x: not list_contains(a.kinds, x)))), ','), '') as new_kinds, coalesce(array_to_string(list_sort(list_distinct(list_filter(a.kinds, lambda x: not list_contains(b.kinds, x)))), ','), '') as eliminated_kinds,
 case when len(b.kinds) < len(a.kinds) then 'improved' when len(b.kinds) > len(a.kinds) then 'worsened' else 'unchanged' end as status from k a join k b on a.case_id = b.case_id and a.run_index = 0 and b.run_index = 1)"""
 _DIFF = f"""with {B.VG}, x as (select a.case_id, a.diagram_id as i0, b.diagram_id as i1 from diagrams a join diagrams b on a.case_id = b.case_id and a.run_index = 0 and b.run_index = 1),
 lab as (select diagram_id, src, dst, array_to_string(list_sort(list(distinct event)), ';') as l from transitions group by 1, 2, 3),

@@ -66,7 +66,7 @@ def b12_rich_transitions(spark, sf):
 def b15_rich_ends(spark, sf):
     el = _rich(spark, sf)
     ends = el.initials.select("diagram_id", F.col("target").alias("state"), F.lit("initial").alias("kind")).union(el.finals.select("diagram_id", "state", F.lit("final")))
-    return ends.union(el.errors.select("diagram_id", F.lit("[*]"), "kind"))
+    return ends.union(el.errors.select("diagram_id", F.lit("[*]"), F.regexp_replace("issue", "^candidate_line_[0-9]+: ", "")))
 
 
 def c1_rich_violations(spark, sf):
@@ -76,7 +76,7 @@ def c1_rich_violations(spark, sf):
 
 def c11_rich_validation(spark, sf):
     v = G.validation(G.rules(E.parse_graphs(B.rich_texts(spark, sf))))
-    return v.select("diagram_id", "warning_count", "initial_state", "duplicate_transition_count", F.array_join("unreachable_states", ",").alias("unreachable"), "state_count", "transition_count", "strict_valid", "score")
+    return v.select("diagram_id", "warning_count", "initial_state", "duplicate_transition_count", F.array_join("unreachable_states", ", ").alias("unreachable"), "state_count", "transition_count", "strict_valid", "score")
 
 
 def _pool(spark, sf):
@@ -165,7 +165,7 @@ def i14_diverse_selection(spark, sf):
 
 
 def i15_legacy_selection(spark, sf):
-    p = _pool(spark, sf).withColumn("syntax_valid", F.col("n_dup") == 0).withColumn("error_count", F.size("violations")).withColumn("transition_count", F.size("edges")).withColumn("state_count", F.size("states"))
+    p = _pool(spark, sf).withColumn("syntax_valid", F.col("n_dup") == 0).withColumn("error_count", F.when(F.col("n_dup") == 0, 0).otherwise(1)).withColumn("transition_count", F.size(F.array_distinct("edges"))).withColumn("state_count", F.size("states"))
     return I.legacy(p.join(_texts(spark, sf), "diagram_id"), 2).select("case_id", "diagram_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -291,7 +291,7 @@ def h3_generation_prompts(spark, sf):
 
 
 def h4_repair_prompts(spark, sf):
-    p = _pool(spark, sf).join(_texts(spark, sf), "diagram_id").select("diagram_id", F.lit("Follow the flow.").alias("requirement"), "text", F.transform("violations", lambda v: v["kind"]).alias("issues"))
+    p = _pool(spark, sf).join(_texts(spark, sf), "diagram_id").select("diagram_id", F.lit("Follow the flow.").alias("requirement"), "text", F.transform("violations", lambda v: v["issue"]).alias("issues"))
     return H.repair_prompts(p)
 
 
@@ -397,10 +397,6 @@ ORACLES |= {
     "o3_clean_clauses": f"{_SENT} select key, pos, {_CLEAN} as clause from sr",
     "o6_capabilities": f"{_CAP} select * from caps",
     "o7_shall": f"{_SHALL} select key, pos, {_PERIOD} as requirement from sh",
-    "i15_legacy_selection": f"""with {B.VG}, t as (select diagram_id, string_agg(src || '>' || dst || ':' || event, chr(10) order by src, event, dst) as l from (select distinct diagram_id, src, event, dst from transitions) group by 1),
-p as (select d.case_id, d.diagram_id, concat_ws(chr(10), i.target, t.l, f.state) as text, (select count(*) from transitions x where x.diagram_id = d.diagram_id) as m, (select count(*) from states x where x.diagram_id = d.diagram_id) as n from diagrams d join initials i using (diagram_id) join finals f using (diagram_id) left join t using (diagram_id) where d.run_index > 0),
-one as (select * from p qualify row_number() over (partition by case_id, text order by m desc, n desc, diagram_id) = 1)
-select case_id, diagram_id, row_number() over (partition by case_id order by m desc, n desc, diagram_id) as rank from one qualify rank <= 2""",
     "i8_requirement_items": None,
 }
 _TURN = "with tn as (select conv_id || '/' || turn as key, role, text, lead(role) over w as next_role, lead(text) over w as answer from conversations window w as (partition by conv_id order by turn)), u as (select key, text, answer from tn where role = 'user' and next_role = 'assistant')"
@@ -410,7 +406,7 @@ ORACLES["i8_requirement_items"] = f"{_ITEMS} select key, item, array_to_string(t
 ORACLES["i9_requirement_coverage"] = f"""{_ITEMS}, h as (select key, len(t) as n, len(list_intersect(t, {_TOK.format(x='answer')})) as k from it)
 select key, count(*) as items, count(*) filter (k >= (case when n <= 2 then 1 else 2 end) or k / n >= 0.35) as covered, round(0.65::double * count(*) filter (k >= (case when n <= 2 then 1 else 2 end) or k / n >= 0.35) / count(*) + 0.35::double * avg(least(1.0, k / n / 0.45::double)), 9) as coverage from h group by 1"""
 _FACTS = f"""{_RULES}, ks as (select diagram_id, list(kind) as kinds from viol group by 1),
-x as (select d.diagram_id, coalesce(k.kinds, []) as kinds, (select count(*) from states s where s.diagram_id = d.diagram_id) as n, (select count(*) from transitions t where t.diagram_id = d.diagram_id) as m, coalesce(dup.n, 0) as dups
+x as (select d.diagram_id, coalesce(k.kinds, []) as kinds, (select count(*) from states s where s.diagram_id = d.diagram_id) as n, (select count(distinct (src, event, dst)) from transitions t where t.diagram_id = d.diagram_id) as m, coalesce(dup.n, 0) as dups
 from diagrams d left join ks k using (diagram_id) left join dup using (diagram_id) where d.run_index > 0)"""
 _HAS = lambda kind, p: f"case when list_contains(kinds, '{kind}') then {p}::double else 0 end"
 ORACLES["i7_structural_scores"] = f"""{_FACTS} select diagram_id, round(greatest(0, least(1, 1 - (case when m = 0 then 0.2::double else 0 end + least(0.1::double, 0.1::double * dups / greatest(m, 1)) + {' + '.join(_HAS(k, v) for k, v in I.KIND_PENALTIES.items())}))), 9) as structural from x"""
@@ -426,28 +422,37 @@ ORACLES["b1_answer_blocks"] = ORACLES["b17_graph_to_text"].replace("'@enduml') a
 ORACLES |= {
     "b9_rich_states": f"with {B.VG}, {B.VRICH} select diagram_id, state, is_explicit, is_composite, is_history, coalesce(stereo, '') as stereotypes from rst",
     "b12_rich_transitions": f"with {B.VG}, {B.VRICH} select diagram_id, src, event, dst from rt",
-    "b15_rich_ends": f"with {B.VG}, {B.VRICH} select diagram_id, state, 'initial' as kind from rin union all select diagram_id, state, 'final' from rfi union all select diagram_id, '[*]', 'invalid_pseudo_transition' from rn where c = 3",
+    "b15_rich_ends": f"with {B.VG}, {B.VRICH} select diagram_id, state, 'initial' as kind from rin union all select diagram_id, state, 'final' from rfi union all select diagram_id, '[*]', 'invalid [*] -> [*] transition' from rn where c = 3",
 }
 _RICH_RULES = f"""{B.VG}, {B.VRICH},
 deg as (select diagram_id, state, sum(i) as n_in, sum(o) as n_out from (select diagram_id, state, 1 as i, 0 as o from rin union all select diagram_id, state, 0, 1 from rfi union all select diagram_id, dst, 1, 0 from rt union all select diagram_id, src, 0, 1 from rt) group by 1, 2),
 s as (select rst.*, coalesce(n_in, 0) as n_in, coalesce(n_out, 0) as n_out from rst left join deg using (diagram_id, state)),
 one as (select diagram_id, min(state) as state from rin group by 1 having count(*) = 1),
 seen as (select diagram_id, state from one union select rt.diagram_id, rt.dst from rt join seen on rt.diagram_id = seen.diagram_id and rt.src = seen.state),
-far as (select s.diagram_id, string_agg(s.state, ',' order by s.state) as l from s join one using (diagram_id) where (s.diagram_id, s.state) not in (select diagram_id, state from seen) group by 1),
+far as (select s.diagram_id, string_agg(s.state, ', ' order by s.state) as l from s join one using (diagram_id) where (s.diagram_id, s.state) not in (select diagram_id, state from seen) group by 1),
+lone as (select diagram_id, string_agg(state, ', ' order by state) as l from s where is_explicit and n_in + n_out = 0 group by 1),
 dups as (select diagram_id, count(*) - count(distinct (src, event, dst)) as n from rt group by 1),
-listed as (select diagram_id, kind, string_agg(state, ',' order by state) as detail from (
-  select diagram_id, state, 'orphan_states' as kind from s where is_explicit and n_in + n_out = 0
-  union all select diagram_id, state, 'invalid_choice_node' from s where stereo = 'choice' and not exists (select 1 from rt where rt.diagram_id = s.diagram_id and rt.src = s.state)
-  union all select diagram_id, state, 'invalid_choice_guards' from s where stereo = 'choice' and exists (select 1 from rt where rt.diagram_id = s.diagram_id and rt.src = s.state)
-  union all select diagram_id, state, 'invalid_fork_node' from s where stereo = 'fork' and n_out < 2 union all select diagram_id, state, 'invalid_join_node' from s where stereo = 'join' and n_in < 2) group by 1, 2),
-rv as (select * from listed union all select diagram_id, 'missing_initial_state', '0' from rn where c = 1 union all select diagram_id, 'multiple_initial_states', '2' from rn where c = 2 union all select diagram_id, 'missing_final_state', '0' from rn where c = 4
-  union all select diagram_id, 'duplicate_transitions', cast(n as varchar) from dups where n > 0 union all select diagram_id, 'unreachable_states', l from far union all select diagram_id, 'invalid_pseudo_transition', '' from rn where c = 3
-  union all select diagram_id, 'invalid_history_state', '' from s group by 1 having bool_or(is_history) and not bool_or(is_composite))"""
+at3 as (select diagram_id, 13 + (select count(*) from states x where x.diagram_id = rn.diagram_id and stereo is not null and state not in ('purchase_3', 'error_0')) + (select 2 * count(*) from states x where x.diagram_id = rn.diagram_id and state = 'signup_3')
+  + (select count(*) from states x where x.diagram_id = rn.diagram_id and state = 'view_1') as line from rn where c = 3),
+two as (select i.diagram_id, a.name || ', ' || b.name as l from initials i join finals f using (diagram_id) join nm a on a.state = i.target join nm b on b.state = f.state join rn using (diagram_id) where c = 2),
+iss as (select diagram_id, 0 as g, '' as st, 0 as k, 'parse_warning' as kind, 'candidate_line_' || line || ': invalid [*] -> [*] transition' as issue from at3
+  union all select diagram_id, 1, '', 0, 'missing_initial_state', 'missing_initial_state_transition ([*] --> state)' from rn where c = 1
+  union all select diagram_id, 1, '', 0, 'multiple_initial_states', 'multiple_initial_state_transitions (' || l || ')' from two
+  union all select diagram_id, 2, '', 0, 'missing_final_state', 'missing_final_state_transition (state --> [*])' from rn where c = 4
+  union all select diagram_id, 3, '', 0, 'duplicate_transitions', 'duplicate_transitions_detected (' || n || ')' from dups where n > 0
+  union all select diagram_id, 4, '', 0, 'unreachable_states', 'unreachable_states_detected' from far union all select diagram_id, 4, '', 1, 'unreachable_state_detail', 'unreachable: ' || l from far
+  union all select diagram_id, 5, '', 0, 'orphan_states', 'orphan_states_detected' from lone union all select diagram_id, 5, '', 1, 'orphan_state_detail', 'orphan: ' || l from lone
+  union all select diagram_id, 6, state, 0, 'invalid_choice_node', 'choice_node_without_outgoing_transitions (' || state || ')' from s where stereo = 'choice' and not exists (select 1 from rt where rt.diagram_id = s.diagram_id and rt.src = s.state)
+  union all select diagram_id, 6, state, 1, 'invalid_choice_guards', 'choice_node_without_guarded_outgoing_transitions (' || state || ')' from s where stereo = 'choice' and exists (select 1 from rt where rt.diagram_id = s.diagram_id and rt.src = s.state)
+  union all select diagram_id, 6, state, 2, 'invalid_fork_node', 'fork_without_multiple_outgoing_branches (' || state || ')' from s where stereo = 'fork' and n_out < 2
+  union all select diagram_id, 6, state, 3, 'invalid_join_node', 'join_without_multiple_incoming_branches (' || state || ')' from s where stereo = 'join' and n_in < 2
+  union all select diagram_id, 7, '', 0, 'invalid_history_state', 'history_state_used_without_composite_state' from s group by 1 having bool_or(is_history) and not bool_or(is_composite)),
+rv as (select diagram_id, row_number() over (partition by diagram_id order by g, st, k) as pos, kind, issue from iss)"""
 ORACLES |= {
     "c1_rich_violations": f"with recursive {_RICH_RULES} select * from rv",
     "c11_rich_validation": f"""with recursive {_RICH_RULES}, w as (select diagram_id, count(*) as n from rv group by 1)
 select rn.diagram_id, coalesce(w.n, 0) as warning_count, one.state as initial_state, cast(coalesce(dups.n, 0) as bigint) as duplicate_transition_count, coalesce(far.l, '') as unreachable,
-(select count(*) from s where s.diagram_id = rn.diagram_id) as state_count, (select count(*) from rt where rt.diagram_id = rn.diagram_id) as transition_count, coalesce(w.n, 0) = 0 as strict_valid, coalesce(w.n, 0) as score
+(select count(*) from s where s.diagram_id = rn.diagram_id) as state_count, (select count(distinct (src, event, dst)) from rt where rt.diagram_id = rn.diagram_id) as transition_count, coalesce(w.n, 0) = 0 as strict_valid, coalesce(w.n, 0) as score
 from rn left join w using (diagram_id) left join one using (diagram_id) left join far using (diagram_id) left join dups using (diagram_id)""",
     "q2_numbered_requirements": rf"""{_TURN}, sn as (select key, list_filter(string_split(regexp_replace({_SQUEEZE.format(x='text')}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as s from u)
 select key, unnest(range(len(s))) as pos, unnest(list_transform(s, lambda x: trim(x))) as requirement from sn""",
@@ -477,7 +482,7 @@ ORACLES["q7_rating_sheet"] = f"""with {_SHEET} select key, case_id, 'm' || (case
 case when correctness = 5 then 'The flow is sound.' else 'In the flow, ' || coalesce(nullif(array_to_string(list_filter([case when arrows < 3 then 'there are hardly any transitions' end], lambda x: x is not null), '; '), ''), 'some behaviour is not connected') || '.' end as why_correctness,
 case when understandability = 5 then 'It reads well.' else 'To a reader, ' || case when states > 22 then 'it has many states' else 'parts are hard to follow' end || '.' end as why_understandability, 'It uses ' || {_OF('terminology')} || '.' as why_terminology from rd"""
 ORACLES["i15_legacy_selection"] = f"""{_FACTS}, t as (select diagram_id, string_agg(src || '>' || dst || ':' || event, chr(10) order by src, event, dst) as l from (select distinct diagram_id, src, event, dst from transitions) group by 1),
-p as (select d.case_id, d.diagram_id, concat_ws(chr(10), i.target, t.l, f.state) as text, x.m, x.n, x.dups = 0 as valid, len(x.kinds) as errors from diagrams d join x using (diagram_id) join initials i using (diagram_id) join finals f using (diagram_id) left join t using (diagram_id)),
+p as (select d.case_id, d.diagram_id, concat_ws(chr(10), i.target, t.l, f.state) as text, x.m, x.n, x.dups = 0 as valid, case when x.dups = 0 then 0 else 1 end as errors from diagrams d join x using (diagram_id) join initials i using (diagram_id) join finals f using (diagram_id) left join t using (diagram_id)),
 one as (select * from p qualify row_number() over (partition by case_id, text order by valid desc, errors, m desc, n desc, diagram_id) = 1)
 select case_id, diagram_id, row_number() over (partition by case_id order by valid desc, errors, m desc, n desc, diagram_id) as rank from one qualify rank <= 2"""
 _FINAL = f"""{_FACTS}, {_SIM.split(B.VG, 1)[1].lstrip(', ')}, u as (select case_id, a as diagram_id, similarity from jac union all select case_id, b, similarity from jac),

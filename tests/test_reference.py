@@ -34,7 +34,7 @@ def parsed(spark):
 
 
 def kinds(ruled, d):
-    return {r.kind: r.detail for r in G.violations(ruled).where(F.col("diagram_id") == d).collect()}
+    return [r.issue for r in G.violations(ruled).where(F.col("diagram_id") == d).orderBy("pos").collect()]
 
 
 def states(el, d):
@@ -45,30 +45,60 @@ def test_alias_order(parsed):
     el, ruled = parsed
     assert states(el, "F1") == {"A", "Alpha", "B"}
     assert [(r.src, r.event, r.dst) for r in el.transitions.where("diagram_id = 'F1'").collect()] == [("Alpha", "go", "B")]
-    assert kinds(ruled, "F1") == {"unreachable_states": "Alpha,B"}
+    assert kinds(ruled, "F1") == ["unreachable_states_detected", "unreachable: Alpha, B"]
 
 
 def test_multiple_initial(parsed):
-    assert kinds(parsed[1], "F2") == {"multiple_initial_states": "2", "missing_final_state": "0", "duplicate_transitions": "1", "orphan_states": "Lost"}
+    assert kinds(parsed[1], "F2") == ["multiple_initial_state_transitions (A, B)", "missing_final_state_transition (state --> [*])", "duplicate_transitions_detected (1)", "orphan_states_detected", "orphan: Lost"]
 
 
 def test_notes_and_ignored_lines(parsed):
     el, ruled = parsed
     assert states(el, "F3") == {"A", "B", "E"}
     assert [(r.src, r.event, r.dst) for r in el.transitions.where("diagram_id = 'F3'").collect()] == [("A", "user", "B")]
-    assert kinds(ruled, "F3") == {"unreachable_states": "E", "orphan_states": "E"}
+    assert kinds(ruled, "F3") == ["unreachable_states_detected", "unreachable: E", "orphan_states_detected", "orphan: E"]
 
 
 def test_pseudo_states(parsed):
     el, ruled = parsed
-    assert kinds(ruled, "F4") == {"invalid_choice_guards": "c", "invalid_fork_node": "f", "invalid_history_state": ""}
+    assert kinds(ruled, "F4") == ["choice_node_without_guarded_outgoing_transitions (c)", "fork_without_multiple_outgoing_branches (f)", "history_state_used_without_composite_state"]
     assert [r.state for r in el.finals.where("diagram_id = 'F4'").collect()] == ["Z"]
 
 
 def test_answers_and_empty_texts(parsed):
-    assert kinds(parsed[1], "F5") == {}
+    assert kinds(parsed[1], "F5") == []
     for d in ("F6", "F7"):
-        assert set(kinds(parsed[1], d)) == {"missing_initial_state", "missing_final_state"}
+        assert kinds(parsed[1], d) == ["missing_initial_state_transition ([*] --> state)", "missing_final_state_transition (state --> [*])"]
+
+
+def test_issue_list(spark):
+    """One issue for each broken node and each parse error, in order; transitions count once, issues each."""
+    text = "\n\n@startuml\n\nstate z <<choice>>\nstate b <<choice>>\nstate j <<join>>\n[*] --> [*]\nA --> [H]\n[*] --> A\nA --> z : go\nA --> z : go\nA --> b\nz --> j\nA --> A\n@enduml trailing"
+    r = G.rules(E.parse_graphs(spark.createDataFrame([("x", text), ("y", "[*] --> [*]\n@startuml\nA -> B")], "diagram_id string, text string")))
+    assert kinds(r, "x") == [
+        "candidate_line_6: invalid [*] -> [*] transition", "candidate_line_7: empty src/dst in transition", "missing_final_state_transition (state --> [*])", "duplicate_transitions_detected (1)",
+        "choice_node_without_outgoing_transitions (b)", "join_without_multiple_incoming_branches (j)", "choice_node_without_guarded_outgoing_transitions (z)", "history_state_used_without_composite_state",
+    ]
+    assert kinds(r, "y")[0] == "candidate_line_2: invalid [*] -> [*] transition"
+    v = {x.diagram_id: x for x in G.validation(r, spark.createDataFrame([("y", False)], "diagram_id string, syntax_valid boolean")).collect()}
+    assert (v["x"].warning_count, v["x"].score, v["x"].transition_count, v["x"].duplicate_transition_count) == (8, 8, 4, 1)
+    assert v["y"].score == 1103 and not v["y"].strict_valid
+    advice = r.select("diagram_id", H.guidance(F.transform("violations", lambda x: x["issue"])).alias("a"))
+    got = {x.diagram_id: x.a for x in advice.collect()}
+    known = [t for _, texts in H.GUIDANCE for t in texts]
+    assert [known.index(t) for t in got["x"]] == [0, 14, 5, 8, 9, 12, 10, 13] and len(known) == 15
+    assert spark.range(1).select(H.guidance(F.array(F.lit("odd"))).alias("a")).first().a == [H.OTHERWISE]
+
+
+def test_broken_choices_count_one_by_one(spark):
+    """Two choice nodes without exits and one duplicate: three warnings, two transitions; one node less is progress."""
+    bad = "@startuml\nstate c1 <<choice>>\nstate c2 <<choice>>\n[*] --> A\nA --> c1\nA --> c1\nA --> c2\nc1 --> [*]\n@enduml"
+    less = bad.replace("state c2 <<choice>>\n", "")
+    r = G.rules(E.parse_graphs(spark.createDataFrame([(0, bad), (1, less)], "diagram_id long, text string")))
+    v = {x.diagram_id: x for x in G.validation(r).collect()}
+    assert (v[0].warning_count, v[0].transition_count, v[1].score) == (3, 2, 2)
+    d = J.violation_delta(r.where("diagram_id = 0").withColumn("k", F.lit(1)), r.where("diagram_id = 1").withColumn("k", F.lit(1)), "k").first()
+    assert (d.before, d.after, d.status, d.new_kinds, d.eliminated_kinds) == (3, 2, "improved", "", "")
 
 
 def test_set_prf(spark):
@@ -211,8 +241,6 @@ def test_actors_and_guidance(spark):
 
     d = spark.createDataFrame([(1, "Customers and a customer meet job seekers."), (2, "")], "key int, text string")
     assert [r.actors for r in O.actors(d).orderBy("key").collect()] == [["customer", "job seekers"], []]
-    g = spark.createDataFrame([(["orphan_states", "unreachable_states"],), (["odd"],)], "i array<string>").select(H.guidance(F.col("i"))).collect()
-    assert len(g[0][0]) == 2 and "[*]" in g[0][0][0] and g[1][0] == [H.OTHERWISE]
 
 
 def test_answer_json(spark):
