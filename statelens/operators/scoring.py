@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import difflib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from statelens.functions import text as T
 
@@ -44,50 +45,86 @@ def relaxed_transitions(transitions: DataFrame) -> DataFrame:
     return transitions.withColumn("src", T.state_key("src")).withColumn("dst", T.state_key("dst"))
 
 
+@lru_cache(1 << 16)
+def _ratio(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-matching-blocks ratio of two strings; only candidate pairs get here."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Longest-matching-blocks ratio of two strings; a worker computes it once for each pair of strings that it remembers."""
+    return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def sequence_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The same for two arrays of strings, place by place."""
+    return pd.Series([[_ratio(x, y) for x, y in zip(p, q, strict=True)] for p, q in zip(a, b, strict=True)])
+
+
+def _similarity(ta, tb, ratio):
+    j = T.jaccard(ta, tb)
+    full = j if ratio is None else 0.7 * j + 0.3 * ratio
+    return F.when((F.size(ta) == 0) & (F.size(tb) == 0), F.lit(1.0)).when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.7)).otherwise(full)
 
 
 def event_similarity(a, b, sequence: bool = True):
     """1 where both events have no tokens, 0.7 where one has none, else 0.7 Jaccard + 0.3 sequence ratio (or Jaccard alone)."""
     ta, tb = T.event_tokens(a), T.event_tokens(b)
-    j = T.jaccard(ta, tb)
-    full = 0.7 * j + 0.3 * sequence_ratio(F.array_join(ta, " "), F.array_join(tb, " ")) if sequence else j
-    return F.when((F.size(ta) == 0) & (F.size(tb) == 0), F.lit(1.0)).when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.7)).otherwise(full)
+    return _similarity(ta, tb, sequence_ratio(F.array_join(ta, " "), F.array_join(tb, " ")) if sequence else None)
+
 
+def _semantic(edges):
+    """A graph's distinct transitions by source, target and event, with relaxed ends and event tokens."""
+    one = lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), F.coalesce(e["event"], F.lit("")).alias("event"))
+    more = lambda e: F.struct(T.state_key(e["src"]).alias("src"), T.state_key(e["dst"]).alias("dst"), F.array_join(T.event_tokens(e["event"]), " ").alias("said"))
+    return F.transform(F.array_sort(F.array_distinct(F.transform(edges, one))), more)
 
-def greedy_matches(pred: DataFrame, gold: DataFrame, by: list[str], threshold: float = LEAST_SIMILAR, sequence: bool = True) -> DataFrame:
-    """(by, src, dst, matches: count, sims: sum) of the greedy one-to-one match of events on equal endpoints.
 
-    The pairs of one (by, src, dst) share no event with those of another, so the greedy order decides within
-    each group alone: descending similarity, then order of prediction, then of gold.
+def _once(df: DataFrame, columns: dict) -> DataFrame:
+    """df with columns that are computed once for each row, however often they are used."""
+    rest = df.columns
+    return df.select(*rest, F.explode(F.array(F.struct(*[x.alias(c) for c, x in columns.items()]))).alias("_once")).select(*rest, "_once.*")
+
+
+def with_matches(df: DataFrame, pred: str, gold: str, threshold: float = LEAST_SIMILAR, sequence: bool = True) -> DataFrame:
+    """df with tp and sims: how many transitions of two graphs match one to one, and the sum of their similarities.
+
+    pred and gold are columns of ``_semantic``. Transitions of equal relaxed ends are candidates; they are taken by falling
+    similarity, then in the order of the predicted and of the gold ones, whose places are free. A graph's candidates stay in
+    its row: nothing is shuffled, and Python compares each two texts of events once.
     """
-    pair = [*by, "src", "dst"]
-    distinct = lambda df, n: df.groupBy(*pair, "event").agg(F.min("line_no").alias(n))
-    p = distinct(pred, "po").withColumnRenamed("event", "pe")
-    g = distinct(gold, "go").withColumnRenamed("event", "ge")
-    c = p.join(g, pair).withColumn("sim", event_similarity("pe", "ge", sequence)).where(F.col("sim") >= threshold)
-    grouped = c.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("neg"), "po", "go", "pe", "ge"))).alias("cs"))
-    start = F.struct(F.array().cast("array<string>").alias("ps"), F.array().cast("array<string>").alias("gs"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"))
+    same = lambda x: F.filter(F.transform(gold, lambda g, i: F.struct(g.alias("g"), i.alias("go"))), lambda y: (y["g"]["src"] == x["src"]) & (y["g"]["dst"] == x["dst"]))
+    cands = F.flatten(F.transform(pred, lambda x, i: F.transform(same(x), lambda y: F.struct(i.alias("po"), y["go"].alias("go"), x["said"].alias("a"), y["g"]["said"].alias("b")))))
+    df = _once(df, {"_c": cands})
+    said = lambda x: F.filter(F.split(x, " "), lambda t: t != "")
+    if sequence:
+        df = df.withColumn("_r", sequence_ratios(F.transform("_c", lambda c: c["a"]), F.transform("_c", lambda c: c["b"])))
+        scored = F.zip_with("_c", "_r", lambda c, r: F.struct((-_similarity(said(c["a"]), said(c["b"]), r)).alias("neg"), c["po"].alias("po"), c["go"].alias("go")))
+    else:
+        scored = F.transform("_c", lambda c: F.struct((-_similarity(said(c["a"]), said(c["b"]), None)).alias("neg"), c["po"].alias("po"), c["go"].alias("go")))
+    start = F.struct(F.array().cast("array<int>").alias("ps"), F.array().cast("array<int>").alias("gs"), F.lit(0).cast("long").alias("tp"), F.lit(0.0).alias("sims"))
 
     def take(acc, x):
-        free = ~F.array_contains(acc["ps"], x["pe"]) & ~F.array_contains(acc["gs"], x["ge"])
-        more = F.struct(F.array_append(acc["ps"], x["pe"]).alias("ps"), F.array_append(acc["gs"], x["ge"]).alias("gs"), (acc["n"] + 1).alias("n"), (acc["s"] - x["neg"]).alias("s"))
-        return F.when(free, more).otherwise(acc)
+        free = ~F.array_contains(acc["ps"], x["po"]) & ~F.array_contains(acc["gs"], x["go"])
+        return F.when(free, F.struct(F.array_append(acc["ps"], x["po"]).alias("ps"), F.array_append(acc["gs"], x["go"]).alias("gs"), (acc["tp"] + 1).alias("tp"), (acc["sims"] - x["neg"]).alias("sims"))).otherwise(acc)
 
-    done = grouped.withColumn("m", F.aggregate("cs", start, take))
-    return done.select(*pair, F.col("m.n").alias("matches"), F.col("m.s").alias("sims"))
+    done = F.aggregate(F.array_sort(F.filter(scored, lambda x: -x["neg"] >= threshold)), start, take)
+    rest = [c for c in df.columns if c not in ("_c", "_r")]
+    return df.select(*rest, F.explode(F.array(done)).alias("_m")).select(*rest, "_m.tp", "_m.sims")
 
 
 def semantic_prf(pred: DataFrame, gold: DataFrame, by: list[str], sequence: bool = True) -> DataFrame:
-    """Precision, recall, f1 and mean similarity of greedily matched transitions; pred and gold carry relaxed endpoints."""
-    keys = ["src", "event", "dst"]
-    n = set_prf(pred, gold, by, keys).select(*by, "n_pred", "n_gold")
-    m = greedy_matches(pred, gold, by, sequence=sequence).groupBy(*by).agg(F.sum("matches").alias("tp"), F.sum("sims").alias("sims"))
-    out = n.join(m, by, "left").fillna({"tp": 0, "sims": 0.0})
-    return with_prf(out).withColumn("mean_similarity", T.ratio("sims", "tp"))
+    """by columns with n_pred, n_gold, tp, precision, recall, f1 and mean similarity of greedily matched transitions.
+
+    pred and gold: by columns, src, event, dst as they are written; both sides of a graph meet in one group.
+    """
+    edge = F.struct("src", "event", "dst")
+    none = F.lit(None).cast("struct<src:string,event:string,dst:string>")
+    both = pred.select(*by, edge.alias("p"), none.alias("g")).union(gold.select(*by, none, edge))
+    g = _once(both.groupBy(*by).agg(F.collect_set("p").alias("p"), F.collect_set("g").alias("g")), {"_p": _semantic("p"), "_g": _semantic("g")})
+    out = with_matches(g, "_p", "_g", sequence=sequence).withColumns({"n_pred": F.size("_p").cast("long"), "n_gold": F.size("_g").cast("long")})
+    return with_prf(out.drop("p", "g", "_p", "_g")).withColumn("mean_similarity", T.ratio("sims", "tp"))
 
 
 def complexity(n):
@@ -99,43 +136,27 @@ def score_runs(pred: DataFrame, gold: DataFrame, sequence: bool = True) -> DataF
     """All scores of each predicted graph whose case has a gold graph.
 
     pred (diagram_id, case_id, run_index, states, edges) and gold (case_id, states, edges; one row for each case) are graph
-    rows: after the join by case every score but the semantic one is an expression on the row. The semantic one compares
-    the events of transitions with equal ends, and matches each once, in descending similarity.
+    rows: after the join by case every score is an expression on the row. The semantic one compares the events of
+    transitions with equal ends, and matches each once, in descending similarity.
     """
-    key = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
-    ends = lambda e: (key(e["src"]).alias("src"), key(e["dst"]).alias("dst"))
-
-    def sets(states, edges, tag):
-        """The graph's distinct states, transitions, relaxed states, relaxed transitions, and transitions with relaxed ends."""
-        return [
-            F.array_distinct(F.transform(states, lambda s: s["state"])).alias(f"{tag}_state"),
-            F.array_distinct(edges).alias(f"{tag}_transition"),
-            F.array_distinct(F.filter(F.transform(states, lambda s: key(s["state"])), lambda k: k != "")).alias(f"{tag}_relaxed_state"),
-            F.array_distinct(F.transform(edges, lambda e: F.struct(*ends(e)))).alias(f"{tag}_relaxed_transition"),
-            F.array_distinct(F.transform(edges, lambda e: F.struct(*ends(e), F.coalesce(e["event"], F.lit("")).alias("event")))).alias(f"{tag}_semantic_transition"),
-        ]
-
-    p = pred.select("diagram_id", "case_id", "run_index", *sets("states", "edges", "p"))
-    j = p.join(gold.select("case_id", *sets("states", "edges", "g")), "case_id")
-    c, tags = F.col, ("state", "transition", "relaxed_state", "relaxed_transition")
-    out = j
-    for t in tags:
-        out = out.withColumns({f"{t}_n_pred": F.size(f"p_{t}"), f"{t}_n_gold": F.size(f"g_{t}"), f"{t}_tp": F.size(F.array_intersect(f"p_{t}", f"g_{t}"))})
+    ends = lambda e: (T.state_key(e["src"]).alias("src"), T.state_key(e["dst"]).alias("dst"))
     sem = "semantic_transition"
-    # transitions with equal relaxed ends; distinct ones keep the order in which they first occur
-    same = lambda x: F.filter(F.transform(f"g_{sem}", lambda g, i: F.struct(g.alias("g"), i.alias("go"))), lambda y: (y["g"]["src"] == x["src"]) & (y["g"]["dst"] == x["dst"]))
-    cands = F.flatten(F.transform(f"p_{sem}", lambda x, i: F.transform(same(x), lambda y: F.struct(x["event"].alias("pe"), y["g"]["event"].alias("ge"), i.alias("po"), y["go"].alias("go")))))
-    pairs = j.select("diagram_id", F.inline(cands)).withColumn("sim", event_similarity("pe", "ge", sequence)).where(F.col("sim") >= LEAST_SIMILAR)
-    grouped = pairs.groupBy("diagram_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("neg"), "po", "go"))).alias("cs"))
-    start = F.struct(F.array().cast("array<int>").alias("ps"), F.array().cast("array<int>").alias("gs"), F.lit(0).alias("n"), F.lit(0.0).alias("s"))
 
-    def take(acc, x):
-        free = ~F.array_contains(acc["ps"], x["po"]) & ~F.array_contains(acc["gs"], x["go"])
-        return F.when(free, F.struct(F.array_append(acc["ps"], x["po"]).alias("ps"), F.array_append(acc["gs"], x["go"]).alias("gs"), (acc["n"] + 1).alias("n"), (acc["s"] - x["neg"]).alias("s"))).otherwise(acc)
+    def sets(tag):
+        """The graph's distinct states, transitions, relaxed states, relaxed transitions, and transitions to be matched."""
+        return {
+            f"{tag}_state": F.array_distinct(F.transform("states", lambda s: s["state"])), f"{tag}_transition": F.array_distinct("edges"),
+            f"{tag}_relaxed_state": F.array_distinct(F.filter(F.transform("states", lambda s: T.state_key(s["state"])), lambda k: k != "")),
+            f"{tag}_relaxed_transition": F.array_distinct(F.transform("edges", lambda e: F.struct(*ends(e)))), f"{tag}_{sem}": _semantic("edges"),
+        }
 
-    matched = grouped.withColumn("m", F.aggregate("cs", start, take)).select("diagram_id", c("m.n").alias(f"{sem}_tp"), c("m.s").alias("sims"))
-    out = out.withColumns({f"{sem}_n_pred": F.size(f"p_{sem}"), f"{sem}_n_gold": F.size(f"g_{sem}")})
-    out = out.drop(*[f"{x}_{t}" for x in "pg" for t in (*tags, sem)]).join(matched, "diagram_id", "left").fillna({f"{sem}_tp": 0, "sims": 0.0})
+    p = _once(pred.select("diagram_id", "case_id", "run_index", "states", "edges"), sets("p")).drop("states", "edges")
+    out = p.join(_once(gold.select("case_id", "states", "edges"), sets("g")).drop("states", "edges"), "case_id")
+    c, tags = F.col, ("state", "transition", "relaxed_state", "relaxed_transition")
+    for t in (*tags, sem):
+        out = out.withColumns({f"{t}_n_pred": F.size(f"p_{t}"), f"{t}_n_gold": F.size(f"g_{t}")})
+    out = out.withColumns({f"{t}_tp": F.size(F.array_intersect(f"p_{t}", f"g_{t}")) for t in tags})
+    out = with_matches(out, f"p_{sem}", f"g_{sem}", sequence=sequence).withColumnRenamed("tp", f"{sem}_tp").drop(*[f"{x}_{t}" for x in "pg" for t in (*tags, sem)])
     for t in (*tags, sem):
         out = out.withColumns({f"{t}_fp": c(f"{t}_n_pred") - c(f"{t}_tp"), f"{t}_fn": c(f"{t}_n_gold") - c(f"{t}_tp"), f"{t}_precision": T.ratio(f"{t}_tp", f"{t}_n_pred"), f"{t}_recall": T.ratio(f"{t}_tp", f"{t}_n_gold")})
         out = out.withColumn(f"{t}_f1", T.ratio(2 * c(f"{t}_precision") * c(f"{t}_recall"), c(f"{t}_precision") + c(f"{t}_recall"))).withColumn(f"{t}_hallucination_rate", T.ratio(f"{t}_fp", f"{t}_n_pred"))

@@ -94,7 +94,7 @@ def d7_event_similarity(spark, sf):
 
 def d8_semantic_prf(spark, sf):
     p, g = _paired(spark, sf, "transitions")
-    out = S.semantic_prf(S.relaxed_transitions(p), S.relaxed_transitions(g), ["diagram_id"])
+    out = S.semantic_prf(p, g, ["diagram_id"])
     return out.select("diagram_id", "n_pred", "n_gold", "tp", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "mean_similarity")])
 
 
@@ -172,9 +172,9 @@ def _sim(a: str, b: str) -> float:
 _SIMS = ", ".join(f"('{a}', '{b}', {_sim(a, b)!r}::double)" for a in _LABELS for b in _LABELS)
 #: Greedy one-to-one matches of each predicted run: walks its candidates in order and keeps those whose ends are both free.
 MATCHED = f"""sims as (select * from (values {_SIMS}) v(pe, ge, sim)),
-pt as (select i.diagram_id, {_KEY.format("t.src")} as src, {_KEY.format("t.dst")} as dst, event as pe, min(line_no) as po from transitions t join ids i on t.diagram_id = i.diagram_id group by 1, 2, 3, 4),
-gt as (select i.diagram_id, {_KEY.format("t.src")} as src, {_KEY.format("t.dst")} as dst, event as ge, min(line_no) as go from transitions t join ids i on t.diagram_id = i.gold_id group by 1, 2, 3, 4),
-cand as (select diagram_id, po, go, sim, row_number() over (partition by diagram_id order by sim desc, po, go) as rn from pt join gt using (diagram_id, src, dst) join sims using (pe, ge) where sim >= 0.55),
+pt as (select *, row_number() over (partition by diagram_id order by s, d, pe) as po from (select distinct i.diagram_id, t.src as s, t.dst as d, {_KEY.format("t.src")} as src, {_KEY.format("t.dst")} as dst, event as pe from transitions t join ids i on t.diagram_id = i.diagram_id)),
+gt as (select *, row_number() over (partition by diagram_id order by s, d, ge) as go from (select distinct i.diagram_id, t.src as s, t.dst as d, {_KEY.format("t.src")} as src, {_KEY.format("t.dst")} as dst, event as ge from transitions t join ids i on t.diagram_id = i.gold_id)),
+cand as (select pt.diagram_id, po, go, sim, row_number() over (partition by pt.diagram_id order by sim desc, po, go) as rn from pt join gt on pt.diagram_id = gt.diagram_id and pt.src = gt.src and pt.dst = gt.dst join sims on sims.pe = pt.pe and sims.ge = gt.ge where sim >= 0.55),
 walk as (select diagram_id, 0::bigint as rn, []::bigint[] as ps, []::bigint[] as gs, 0::bigint as tp, 0.0::double as sims from ids
   union all select w.diagram_id, c.rn, case when free then list_append(ps, po) else ps end, case when free then list_append(gs, go) else gs end, tp + case when free then 1 else 0 end, w.sims + case when free then sim else 0 end
   from walk w join (select * from cand) c on c.diagram_id = w.diagram_id and c.rn = w.rn + 1, lateral (select not list_contains(w.ps, c.po) and not list_contains(w.gs, c.go) as free)),
