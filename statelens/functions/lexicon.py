@@ -20,3 +20,14 @@ DOMAIN_TERMS = ("accounts", "admin", "inventory", "logistic", "logistics", "orde
 CAPABILITY_VERBS = ("allow", "allows", "enable", "enables", "support", "supports", "generate", "generates", "calculate", "calculates", "notify", "notifies", "update", "updates", "manage", "manages", "monitor", "monitors", "track", "tracks", "operate", "operated", "submit", "submitted", "cancel", "cancelled", "pass", "passed", "regulate", "regulated", "detect", "detection", "warn", "stock", "view", "check", "log", "register", "issue", "search", "replace", "remove", "add", "place", "create", "select", "selects", "order", "orders", "provide", "provides", "fill", "fills", "upload", "uploads", "verify", "verifies", "purchase", "purchases", "transition", "transitions", "enter", "enters", "reenter", "reenters", "leave", "leaves", "open", "opens", "close", "closes", "press", "presses", "input", "inputs", "expire", "expires", "list", "lists", "serve", "serves", "predict", "predicts", "shortlist", "shortlists", "assess", "assesses", "map", "maps", "alert", "alerts")
 AMBIGUOUS_TERMS = ("etc", "and so on", "user friendly", "easy to use", "efficient", "quickly", "some", "many", "appropriate", "suitable", "as needed")
 ACTORS = ("inventory managers", "inventory manager", "salespersons", "salesperson", "administrators", "administrator", "admin", "customers", "customer", "patients", "patient", "caregivers", "caregiver", "doctors", "doctor", "sellers", "seller", "users", "user", "citizens", "citizen", "students", "student", "drivers", "driver", "donors", "donor", "volunteers", "volunteer", "authorities", "authority", "companies", "company", "employers", "employer", "job seekers", "job seeker")
+#: Those of the comparison of candidates: stopwords, and synonyms (words that stand for themselves are left out).
+CONCEPT_STOPWORDS = (
+    "a", "about", "after", "all", "allow", "allows", "an", "and", "are", "as", "at", "available", "be", "between", "by", "can", "complete", "completed", "current", "different", "do", "does", "during", "each", "enable", "enables", "end", "ensure",
+    "for", "from", "if", "in", "into", "is", "it", "of", "on", "or", "process", "provide", "provides", "related", "shall", "should", "support", "supports", "system", "that", "the", "their", "then", "to", "use", "user", "users", "when", "where", "whether", "with",
+)
+CONCEPT_SYNONYMS = {
+    "authenticate": "login", "authenticated": "login", "authentication": "login", "signin": "login", "sign": "login", "logged": "login", "signout": "logout", "register": "registration", "registered": "registration",
+    "validate": "validation", "validated": "validation", "validating": "validation", "verify": "validation", "verified": "validation", "verification": "validation", "pay": "payment", "paid": "payment", "payments": "payment",
+    "purchases": "purchase", "buy": "purchase", "choose": "select", "chosen": "select", "selected": "select", "display": "view", "show": "view", "shown": "view", "read": "view", "finished": "finish",
+    "failure": "fail", "failed": "fail", "fails": "fail", "invalid": "fail", "cancelled": "cancel", "canceled": "cancel",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from statelens.functions.lexicon import ACTORS, AMBIGUOUS_TERMS, CAPABILITY_VERBS, DOMAIN_TERMS, EVENT_STOPWORDS, EVENT_SYNONYMS, RATING_STOPWORDS, REQUIREMENT_STOPWORDS  # noqa: F401
+from statelens.functions.lexicon import ACTORS, AMBIGUOUS_TERMS, CAPABILITY_VERBS, CONCEPT_STOPWORDS, CONCEPT_SYNONYMS, DOMAIN_TERMS, EVENT_STOPWORDS, EVENT_SYNONYMS, RATING_STOPWORDS, REQUIREMENT_STOPWORDS  # noqa: F401
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -31,6 +31,13 @@ def event_tokens(x) -> Column:
     return F.array_sort(F.array_distinct(F.transform(raw, lambda t: F.coalesce(F.try_element_at(synonyms, t), t))))
 
 
+def concepts(x) -> Column:
+    """Concept tokens: runs of two or more of a-z and 0-9 that aren't stopwords, synonyms mapped, sorted and distinct."""
+    synonyms = F.create_map(*[F.lit(v) for kv in CONCEPT_SYNONYMS.items() for v in kv])
+    raw = F.filter(F.regexp_extract_all(F.lower(_c(x)), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: (F.length(t) >= 2) & ~t.isin(*CONCEPT_STOPWORDS))
+    return F.array_sort(F.array_distinct(F.transform(raw, lambda t: F.coalesce(F.try_element_at(synonyms, t), t))))
+
+
 def stems(x) -> Column:
     """Rating tokenizer: letters-first words of over two characters, stopwords dropped, one suffix cut off long ones."""
     raw = F.regexp_extract_all(F.lower(_c(x)), F.lit("([a-z][a-z0-9]+)"), F.lit(1))

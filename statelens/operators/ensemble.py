@@ -100,11 +100,11 @@ def quality_score():
 
 
 def _key(x):
-    return F.array_join(F.array_sort(T.alnum(x, least=2)), " ")
+    return F.array_join(T.concepts(x), " ")
 
 
 def similarity_keys(pool: DataFrame) -> DataFrame:
-    """pool with the distinct state and transition keys of each candidate."""
+    """pool with the distinct state and transition keys of each candidate: their concept tokens."""
     s = F.array_distinct(F.filter(F.transform("states", lambda x: _key(x["state"])), lambda k: k != ""))
     t = F.filter(F.transform("edges", lambda e: F.struct(_key(e["src"]).alias("s"), _key(F.coalesce(e["event"], F.lit(""))).alias("e"), _key(e["dst"]).alias("d"))), lambda k: (k["s"] != "") & (k["d"] != ""))
     return pool.withColumn("sk", s).withColumn("tk", F.array_distinct(t))
@@ -127,20 +127,38 @@ def consensus(pool: DataFrame) -> DataFrame:
 
 
 def requirement_items(requirements: DataFrame) -> DataFrame:
-    """(key, item, tokens): numbered or bulleted lines, or else sentence chunks, that have tokens."""
-    listed = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_extract(x, r"^\s*(?:[0-9]+[).]|[-*])\s+(.*\S)\s*$", 1)), lambda x: F.size(T.alnum(x, least=2)) > 0)
-    chunks = F.filter(F.split("text", r"(?<=[.!?])\s+|\n+"), lambda x: F.size(T.alnum(x, least=2)) > 0)
-    items = F.when(F.size(listed) > 0, listed).otherwise(chunks)
-    return requirements.select("key", F.posexplode(items).alias("item", "chunk")).select("key", "item", T.alnum("chunk", least=2).alias("tokens"))
+    """(key, item, tokens) of requirement texts (key, text): numbered or bulleted lines that have tokens.
+
+    Where there is none, the lines that are neither are joined by spaces and cut into sentences: a sentence may run over
+    lines. Null and blank texts have no items.
+    """
+    pattern = r"^\s*(?:[0-9]+[).]|[-*])\s+(.*\S)\s*$"
+    kept = lambda x: F.size(x["tokens"]) > 0
+    told = lambda x: F.struct(x.alias("chunk"), T.concepts(x).alias("tokens"))
+    lines = F.split("text", r"\r\n?|\n")
+    listed = F.filter(F.transform(lines, lambda x: told(F.regexp_extract(x, pattern, 1))), kept)
+    rest = F.array_join(F.filter(F.transform(F.filter(lines, lambda x: ~x.rlike(pattern)), lambda x: F.trim(F.regexp_replace(x, "\t", " "))), lambda x: x != ""), " ")
+    chunks = F.filter(F.transform(F.split(rest, r"(?<=[.!?])\s+"), told), kept)
+    r = requirements.select("key", F.explode(F.array(F.struct(listed.alias("listed"), chunks.alias("chunks")))).alias("x"))
+    items = F.when(F.size("x.listed") > 0, F.col("x.listed")).otherwise(F.col("x.chunks"))
+    return r.select("key", F.posexplode(items).alias("item", "i")).select("key", "item", "i.tokens")
+
+
+def candidate_tokens(g: DataFrame):
+    """Expression: the concept tokens of a graph row's states, ends, events and transitions."""
+    said = F.concat(F.transform("states", lambda s: s["state"]), F.col("finals"), F.flatten(F.transform("edges", lambda e: F.array(e["src"], F.coalesce(e["event"], F.lit("")), e["dst"]))))
+    return T.concepts(F.array_join(said, " "))
 
 
 def coverage(items: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(key, items, covered, coverage): candidates has key and tokens. An item is covered by enough hits or a ratio of 0.35."""
-    j = items.join(candidates.select("key", F.col("tokens").alias("have")), "key")
+    """(key, items, covered, coverage) of each candidate (key, tokens). An item is covered by enough hits or a ratio of 0.35;
+    without any item nothing is.
+    """
+    j = candidates.select("key", F.col("tokens").alias("have")).join(items, "key", "left")
     hits, n = F.size(F.array_intersect("tokens", "have")), F.size("tokens")
     j = j.withColumn("ratio", hits / n).withColumn("ok", (hits >= F.when(n <= 2, 1).otherwise(2)) | (hits / n >= 0.35))
-    g = j.groupBy("key").agg(F.count("*").alias("items"), F.count_if("ok").alias("covered"), F.avg(F.least(F.lit(1.0), F.col("ratio") / 0.45)).alias("part"))
-    return g.select("key", "items", "covered", _clamp(0.65 * F.col("covered") / F.col("items") + 0.35 * F.col("part")).alias("coverage"))
+    g = j.groupBy("key").agg(F.count("item").alias("items"), F.count_if("ok").alias("covered"), F.avg(F.least(F.lit(1.0), F.col("ratio") / 0.45)).alias("part"))
+    return g.select("key", "items", "covered", F.when(F.col("items") == 0, 0.0).otherwise(_clamp(0.65 * F.col("covered") / F.col("items") + 0.35 * F.col("part"))).alias("coverage"))
 
 
 def final_ranks(scored: DataFrame) -> DataFrame:

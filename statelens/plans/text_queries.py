@@ -128,13 +128,22 @@ def _turns(spark, sf):
     return c.where("role = 'user' and next_role = 'assistant'").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "text", "answer")
 
 
+def _listed_turns(spark, sf):
+    """The users' turns: every third as a numbered list of its sentences under a heading, the others cut over lines after commas."""
+    t = _turns(spark, sf)
+    n = F.substring_index("key", "/", 1).cast("long") % 3
+    lines = F.transform(T.sentences("text"), lambda x, i: F.concat(F.when(i % 2 == 0, F.concat(F.lit(" "), (i + 1).cast("string"), F.lit(") "))).otherwise("- "), x, F.lit(" ")))
+    listed = F.array_join(F.concat(F.array(F.lit("Heading of users"), F.lit("* of the")), lines), "\n")
+    return t.select("key", F.when(n == 0, listed).otherwise(F.regexp_replace("text", ", ", ",\n ")).alias("text"), F.concat("answer", F.lit(" signin verified")).alias("answer"))
+
+
 def i8_requirement_items(spark, sf):
-    return I.requirement_items(_turns(spark, sf).select("key", "text")).select("key", F.col("item").cast("long").alias("item"), F.array_join(F.array_sort("tokens"), " ").alias("tokens"))
+    return I.requirement_items(_listed_turns(spark, sf)).select("key", F.col("item").cast("long").alias("item"), F.array_join("tokens", " ").alias("tokens"))
 
 
 def i9_requirement_coverage(spark, sf):
-    t = _turns(spark, sf)
-    out = I.coverage(I.requirement_items(t.select("key", "text")), t.select("key", T.alnum("answer", least=2).alias("tokens")))
+    t = _listed_turns(spark, sf)
+    out = I.coverage(I.requirement_items(t.select("key", "text")), t.select("key", T.concepts("answer").alias("tokens")))
     return out.withColumn("coverage", F.round("coverage", 9))
 
 
@@ -142,8 +151,7 @@ def _coverage(spark, sf, pool):
     """How far each candidate covers its case's requirement: a sentence for each state of the gold run."""
     handle = F.transform("states", lambda s: F.concat(F.lit("Handle "), F.replace(s["state"], F.lit("_"), F.lit(" ")), F.lit(".")))
     need = B.graph_rows(spark, sf).where("run_index = 0").select("case_id", F.array_join(handle, " ").alias("text"))
-    said = F.concat_ws(" ", F.transform("states", lambda s: F.replace(s["state"], F.lit("_"), F.lit(" "))), F.transform("edges", lambda e: e["event"]))
-    have = pool.select("case_id", F.col("diagram_id").alias("key"), T.alnum(said, least=2).alias("tokens"))
+    have = pool.select("case_id", F.col("diagram_id").alias("key"), I.candidate_tokens(pool).alias("tokens"))
     items = I.requirement_items(have.select("case_id", "key").join(need, "case_id"))
     return I.coverage(items, have).select(F.col("key").alias("diagram_id"), "coverage")
 
@@ -343,7 +351,12 @@ _EL = """el as (select case_id, diagram_id, 'state' as kind, state as a, '' as b
 union all select distinct case_id, diagram_id, 'transition', src, event, dst from pool join transitions using (diagram_id) union all select case_id, diagram_id, 'final', state, '', '' from pool join finals using (diagram_id)),
 vt as (select case_id, kind, a, b, c, count(*) as votes from el group by all), kept as (select vt.* from vt join pn using (case_id) where votes >= n // 2 + 1),
 ini as (select case_id, target as initial, count(*) as votes from pool join initials using (diagram_id) group by 1, 2), init as (select * from ini qualify row_number() over (partition by case_id order by votes desc, initial) = 1)"""
-_TOK = "list_sort(list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: length(t) >= 2)))"
+#: Concept tokens, their words written out for the SQL alone.
+_STOP = "'a about after all allow allows an and are as at available be between by can complete completed current different do does during each enable enables end ensure for from if in into is it of on or process provide provides related shall should support supports system that the their then to use user users when where whether with'"
+_SAME = """case when t in ('authenticate', 'authenticated', 'authentication', 'signin', 'sign', 'logged') then 'login' when t = 'signout' then 'logout' when t in ('register', 'registered') then 'registration'
+ when t in ('validate', 'validated', 'validating', 'verify', 'verified', 'verification') then 'validation' when t in ('pay', 'paid', 'payments') then 'payment' when t in ('purchases', 'buy') then 'purchase' when t in ('choose', 'chosen', 'selected') then 'select'
+ when t in ('display', 'show', 'shown', 'read') then 'view' when t = 'finished' then 'finish' when t in ('failure', 'failed', 'fails', 'invalid') then 'fail' when t in ('cancelled', 'canceled') then 'cancel' else t end"""
+_TOK = "list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: length(t) >= 2 and not list_contains(string_split(" + _STOP + ", ' '), t)), lambda t: " + _SAME + ")))"
 _SIM = f"""{_POOL}, sk as (select case_id, diagram_id, list(distinct array_to_string({_TOK.format(x="replace(state, '_', ' ')")}, ' ')) as s from pool join states using (diagram_id) group by 1, 2),
 tk as (select case_id, diagram_id, list(distinct array_to_string({_TOK.format(x='src')}, ' ') || '|' || array_to_string({_TOK.format(x='event')}, ' ') || '|' || array_to_string({_TOK.format(x='dst')}, ' ')) as t from pool join transitions using (diagram_id) group by 1, 2),
 k as (select sk.case_id, sk.diagram_id, s, coalesce(t, []) as t from sk left join tk using (diagram_id)),
@@ -400,11 +413,14 @@ ORACLES |= {
     "i8_requirement_items": None,
 }
 _TURN = "with tn as (select conv_id || '/' || turn as key, role, text, lead(role) over w as next_role, lead(text) over w as answer from conversations window w as (partition by conv_id order by turn)), u as (select key, text, answer from tn where role = 'user' and next_role = 'assistant')"
-_ITEMS = rf"""{_TURN}, ch as (select key, answer, list_filter(string_split(regexp_replace(regexp_replace(text, '\n+', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: len({_TOK.format(x='x')}) > 0) as c from u),
+_ITEMS = rf"""{_TURN}, sn as (select key, text, answer || ' signin verified' as answer, list_filter(string_split(regexp_replace({_SQUEEZE.format(x='text')}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as s from u),
+-- a listed turn has its sentences as items; others are cut at their own sentence ends, whatever lines they stand on
+ch as (select key, answer, list_filter(case when split_part(key, '/', 1)::bigint % 3 = 0 and len(list_filter(s, lambda x: len({_TOK.format(x='x')}) > 0)) > 0 then s when split_part(key, '/', 1)::bigint % 3 = 0 then ['Heading of users'] else list_transform(string_split(regexp_replace(regexp_replace(replace(text, ', ', ',' || chr(10) || ' '), '\s*\n\s*', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x) end, lambda x: len({_TOK.format(x='x')}) > 0) as c from sn),
 it as (select key, answer, unnest(range(len(c))) as item, unnest(list_transform(c, lambda x: {_TOK.format(x='x')})) as t from ch)"""
 ORACLES["i8_requirement_items"] = f"{_ITEMS} select key, item, array_to_string(t, ' ') as tokens from it"
-ORACLES["i9_requirement_coverage"] = f"""{_ITEMS}, h as (select key, len(t) as n, len(list_intersect(t, {_TOK.format(x='answer')})) as k from it)
-select key, count(*) as items, count(*) filter (k >= (case when n <= 2 then 1 else 2 end) or k / n >= 0.35) as covered, round(0.65::double * count(*) filter (k >= (case when n <= 2 then 1 else 2 end) or k / n >= 0.35) / count(*) + 0.35::double * avg(least(1.0, k / n / 0.45::double)), 9) as coverage from h group by 1"""
+ORACLES["i9_requirement_coverage"] = f"""{_ITEMS}, h as (select key, len(t) as n, len(list_intersect(t, {_TOK.format(x='answer')})) as k from it),
+hc as (select key, count(*) as items, count(*) filter (k >= (case when n <= 2 then 1 else 2 end) or k / n >= 0.35) as covered, round(0.65::double * count(*) filter (k >= (case when n <= 2 then 1 else 2 end) or k / n >= 0.35) / count(*) + 0.35::double * avg(least(1.0, k / n / 0.45::double)), 9) as coverage from h group by 1)
+select key, coalesce(items, 0) as items, coalesce(covered, 0) as covered, coalesce(coverage, 0.0) as coverage from u left join hc using (key)"""
 _FACTS = f"""{_RULES}, ks as (select diagram_id, list(kind) as kinds from viol group by 1),
 x as (select d.diagram_id, coalesce(k.kinds, []) as kinds, (select count(*) from states s where s.diagram_id = d.diagram_id) as n, (select count(distinct (src, event, dst)) from transitions t where t.diagram_id = d.diagram_id) as m, coalesce(dup.n, 0) as dups
 from diagrams d left join ks k using (diagram_id) left join dup using (diagram_id) where d.run_index > 0)"""
@@ -489,8 +505,8 @@ _FINAL = f"""{_FACTS}, {_SIM.split(B.VG, 1)[1].lstrip(', ')}, u as (select case_
 co as (select pool.case_id, pool.diagram_id, coalesce(avg(similarity), 1.0) as consensus from pool left join u using (diagram_id) group by 1, 2),
 st as ({ORACLES["i7_structural_scores"].split(_FACTS, 1)[1].replace("round(", "(", 1).replace(", 9) as structural", ") as structural")}),
 ql as ({ORACLES["i12_quality_scores"].split(_FACTS, 1)[1].replace("round(", "(", 1).replace(", 9) as quality", ") as quality")}),
-need as (select case_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower('handle ' || replace(state, '_', ' ')), '[a-z0-9]+'), lambda t: length(t) >= 2))) as t from diagrams join states using (diagram_id) where run_index = 0),
-said as (select case_id, diagram_id, list_distinct(list_filter(regexp_extract_all(lower(string_agg(w, ' ')), '[a-z0-9]+'), lambda t: length(t) >= 2)) as h from (select case_id, diagram_id, replace(state, '_', ' ') as w from pool join states using (diagram_id) union all select case_id, diagram_id, event from pool join transitions using (diagram_id)) group by 1, 2),
+need as (select case_id, {_TOK.format(x="'handle ' || replace(state, '_', ' ')")} as t from diagrams join states using (diagram_id) where run_index = 0),
+said as (select case_id, diagram_id, {_TOK.format(x="string_agg(w, ' ')")} as h from (select case_id, diagram_id, state as w from pool join states using (diagram_id) union all select case_id, diagram_id, event from pool join transitions using (diagram_id)) group by 1, 2),
 hh as (select diagram_id, len(t) as n, len(list_intersect(t, h)) as k from need join said using (case_id)),
 cv as (select diagram_id, least(1, greatest(0, 0.65::double * count(*) filter (k >= (case when n <= 2 then 1 else 2 end) or k / n >= 0.35) / count(*) + 0.35::double * avg(least(1.0, k / n / 0.45::double)))) as coverage from hh group by 1),
 fr as (select co.case_id, co.diagram_id, 0.35::double * structural + 0.30::double * coverage + 0.20::double * consensus + 0.15::double * quality as final, coverage, structural, quality from co join st using (diagram_id) join ql using (diagram_id) join cv using (diagram_id))"""

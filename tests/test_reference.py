@@ -301,3 +301,18 @@ def test_prompts_and_missing_requirements_take_all_texts(spark, sf):
         assert r.strategy != "few_shot" or ("Diagram of example 2:\n@startuml" in r.prompt and r.prompt.endswith("Requirement:\n" + texts[r.case_id]))
     missing = RQ.o12_potential_missing(spark, sf)
     assert {r.key for r in missing.collect()} == set(texts)
+
+
+def test_concepts_and_requirement_items(spark):
+    d = spark.createDataFrame([("The user can sign in",), ("Authenticated users PAY for purchases; view_10 x",), (None,), ("of the",)], "t string")
+    assert [r[0] for r in d.select(T.concepts("t")).collect()] == [["login"], ["10", "login", "payment", "purchase", "view"], None, []]
+    rows = [
+        ("listed", "Title line\n 1) Users can sign in.\n - of the\n* Buy a book. Read it.\n2.no space"), ("prose", "A guest signs\n  the form and\nleaves. It rains!\n\nThe end"), ("blank", " \n"), ("null", None), ("stop", "1. of the\nfree text here\r\nand there"),
+    ]
+    got = {}
+    for r in I.requirement_items(spark.createDataFrame(rows, "key string, text string")).orderBy("key", "item").collect():
+        got.setdefault(r.key, []).append(r.tokens)
+    assert got == {"listed": [["login"], ["book", "purchase", "view"]], "prose": [["form", "guest", "leaves", "signs"], ["rains"]], "stop": [["free", "here", "text", "there"]]}
+    c = I.coverage(I.requirement_items(spark.createDataFrame(rows, "key string, text string")), spark.createDataFrame([("listed", ["login"]), ("blank", ["x"]), ("stop", [])], "key string, tokens array<string>"))
+    got = {r.key: (r.items, r.covered, round(r.coverage, 6)) for r in c.collect()}
+    assert got == {"listed": (2, 1, round(0.65 / 2 + 0.35 * 0.5, 6)), "blank": (0, 0, 0.0), "stop": (1, 0, 0.0)}
