@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statelens.functions.small import times
+from statelens.operators.elements import boundaries
 
 TASK = "Draw one state machine for the requirement below. Answer with a single diagram block between @startuml and @enduml."
 CLOSE = "Answer with the diagram only."
@@ -41,12 +42,19 @@ def requirement(preferred, raw, structured):
     return F.coalesce(full(preferred), full(raw), full(structured))
 
 
+_WHITE = " \t\n\r\f\x0b"
+
+
 def prompt_ready(text):
-    """The first line and the part from the line ``functional requirements`` on; the whole text without such a line."""
-    lines = F.split(text, "\n")
-    at = F.array_position(F.transform(lines, lambda x: F.regexp_replace(F.lower(F.trim(x)), ":$", "")), "functional requirements")
-    body = F.array_join(F.slice(lines, F.greatest(at, F.lit(1)).cast("int"), F.size(lines)), "\n")
-    return F.when(at == 0, text).when(at == 1, body).otherwise(F.concat_ws("\n", lines[0], body))
+    """The title (the first line that isn't blank), a blank line and the part from the line ``functional requirements`` on, all
+    trimmed; the whole text, trimmed, without such a line. Null stays null.
+    """
+    strip = lambda x: F.btrim(x, F.lit(_WHITE))
+    lines = F.split(strip(text), "\r\n?|\n")
+    at = F.array_position(F.transform(lines, lambda x: F.lower(strip(x))), "functional requirements")
+    body = strip(F.array_join(F.slice(lines, F.greatest(at, F.lit(1)).cast("int"), F.size(lines)), "\n"))
+    # the text is trimmed, so its first line isn't blank
+    return F.when(at == 0, strip(text)).when(at > 0, F.concat_ws("\n\n", strip(lines[0]), body))
 
 
 def generation_prompts(cases: DataFrame, configs: DataFrame, examples: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -90,16 +98,47 @@ def repair_prompts(candidates: DataFrame) -> DataFrame:
     return candidates.select("diagram_id", parts.alias("prompt"))
 
 
+STACK_TASK = (
+    "Answer the requirement with one state machine, given the candidates below. Take the candidate that fits best as it is, and change of it only what the syntax, a rule of state machines or a missing "
+    "part of the requirement demands. Join no two candidates, and add nothing else."
+)
+
+
+def clipped(text, limit: int):
+    """A diagram's cleaned text; a longer one than ``limit`` is cut 32 characters before it, right-trimmed, and closed again."""
+    whole = F.btrim(boundaries(text), F.lit(_WHITE))
+    cut = F.rtrim(F.regexp_replace(F.substring(whole, 1, limit - 32), "[ \\t\\n\\r]+$", ""))
+    return F.when(F.length(whole) <= limit, whole).when(cut.endswith("@enduml"), cut).otherwise(F.concat(cut, F.lit("\n@enduml")))
+
+
 def stacked_prompts(chosen: DataFrame, limit: int = 2600) -> DataFrame:
-    """(case_id, prompt) of up to k candidates in rank order, each clipped; chosen: case_id, rank, text."""
-    g = chosen.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, limit).alias("t")))).alias("c"))
+    """(case_id, prompt) of up to k candidates in rank order, each clipped, under their case's requirement.
+
+    chosen: case_id, rank, text, requirement (the same in all rows of a case).
+    """
+    g = chosen.groupBy("case_id").agg(F.first("requirement").alias("requirement"), F.array_sort(F.collect_list(F.struct("rank", clipped(F.col("text"), limit).alias("t")))).alias("c"))
     body = F.array_join(F.transform("c", lambda x, i: F.concat(F.lit("Candidate "), (i + 1).cast("string"), F.lit(":\n"), x["t"])), "\n\n")
-    return g.select("case_id", F.concat(F.lit("Merge the candidates into one diagram.\n\n"), body).alias("prompt"))
+    return g.select("case_id", F.concat_ws("\n\n", F.lit(STACK_TASK), F.concat(F.lit("Requirement:\n"), F.btrim(F.coalesce("requirement", F.lit("")), F.lit(_WHITE))), body, F.lit(CLOSE)).alias("prompt"))
+
+
+#: What a repair run's id holds where its base run has only the strategy; runs that only validate have no base.
+REPAIRED = r"__(zero_shot|one_shot|few_shot|rag)_validation_generator_critic_repair"
 
 
 def base_run(run_id):
-    """The run whose output a repair run starts from: its id without the repair part."""
-    return F.regexp_replace(run_id, "_(structural_)?validation(_repair)?|_repair", "")
+    """(base_run_id, base_strategy) of a repair run, nulls for any other: its id with the strategy alone, tags kept."""
+    base = F.when(run_id.rlike(REPAIRED), F.regexp_replace(run_id, REPAIRED, "__$1"))
+    return F.struct(base.alias("base_run_id"), F.nullif(F.regexp_extract(run_id, REPAIRED, 1), F.lit("")).alias("base_strategy"))
+
+
+def with_base(jobs: DataFrame, diagrams: DataFrame) -> DataFrame:
+    """jobs (run_id, case_id, run_index, ...) with base_run_id, base_strategy and base_text: the final diagram of the same case
+    and run index that a repair run starts from; all null where there is none, and a first answer is to be generated.
+    """
+    have = diagrams.where("stage = 'final'").select(F.col("run_id").alias("base_run_id"), "case_id", "run_index", F.col("text").alias("base_text"))
+    j = jobs.select("*", base_run(F.col("run_id")).alias("_b")).select(*jobs.columns, "_b.*").join(have, ["base_run_id", "case_id", "run_index"], "left")
+    found = lambda c: F.when(F.col("base_text").isNotNull(), F.col(c)).alias(c)
+    return j.select(*jobs.columns, found("base_run_id"), found("base_strategy"), "base_text")
 
 
 def answer_json(text, schema: str):

@@ -134,8 +134,13 @@ def h1_requirement_fallback(spark, sf):
 
 
 def h6_base_runs(spark, sf):
-    r = TQ.a12_run_matrix(spark, sf).select(F.concat("run_id", F.lit("_validation_repair")).alias("run_id"))
-    return r.select("run_id", H.base_run(F.col("run_id")).alias("base"))
+    """Repair jobs and what they start from: first answers of two strategies exist, tagged where they retrieved."""
+    d = B.graph_rows(spark, sf).select("case_id", "run_index", "diagram_id")
+    had = F.when(F.col("case_id") % 2 == 0, "open__m__zero_shot").otherwise("open__m__rag__rules")
+    first = d.join(TQ._texts(spark, sf), "diagram_id").where("run_index <> 1").select(had.alias("run_id"), "case_id", "run_index", F.lit("final").alias("stage"), "text")
+    wanted = F.element_at(F.array(*map(F.lit, ("open__m__zero_shot_validation_generator_critic_repair", "open__m__rag_validation_generator_critic_repair__rules", "open__m__rag_structural_validation__rules", "open__m__few_shot_validation_generator_critic_repair"))), (F.col("case_id") % 4 + 1).cast("int"))
+    jobs = d.where("run_index > 0").select(wanted.alias("run_id"), "case_id", "run_index")
+    return H.with_base(jobs, first).select("run_id", "case_id", "run_index", "base_run_id", "base_strategy", F.md5("base_text").alias("base_md5"))
 
 
 def h8_extraction_prompts(spark, sf):
@@ -181,7 +186,6 @@ def o18_job_status(spark, sf):
 _CX = f"with {B.VV}, c as (select v.*, case when d.n_chars <= 800 then 'simple' when d.n_chars <= 2500 then 'medium' else 'complex' end as complexity from v join documents d on v.case_id = d.doc_id)"
 _RATED = f"""{RQ._R}, cs as (select s.*, case when o_totalprice < 1e5 then 'simple' when o_totalprice < 3e5 then 'medium' else 'complex' end as complexity from s join orders on o_orderkey = item_id),
 med as (select complexity, method, criterion, count(*) as responses, count(distinct item_id) as diagrams, median(score) as median from cs group by 1, 2, 3)"""
-_RUN = "select distinct 'local__' || s.source || '__rag_' || l.lang || '_validation_repair' as run_id, 'local__' || s.source || '__rag_' || l.lang as base from documents s cross join (select distinct lang from documents) l"
 ORACLES = {
     "a8_status_gate": "select lang, count(*) as n from documents where doc_id not in (select doc_id from labels where toxic <> 0 or doc_id % 7 = 0) group by 1",
     "a11_subset_counts": "select subset, count(*) as n from documents d join (values ('full', 'en'), ('full', 'fr'), ('full', 'de'), ('full', 'es'), ('rules', 'fr'), ('theory', 'de'), ('theory', 'es')) t(subset, g) on d.lang = t.g group by 1",
@@ -209,7 +213,6 @@ x as (select case_id, state, max(p) as p, max(g) as g from (select case_id, stat
 n as (select case_id, cast(sum(p) as bigint) as n_pred, cast(sum(g) as bigint) as n_gold, cast(sum(p * g) as bigint) as tp from x group by 1), r as (select *, n_pred - tp as fp, n_gold - tp as fn, tp / n_pred as precision, tp / n_gold as recall from n)
 select *, case when precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end as f1 from r""",
     "h1_requirement_fallback": "select conv_id, coalesce(case when conv_id % 2 = 0 then null else nullif(trim(max(text) filter (role = 'system')), '') end, nullif(trim(min(text) filter (role = 'user')), ''), nullif(trim(min(text) filter (role = 'assistant')), '')) as requirement from conversations group by 1",
-    "h6_base_runs": _RUN,
 }
 _REQ = "('the', 'a', 'an', 'and', 'or', 'of', 'to', 'in', 'on', 'for', 'with', 'by', 'is', 'are', 'was', 'were', 'be', 'been', 'being', 'that', 'this', 'these', 'those', 'it', 'its', 'as', 'at', 'from', 'into', 'than', 'then', 'if', 'when', 'while', 'can', 'will', 'shall', 'should', 'would', 'could', 'may', 'might', 'must', 'not', 'no', 'so', 'such', 'their', 'his', 'her', 'our', 'your', 'they', 'them', 'he', 'she', 'we', 'you', 'i')"
 _TK = f"list_distinct(list_filter(regexp_extract_all(lower({{x}}), '[a-z0-9]+'), lambda t: length(t) > 2 and t not in {_REQ}))"
@@ -272,8 +275,17 @@ iss2 as (select diagram_id, string_agg('- ' || issue, chr(10) order by pos) as l
 select d.diagram_id, 'Repair the diagram.' || {_NL2} || 'Requirement:' || chr(10) || 'Follow the flow.' || {_NL2} || 'Diagram:' || chr(10) || text || {_NL2} || 'Issues:' || chr(10) || coalesce(iss2.l, '- none') || {_NL2} || 'Advice:' || chr(10) || coalesce(adv.l, '- Mend what is listed and keep what the requirement means.') as prompt
 from diagrams d join tx using (diagram_id) left join iss2 using (diagram_id) left join adv using (diagram_id) where run_index > 0"""
 _SEL = TQ.ORACLES["i15_legacy_selection"]
-ORACLES["h5_stacked_prompts"] = f"""{_SEL[: _SEL.rindex('select case_id')]}, sl as ({_SEL[_SEL.rindex('select case_id') :]}), {_TEXTED.split('select i.diagram_id', 1)[0].rstrip().replace('t as (', 't2 as (', 1)}, tx as (select i.diagram_id{_TEXTED.split('select i.diagram_id', 1)[1].replace('left join t ', 'left join t2 as t ')})
-select case_id, 'Merge the candidates into one diagram.' || {_NL2} || string_agg('Candidate ' || rank || ':' || chr(10) || left(text, 2600), {_NL2} order by rank) as prompt from sl join tx using (diagram_id) group by 1"""
+ORACLES["h5_stacked_prompts"] = f"""{_SEL[: _SEL.rindex('select case_id')]}, sl as ({_SEL[_SEL.rindex('select case_id') :]}), {_TEXTED.split('select i.diagram_id', 1)[0].rstrip().replace('t as (', 't2 as (', 1)}, tx as (select i.diagram_id{_TEXTED.split('select i.diagram_id', 1)[1].replace('left join t ', 'left join t2 as t ')}),
+ln as (select case_id, rank, case when case_id % 3 = 0 then replace(text, chr(10) || '@enduml', repeat(chr(10) || chr(39) || ' remark', 400) || chr(10) || '@enduml') else text end as t from sl join tx using (diagram_id)),
+cu as (select case_id, rank, case when length(t) <= 2600 then t else rtrim(left(t, 2568), ' ' || chr(10)) || chr(10) || '@enduml' end as t from ln),
+nd as (select case_id, string_agg('Handle ' || state || '.', ' ' order by state) as req from diagrams join states using (diagram_id) where run_index = 0 group by 1),
+pr as (select case_id, 'Answer the requirement with one state machine, given the candidates below. Take the candidate that fits best as it is, and change of it only what the syntax, a rule of state machines or a missing part of the requirement demands. Join no two candidates, and add nothing else.'
+  || {_NL2} || 'Requirement:' || chr(10) || any_value(req) || {_NL2} || string_agg('Candidate ' || rank || ':' || chr(10) || t, {_NL2} order by rank) || {_NL2} || 'Answer with the diagram only.' as prompt from cu join nd using (case_id) group by 1)
+select case_id, length(prompt)::int as length, md5(prompt) as prompt_md5 from pr"""
+ORACLES["h6_base_runs"] = f"""with {B.VG}, {_TEXTED.split('select i.diagram_id', 1)[0].rstrip()}, tx as (select i.diagram_id{_TEXTED.split('select i.diagram_id', 1)[1]}),
+jb as (select case_id, run_index, diagram_id, case_id % 4 as k, case_id % 4 < 2 and run_index <> 1 as has from diagrams where run_index > 0)
+select ['open__m__zero_shot_validation_generator_critic_repair', 'open__m__rag_validation_generator_critic_repair__rules', 'open__m__rag_structural_validation__rules', 'open__m__few_shot_validation_generator_critic_repair'][k + 1] as run_id, case_id, run_index,
+case when has then case k when 0 then 'open__m__zero_shot' else 'open__m__rag__rules' end end as base_run_id, case when has then case k when 0 then 'zero_shot' else 'rag' end end as base_strategy, case when has then md5(text) end as base_md5 from jb join tx using (diagram_id)"""
 _S = lambda x: f"(select similarity from jac where (a = c.diagram_id and b = {x}) or (b = c.diagram_id and a = {x}))"
 ORACLES["i14_diverse_selection"] = f"""{TQ._FINAL}, {_TEXTED.split('select i.diagram_id', 1)[0].rstrip().replace('t as (', 't2 as (', 1)}, tx as (select i.diagram_id{_TEXTED.split('select i.diagram_id', 1)[1].replace('left join t ', 'left join t2 as t ')}),
 c as (select fr.*, text, 'm' || cast(split_part(diagram_id, '/', 2) as int) % 3 as model, row_number() over (partition by case_id order by round(final, 9) desc, round(coverage, 9) desc, round(structural, 9) desc, round(quality, 9) desc, diagram_id) as rank from fr join tx using (diagram_id)),

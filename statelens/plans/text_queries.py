@@ -280,7 +280,10 @@ def o1_normalised(spark, sf):
 
 
 def h2_prompt_ready(spark, sf):
-    d = _requirements(spark, sf).withColumn("text", F.concat(F.lit("Title\nIntro\nFunctional Requirements:\n"), "text"))
+    """Texts with a title and the line in two forms, and texts where that line has a colon, which makes it none."""
+    k = F.col("key") % 4
+    line = F.when(k == 0, "Functional Requirements").when(k == 1, "\t functional requirements ").when(k == 2, "Functional Requirements:").otherwise("none")
+    d = _requirements(spark, sf).withColumn("text", F.concat(F.lit("\n Title "), F.col("key").cast("string"), F.lit(" \r\nIntro\n"), line, F.lit("\n"), "text", F.lit(" \n\n")))
     return d.select("key", F.md5(H.prompt_ready(F.col("text"))).alias("ready_md5"))
 
 
@@ -304,8 +307,12 @@ def h4_repair_prompts(spark, sf):
 
 
 def h5_stacked_prompts(spark, sf):
+    """The two candidates of each case, made long by a remark in every third, under what the case's gold run says."""
     top = i15_legacy_selection(spark, sf).join(_texts(spark, sf), "diagram_id")
-    return H.stacked_prompts(top)
+    long = F.concat(F.substring_index("text", "\n@enduml", 1), F.repeat(F.lit("\n' remark"), 400), F.lit("\n@enduml"))
+    need = B.graph_rows(spark, sf).where("run_index = 0").select("case_id", F.concat(F.lit(" "), F.array_join(F.transform("states", lambda s: F.concat(F.lit("Handle "), s["state"], F.lit("."))), " "), F.lit("\n")).alias("requirement"))
+    p = H.stacked_prompts(top.withColumn("text", F.when(F.col("case_id") % 3 == 0, long).otherwise(F.col("text"))).join(need, "case_id"))
+    return p.select("case_id", F.length("prompt").alias("length"), F.md5("prompt").alias("prompt_md5"))
 
 
 def h7_answer_json(spark, sf):
@@ -313,10 +320,14 @@ def h7_answer_json(spark, sf):
     return e.select("event_id", H.answer_json(F.col("text"), "k int")["k"].alias("k"))
 
 
+def _models(spark, sf):
+    return B.table(spark, sf, "documents").where("source is not null").select(F.lit("local").alias("model_group"), F.col("source").alias("model_label")).distinct()
+
+
 def a12_run_matrix(spark, sf):
-    d = B.table(spark, sf, "documents")
-    m = d.select(F.lit("local").alias("model_group"), F.col("source").alias("model_label")).distinct()
-    return A.run_matrix(m, d.select(F.concat(F.lit("rag_"), "lang").alias("strategy")).distinct()).select("run_id")
+    """Every source as a model with all strategies, a tag on those that retrieve, and a baseline run."""
+    base = spark.createDataFrame([("api", "gpt4o", "zero_shot")], "model_group string, model_label string, strategy string")
+    return A.run_matrix(_models(spark, sf), A.strategies(spark), " Rules & Theory! ", base).select("run_id", "strategy", "use_rag", "use_structural_validation", "use_ensemble", "baseline_subset_only")
 
 
 def _runs(spark, sf):
@@ -336,9 +347,21 @@ def i1_candidate_pools(spark, sf):
     return listed.select(F.lit("listed").alias("pool"), "run_id", "diagram_id", "model").union(by_name.select(F.lit("strategy"), "run_id", "diagram_id", "model"))
 
 
+#: Second parts and methods of run ids: labelled ones, tagged ones, unknown ones.
+_TAGS = ("qwen25_7b_instruct", "qwen25_14b_instruct", "mistral", "llama31_8b_instruct", "llama31_70b_instruct", "deepseek_r1_8b", "deepseek_r1_14b", "other")
+_METHODS = (
+    "zero_shot", "one_shot", "few_shot", "rag", "zero_shot_validation_generator_critic_repair", "one_shot_validation_generator_critic_repair", "few_shot_validation_generator_critic_repair", "rag_structural_validation",
+    "rag_validation_generator_critic_repair", "rag__rules_and_theory", "rag_structural_validation__rules_only", "rag_validation_generator_critic_repair__a__b", "zero_shot__tag", "chain", "rag_other__x",
+)
+
+
 def a14_decoded_runs(spark, sf):
-    r = a12_run_matrix(spark, sf).select("run_id", A.decode_run_id(F.col("run_id")).alias("d"))
-    return r.select("run_id", "d.model", "d.method")
+    """Run ids made of models and methods by document, decoded; and ids of two parts."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    k = F.col("doc_id")
+    run_id = F.when(k % 31 == 0, F.concat_ws("__", F.lit("x"), "source")).otherwise(F.concat_ws("__", "source", pick(_TAGS, k), pick(_METHODS, k)))
+    r = B.table(spark, sf, "documents").where("source is not null").select(run_id.alias("run_id")).groupBy("run_id").agg(F.count("*").alias("n"))
+    return r.select("run_id", "n", A.decode_run_id(F.col("run_id")).alias("d")).select("run_id", "n", "d.model", "d.method")
 
 
 def a10_pending(spark, sf):
@@ -386,12 +409,23 @@ select i.diagram_id, concat_ws(chr(10), '@startuml', '[*] --> ' || i.target, t.l
     "o11_ambiguities": f"""{_SENT}, h as (select key, pos, array_to_string(list_filter([{', '.join(f"'{t}'" for t in T.AMBIGUOUS_TERMS)}], lambda t: contains(lower(sentence), t)), ',') as terms from sr) select * from h where terms <> ''""",
     "o15_summary": f"{_SENT} select key, coalesce(array_to_string(list_slice(list_filter(s, lambda x: not contains(lower(x), 'figure')), 1, 3), ' '), '') as summary from f",
     "h7_answer_json": "select event_id, cast(json_extract_string(props, '$.k') as int) as k from events",
-    "a12_run_matrix": "select distinct 'local__' || s.source || '__rag_' || l.lang as run_id from documents s cross join (select distinct lang from documents) l",
-    "a14_decoded_runs": "select distinct 'local__' || s.source || '__rag_' || l.lang as run_id, s.source as model, 'RAG [' || l.lang || ']' as method from documents s cross join (select distinct lang from documents) l",
+    "a12_run_matrix": """with s as (select * from (values ('zero_shot', false, false, false), ('few_shot', false, false, false), ('zero_shot_validation_generator_critic_repair', false, true, true), ('few_shot_validation_generator_critic_repair', false, true, true),
+('rag', true, false, false), ('rag_structural_validation', true, true, false), ('rag_validation_generator_critic_repair', true, true, true)) v(strategy, use_rag, use_structural_validation, use_ensemble))
+select 'local__' || m.source || '__' || strategy || case when use_rag then '__rules_theory' else '' end as run_id, s.*, false as baseline_subset_only from (select distinct source from documents where source is not null) m cross join s
+union all select 'api__gpt4o__zero_shot', 'zero_shot', false, false, false, true""",
+    "a14_decoded_runs": """with d as (select doc_id, source, ['Qwen 2.5 7B Instruct', 'Qwen 2.5 14B Instruct', 'Mistral', 'Llama 3.1 8B Instruct', 'Llama 3.1 70B Instruct', 'DeepSeek R1 8B', 'DeepSeek R1 14B', 'other'][doc_id % 8 + 1] as model,
+  ['qwen25_7b_instruct', 'qwen25_14b_instruct', 'mistral', 'llama31_8b_instruct', 'llama31_70b_instruct', 'deepseek_r1_8b', 'deepseek_r1_14b', 'other'][doc_id % 8 + 1] as m,
+  ['zero_shot', 'one_shot', 'few_shot', 'rag', 'zero_shot_validation_generator_critic_repair', 'one_shot_validation_generator_critic_repair', 'few_shot_validation_generator_critic_repair', 'rag_structural_validation', 'rag_validation_generator_critic_repair',
+   'rag__rules_and_theory', 'rag_structural_validation__rules_only', 'rag_validation_generator_critic_repair__a__b', 'zero_shot__tag', 'chain', 'rag_other__x'][doc_id % 15 + 1] as k,
+  ['Zero-shot', 'One-shot', 'Few-shot', 'RAG', 'Zero-shot + Repair', 'One-shot + Repair', 'Few-shot + Repair', 'RAG + Validation', 'RAG + Repair',
+   'RAG [rules and theory]', 'RAG + Validation [rules only]', 'RAG + Repair [a  b]', 'zero_shot__tag', 'chain', 'rag_other__x'][doc_id % 15 + 1] as method from documents where source is not null)
+select case when doc_id % 31 = 0 then 'x__' || source else source || '__' || m || '__' || k end as run_id, count(*) as n, case when doc_id % 31 = 0 then 'x__' || source else model end as model, case when doc_id % 31 = 0 then 'unknown' else method end as method from d group by all""",
     "a10_pending": "select doc_id from documents where doc_id not in (select doc_id from labels)",
     "i10_pairwise_similarity": f"with {_SIM} select case_id, a, b, round(similarity, 9) as similarity from jac",
     "i11_consensus": f"with {_SIM}, u as (select case_id, a as diagram_id, similarity from jac union all select case_id, b, similarity from jac) select pool.case_id, pool.diagram_id, round(coalesce(avg(similarity), 1.0), 9) as consensus from pool left join u using (diagram_id) group by 1, 2",
-    "h2_prompt_ready": "select doc_id as key, md5('Title' || chr(10) || 'Functional Requirements:' || chr(10) || text) as ready_md5 from documents where text is not null",
+    "h2_prompt_ready": r"""with t as (select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as end_, regexp_replace(text, '[ \t\n\r]+$', '') as body from documents where text is not null)
+select doc_id as key, md5(case when doc_id % 4 < 2 then 'Title ' || doc_id || chr(10) || chr(10) || trim(case when doc_id % 4 = 0 then 'Functional Requirements' else 'functional requirements ' end || chr(10) || body, ' ' || chr(10))
+ else trim('Title ' || doc_id || ' ' || chr(13) || chr(10) || 'Intro' || chr(10) || case when doc_id % 4 = 2 then 'Functional Requirements:' else 'none' end || chr(10) || body, ' ' || chr(10)) end) as ready_md5 from t""",
     "b1_answer_blocks": None,
 }
 _ACT = _SENT.replace("x='text'", "x='text'").replace("from documents where text is not null", "from (select doc_id, text || ' However, managers view the ' || source || ' list. Users can select ' || lang || ' and cancel. Users can select ' || lang || ' and cancel.' as text from documents where text is not null)")

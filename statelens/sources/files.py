@@ -98,11 +98,47 @@ def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return work.join(done.select(*keys), keys, "left_anti")
 
 
-def run_matrix(models: DataFrame, strategies: DataFrame, tag: str = "") -> DataFrame:
-    """Every model with every strategy (a dimension, whose size is checked) and the composed run_id."""
-    label = F.regexp_replace(F.lower(F.lit(tag)), "[^a-z0-9]+", "_")
-    parts = F.concat_ws("__", "model_group", "model_label", F.when(F.length(label) > 0, F.concat_ws("_", "strategy", label)).otherwise(F.col("strategy")))
-    return times(models, strategies).withColumn("run_id", parts)
+# The strategies of a run matrix with what they use, and the labels of models and methods.
+STRATEGIES = (
+    ("zero_shot", False, False, False), ("few_shot", False, False, False), ("zero_shot_validation_generator_critic_repair", False, True, True), ("few_shot_validation_generator_critic_repair", False, True, True),
+    ("rag", True, False, False), ("rag_structural_validation", True, True, False), ("rag_validation_generator_critic_repair", True, True, True),
+)
+STRATEGY_SCHEMA = "strategy string, use_rag boolean, use_structural_validation boolean, use_ensemble boolean"
+MODEL_LABELS = {
+    "qwen25_7b_instruct": "Qwen 2.5 7B Instruct", "qwen25_14b_instruct": "Qwen 2.5 14B Instruct", "mistral": "Mistral", "llama31_8b_instruct": "Llama 3.1 8B Instruct", "llama31_70b_instruct": "Llama 3.1 70B Instruct",
+    "deepseek_r1_8b": "DeepSeek R1 8B", "deepseek_r1_14b": "DeepSeek R1 14B",
+}
+METHOD_LABELS = {
+    "zero_shot": "Zero-shot", "one_shot": "One-shot", "few_shot": "Few-shot", "rag": "RAG", "zero_shot_validation_generator_critic_repair": "Zero-shot + Repair", "one_shot_validation_generator_critic_repair": "One-shot + Repair",
+    "few_shot_validation_generator_critic_repair": "Few-shot + Repair", "rag_structural_validation": "RAG + Validation", "rag_validation_generator_critic_repair": "RAG + Repair",
+}
+#: The methods whose runs may carry the tag of a document subset.
+TAGGED = ("rag", "rag_structural_validation", "rag_validation_generator_critic_repair")
+
+
+def normal_tag(tag):
+    """A tag in lower case, whatever is no letter or digit as one underscore, none at its ends."""
+    return F.btrim(F.regexp_replace(F.lower(F.trim(tag)), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def strategies(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(STRATEGIES, STRATEGY_SCHEMA)
+
+
+def run_matrix(models: DataFrame, strategies: DataFrame, tag: str = "", baseline: DataFrame | None = None) -> DataFrame:
+    """Every model (model_group, model_label, ...) with every strategy (strategy, use_rag, ...; a dimension, whose size is
+    checked) and run_id, its parts joined; the tag of a document subset follows in runs that retrieve.
+
+    baseline: (model_group, model_label, strategy, ...) of runs on the baseline subset alone, which come besides.
+    """
+    label = normal_tag(F.lit(tag))
+    run_id = F.concat_ws("__", "model_group", "model_label", "strategy", F.when(F.col("use_rag") & (label != ""), label))
+    out = times(models, strategies).withColumn("run_id", run_id).withColumn("baseline_subset_only", F.lit(False))
+    if baseline is None:
+        return out
+    one = baseline.withColumn("run_id", F.concat_ws("__", "model_group", "model_label", "strategy")).withColumn("baseline_subset_only", F.lit(True))
+    flags = [c for c, t in strategies.dtypes if t == "boolean"]
+    return out.unionByName(one, allowMissingColumns=True).fillna(False, flags)
 
 
 def one_shot_ids(configs: DataFrame, examples: int) -> DataFrame:
@@ -110,14 +146,22 @@ def one_shot_ids(configs: DataFrame, examples: int) -> DataFrame:
     return configs.withColumn("run_id", F.regexp_replace("run_id", "__few_shot", "__one_shot")) if examples == 1 else configs
 
 
+def _label(x, labels: dict):
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in labels.items() for v in kv]), x), x)
+
+
 def decode_run_id(run_id):
-    """(model, method) of a run id in three parts; fewer parts give the id itself and ``unknown``."""
+    """(model, method): labels of a run id's second part and of all that follows; fewer than three parts give the id itself
+    and ``unknown``. A method that is not known as a whole is the longest tagged method that it starts with, and its tag.
+    """
     p = F.split(run_id, "__")
-    tag = F.regexp_extract(p[2], "^rag_(.+)$", 1)
-    repaired = tag.endswith("validation")
-    core = F.regexp_replace(tag, "_?(structural_)?validation$", "")
-    method = F.when(p[2] == "rag", "RAG").when(tag == "", F.initcap(F.replace(p[2], F.lit("_"), F.lit(" ")))).when(repaired & (core == ""), "RAG + Repair").when(repaired, F.concat(F.lit("RAG + Repair ["), core, F.lit("]"))).otherwise(F.concat(F.lit("RAG ["), tag, F.lit("]")))
-    return F.when(F.size(p) < 3, F.struct(run_id.alias("model"), F.lit("unknown").alias("method"))).otherwise(F.struct(p[1].alias("model"), method.alias("method")))
+    method = F.array_join(F.slice(p, F.lit(3), F.greatest(F.size(p) - 2, F.lit(1))), "__")
+    tag = F.replace(F.regexp_extract(method, "^[^_]+(?:_[^_]+)*?__(.*)$", 1), F.lit("_"), F.lit(" "))
+    tagged = F.lit(None).cast("string")
+    for name in sorted(TAGGED, key=len):
+        tagged = F.when(method.startswith(f"{name}__"), F.concat(F.lit(f"{METHOD_LABELS[name]} ["), tag, F.lit("]"))).otherwise(tagged)
+    known = F.try_element_at(F.create_map(*[F.lit(v) for kv in METHOD_LABELS.items() for v in kv]), method)
+    return F.when(F.size(p) < 3, F.struct(run_id.alias("model"), F.lit("unknown").alias("method"))).otherwise(F.struct(_label(p[1], MODEL_LABELS).alias("model"), F.coalesce(known, tagged, method).alias("method")))
 
 
 def explode_attempts(meta: DataFrame) -> DataFrame:

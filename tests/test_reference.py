@@ -272,8 +272,37 @@ def test_sources(spark, tmp_path):
     assert A.read_csv(spark, str(tmp_path / "none.csv"), ["a"]).count() == 0
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nbad\n{"a": 2}\n')
     assert {r.a for r in A.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").collect()} == {1, 2}
-    got = spark.createDataFrame([("a__m__rag_validation",), ("a__m__rag_rules",), ("a__m__few_shot",), ("odd",)], "r string").select(A.decode_run_id(F.col("r")).alias("d")).select("d.*").collect()
-    assert [tuple(r) for r in got] == [("m", "RAG + Repair"), ("m", "RAG [rules]"), ("m", "Few Shot"), ("odd", "unknown")]
+    ids = ["a__mistral__rag_structural_validation", "a__m__rag__tag", "a__m__rag_validation_generator_critic_repair__x_y", "a__m__rag_structural_validation__x", "a__m__one_shot", "a__m__few_shot__x", "odd", "a__m"]
+    got = spark.createDataFrame([(i,) for i in ids], "r string").select(A.decode_run_id(F.col("r")).alias("d")).select("d.*").collect()
+    assert [tuple(r) for r in got] == [
+        ("Mistral", "RAG + Validation"), ("m", "RAG [tag]"), ("m", "RAG + Repair [x y]"), ("m", "RAG + Validation [x]"), ("m", "One-shot"), ("m", "few_shot__x"), ("odd", "unknown"), ("a__m", "unknown"),
+    ]
+
+
+def test_run_matrix_tags_retrieval_only(spark):
+    m = spark.createDataFrame([("open", "mistral")], "model_group string, model_label string")
+    tagged = {r.run_id for r in A.run_matrix(m, A.strategies(spark), "_Rules only!").collect()}
+    assert "open__mistral__rag__rules_only" in tagged and "open__mistral__zero_shot" in tagged and len(tagged) == 7
+    decoded = A.run_matrix(m, A.strategies(spark), "x").select(A.decode_run_id(F.col("run_id"))["method"].alias("m"), "use_rag").collect()
+    assert all(r.m.endswith("[x]") == r.use_rag for r in decoded)
+    assert {r.run_id for r in A.run_matrix(m, A.strategies(spark), " - ").collect()} == {f"open__mistral__{s[0]}" for s in A.STRATEGIES}
+
+
+def test_prompt_parts(spark):
+    d = spark.createDataFrame([("\n Title \nIntro\nFunctional Requirements\n1. a\n",), ("Title\nFunctional Requirements:\nx ",), (" \n",), (None,), ("functional requirements\na",)], "t string")
+    assert [r[0] for r in d.select(H.prompt_ready(F.col("t"))).collect()] == ["Title\n\nFunctional Requirements\n1. a", "Title\nFunctional Requirements:\nx", "", None, "functional requirements\n\nfunctional requirements\na"]
+    long = "@startuml\n" + "A --> B : x\n" * 300 + "@enduml"
+    c = spark.createDataFrame([(1, 2, "@startuml\nA --> B\n@enduml", " need \n"), (1, 1, long, " need \n")], "case_id int, rank int, text string, requirement string")
+    p = H.stacked_prompts(c).first().prompt
+    first = p.split("Candidate 1:\n")[1].split("\n\nCandidate 2:")[0]
+    assert "Requirement:\nneed\n\nCandidate 1:" in p and len(first) <= 2600 and first.endswith("\n@enduml") and first.startswith("@startuml\nA --> B : x") and "Candidate 2:\n@startuml\nA --> B\n@enduml" in p
+    jobs = spark.createDataFrame([(r, "c", 1) for r in ("o__m__zero_shot_validation_generator_critic_repair", "o__m__rag_structural_validation", "o__m__rag_validation_generator_critic_repair__t", "o__m__one_shot_validation_generator_critic_repair")], "run_id string, case_id string, run_index int")
+    have = spark.createDataFrame([("o__m__zero_shot", "c", 1, "final", "Z"), ("o__m__rag__t", "c", 1, "final", "R"), ("o__m__rag_structural", "c", 1, "final", "X"), ("o__m__one_shot", "c", 2, "final", "O")], "run_id string, case_id string, run_index int, stage string, text string")
+    got = {r.run_id[6:]: (r.base_run_id, r.base_strategy, r.base_text) for r in H.with_base(jobs, have).collect()}
+    assert got == {
+        "zero_shot_validation_generator_critic_repair": ("o__m__zero_shot", "zero_shot", "Z"), "rag_structural_validation": (None, None, None), "rag_validation_generator_critic_repair__t": ("o__m__rag__t", "rag", "R"),
+        "one_shot_validation_generator_critic_repair": (None, None, None),
+    }
 
 
 def test_round_trip(spark, parsed):
