@@ -77,6 +77,15 @@ def iteration_counts(marked: DataFrame, key: str, attempt: str) -> DataFrame:
     return g.select(key, "attempted", F.coalesce("a", "attempted").alias("repaired"))
 
 
+def recorded_iterations(attempts: DataFrame, repairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, attempted, repaired) of the runs in repairs (keys, files): the greatest repair attempt on record, or where none is
+    the number of repaired files; and the greatest accepted one, or else the attempted.
+    """
+    r = attempts.where("stage = 'repair'").groupBy(*keys).agg(F.max("attempt").alias("a"), F.max(F.when(F.col("accepted"), F.col("attempt"))).alias("b"))
+    j = repairs.join(r, keys, "left").withColumn("attempted", F.coalesce("a", F.col("files").cast("int")))
+    return j.select(*keys, "attempted", F.coalesce("b", "attempted").alias("repaired"))
+
+
 def attempt_counts(attempts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, total, syntax_valid, strict_valid)."""
     return attempts.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if("syntax_valid").alias("syntax_valid"), F.count_if("strict_valid").alias("strict_valid"))

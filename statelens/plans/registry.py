@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from statelens.plans import graph_queries, rating_queries, report_queries, sample_queries, text_queries
+from statelens.plans import file_queries, graph_queries, rating_queries, report_queries, sample_queries, text_queries
 
-MODULES = (graph_queries, rating_queries, sample_queries, text_queries, report_queries)
+MODULES = (graph_queries, rating_queries, sample_queries, text_queries, report_queries, file_queries)
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 

@@ -19,19 +19,6 @@ from statelens.plans import graph_queries as GQ
 from statelens.plans import rating_queries as RQ
 from statelens.plans import sample_queries as SQ
 from statelens.plans import text_queries as TQ
-from statelens.sources import files as A
-
-
-def a8_status_gate(spark, sf):
-    d = B.table(spark, sf, "documents").select("doc_id", "lang")
-    # every seventh row has no status: it didn't parse
-    meta = B.table(spark, sf, "labels").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.when(F.col("toxic") == 0, "ok").otherwise("error")).alias("status"))
-    return A.status_gate(d, meta, ["doc_id"]).groupBy("lang").agg(F.count("*").alias("n"))
-
-
-def a11_subset_counts(spark, sf):
-    d = B.table(spark, sf, "documents").select(F.col("doc_id").alias("name"), F.col("lang").alias("group"))
-    return A.subsets(d, {"full": ["en", "fr", "de", "es"], "rules": ["fr"], "theory": ["de", "es"]}).groupBy("subset").agg(F.count("*").alias("n"))
 
 
 def a15_manifest(spark, sf):
@@ -39,11 +26,6 @@ def a15_manifest(spark, sf):
     return d.agg(F.count("*").alias("diagrams"), F.countDistinct("case_id").alias("cases"), F.array_join(F.sort_array(F.collect_set(F.col("run_index").cast("string"))), ",").alias("runs"))
 
 
-def a16_attempt_artifacts(spark, sf):
-    a = SQ._attempts(spark, sf).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("attempt", "score"))).alias("attempt_artifacts"))
-    return A.explode_attempts(a)
-
-
 def c12_issue_kinds(spark, sf):
     """Issue texts made of event types and rule names, classified."""
     e = B.table(spark, sf, "events")
@@ -187,10 +169,7 @@ _CX = f"with {B.VV}, c as (select v.*, case when d.n_chars <= 800 then 'simple'
 _RATED = f"""{RQ._R}, cs as (select s.*, case when o_totalprice < 1e5 then 'simple' when o_totalprice < 3e5 then 'medium' else 'complex' end as complexity from s join orders on o_orderkey = item_id),
 med as (select complexity, method, criterion, count(*) as responses, count(distinct item_id) as diagrams, median(score) as median from cs group by 1, 2, 3)"""
 ORACLES = {
-    "a8_status_gate": "select lang, count(*) as n from documents where doc_id not in (select doc_id from labels where toxic <> 0 or doc_id % 7 = 0) group by 1",
-    "a11_subset_counts": "select subset, count(*) as n from documents d join (values ('full', 'en'), ('full', 'fr'), ('full', 'de'), ('full', 'es'), ('rules', 'fr'), ('theory', 'de'), ('theory', 'es')) t(subset, g) on d.lang = t.g group by 1",
     "a15_manifest": f"with {B.VG} select count(*) as diagrams, count(distinct case_id) as cases, (select string_agg(cast(r as varchar), ',' order by r) from (select distinct run_index as r from diagrams)) as runs from diagrams",
-    "a16_attempt_artifacts": f"{SQ._AT} select case_id, attempt, score from att",
     "k9_validity_by_complexity": f"{_CX} select complexity, method, {RQ._RATE.format(f='strict_valid')} from c where syntax_valid group by 1, 2",
     "k11_dense_by_complexity": f"""{_CX}, a as (select complexity, method, {RQ._RATE.format(f='syntax_valid')} from c group by 1, 2)
 select x.complexity, y.method, coalesce(total, 0) as total, coalesce(valid, 0) as valid, coalesce(invalid, 0) as invalid, coalesce(percent, 0) as percent from (select distinct complexity from c) x cross join (select distinct method from c) y left join a using (complexity, method)""",

@@ -18,22 +18,34 @@ def _texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return d.select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("text"))
 
 
-def read_cases(spark: SparkSession, root: str) -> DataFrame:
-    """(case_id, raw_requirement, structured_requirement, gold_text, missing_inputs) of the folders case_*, trimmed."""
-    t = reduce(lambda a, b: a.union(b), [_texts(spark, root, k) for k in KINDS])
-    t = t.select(F.regexp_extract("path", r"/(case_[^/]+)/[^/]+$", 1).alias("case_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.btrim("text", F.lit(" \n\r\t")).alias("text")).where("case_id <> ''")
+def cases_of(texts: DataFrame) -> DataFrame:
+    """(case_id, raw_requirement, structured_requirement, gold_text, missing_inputs) of texts (case_id, file, text), trimmed."""
+    t = texts.where(F.col("case_id").startswith("case_")).select("case_id", "file", F.btrim("text", F.lit(" \n\r\t")).alias("text"))
     wide = t.groupBy("case_id").pivot("file", list(KINDS)).agg(F.first("text")).withColumnsRenamed(KINDS)
     return wide.withColumn("missing_inputs", F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in KINDS.values()])))
 
 
-def read_diagrams(spark: SparkSession, root: str) -> DataFrame:
-    """(diagram_id, run_id, case_id, run_index, stage, attempt, text) of runs/<run_id>/<case_id>/run_NN[.initial|.repair_KK].puml."""
-    t = _texts(spark, root, "run_*.puml")
-    get = lambda i: F.regexp_extract("path", r"/([^/]+)/([^/]+)/run_([0-9]+)(?:\.(initial|repair)(?:_([0-9]+))?)?\.puml$", i)
-    t = t.where(get(3) != "").select(get(1).alias("run_id"), get(2).alias("case_id"), get(3).cast("int").alias("run_index"), F.when(get(4) == "", "final").otherwise(get(4)).alias("stage"), F.coalesce(get(5).try_cast("int"), F.lit(0)).alias("attempt"), "text")
+def read_cases(spark: SparkSession, root: str) -> DataFrame:
+    """The cases of the folders case_*."""
+    t = reduce(lambda a, b: a.union(b), [_texts(spark, root, k) for k in KINDS])
+    return cases_of(t.select(F.regexp_extract("path", r"/(case_[^/]+)/[^/]+$", 1).alias("case_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "text"))
+
+
+def diagrams_of(texts: DataFrame) -> DataFrame:
+    """(diagram_id, run_id, case_id, run_index, stage, attempt, text) of texts (run_id, case_id, file, text) whose file is
+    run_NN[.initial|.repair_KK].puml; others are left out.
+    """
+    get = lambda i: F.regexp_extract("file", r"^run_([0-9]+)(?:\.(initial|repair)(?:_([0-9]+))?)?\.puml$", i)
+    t = texts.where(get(1) != "").select("run_id", "case_id", get(1).cast("int").alias("run_index"), F.when(get(2) == "", "final").otherwise(get(2)).alias("stage"), F.coalesce(get(3).try_cast("int"), F.lit(0)).alias("attempt"), "text")
     return t.select(F.concat_ws("/", "run_id", "case_id", F.col("run_index").cast("string"), "stage", F.col("attempt").cast("string")).alias("diagram_id"), "*")
 
 
+def read_diagrams(spark: SparkSession, root: str) -> DataFrame:
+    """The diagrams of runs/<run_id>/<case_id>/run_NN[.initial|.repair_KK].puml."""
+    get = lambda i: F.regexp_extract("path", r"/([^/]+)/([^/]+)/([^/]+)$", i)
+    return diagrams_of(_texts(spark, root, "run_*.puml").select(get(1).alias("run_id"), get(2).alias("case_id"), get(3).alias("file"), "text"))
+
+
 def finals(diagrams: DataFrame) -> DataFrame:
     return diagrams.where("stage = 'final'")
 
@@ -43,10 +55,15 @@ def with_tokens(diagrams: DataFrame, tokens: list[str]) -> DataFrame:
     return reduce(lambda d, t: d.where(F.contains("run_id", F.lit(t))), tokens, diagrams)
 
 
+def docs_of(texts: DataFrame) -> DataFrame:
+    """(name, content) of texts (name, text) whose name ends in .md, without manifests."""
+    return texts.where(F.col("name").endswith(".md") & ~F.col("name").endswith("manifest.md")).select("name", F.col("text").alias("content"))
+
+
 def read_docs(spark: SparkSession, root: str) -> DataFrame:
-    """(name, content) of *.md below root, without manifests; the name is the path from root on."""
-    t = _texts(spark, root, "*.md").where(~F.col("path").endswith("manifest.md"))
-    return t.select(F.regexp_replace("path", "^.*" + re.escape(root.rstrip("/").replace("file://", "")) + "/", "").alias("name"), F.col("text").alias("content"))
+    """The documents *.md below root; the name is the path from root on."""
+    name = F.regexp_replace("path", "^.*" + re.escape(root.rstrip("/").replace("file://", "")) + "/", "")
+    return docs_of(_texts(spark, root, "*.md").select(name.alias("name"), "text"))
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -142,7 +159,7 @@ def run_matrix(models: DataFrame, strategies: DataFrame, tag: str = "", baseline
 
 
 def one_shot_ids(configs: DataFrame, examples: int) -> DataFrame:
-    """run_id with __few_shot as __one_shot where one example is shown."""
+    """run_id with __few_shot as __one_shot where one example is shown; others stay."""
     return configs.withColumn("run_id", F.regexp_replace("run_id", "__few_shot", "__one_shot")) if examples == 1 else configs
 
 
@@ -164,6 +181,17 @@ def decode_run_id(run_id):
     return F.when(F.size(p) < 3, F.struct(run_id.alias("model"), F.lit("unknown").alias("method"))).otherwise(F.struct(_label(p[1], MODEL_LABELS).alias("model"), F.coalesce(known, tagged, method).alias("method")))
 
 
+#: What is read of a run's metadata: its status and the artefacts of its attempts.
+METADATA = "status string, attempt_artifacts array<struct<stage:string,attempt:int,accepted:boolean,validation:struct<valid:boolean>,strict_state_diagram_valid:boolean>>"
+
+
+def attempts(meta: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, stage, attempt, accepted, syntax_valid, strict_valid): first answers and repairs that have a number, from METADATA."""
+    a = meta.select(*keys, F.explode("attempt_artifacts").alias("a")).where("a.stage in ('initial', 'repair') and a.attempt >= 0")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return a.select(*keys, "a.stage", "a.attempt", yes(F.col("a.accepted")).alias("accepted"), yes(F.col("a.validation.valid")).alias("syntax_valid"), yes(F.col("a.strict_state_diagram_valid")).alias("strict_valid"))
+
+
 def explode_attempts(meta: DataFrame) -> DataFrame:
     """One row for each attempt of attempt_artifacts."""
     return meta.withColumn("a", F.explode("attempt_artifacts")).select(*[c for c in meta.columns if c != "attempt_artifacts"], "a.*")

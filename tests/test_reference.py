@@ -345,3 +345,26 @@ def test_concepts_and_requirement_items(spark):
     c = I.coverage(I.requirement_items(spark.createDataFrame(rows, "key string, text string")), spark.createDataFrame([("listed", ["login"]), ("blank", ["x"]), ("stop", [])], "key string, tokens array<string>"))
     got = {r.key: (r.items, r.covered, round(r.coverage, 6)) for r in c.collect()}
     assert got == {"listed": (2, 1, round(0.65 / 2 + 0.35 * 0.5, 6)), "blank": (0, 0, 0.0), "stop": (1, 0, 0.0)}
+
+
+def test_file_round_trips(spark):
+    """Names with odd characters, texts with line ends of any kind, empty texts, broken and empty metadata."""
+    from statelens.sources import shared
+
+    rows = [("a b/ü=%41+", "run_01.puml", "x\r\ny\n"), ("a:b", "run_02.initial.puml", ""), ("c", "run_03.repair_07.puml", None), ("c", "other.txt", "\n\n")]
+    d = spark.createDataFrame(rows, "case_id string, file string, text string")
+    root = shared.write_texts(d, shared.folder(spark), ["case_id", "file"])
+    back = shared.read_texts(spark, root, ["case_id", "file"])
+    assert {tuple(r) for r in back.collect()} == {(a, b, c or "") for a, b, c in rows}
+    got = A.diagrams_of(back.withColumn("run_id", F.lit("r")))
+    assert {(r.run_index, r.stage, r.attempt) for r in got.collect()} == {(1, "final", 0), (2, "initial", 0), (3, "repair", 7)}
+    meta = [("ok", '{\n "status": "ok",\n "attempt_artifacts": [{"stage": "repair", "attempt": 2, "accepted": true}, {"stage": "x", "attempt": 9}, {"stage": "repair"}]}'), ("bad", '{"status": "ok", '), ("list", "[1"), ("empty", ""), ("none", "{}"), ("failed", '{"status": "error"}')]
+    root = shared.write_texts(spark.createDataFrame(meta, "k string, text string"), shared.folder(spark), ["k"])
+    m = shared.read_metadata(spark, root, A.METADATA, ["k"])
+    assert {r.k: (r.status, r.malformed) for r in m.collect()} == {"ok": ("ok", False), "bad": (None, True), "list": (None, True), "empty": (None, True), "none": (None, False), "failed": ("error", False)}
+    kept = A.status_gate(spark.createDataFrame([(k,) for k, _ in meta] + [("unknown",)], "k string"), m, ["k"])
+    assert {r.k for r in kept.collect()} == {"ok", "unknown"}
+    a = A.attempts(m, ["k"])
+    assert [(r.k, r.stage, r.attempt, r.accepted, r.strict_valid) for r in a.collect()] == [("ok", "repair", 2, True, False)]
+    files = spark.createDataFrame([("ok", 5), ("none", 3), ("failed", 0)], "k string, files long")
+    assert {r.k: (r.attempted, r.repaired) for r in J.recorded_iterations(a, files, ["k"]).collect()} == {"ok": (2, 2), "none": (3, 3), "failed": (0, 0)}
