@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statelens.functions import text as T
+from statelens.operators.elements import parse_graphs
+from statelens.operators.graph import to_text
+from statelens.operators.scoring import score_runs
 
 # The weights of the final score and the penalties of the structural one.
 WEIGHTS = {"structural": 0.35, "coverage": 0.30, "consensus": 0.20, "quality": 0.15}
@@ -60,6 +63,37 @@ def voted_finals(kept: DataFrame, states: DataFrame) -> DataFrame:
     return kept.where("kind = 'final'").select("case_id", F.col("a").alias("state")).join(states, ["case_id", "state"], "left_semi")
 
 
+def voted_graphs(pool: DataFrame, threshold: int | None = None) -> DataFrame:
+    """Graph rows (diagram_id, case_id, run_index, states, edges, inits, finals, errors) of the votes: one for each case of the
+    pool, without elements where nothing has enough votes. The initial state and the ends of transitions are states, and
+    final states must be. One more group by case reassembles the flat votes.
+    """
+    kept, initial = votes(pool, threshold)[1], plurality_initial(pool)
+    none = F.lit("")
+    rows = kept.select("case_id", "kind", "a", "b", "c").union(initial.select("case_id", F.lit("initial"), "initial", none, none)).union(pool.select("case_id", F.lit("case"), none, none, none).distinct())
+    of = lambda kind, value: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, value)))
+    edge = F.struct(F.col("a").alias("src"), F.col("b").alias("event"), F.col("c").alias("dst"))
+    g = rows.groupBy("case_id").agg(of("state", F.col("a")).alias("named"), of("transition", edge).alias("edges"), of("initial", F.col("a")).alias("inits"), of("final", F.col("a")).alias("ends"))
+    names = F.array_sort(F.array_distinct(F.concat("named", "inits", F.flatten(F.transform("edges", lambda e: F.array(e["src"], e["dst"]))))))
+    state = lambda n: F.struct(n.alias("state"), F.lit(False).alias("is_explicit"), F.lit(False).alias("is_composite"), F.lit(False).alias("is_history"), F.array().cast("array<string>").alias("stereotypes"))
+    return g.select(
+        F.concat(F.lit("voted/"), F.col("case_id").cast("string")).alias("diagram_id"), "case_id", F.lit(1).cast("long").alias("run_index"), F.transform(names, state).alias("states"), "edges", "inits",
+        F.array_intersect("ends", names).alias("finals"), F.array().cast("array<string>").alias("errors"),
+    )
+
+
+def ensemble_scores(pool: DataFrame, gold: DataFrame, threshold: int | None = None) -> DataFrame:
+    """All scores of each case's voted diagram against its gold graph, with candidate_count and vote_threshold.
+
+    The voted graph is written as a diagram and read again, as what is stored is the diagram: a state that no
+    transition, start or end names isn't in it.
+    """
+    text = to_text(voted_graphs(pool, threshold)).withColumn("case_id", F.substring_index("diagram_id", "/", -1).cast(pool.schema["case_id"].dataType)).withColumn("run_index", F.lit(1).cast("long"))
+    n = pool.groupBy("case_id").agg(F.count("*").alias("candidate_count"))
+    need = F.floor(F.col("candidate_count") / 2) + 1 if threshold is None else F.lit(threshold)
+    return score_runs(parse_graphs(text), gold).join(n.withColumn("vote_threshold", need.cast("long")), "case_id")
+
+
 def vote_report(v: DataFrame, kind: str, n: int) -> DataFrame:
     """The n elements of a kind with most votes in each case, ties by name."""
     w = Window.partitionBy("case_id").orderBy(F.desc("votes"), "a", "b", "c")

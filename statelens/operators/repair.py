@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statelens.functions import text as T
 from statelens.operators.graph import counted
+from statelens.operators.validity import median_cell, percent_cell, wide
 
 
 def paired_stages(diagrams: DataFrame, meta: DataFrame | None = None) -> DataFrame:
@@ -98,6 +99,48 @@ def remaining(counts: DataFrame, keys: list[str], attempt: str, total) -> DataFr
     return counts.withColumn("denominator", left).withColumn("percent", T.ratio(100.0 * F.col("strict_valid"), left))
 
 
+# What an iteration's columns are called.
+ITERATIONS = ("Repair at zero iterations", "Repair at once", "Repair at two iterations", "Repair at three iterations", "Repair at four iterations", "Repair at five iterations")
+
+
+def iteration_cells(attempts: DataFrame, repairs: DataFrame, ratings: DataFrame, criteria: list[str]) -> DataFrame:
+    """(evaluation_group, metric, iteration, model, cell): validity and ratings of each iteration and model, as text.
+
+    attempts: model, attempt, syntax_valid, strict_valid, of all recorded attempts. repairs: model, case_number, attempted,
+    syntax_valid, strict_valid, of all final diagrams. ratings: model, case_number and the criteria, of repaired diagrams.
+    What an iteration is measured against is what was left before it: all first answers less the final diagrams that are
+    valid after fewer attempts. Syntax is counted on the attempts, in the last iteration on the final diagrams. Ratings
+    count where a valid final diagram of their model and case took as many attempts. Models with a valid one have rows.
+    """
+    last = len(ITERATIONS) - 1
+    models = repairs.where("strict_valid").select("model").distinct()
+    grid = models.select("model", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("iteration"))
+    at = attempts.groupBy("model", F.col("attempt").cast("int").alias("iteration")).agg(F.count("*").alias("tried"), F.count_if("syntax_valid").alias("tried_syntax"))
+    end = repairs.groupBy("model", F.col("attempted").cast("int").alias("iteration")).agg(F.count_if("syntax_valid").alias("syntax"), F.count_if("strict_valid").alias("strict"))
+    t = grid.join(at, ["model", "iteration"], "left").join(end, ["model", "iteration"], "left").fillna(0)
+    w = Window.partitionBy("model").orderBy("iteration")
+    first = F.first("tried").over(w)
+    left = F.greatest(F.lit(0), first - F.coalesce(F.sum("strict").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    t = t.withColumn("left", left).withColumn("counted", F.when(F.col("iteration") == last, F.col("syntax")).otherwise(F.col("tried_syntax")))
+    cell = lambda metric, n: F.struct(F.lit(metric).alias("metric"), percent_cell(n, F.col("left")).alias("cell"))
+    auto = t.select(F.lit("Automatic (accuracy)").alias("evaluation_group"), "model", "iteration", F.explode(F.array(cell("Structural validity", F.col("strict")), cell("Syntactic validity", F.col("counted")))).alias("c"))
+    auto = auto.select("evaluation_group", "c.metric", "iteration", "model", "c.cell")
+    done = repairs.where("strict_valid").select("model", "case_number", F.col("attempted").cast("int").alias("iteration")).distinct()
+    said = ratings.join(done, ["model", "case_number"]).select("model", "iteration", *criteria).unpivot(["model", "iteration"], criteria, "criterion", "score").where("score is not null")
+    human = said.groupBy("criterion", "iteration", "model").agg(F.median("score").alias("m"), F.count("*").alias("n"))
+    names = {c: c.replace("_", " ").capitalize() for c in criteria}
+    every = grid.select("*", F.explode(F.array(*map(F.lit, criteria))).alias("criterion")).join(human, ["criterion", "iteration", "model"], "left")
+    label = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("criterion"))
+    return auto.union(every.select(F.lit("Human (Likert scale 1-5)"), label, "iteration", "model", median_cell(F.col("m"), F.col("n"))))
+
+
+def iteration_table(cells: DataFrame, models: list[str], iterations: list[int]) -> DataFrame:
+    """One row for each metric, a column for each iteration and model; blank where there is nothing."""
+    column = F.concat_ws(" | ", F.element_at(F.array(*map(F.lit, ITERATIONS)), F.col("iteration") + 1), F.lower("model"))
+    names = [f"{ITERATIONS[i]} | {m.lower()}" for i in iterations for m in models]
+    return wide(cells.where(F.col("iteration").isin(*iterations)).withColumn("column", column), ["evaluation_group", "metric"], "column", "cell", names).fillna("", names)
+
+
 def repair_summary(detail: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, improved, worsened, recovered, recovery_rate, mean_change, median_change)."""
     bad, good = F.col("before") > 0, F.col("after") == 0

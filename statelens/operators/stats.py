@@ -21,7 +21,10 @@ def midranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def rank_groups(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """(by, group, n, rank_sum, total, tie_sum): rank sums of each group from the joint ranking within by."""
-    h = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("_n"))
+    return _rank_groups(df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("_n")), by, group, value)
+
+
+def _rank_groups(h: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     w = Window.partitionBy(*by, value)
     # the ranking runs over (value, group) counts: as many rows as distinct values times groups
     ties = h.withColumn("ties", F.sum("_n").over(w))
@@ -81,7 +84,10 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
 
 def kruskal_wallis(df: DataFrame, by: list[str], group: str, value: str, any_df: bool = True) -> DataFrame:
     """(by, groups, n, h, df, p): tie-corrected H; null where fewer than two groups or all values are tied."""
-    g = rank_groups(df, by, group, value)
+    return _kruskal(rank_groups(df, by, group, value), by, any_df)
+
+
+def _kruskal(g: DataFrame, by: list[str], any_df: bool = True) -> DataFrame:
     k = g.groupBy(*by).agg(F.count("*").alias("groups"), F.max("total").alias("n"), F.max("tie_sum").alias("ties"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("s"))
     n = F.col("n").cast("double")
     c = 1 - F.col("ties") / (n * n * n - n)
@@ -93,7 +99,11 @@ def kruskal_wallis(df: DataFrame, by: list[str], group: str, value: str, any_df:
 
 def dunn(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """(by, group_a, group_b, z): pairwise differences of mean ranks over their tie-corrected deviation, a < b."""
-    g = rank_groups(df, by, group, value).withColumn("mean", F.col("rank_sum") / F.col("n"))
+    return _dunn(rank_groups(df, by, group, value), by, group)
+
+
+def _dunn(g: DataFrame, by: list[str], group: str) -> DataFrame:
+    g = g.withColumn("mean", F.col("rank_sum") / F.col("n"))
     a = g.select(*by, F.col(group).alias("group_a"), F.col("n").alias("na"), F.col("mean").alias("ma"), "total", "tie_sum")
     b = g.select(*by, F.col(group).alias("group_b"), F.col("n").alias("nb"), F.col("mean").alias("mb"))
     n = F.col("total").cast("double")
@@ -117,7 +127,10 @@ def gated(posthoc: DataFrame, tests: DataFrame, keys: list[str], alpha: float =
 
 def chi_square(df: DataFrame, by: list[str], row: str, column: str) -> DataFrame:
     """(by, chi2, df, n) of the independence of two categorical columns; empty cells count with their expectation."""
-    c = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(*by, row, column).agg(F.count("*").alias("o"))
+    return _chi_square(df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(*by, row, column).agg(F.count("*").alias("o")), by, row, column)
+
+
+def _chi_square(c: DataFrame, by: list[str], row: str, column: str) -> DataFrame:
     c = c.withColumn("r", F.sum("o").over(Window.partitionBy(*by, row))).withColumn("k", F.sum("o").over(Window.partitionBy(*by, column)))
     c = c.withColumn("n", F.sum("o").over(Window.partitionBy(*by)))
     # sum (o - e)^2 / e = sum o^2 / e - n, and empty cells add nothing to the first sum
@@ -160,6 +173,42 @@ def fisher_pairs(counts: DataFrame, by: list[str], group: str) -> DataFrame:
     return pairs.select(*by, "group_a", "group_b", odds.alias("odds_ratio"), p.alias("p"))
 
 
+#: Degrees of freedom up to which the battery states a p-value.
+MOST_DF = 3
+
+
+def battery(rows: DataFrame, by: list[str], group: str, syntax: str, strict: str, count: str) -> DataFrame:
+    """Every test of how a group (a method) matters, for each value of by (a model) at once: (by, metric, test, group_a, group_b,
+    statistic, df, p, p_adjusted, significant).
+
+    Syntax validity over all rows, structural validity and the violation count over the syntax-valid ones: chi-squared and
+    pairwise exact tests of both flags, Kruskal-Wallis of the count, and Dunn's pairs of it with Holm's adjustment within
+    by. All of them read one histogram, made in one pass. An overall test of more than MOST_DF degrees of freedom has
+    no p; counts that are all tied have a statistic of 0.
+    """
+    value = lambda name, x: F.struct(F.lit(name).alias("metric"), x.cast("long").alias("value"))
+    seen = F.array(value("syntax validity", F.col(syntax)), F.when(F.col(syntax), value("structural validity", F.col(strict))), F.when(F.col(syntax), value("violation count", F.col(count))))
+    x = rows.where(F.col(group).isNotNull()).select(*by, group, F.explode(F.array_compact(seen)).alias("x")).select(*by, group, "x.*").where("value is not null")
+    h = x.groupBy(*by, "metric", group, "value").agg(F.count("*").alias("o"))
+    keys, is_flag = [*by, "metric"], F.col("metric") != "violation count"
+    null = lambda kind: F.lit(None).cast(kind)
+
+    def overall(df, test, statistic):
+        p = F.when(F.col("df").between(1, MOST_DF), chi2_sf(statistic, F.col("df").cast("double")))
+        return df.select(*keys, F.lit(test).alias("test"), null("string").alias("group_a"), null("string").alias("group_b"), statistic.alias("statistic"), F.col("df").cast("long").alias("df"), p.alias("p"), null("double").alias("p_adjusted"))
+
+    groups = h.where(is_flag).groupBy(*keys).agg((F.countDistinct(group) - 1).alias("df"))
+    chi = overall(_chi_square(h.where(is_flag), keys, group, "value").drop("df").join(groups, keys), "chi-squared", F.col("chi2"))
+    ranked = _rank_groups(h.where(~is_flag).withColumnRenamed("o", "_n"), keys, group, "value")
+    kw = overall(_kruskal(ranked, keys), "Kruskal-Wallis", F.coalesce("h", F.lit(0.0)))
+    counts = h.where(is_flag).groupBy(*keys, group).agg(F.sum(F.when(F.col("value") == 1, F.col("o")).otherwise(0)).alias("valid"), F.sum(F.when(F.col("value") == 0, F.col("o")).otherwise(0)).alias("invalid"))
+    fisher = fisher_pairs(counts, keys, group).select(*keys, F.lit("exact pair").alias("test"), "group_a", "group_b", F.col("odds_ratio").alias("statistic"), null("long").alias("df"), "p", null("double").alias("p_adjusted"))
+    pairs = _dunn(ranked, keys, group).withColumn("p", normal_two_sided("z"))
+    posthoc = holm(pairs, keys, order=["group_a", "group_b"]).select(*keys, F.lit("Dunn pair").alias("test"), "group_a", "group_b", F.col("z").alias("statistic"), null("long").alias("df"), "p", F.col("p_holm").alias("p_adjusted"))
+    every = chi.unionByName(kw).unionByName(fisher).unionByName(posthoc)
+    return every.withColumn("significant", F.coalesce("p_adjusted", "p") < SIGNIFICANT)
+
+
 def p_text(p: Column) -> Column:
     """A p-value as text: <1e-8 below that, else eight decimals without trailing zeros."""
     plain = F.regexp_replace(F.regexp_replace(F.format_string("%.8f", p), "0+$", ""), r"\.$", "")

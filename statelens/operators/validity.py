@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,17 +44,47 @@ def kind_distribution(violations: DataFrame, population: DataFrame, keys: list[s
     return n.join(total, keys).withColumn("percent", 100.0 * F.col("count") / F.col("total"))
 
 
-def kind_deltas(distribution: DataFrame, group: str, reference: str) -> DataFrame:
-    """Each group against the reference group on the dense grid of kinds: frequencies, difference and status."""
-    d = distribution.groupBy(group, "kind").agg(F.sum("count").alias("count"), F.max("total").alias("total"))
-    totals = distribution.groupBy(group).agg(F.max("total").alias("total"))
-    grid = times(totals, d.select("kind").distinct())
-    full = grid.join(d.select(group, "kind", "count"), [group, "kind"], "left").fillna(0, ["count"]).withColumn("share", T.ratio(100.0 * F.col("count"), "total"))
-    ref = full.where(F.col(group) == reference).select("kind", F.col("share").alias("ref_share"))
-    out = full.where(F.col(group) != reference).join(ref, "kind").withColumn("delta", F.col("share") - F.col("ref_share"))
-    a, b = F.col("ref_share"), F.col("share")
-    status = F.when((a > 0) & (b == 0), "eliminated").when((a == 0) & (b > 0), "introduced").when(b < a, "mitigated").when(b > a, "increased").otherwise("unchanged")
-    return out.select(group, "kind", "count", "share", "ref_share", "delta", status.alias("status"))
+# The system types that are reported, and the beginnings of methods that belong to an ablation.
+SYSTEM_TYPES = ("embedded_system", "software_system")
+ABLATIONS = ("RAG [", "RAG + Validation [", "RAG + Repair [")
+
+
+def without_ablations(rows: DataFrame) -> DataFrame:
+    return rows.where(~reduce(lambda a, b: a | b, [F.col("method").startswith(x) for x in ABLATIONS]))
+
+
+def rates_by_system_type(rows: DataFrame, cases: DataFrame, flag: str) -> DataFrame:
+    """(model, method, system_type, total, valid, invalid, percent) of the test cases of each system type, percent to two places.
+
+    rows: model, method, case_id and the flag, ablations left out; cases: case_id, split, system_type. All models and methods
+    of the rows come with every type, zero rows included; the grid is small, rows are aggregated first.
+    """
+    rows = without_ablations(rows)
+    kinds = cases.where((F.col("split") == "test") & F.col("system_type").isin(*SYSTEM_TYPES)).groupBy("case_id").agg(F.max("system_type").alias("system_type"))
+    n = rows.join(kinds, "case_id", "left").groupBy("model", "method", "system_type").agg(F.count("*").alias("total"), F.count_if(F.col(flag)).alias("valid"))
+    grid = times(n.select("model").distinct(), n.select("method").distinct()).select("*", F.explode(F.array(*map(F.lit, SYSTEM_TYPES))).alias("system_type"))
+    full = grid.join(n, ["model", "method", "system_type"], "left").fillna(0, ["total", "valid"])
+    return full.withColumn("invalid", F.col("total") - F.col("valid")).withColumn("percent", F.round(T.ratio(100.0 * F.col("valid"), "total"), 2))
+
+
+def kind_deltas(kinds: DataFrame, population: DataFrame, keys: list[str], group: str, target: str, groups: list[str]) -> DataFrame:
+    """The target group against each other listed group, for each value of keys and every kind that occurs anywhere: counts,
+    totals, frequencies and their difference to two places, and what the target does to the kind.
+
+    kinds: keys, group, kind, a row for each issue; population: keys, group, a row for each diagram. Without diagrams of the
+    target or of the reference there are no rows. Issues are aggregated first; the grid is keys times groups times kinds.
+    """
+    listed_ = F.col(group).isin(*groups)
+    n = kinds.where(listed_).groupBy(*keys, group, "kind").agg(F.count("*").alias("n"))
+    total = population.where(listed_).groupBy(*keys, group).agg(F.count("*").alias("total"))
+    full = times(total, n.select("kind").distinct()).join(n, [*keys, group, "kind"], "left").fillna(0, ["n"]).withColumn("share", F.round(T.ratio(100.0 * F.col("n"), "total"), 2))
+    side = lambda name: [F.col("n").alias(f"{name}_count"), F.col("total").alias(f"{name}_total"), F.col("share").alias(f"{name}_percent")]
+    a = full.where(F.col(group) == target).select(*keys, "kind", *side("target"))
+    b = full.where(F.col(group) != target).select(*keys, "kind", F.col(group).alias("reference"), *side("reference"))
+    out = a.join(b, [*keys, "kind"]).withColumn("delta", F.round(F.col("target_percent") - F.col("reference_percent"), 2))
+    t, r, d = F.col("target_count"), F.col("reference_count"), F.col("delta")
+    status = F.when((t == 0) & (r > 0), "eliminated_by_target").when((t > 0) & (r == 0), "introduced_by_target").when(d < 0, "mitigated_by_target").when(d > 0, "increased_by_target").otherwise("unchanged")
+    return out.withColumn("status", status)
 
 
 def top_kinds(distribution: DataFrame, n: int) -> DataFrame:
@@ -96,6 +128,12 @@ def percent_cell(valid, total):
     return F.when(total == 0, "").otherwise(F.format_string("%.2f%% (n=%d/%d)", 100.0 * valid / total, valid, total))
 
 
+def median_cell(median, n):
+    """``3.5 (n=12)``, the number in its shortest form, blank for no scores."""
+    short = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", median.cast("double")), "0+$", ""), r"\.$", "")
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "").otherwise(F.concat(short, F.format_string(" (n=%d)", n)))
+
+
 def preferred(rows: DataFrame, column: str, order: list[str]) -> DataFrame:
     """Rows sorted by a fixed order of known labels, the others alphabetically behind."""
     pos = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column))

@@ -56,7 +56,9 @@ def k6_violation_kinds(spark, sf):
 
 
 def k7_kind_deltas(spark, sf):
-    return K.kind_deltas(k6_violation_kinds(spark, sf), "method", "en")
+    """Each model's target method against two references, over the kinds of all of them."""
+    v, rows = _kinds(spark, sf)
+    return K.kind_deltas(v, rows, ["model"], "method", "en", ["en", "fr", "es"])
 
 
 def k8_method_filter(spark, sf):
@@ -67,6 +69,14 @@ def k10_dense_validity(spark, sf):
     return K.dense_rates(B.validity(spark, sf), ["model", "method"], "strict_valid")
 
 
+def k10_system_types(spark, sf):
+    """Rates by system type of the test cases: three types by length, every fourth case is not in the test split."""
+    n = F.col("n_chars") % 3
+    cases = B.table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), F.when(F.col("doc_id") % 4 == 0, "pool").otherwise("test").alias("split"), F.when(n == 0, "embedded_system").when(n == 1, "software_system").otherwise("other").alias("system_type"))
+    v = B.validity(spark, sf).withColumn("method", F.when(F.col("method") == "de", "RAG [de]").otherwise(F.col("method")))
+    return K.rates_by_system_type(v, cases, "strict_valid")
+
+
 def k12_row_filter(spark, sf):
     v = B.validity(spark, sf).where(~F.col("model").startswith("src1") & ~F.contains("model", F.lit("9")))
     return K.pass_rates(v, ["model"], "syntax_valid")
@@ -133,8 +143,10 @@ def l9_significance_text(spark, sf):
 
 
 def l10_battery_by_model(spark, sf):
-    r = B.ratings(spark, sf).withColumn("high", F.col("completeness") >= 4)
-    return L.chi_square(r, ["model"], "method", "high")
+    """All tests of the methods within each model: a rating is valid where terms fit, strictly where it is complete; its faults are counted."""
+    r = B.ratings(spark, sf).select("model", "method", (F.col("terminology_alignment") >= 2).alias("syntax"), (F.col("completeness") >= 4).alias("strict"), (5 - F.col("correctness")).alias("faults"))
+    t = L.battery(r, ["model"], "method", "syntax", "strict", "faults")
+    return t.select("model", "metric", "test", "group_a", "group_b", F.round("statistic", 6).alias("statistic"), "df", F.round("p", 8).alias("p"), F.round("p_adjusted", 8).alias("p_adjusted"), "significant")
 
 
 def m1_numeric_parse(spark, sf):
@@ -240,10 +252,14 @@ ORACLES = {
     "k4_syntax_strict_join": f"{_V} select case_id, model, method, syntax_valid, case when syntax_valid then strict_valid end as strict_valid from v",
     "k5_violation_count_summary": f"{_KIND} select method, count(*) as n, avg(n) as mean, median(n) as median, max(n) as max, count(*) filter (n = 0) as zeros from c group by 1",
     "k6_violation_kinds": f"{_KIND} select * from dist",
-    "k7_kind_deltas": f"""{_KIND}, g as (select method, total, kind from (select distinct method, total from dist) m, (select distinct kind from dist) k),
-f as (select g.method, g.kind, coalesce(dist.count, 0) as count, 100.0 * coalesce(dist.count, 0) / g.total as share from g left join dist using (method, kind))
-select f.method, f.kind, f.count, f.share, e.share as ref_share, f.share - e.share as delta, case when e.share > 0 and f.share = 0 then 'eliminated' when e.share = 0 and f.share > 0 then 'introduced' when f.share < e.share then 'mitigated' when f.share > e.share then 'increased' else 'unchanged' end as status
-from f join f e on e.method = 'en' and e.kind = f.kind where f.method <> 'en'""",
+    "k7_kind_deltas": f"""{_KIND}, cm as (select c.* from c where method in ('en', 'fr', 'es')), tt as (select model, method, count(*) as total from cm group by 1, 2), km as (select model, method, 'kind_' || k as kind, count(*) as n from (select model, method, unnest(generate_series(1, n)) as k from cm) group by 1, 2, 3),
+f as (select tt.model, tt.method, x.kind, coalesce(km.n, 0) as n, total, round(100.0 * coalesce(km.n, 0) / total, 2) as share from tt cross join (select distinct kind from km) x left join km on km.model = tt.model and km.method = tt.method and km.kind = x.kind),
+j as (select a.model, a.kind, a.n as target_count, a.total as target_total, a.share as target_percent, b.method as reference, b.n as reference_count, b.total as reference_total, b.share as reference_percent, round(a.share - b.share, 2) as delta from f a join f b on a.model = b.model and a.kind = b.kind where a.method = 'en' and b.method <> 'en')
+select *, case when target_count = 0 and reference_count > 0 then 'eliminated_by_target' when target_count > 0 and reference_count = 0 then 'introduced_by_target' when delta < 0 then 'mitigated_by_target' when delta > 0 then 'increased_by_target' else 'unchanged' end as status from j""",
+    "k10_system_types": f"""{_V}, x as (select v.*, case d.n_chars % 3 when 0 then 'embedded_system' when 1 then 'software_system' end as t, d.doc_id % 4 <> 0 as test from v join documents d on d.doc_id = v.case_id where method <> 'de'),
+n as (select model, method, t, count(*) as total, count(*) filter (strict_valid) as valid from x where test and t is not null group by 1, 2, 3)
+select m.model, h.method, y.t as system_type, coalesce(total, 0) as total, coalesce(valid, 0) as valid, coalesce(total - valid, 0) as invalid, coalesce(round(100.0 * valid / total, 2), 0.0) as percent
+from (select distinct model from x) m cross join (select distinct method from x) h cross join (values ('embedded_system'), ('software_system')) y(t) left join n on n.model = m.model and n.method = h.method and n.t = y.t""",
     "k8_method_filter": f"{_V} select model, count(*) as n from v where method in ('en', 'fr') group by 1",
     "k10_dense_validity": f"""{_V}, a as (select model, method, {_RATE.format(f='strict_valid')} from v group by 1, 2)
 select m.model, t.method, coalesce(total, 0) as total, coalesce(valid, 0) as valid, coalesce(invalid, 0) as invalid, coalesce(percent, 0) as percent from (select distinct model from v) m cross join (select distinct method from v) t left join a using (model, method)""",
@@ -261,8 +277,6 @@ select model, criterion, p, max(a) over (partition by model order by p, criterio
     "l6_chi_square": f"""{_V}, c as (select method, strict_valid, count(*) as o from v group by 1, 2), t as (select sum(o) as n from c), r as (select method, sum(o) as r from c group by 1), k as (select strict_valid, sum(o) as k from c group by 1)
 select sum((coalesce(o, 0) - r * k / n) * (coalesce(o, 0) - r * k / n) / (r * k / n)) as chi2, (count(distinct r.method) - 1) * (count(distinct k.strict_valid) - 1) as df, cast(any_value(n) as bigint) as n from r cross join k cross join t left join c using (method, strict_valid)""",
     "l7_fisher_pairs": f"""{_FISH} select group_a, group_b, case when any_value(b * c) = 0 then case when any_value(a * d) = 0 then 0.0 else 'inf'::double end else any_value(a * d) / any_value(b * c) end as odds_ratio, least(1.0, sum(prob) filter (prob <= obs + 1e-12)) as p from pr join ob using (group_a, group_b) group by 1, 2""",
-    "l10_battery_by_model": f"""with {B.VR}, c as (select model, method, completeness >= 4 as high, count(*) as o from r group by 1, 2, 3), t as (select model, sum(o) as n from c group by 1), a as (select model, method, sum(o) as r from c group by 1, 2), k as (select model, high, sum(o) as k from c group by 1, 2)
-select model, sum((coalesce(o, 0) - r * k / n) * (coalesce(o, 0) - r * k / n) / (r * k / n)) as chi2, (count(distinct method) - 1) * (count(distinct high) - 1) as df, cast(any_value(n) as bigint) as n from a join k using (model) join t using (model) left join c using (model, method, high) group by 1""",
     "m1_numeric_parse": "select cast(trunc(try_cast(case when event_id % 7 = 0 then 'n/a' else cast(value as varchar) end as double)) as int) as score, count(*) as n from events group by 1",
     "m2_descriptives": f"{_R} select method, criterion, count(*) as n, quantile_cont(score, 0.5) as median, avg(score) as mean, quantile_cont(score, 0.25) as q1, quantile_cont(score, 0.75) as q3, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) as iqr, {', '.join(f'count(*) filter (score = {i}) as score_{i}_count' for i in range(1, 6))} from s group by 1, 2",
     "m3_distribution": f"{_R} select g.method, g.criterion, cast(x.score as int) as score, count(s.score) as count, any_value(g.n) as n, 100.0 * count(s.score) / any_value(g.n) as percent from (select method, criterion, count(*) as n from s group by 1, 2) g cross join (select unnest(generate_series(1, 5)) as score) x left join s on s.method = g.method and s.criterion = g.criterion and s.score = x.score group by 1, 2, 3",
@@ -284,5 +298,21 @@ _TAIL = "2 * list_sum(list_transform(range(0, 4001), lambda i: case when i = 0 o
 _PTEXT = "case when {p} < 1e-8 then '<1e-8' else regexp_replace(regexp_replace(printf('%.8f', {p}), '0+$', ''), '[.]$', '') end"
 _VERDICT = "case when {p} < 0.05 then 'significant' else 'not significant' end"
 ORACLES["l8_tails"] = f"{_DUNN}, dp as (select *, round({_TAIL}, 8) as p from d) select criterion, group_a, group_b, round(z, 9) as z, p, {_PTEXT.format(p='p')} as p_text, {_VERDICT.format(p='p')} as verdict from dp"
+_LB = f"""with {B.VR}, b as (select model, method as grp, terminology_alignment >= 2 as syn, completeness >= 4 as strict, 5 - correctness as score from r), s as (select model, grp as method, score from b where syn), {_ranked(['model'])},
+fl as (select model, 'syntax validity' as metric, grp, syn as ok from b union all select model, 'structural validity', grp, strict from b where syn),
+c as (select model, metric, grp, count(*) filter (ok) as v, count(*) filter (not ok) as i from fl group by 1, 2, 3), ct as (select model, metric, sum(v) as tv, sum(i) as ti, count(*) as k from c group by 1, 2),
+ch as (select model, metric, sum((v - (v + i) * tv / (tv + ti)) * (v - (v + i) * tv / (tv + ti)) / nullif((v + i) * tv / (tv + ti), 0)) + sum((i - (v + i) * ti / (tv + ti)) * (i - (v + i) * ti / (tv + ti)) / nullif((v + i) * ti / (tv + ti), 0)) as x, any_value(k) - 1 as df from c join ct using (model, metric) group by 1, 2),
+fp as (select a.model, a.metric, a.grp as group_a, b.grp as group_b, a.v as a, a.i as b, b.v as c, b.i as d, a.v + a.i as n1, b.v + b.i as n2, a.v + b.v as m from c a join c b on a.model = b.model and a.metric = b.metric and a.grp < b.grp),
+fx as (select *, unnest(generate_series(greatest(0, m - n2), least(n1, m))) as x from fp),
+fr as (select *, exp(lgamma(n1 + 1) + lgamma(n2 + 1) + lgamma(m + 1) + lgamma(n1 + n2 - m + 1) - lgamma(n1 + n2 + 1) - lgamma(x + 1) - lgamma(n1 - x + 1) - lgamma(m - x + 1) - lgamma(n2 - m + x + 1)) as prob from fx),
+fo as (select model, metric, group_a, group_b, max(prob) filter (x = a) as obs from fr group by 1, 2, 3, 4),
+fe as (select model, metric, group_a, group_b, any_value(a * d) / nullif(any_value(b * c), 0) as odds, least(1.0, sum(prob) filter (prob <= obs + 1e-12)) as p from fr join fo using (model, metric, group_a, group_b) group by 1, 2, 3, 4),
+dz as (select a.model, a.grp as group_a, b.grp as group_b, (a.rank_sum / a.n - b.rank_sum / b.n) / sqrt((cast(total as double) * (total + 1) / 12 - tie_sum / (12 * (total - 1))) * (1.0 / a.n + 1.0 / b.n)) as z from rg a join rg b on a.model = b.model and a.grp < b.grp join kw on kw.model = a.model),
+dp as (select *, {_TAIL} as p from dz), dh as (select *, least(1.0, p * (count(*) over (partition by model) - row_number() over (partition by model order by p, group_a, group_b) + 1)) as q from dp),
+da as (select *, max(q) over (partition by model order by p, group_a, group_b rows unbounded preceding) as pa from dh)"""
+ORACLES["l10_battery_by_model"] = f"""{_LB} select model, metric, 'chi-squared' as test, null as group_a, null as group_b, round(x, 6) as statistic, df, round(exp(-x / 2), 8) as p, null::double as p_adjusted, exp(-x / 2) < 0.05 as significant from ch
+union all select model, 'violation count', 'Kruskal-Wallis', null, null, round(h, 6), groups - 1, round(exp(-h / 2), 8), null, exp(-h / 2) < 0.05 from kw
+union all select model, metric, 'exact pair', group_a, group_b, round(odds, 6), null, round(p, 8), null, p < 0.05 from fe
+union all select model, 'violation count', 'Dunn pair', group_a, group_b, round(z, 6), null, round(p, 8), round(pa, 8), pa < 0.05 from da"""
 ORACLES["l9_significance_text"] = f"{_R}, {_ranked(['criterion'])} select criterion, {_PTEXT.format(p='round(exp(-h / 2), 8)')} as p_text, {_VERDICT.format(p='exp(-h / 2)')} as verdict from kw"
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[0] in "klmn" and n[1:2].isdigit()}

@@ -96,18 +96,18 @@ def n7_compact_table(spark, sf):
 
 
 def j9_iteration_table(spark, sf):
-    t = SQ.j8_remaining_population(spark, sf)
-    return K.wide(t, ["model"], "attempt", "percent", [0, 1, 2, 3, 4]).withColumnsRenamed({str(i): f"iteration_{i}" for i in range(5)})
+    """Users as cases, two models; an attempt is valid with few issues. Ratings of method R are those of repaired diagrams."""
+    model = F.when(F.col("case_id") % 2 == 0, "F").otherwise("O")
+    m = SQ._marked(spark, sf).withColumn("model", model).withColumn("syntax_valid", F.col("score") <= 3).withColumn("strict_valid", F.col("score") <= 2)
+    it = J.iteration_counts(m, "case_id", "attempt")
+    end = m.join(it, "case_id").where("attempt = repaired").select("model", F.col("case_id").cast("string").alias("case_number"), "attempted", "syntax_valid", "strict_valid")
+    r = B.ratings(spark, sf).where("method = 'R'").withColumn("case_number", F.col("item_id").cast("string"))
+    return J.iteration_table(J.iteration_cells(m, end, r, RQ.C), ["F", "O"], [0, 2, 3, 4, 5])
 
 
 def i16_ensemble_scores(spark, sf):
-    p = TQ._pool(spark, sf)
-    voted = I.voted_states(I.votes(p)[1], I.plurality_initial(p))
-    el = B.event_graphs(spark, sf)
-    gold = B.of_runs(el, "run_index = 0")
-    g = gold.states.join(gold.diagrams, "diagram_id").select("case_id", "state").join(voted.select("case_id").distinct(), "case_id", "left_semi")
-    v = voted.join(gold.diagrams.select("case_id"), "case_id", "left_semi")
-    return S.set_prf(v, g, ["case_id"], ["state"])
+    s = I.ensemble_scores(TQ._pool(spark, sf), B.graph_rows(spark, sf).where("run_index = 0"))
+    return s.select("diagram_id", "case_id", "run_index", "candidate_count", "vote_threshold", "complexity", *[F.round(c, 9).alias(c) for c in GQ.METRICS])
 
 
 def h1_requirement_fallback(spark, sf):
@@ -185,12 +185,6 @@ select model, max(cell) filter (method = 'de') as de, max(cell) filter (method =
 union all select complexity, criterion, round(avg(median), 6) from med group by 1, 2
 union all select complexity, 'human average', round(avg(v), 6) from (select complexity, criterion, round(avg(median), 6) as v from med group by 1, 2) group by 1)
 select metric, max(value) filter (complexity = 'simple') as simple, max(value) filter (complexity = 'medium') as medium, max(value) filter (complexity = 'complex') as complex from rows_ group by 1""",
-    "j9_iteration_table": f"with t as ({SQ.ORACLES['j8_remaining_population']}) select model, {', '.join(f'max(percent) filter (attempt = {i}) as iteration_{i}' for i in range(5))} from t group by 1",
-    "i16_ensemble_scores": f"""with {TQ._POOL}, {TQ._EL}, vs as (select case_id, a as state from kept where kind = 'state' union select case_id, initial from init union select case_id, a from kept where kind = 'transition' union select case_id, c from kept where kind = 'transition'),
-gd as (select d.case_id, s.state from diagrams d join states s using (diagram_id) where d.run_index = 0), both_ as (select case_id from vs intersect select case_id from gd),
-x as (select case_id, state, max(p) as p, max(g) as g from (select case_id, state, 1 as p, 0 as g from vs union all select case_id, state, 0, 1 from gd) where case_id in (select case_id from both_) group by 1, 2),
-n as (select case_id, cast(sum(p) as bigint) as n_pred, cast(sum(g) as bigint) as n_gold, cast(sum(p * g) as bigint) as tp from x group by 1), r as (select *, n_pred - tp as fp, n_gold - tp as fn, tp / n_pred as precision, tp / n_gold as recall from n)
-select *, case when precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end as f1 from r""",
     "h1_requirement_fallback": "select conv_id, coalesce(case when conv_id % 2 = 0 then null else nullif(trim(max(text) filter (role = 'system')), '') end, nullif(trim(min(text) filter (role = 'user')), ''), nullif(trim(min(text) filter (role = 'assistant')), '')) as requirement from conversations group by 1",
 }
 _REQ = "('the', 'a', 'an', 'and', 'or', 'of', 'to', 'in', 'on', 'for', 'with', 'by', 'is', 'are', 'was', 'were', 'be', 'been', 'being', 'that', 'this', 'these', 'those', 'it', 'its', 'as', 'at', 'from', 'into', 'than', 'then', 'if', 'when', 'while', 'can', 'will', 'shall', 'should', 'would', 'could', 'may', 'might', 'must', 'not', 'no', 'so', 'such', 'their', 'his', 'her', 'our', 'your', 'they', 'them', 'he', 'she', 'we', 'you', 'i')"
@@ -228,6 +222,30 @@ select key, md5('Check the requirements against the text. Answer as JSON: missin
     "c12_issue_kinds": """select kind, count(*) as n from (select case event_id % 18 when 0 then 'missing_initial_state' when 1 then 'multiple_initial_states' when 2 then 'missing_final_state' when 3 then 'duplicate_transitions' when 4 then 'unreachable_states' when 6 then 'orphan_states'
  when 8 then 'invalid_choice_node' when 9 then 'invalid_choice_guards' when 10 then 'invalid_fork_node' when 11 then 'invalid_join_node' when 12 then 'invalid_history_state' when 13 then 'parse_warning' when 14 then 'plantuml_syntax_error' when 15 then 'plantuml_check_unavailable' when 16 then 'odd_thing' when 17 then 'unknown' end as kind from events) where kind is not null group by 1""",
 }
+_IDS = GQ.PAIRED[GQ.PAIRED.index("ids as (") :]
+#: The scores' SQL over what the voted diagrams say: only states that a start, an end or a transition names.
+_VOTED = f"""{TQ._POOL}, {TQ._EL}, vtr as (select case_id, a as src, b as event, c as dst from kept where kind = 'transition'), vall as (select case_id, a as state from kept where kind = 'state' union select case_id, initial from init union select case_id, src from vtr union select case_id, dst from vtr),
+vfi as (select case_id, a as state from kept where kind = 'final' and (case_id, a) in (select case_id, state from vall)), vsee as (select case_id, initial as state from init union select case_id, src from vtr union select case_id, dst from vtr union select case_id, state from vfi),
+vstates as (select diagram_id, state from states union all select 'voted/' || case_id, state from vsee), vtransitions as (select diagram_id, src, event, dst from transitions union all select 'voted/' || case_id, src, event, dst from vtr),
+ids as (select 'voted/' || pn.case_id as diagram_id, q.diagram_id as gold_id, pn.case_id, 1::bigint as run_index from pn join diagrams q on q.case_id = pn.case_id and q.run_index = 0)"""
+_VSCORED = GQ.SCORED.replace(GQ.PAIRED, _VOTED).replace("from states t join ids", "from vstates t join ids").replace("from transitions t join ids", "from vtransitions t join ids")
+ORACLES["i16_ensemble_scores"] = f"{_VSCORED} select diagram_id, m.case_id, run_index, pn.n as candidate_count, pn.n // 2 + 1 as vote_threshold, complexity, {', '.join(f'round({c}, 9) as {c}' for c in GQ.METRICS)} from m join pn on pn.case_id = m.case_id"
+_ITER = ["Repair at zero iterations", "Repair at once", "Repair at two iterations", "Repair at three iterations", "Repair at four iterations", "Repair at five iterations"]
+_PC = "case when {d} = 0 then '' else printf('%.2f%% (n=%d/%d)', 100.0 * {n} / {d}, {n}, {d}) end"
+ORACLES["j9_iteration_table"] = f"""{SQ._AT}, {B.VR.strip()}, m as (select case when case_id % 2 = 0 then 'F' else 'O' end as model, *, score <= 3 as syntax, score <= 2 as strict from mk),
+it as (select case_id, max(attempt) as attempted, coalesce(max(attempt) filter (accepted and attempt > 0), max(attempt)) as repaired from m group by 1),
+en as (select m.*, attempted from m join it using (case_id) where attempt = repaired), gr as (select model, unnest(range(6)) as i from (select distinct model from en where strict)),
+t as (select gr.model, gr.i, (select count(*) from m where m.model = gr.model and attempt = i) as tried, (select count(*) from m where m.model = gr.model and attempt = i and syntax) as tsyn,
+ (select count(*) from en where en.model = gr.model and attempted = i and syntax) as syn, (select count(*) from en where en.model = gr.model and attempted = i and strict) as str from gr),
+l as (select *, cast(greatest(0, max(tried) filter (i = 0) over (partition by model) - coalesce(sum(str) over (partition by model order by i rows between unbounded preceding and 1 preceding), 0)) as bigint) as d from t),
+du as (select distinct model, case_id, attempted as i from en where strict),
+sc as (unpivot (select r.model, i, {', '.join(RQ.C)} from r join du on du.model = r.model and du.case_id = r.item_id where method = 'R') on {', '.join(RQ.C)} into name criterion value score),
+hu as (select model, i, criterion, median(score) as md, count(*) as n from sc group by 1, 2, 3),
+ce as (select 'Automatic (accuracy)' as evaluation_group, 'Structural validity' as metric, i, model, {_PC.format(n='str', d='d')} as cell from l
+ union all select 'Automatic (accuracy)', 'Syntactic validity', i, model, {_PC.format(n='case when i = 5 then syn else tsyn end', d='d')} from l
+ union all select 'Human (Likert scale 1-5)', x.label, gr.i, gr.model, coalesce(regexp_replace(regexp_replace(printf('%.6f', md), '0+$', ''), '[.]$', '') || ' (n=' || n || ')', '') from gr
+  cross join (values ('completeness', 'Completeness'), ('correctness', 'Correctness'), ('understandability', 'Understandability'), ('terminology_alignment', 'Terminology alignment')) x(criterion, label) left join hu on hu.model = gr.model and hu.i = gr.i and hu.criterion = x.criterion)
+select evaluation_group, metric, {', '.join(f"""coalesce(max(cell) filter (i = {i} and model = '{m}'), '') as "{_ITER[i]} | {m.lower()}" """ for i in (0, 2, 3, 4, 5) for m in "FO")} from ce group by 1, 2"""
 _NL2 = "chr(10) || chr(10)"
 _TEXTED = TQ.ORACLES["b17_graph_to_text"].split(B.VG, 1)[1].lstrip(", ")
 #: Which advice a kind of issue gives, and where it stands among those of one issue; written out here for the SQL alone.

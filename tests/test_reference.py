@@ -368,3 +368,53 @@ def test_file_round_trips(spark):
     assert [(r.k, r.stage, r.attempt, r.accepted, r.strict_valid) for r in a.collect()] == [("ok", "repair", 2, True, False)]
     files = spark.createDataFrame([("ok", 5), ("none", 3), ("failed", 0)], "k string, files long")
     assert {r.k: (r.attempted, r.repaired) for r in J.recorded_iterations(a, files, ["k"]).collect()} == {"ok": (2, 2), "none": (3, 3), "failed": (0, 0)}
+
+
+def test_voted_graphs(spark):
+    """A majority of three; what only the vote names isn't in the diagram; ambiguous starts have no vote."""
+    texts = ["@startuml\n[*] --> A\nA --> B : go\nB --> [*]\nstate Lone\n@enduml", "@startuml\n[*] --> A\nA --> B : go\nA --> C\nC --> [*]\nstate Lone\n@enduml", "@startuml\n[*] --> A\n[*] --> B\nB --> A : back\n@enduml", "@startuml\n@enduml"]
+    d = spark.createDataFrame([(f"{c}/{i}", c, f"m{i}", t) for c, ts in ((1, texts[:3]), (2, texts[3:])) for i, t in enumerate(ts)], "diagram_id string, case_id long, model string, text string")
+    pool = G.rules(E.parse_graphs(d))
+    v = {r.case_id: r for r in I.voted_graphs(pool).collect()}
+    assert [s.state for s in v[1].states] == ["A", "B", "Lone"] and [tuple(e) for e in v[1].edges] == [("A", "go", "B")] and v[1].inits == ["A"] and v[1].finals == []
+    assert (v[2].states, v[2].edges, v[2].inits) == ([], [], [])
+    gold = E.parse_graphs(d.where("diagram_id = '1/0'"))
+    s = I.ensemble_scores(pool, gold).collect()
+    assert [(r.case_id, r.candidate_count, r.vote_threshold, r.state_n_pred, r.state_tp, r.transition_f1) for r in s] == [(1, 3, 2, 2, 2, 1.0)]
+    few = {r.case_id: r for r in I.voted_graphs(pool, 1).collect()}
+    assert [x.state for x in few[1].states] == ["A", "B", "C", "Lone"] and few[1].finals == ["B", "C"]
+
+
+def test_battery_on_published_counts(spark):
+    """Syntax-valid counts 24/3, 23/4, 16/11 give 8.142857 with p 0.01705301; tied counts and one method don't break it."""
+    rows = [("a", m, i < v, i < 2, 1) for m, v, n in (("few", 24, 27), ("rag", 23, 27), ("zero", 16, 27)) for i in range(n)] + [("b", "few", True, False, 3)] * 4
+    t = L.battery(spark.createDataFrame(rows, "model string, method string, syntax boolean, strict boolean, faults int"), ["model"], "method", "syntax", "strict", "faults").collect()
+    got = {(r.model, r.metric, r.test, r.group_a, r.group_b): r for r in t}
+    chi = got["a", "syntax validity", "chi-squared", None, None]
+    assert math.isclose(chi.statistic, 8.142857, abs_tol=1e-6) and chi.df == 2 and math.isclose(chi.p, 0.01705301, abs_tol=1e-8) and chi.significant
+    kw = got["a", "violation count", "Kruskal-Wallis", None, None]
+    assert (kw.statistic, kw.df, kw.significant) == (0.0, 2, False)
+    assert got["b", "violation count", "Kruskal-Wallis", None, None].p is None
+    fisher = got["a", "syntax validity", "exact pair", "few", "zero"]
+    assert math.isclose(fisher.statistic, 24 * 11 / (3 * 16)) and 0 < fisher.p < 0.05
+    assert sum(r.test == "Dunn pair" for r in t) == 3 and len(t) == 6 + 6 + 3
+
+
+def test_iteration_cells(spark):
+    a = spark.createDataFrame([("M", 0, True, False)] * 3 + [("M", 0, False, False), ("M", 1, True, True), ("M", 1, False, False)], "model string, attempt int, syntax_valid boolean, strict_valid boolean")
+    r = spark.createDataFrame([("M", "1", 0, True, True), ("M", "2", 1, True, True), ("M", "3", 1, True, False), ("M", "4", 5, True, False), ("N", "1", 0, True, False)], "model string, case_number string, attempted int, syntax_valid boolean, strict_valid boolean")
+    s = spark.createDataFrame([("M", "1", 4), ("M", "1", 5), ("M", "2", None), ("M", "3", 1)], "model string, case_number string, correctness int")
+    t = {x.metric: x for x in J.iteration_table(J.iteration_cells(a, r, s, ["correctness"]), ["M"], [0, 1, 5]).collect()}
+    cells = lambda m: [t[m][f"{J.ITERATIONS[i]} | m"] for i in (0, 1, 5)]
+    assert cells("Structural validity") == ["25.00% (n=1/4)", "33.33% (n=1/3)", "0.00% (n=0/2)"]
+    assert cells("Syntactic validity") == ["75.00% (n=3/4)", "33.33% (n=1/3)", "50.00% (n=1/2)"]
+    assert cells("Correctness") == ["4.5 (n=2)", "", ""]
+
+
+def test_kind_deltas(spark):
+    from statelens.operators import validity as K
+
+    v = spark.createDataFrame([("m", x, k) for x, ks in (("t", "aab"), ("r", "aac")) for k in ks], "model string, method string, kind string")
+    n = spark.createDataFrame([("m", "t")] * 3 + [("m", "r")] * 2 + [("m", "other"), ("n", "t")], "model string, method string")
+    got = {(r.model, r.reference, r.kind): (r.target_percent, r.reference_percent, r.delta, r.status) for r in K.kind_deltas(v, n, ["model"], "method", "t", ["t", "r"]).collect()}
+    assert got == {("m", "r", "a"): (66.67, 100.0, -33.33, "mitigated_by_target"), ("m", "r", "b"): (33.33, 0.0, 33.33, "introduced_by_target"), ("m", "r", "c"): (0.0, 50.0, -50.0, "eliminated_by_target")}
