@@ -2,12 +2,13 @@
 
 A page becomes a light tree. Every paragraph (and every other block's own text) passes points for its
 length and commas to its parent, half of them to the grandparent and less to a few ancestors further up; a
-container's score is discounted by its link density. The best container, or the article around it, is kept
-with those of its siblings that look like it. Their text is read block by block: character references decoded,
+container's score is discounted by its link density. The best container's article is kept with those of its siblings
+that look like it. On pages without an article element the lowest node around all good containers is kept, with
+what lies between them, and with prose, lists, tables and quotes before and behind; what is mostly links goes. Their text is read block by block: character references decoded,
 white space inside a block made one space, blocks joined by one line break in page order.
 
-Page furniture (menus, adverts, comments and so on) is told by tag, role, or a class or id of which every part
-is a furniture word or a neutral one; a named container that holds a page's h1, article or main element is none.
+Page furniture (menus, adverts, comments and so on) is told by tag, role, or a class or id of which a part is an advert
+word, or every part is a furniture word or a neutral one; a named container that holds a page's h1, article or main element is none.
 If nothing is left, names are ignored, but for comments.
 
 Null and empty pages, and pages without any text outside of scripts and page furniture, give the empty
@@ -29,7 +30,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "object", "dialog", "menu", "header"}
-COMMENTS = {"comment", "comments", "commentlist", "respond", "responses", "replies", "discussion", "disqus"}
+COMMENTS = {"comment", "comments", "commentlist", "respond", "responses", "replies", "discussion", "disqus", "feedback"}
+#: Words that name furniture wherever they stand in a name.
+ADVERTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "sponsors", "promo", "promos", "promotion"}
 BAD_WORDS = COMMENTS | {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "sponsors", "promo", "promos", "promotion", "banner", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
     "footer", "masthead", "cookie", "cookies", "consent", "notice", "notices", "newsletter", "subscribe", "signup", "popup", "modal", "overlay", "share", "sharing", "social", "related", "recommend", "recommended", "recommendations",
@@ -70,7 +73,7 @@ def bad_name(value: str) -> int:
     """Whether a class or id names furniture (1) or comments (2)."""
     for token in value.lower().split():
         parts = [x for x in PART.split(token) if x and not x.isdigit()]
-        if token in BAD_NAMES or parts and any(x in BAD_WORDS for x in parts) and all(x in BAD_WORDS or x in NEUTRAL for x in parts):
+        if token in BAD_NAMES or parts and (any(x in ADVERTS for x in parts) or any(x in BAD_WORDS for x in parts) and all(x in BAD_WORDS or x in NEUTRAL for x in parts)):
             return 2 if any(x in COMMENTS for x in parts) else 1
     return 0
 
@@ -192,9 +195,15 @@ def _own(node: Node, ignored: int) -> str:
 SHARES = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12, 1 / 15)
 
 
+#: Shares of the best container's own points from which another one is good too, and of the links from which text is a menu.
+GOOD, MENU = 0.2, 0.5
+LISTED = {"p", "pre", "blockquote", "table", "ul", "ol", "dl", "figure"}
+
+
 def best(root: Node, ignored: int = 0) -> list[Node]:
     """The nodes to keep, in page order."""
     nodes, scored = _measure(root, ignored), {}
+    own: dict = {}
     density = lambda x: 1 - x.links / max(1, x.size)
     for node in nodes:
         if node.tag not in BLOCK or node.tag in HEADINGS:
@@ -204,6 +213,7 @@ def best(root: Node, ignored: int = 0) -> list[Node]:
             continue
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * density(node)
         up = node.parent if node.tag in ("p", "pre", "td", "blockquote", "li", "dd") else node
+        own[up] = own.get(up, 0.0) + points
         for share in SHARES:
             if not up or up.tag == "#root":
                 break
@@ -217,8 +227,10 @@ def best(root: Node, ignored: int = 0) -> list[Node]:
     up = top
     while up and up.tag not in ("article", "main"):
         up = up.parent
-    top = up or top
-    if top.parent is None or top.tag in ("body", "html", "main"):
+    if not up:
+        return _around(nodes, own, density, ignored)
+    top = up
+    if top.parent is None or top.tag == "main":
         return [top]
     keep, bar, alike = [], max(10.0, 0.2 * final.get(top, 0.0)), 0.1 * top.size
     for k in top.parent.kids:
@@ -233,6 +245,53 @@ def best(root: Node, ignored: int = 0) -> list[Node]:
     return keep
 
 
+def _around(nodes: list[Node], own: dict, density, ignored: int) -> list[Node]:
+    """Without an article element: the lowest node around all good containers, without what in it is a menu or stands outside.
+
+    own: the points of each container's own paragraphs. Between the first and the last good part everything stays
+    that isn't mostly links; before and behind them headings and prose, lists, tables and quotes.
+    """
+    bar = GOOD * max(p * density(x) for x, p in own.items())
+    good = {x for x, p in own.items() if p * density(x) >= bar}
+    # how many of them each node holds; the last node that holds all is the lowest
+    holds = dict.fromkeys(good, 1)
+    for x in reversed(nodes):
+        if x in holds and x.parent:
+            holds[x.parent] = holds.get(x.parent, 0) + holds[x]
+    around = next(x for x in reversed(nodes) if holds.get(x) == len(good))
+    if around in good and around.parent and around.parent.tag != "#root":
+        around = around.parent  # what stands beside the only good container is looked at too
+    for level in (around, *(x for x in good if x.parent is around)):
+        kids = [k for k in level.kids if isinstance(k, Node) and k.bad <= ignored and k.tag in BLOCK]
+        # a container that has good paragraphs of its own begins with the first and ends with the last of them
+        mine = level in good
+        at = [i for i, k in enumerate(kids) if k in holds or mine and k.tag in LISTED and len(_own(k, ignored)) >= 25 and density(k) > MENU]
+        first, last = (at[0], at[-1]) if at else (0, len(kids) - 1)
+        strict = level.tag in ("body", "html", "#root")
+        for i, k in enumerate(kids):
+            if k in holds or k.tag in HEADINGS or k.size == 0:
+                continue
+            if k.links > MENU * k.size or not first <= i <= last and not _is_prose(k, strict, ignored):
+                k.bad = 3
+    return [around]
+
+
+#: What short blocks beside a page's parts say that are none of the article.
+SMALL_PRINT = re.compile(r"(?i)copyright|\u00a9|&copy;|all rights reserved|cookies?\b|privacy|terms of (use|service)|imprint|newsletter|subscribe|sign up|log ?in\b")
+
+
+def _is_prose(k: Node, strict: bool, ignored: int) -> bool:
+    """Whether a block outside of the good parts reads like one of them; strictly, where it stands beside the page's other parts."""
+    if k.links * 4 >= k.size:
+        return False
+    text = text_of([k], ignored)
+    if k.size < 200 and SMALL_PRINT.search(text):
+        return False
+    if strict:
+        return k.tag in LISTED and k.size > 80 or k.links == 0 and text[-1:] in ".!?"
+    return k.tag in LISTED or k.size > 80 or text[-1:] in ".!?:"
+
+
 def text_of(nodes: list[Node], ignored: int = 0) -> str:
     """The nodes' blocks, one on a line."""
     blocks: list[list[str]] = [[]]

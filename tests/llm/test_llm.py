@@ -1099,3 +1099,29 @@ def test_search_oracle(spark):
     want = con.execute(f"select item_id, rank, doc_id, score from ({search.ORACLE})").fetchall()
     got = [(r.item_id, r.rank, r.doc_id, r.score) for r in queries.op13_lexical_search(spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == sorted(want) and len(got) > 100
+
+
+LONG = "This is a long paragraph of the article, with commas, and with enough words to count as prose for the scoring of its container."
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<div id=c><section><h2>One</h2><p>{LONG}</p><p>{LONG}</p></section><section><h2>Two</h2><p>Short section text.</p></section><section><h2>Three</h2><p>{LONG}</p><p>{LONG}</p></section></div>", ["One", LONG, LONG, "Two", "Short section text.", "Three", LONG, LONG]),
+        (f"<div><div class=intro>A short lead.</div><div><p>{LONG}</p><p>{LONG}</p></div><div class=text>The closing words.</div></div>", ["A short lead.", LONG, LONG, "The closing words."]),
+        (f"<div><div><p>{LONG}</p><p>{LONG}</p></div><ul><li>first</li><li>second</li></ul></div>", [LONG, LONG, "first", "second"]),
+        (f"<div><h1>T</h1><div><p>{LONG}</p><p>{LONG}</p></div><table><tr><td>a</td><td>b</td></tr></table><pre>x = 1</pre><blockquote>So it is</blockquote></div>", ["T", LONG, LONG, "a", "b", "x = 1", "So it is"]),
+        (f"<div><p>{LONG}</p><div class='inline-promo'>Buy now, buy it all, and buy it here for less.</div><p>{LONG}</p><div class='article-ad-inline'><p>{LONG}</p></div><p>{LONG}</p></div><div class=user-feedback><p>{LONG}</p></div>", [LONG] * 3),
+        (f"<div class=top><a href=/a>One</a> <a href=/b>Two</a></div><div><p>{LONG}</p><p>{LONG}</p><div><a href=/x>Read this too</a> <a href=/y>and this</a></div><p>{LONG}</p></div><div>Copyright Example.</div>", [LONG] * 3),
+        (f"<p>{LONG}</p><p>{LONG}</p><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul><div>Imprint</div>", [LONG] * 2),
+        (f"<div>{LONG}<br>{LONG}<p>Bye.</p></div>", [f"{LONG} {LONG}", "Bye."]),
+    ],
+)
+def test_html_without_article_keeps_its_parts(body, want):
+    page = f"<html><head><title>x</title></head><body><nav><a href=/>Home</a></nav>{body}<footer>Foot, all of it, here.</footer></body></html>"
+    assert html.main_text(page).split("\n") == want
+
+
+def test_html_parts_beside_the_best_in_body():
+    page = f"<body><div class=intro>A short lead.</div><div><p>{LONG}</p><p>{LONG}</p></div><div class=text>The closing words.</div><div>All rights reserved.</div><div>Menu</div></body>"
+    assert html.main_text(page).split("\n") == ["A short lead.", LONG, LONG, "The closing words."]
