@@ -10,7 +10,8 @@ bytes of the words inside occurrences are compared before they count. A document
 twentieth of its words, and one at least, lie inside occurring windows.
 
 The benchmark is the query set: it is searched in blocks of ``BLOCK_CHARS`` code points, each broadcast on
-its own, so its size needs no bound; all documents are searched for every block in one pass.
+its own, so its size needs no bound; all documents are searched for every block in one pass, in steps of ``HELD`` blocks
+whose arrays a task builds once.
 
 Null and empty texts and items have no words and match nothing; an empty benchmark contaminates nothing;
 a repeated item or document counts each for itself; items without an id are searched but not listed. Columns
@@ -29,7 +30,7 @@ from statelens.llm.common import LOWER, aside, text_chunks, word_hashes, word_sp
 WINDOW = 13
 BLOCK_CHARS = 4_000_000
 SHARD_BYTES = 2 << 20
-#: Blocks whose arrays a worker holds built.
+#: Blocks whose arrays one step of a task holds built.
 HELD = 2
 #: Words of the shortest match that is reported as the longest.
 LEAST = 3
@@ -194,57 +195,74 @@ def _shard(buf, offs, t: TestSuffixes, window: int):
 TAKEN = ("n_words", "spans", "items", "longest", "longest_start", "longest_item", "n_hit", "contaminated")
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with n_words, spans (word intervals inside occurring windows), items (sorted ids), longest (words of the longest
-    verbatim match), longest_start (its first word's number in the document), longest_item, n_hit and contaminated.
-    """
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_CHARS))
-    added = {"n_words": "long", "spans": KIND, "items": "array<string>", "longest": "long", "longest_start": "long", "longest_item": "string"}
-    names = aside(docs.columns, TAKEN)  # clashing columns step aside
-    docs = docs.withColumnsRenamed(names)
-    part = benchmark.select("item_id", "text").withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(sorted(((r["item_id"], r["text"]) for r in part.where(F.col("b") == k).collect()), key=str)) for k in range(blocks)]  # BLOCK_CHARS each, plus one item
-    keep = [c for c in docs.columns if keep_text or c != text]
-    schema = docs.select(*keep, *[F.lit(None).cast(t).alias(c) for c, t in added.items()]).schema
+ADDED = {"n_words": "long", "spans": KIND, "items": "array<string>", "longest": "long", "longest_start": "long", "longest_item": "string"}
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _merge(old: list, row) -> None:
+    """Adds what another block found in a document."""
+    if old[0] is not None and row[0] is not None:
+        old[0] = _runs(np.concatenate([old[0][0], row[0][0]]), np.concatenate([old[0][1], row[0][1]]))
+    else:
+        old[0] = old[0] or row[0]
+    old[1] |= row[1]
+    if (-row[2], row[3]) < (-old[2], old[3]):
+        old[2:] = row[2:]
 
-    def run(batches):
-        built: dict = {}
 
-        def block(k):
-            if k not in built:
-                if len(built) >= HELD:
-                    built.pop(next(iter(built)))
-                built[k] = TestSuffixes(shared[k].value, window)
-            return built[k]
+def _step(shared: list, text: str, out: list[str], first: bool, window: int):
+    """A function for mapInArrow that searches some blocks and adds to what steps before it found."""
 
+    def run(batches):
+        blocks = [TestSuffixes(s.value, window) for s in shared]
         for b in batches:
+            get = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
             n_words, found = np.zeros(b.num_rows, np.int64), [None] * b.num_rows
-            column = b.column(b.schema.get_field_index(text))
-            for k in range(len(shared)):
-                for lo, buf, offs in text_chunks(column, SHARD_BYTES):
-                    per, out = _shard(LOWER[buf], offs, block(k), window)
+            if not first:
+                for i, (spans, items, n, start, item) in enumerate(zip(*(get(c).to_pylist() for c in list(ADDED)[1:]), strict=True)):
+                    if n or spans:
+                        runs = (np.array([x["start"] for x in spans], np.int64), np.array([x["end"] for x in spans], np.int64)) if spans else None
+                        found[i] = [runs, set(items), n, start or 0, item]
+            for lo, buf, offs in text_chunks(get(text), SHARD_BYTES):
+                low = LOWER[buf]
+                for t in blocks:
+                    per, hits = _shard(low, offs, t, window)
                     n_words[lo : lo + len(per)] = per
-                    for d, row in out.items():
-                        old = found[lo + d]
-                        if old is None:
+                    for d, row in hits.items():
+                        if found[lo + d] is None:
                             found[lo + d] = row
-                            continue
-                        if old[0] is not None and row[0] is not None:
-                            old[0] = _runs(np.concatenate([old[0][0], row[0][0]]), np.concatenate([old[0][1], row[0][1]]))
                         else:
-                            old[0] = old[0] or row[0]
-                        old[1] |= row[1]
-                        if (-row[2], row[3]) < (-old[2], old[3]):
-                            old[2:] = row[2:]
+                            _merge(found[lo + d], row)
             got = [x or [None, (), 0, 0, None] for x in found]
             spans = [[{"start": int(x), "end": int(y)} for x, y in zip(*g[0], strict=True)] if g[0] is not None else [] for g in got]
-            new = [pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(g[1]) for g in got], pa.list_(pa.string()))]
+            new = [pa.array(n_words), pa.array(spans, SPANS), pa.array([sorted(g[1]) for g in got], pa.list_(pa.string()))]
             new += [pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] if g[2] else None for g in got], pa.int64()), pa.array([g[4] for g in got], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *new], [*keep, *added])
+            yield pa.RecordBatch.from_arrays([*map(get, out), *new], [*out, *ADDED])
+
+    return run
 
-    df = docs.mapInArrow(run, schema)
+
+def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs with n_words, spans (word intervals inside occurring windows), items (sorted ids), longest (words of the longest
+    verbatim match), longest_start (its first word's number in the document), longest_item, n_hit and contaminated.
+    """
+    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    added = ADDED
+    names = aside(docs.columns, TAKEN)  # clashing columns step aside
+    docs = docs.withColumnsRenamed(names)
+    part = benchmark.select("item_id", "text").withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    sc = docs.sparkSession.sparkContext
+    shared = [sc.broadcast(sorted(((r["item_id"], r["text"]) for r in part.where(F.col("b") == k).collect()), key=str)) for k in range(blocks)]  # BLOCK_CHARS each, plus one item
+    keep = [c for c in docs.columns if keep_text or c != text]
+    null = lambda c: F.lit(None).cast(added[c]).alias(c)
+    df = docs
+    for lo in range(0, blocks, HELD):
+        # a step holds the arrays of its own blocks, built once in a task; steps follow each other in one stage
+        last = lo + HELD >= blocks
+        names_in = [c for c in df.columns if c not in added]
+        out = [c for c in names_in if not last or c in keep]
+        df = df.mapInArrow(_step(shared[lo : lo + HELD], text, out, lo == 0, window), docs.select(*out, *map(null, added)).schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return df.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
@@ -273,7 +291,13 @@ wins as (select distinct item_id, l, array_to_string(ws[j : j + l - 1], ' ') as
 pos as (select doc_id, ws, l, unnest(generate_series(1, len(ws) - l + 1)) as p from w, (select distinct l from wins) where len(ws) >= l),
 hit as (select pos.doc_id, pos.p, pos.l, wins.item_id from pos join wins on pos.l = wins.l and array_to_string(pos.ws[p : p + pos.l - 1], ' ') = wins.s),
 covered as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(generate_series(p, p + l - 1)) as q from hit) group by doc_id),
-items as (select doc_id, count(*) as n, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from hit where item_id is not null) group by doc_id)
+items as (select doc_id, count(*) as n, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from hit where item_id is not null) group by doc_id),
+-- longest matches: equal runs of three words lie on a diagonal as far as the texts agree
+br as (select row_number() over () as r, ws from i), bg as (select r, p, array_to_string(ws[p : p + {LEAST - 1}], ' ') as g from (select r, ws, unnest(generate_series(1, len(ws) - {LEAST - 1})) as p from br)),
+dg as (select doc_id, p, g from (select doc_id, p, array_to_string(ws[p : p + {LEAST - 1}], ' ') as g from (select doc_id, ws, unnest(generate_series(1, len(ws) - {LEAST - 1})) as p from w)) where g in (select g from bg)),
+dia as (select doc_id, r, dg.p - bg.p as d, dg.p as p from dg join bg using (g)),
+isl as (select doc_id, min(p) - 1 as start, count(*) + {LEAST - 1} as n from (select *, p - row_number() over (partition by doc_id, r, d order by p) as k from dia) group by doc_id, r, d, k union all select doc_id, p - 1, l from hit where l < {LEAST}),
+lng as (select doc_id, max(n) as longest, min(start) filter (n = m) as longest_start from (select *, max(n) over (partition by doc_id) as m from isl) group by doc_id)
 select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n, 0) as bigint) as n_items,
-       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
-from w left join covered using (doc_id) left join items using (doc_id)"""
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated, cast(coalesce(longest, 0) as bigint) as longest, cast(longest_start as bigint) as longest_start
+from w left join covered using (doc_id) left join items using (doc_id) left join lng using (doc_id)"""

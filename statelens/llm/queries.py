@@ -38,7 +38,7 @@ def op6_ngram_jaccard(spark, sf_dir):
 
 def op7_decontamination(spark, sf_dir):
     found = decontam.annotate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
-    return decontam.digest(found).drop("longest", "longest_start", "longest_item")
+    return decontam.digest(found).drop("longest_item")
 
 
 def op8_suffix_dedup(spark, sf_dir):
