@@ -83,11 +83,48 @@ def kappa(scores: DataFrame, keys: list[str], weights: str = "quadratic", catego
     return observed.join(expected, keys).select(*keys, F.when(F.col("e") == 0, 1.0).otherwise(1 - F.col("o") / F.col("e")).alias("kappa"))
 
 
+def case_prefix(number):
+    """``case_07_`` for a case number 7, "7" or "7.0"; null for what is no number."""
+    return F.format_string("case_%02d_", number.cast("string").try_cast("double").try_cast("long"))
+
+
 def with_case(ratings: DataFrame, cases: DataFrame, number: str = "case_number") -> DataFrame:
-    """ratings with the case_id and complexity of the only case whose id starts with case_<number>_; others are left out."""
-    c = cases.withColumn("_n", F.regexp_extract("case_id", "^case_0*([0-9]+)_", 1)).where("_n <> ''")
+    """ratings with the case_id and complexity of the only case whose id starts with the number's prefix; others are left out."""
+    c = cases.withColumn("_n", F.regexp_extract("case_id", "^(case_[0-9]+_)", 1)).where("_n <> ''")
     c = c.withColumn("_c", F.count("*").over(Window.partitionBy("_n"))).where("_c = 1").drop("_c")
-    return ratings.join(c, F.col(number).cast("string") == F.col("_n")).drop("_n")
+    r = ratings.withColumn("_p", case_prefix(F.col(number))).where(F.col(number).cast("string").try_cast("double").isNotNull())
+    return r.join(c, F.col("_p") == F.col("_n")).drop("_n", "_p")
+
+
+# Names of methods in rating sheets that stand for others, and what a repaired diagram's name tells.
+METHOD_NAMES = {
+    "rag examples only": "RAG [examples only]", "rag example only": "RAG [examples only]", "rag plantuml/rules only": "RAG [rules only]", "rag rules only": "RAG [rules only]", "rag theory only": "RAG [theory only]",
+    "rag state-rules/theory only": "RAG [theory only]",
+}
+REPAIRED_NAMES = (("rag_repair", "RAG + Repair"), ("few_shot_repair", "Few-shot + Repair"))
+
+
+def method_name(method, diagram_name):
+    """A rated method by one name: sheets' names mapped, repairs told apart by the diagram's name."""
+    raw = F.trim(F.coalesce(method, F.lit("")))
+    low = F.lower(F.coalesce(diagram_name, F.lit("")))
+    repaired = raw
+    for mark, name in reversed(REPAIRED_NAMES):
+        repaired = F.when(F.contains(low, F.lit(mark)), name).otherwise(repaired)
+    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in METHOD_NAMES.items() for x in kv]), F.lower(raw))
+    return F.when(raw == "Repair", repaired).otherwise(F.coalesce(known, raw))
+
+
+def rated_cases(sources: dict[str, DataFrame], cases: DataFrame, criteria: list[str]) -> DataFrame:
+    """(source, case_id, complexity, model, method, diagram_name, criterion, score) of all sources' ratings of known cases.
+
+    A source: case_number, model, method, diagram_name and the criteria. cases: case_id, complexity.
+    """
+    every = None
+    for name, df in sources.items():
+        one = df.select(F.lit(name).alias("source"), "case_number", F.trim("model").alias("model"), method_name(F.col("method"), F.col("diagram_name")).alias("method"), "diagram_name", *[F.col(c).cast("string").try_cast("double").alias(c) for c in criteria])
+        every = one if every is None else every.unionByName(one)
+    return long_form(with_case(every, cases), ["source", "case_id", "complexity", "model", "method", "diagram_name"], criteria)
 
 
 def overall(scores: DataFrame) -> DataFrame:

@@ -11,13 +11,13 @@ from statelens.operators.validity import median_cell, percent_cell, wide
 
 
 def paired_stages(diagrams: DataFrame, meta: DataFrame | None = None) -> DataFrame:
-    """(run_id, case_id, run_index, initial_id, final_id) of the runs with a first and a final diagram, and with metadata if that is given.
+    """(run_id, case_id, run_index, initial_id, final_id) of repair runs with a first and a final diagram, and with metadata if that is given.
 
     diagrams: diagram_id, run_id, case_id, run_index, stage. Both ends come from one pass: a run's stages meet in one group.
     """
     run = ["run_id", "case_id", "run_index"]
     at = lambda stage: F.max(F.when(F.col("stage") == stage, F.col("diagram_id")))
-    pairs = diagrams.where(F.col("stage").isin("initial", "final")).groupBy(*run).agg(at("initial").alias("initial_id"), at("final").alias("final_id"))
+    pairs = diagrams.where(F.contains("run_id", F.lit("repair"))).where(F.col("stage").isin("initial", "final")).groupBy(*run).agg(at("initial").alias("initial_id"), at("final").alias("final_id"))
     pairs = pairs.where("initial_id is not null and final_id is not null")
     return pairs if meta is None else pairs.join(meta.select(*run), run, "left_semi")
 
@@ -141,14 +141,21 @@ def iteration_table(cells: DataFrame, models: list[str], iterations: list[int])
     return wide(cells.where(F.col("iteration").isin(*iterations)).withColumn("column", column), ["evaluation_group", "metric"], "column", "cell", names).fillna("", names)
 
 
-def repair_summary(detail: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, improved, worsened, recovered, recovery_rate, mean_change, median_change)."""
+def repair_summary(detail: DataFrame, keys: list[str], changes: list[str]) -> DataFrame:
+    """What repairs did, for each value of keys: counts and rates in percent, recoveries out of the invalid first diagrams, mean
+    and median issues and reductions, mean iterations and mean of each change column.
+
+    detail: before, after, reduction, new_kinds, attempted, repaired, total_change and the change columns. A diagram is valid
+    without issues; a repair that brings in a new kind is a regression, whatever else it mends.
+    """
     bad, good = F.col("before") > 0, F.col("after") == 0
+    n = {"initially_invalid": bad, "successful": good, "recovered": bad & good, "improved": F.col("after") < F.col("before"), "worsened": F.col("after") > F.col("before"), "regressed": F.col("new_kinds") != ""}
     g = detail.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count_if(F.col("status") == "improved").alias("improved"), F.count_if(F.col("status") == "worsened").alias("worsened"),
-        F.count_if(bad).alias("initially_invalid"), F.count_if(bad & good).alias("recovered"), F.avg("total_change").alias("mean_change"), F.median("total_change").alias("median_change"),
+        F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in n.items()], *[F.avg(c).alias(f"mean_{c}") for c in ("before", "after", "reduction", "attempted", "repaired", *changes, "total_change")],
+        F.median("reduction").alias("median_reduction"), F.median("total_change").alias("median_total_change"),
     )
-    return g.withColumn("recovery_rate", T.ratio("recovered", "initially_invalid"))
+    rate = lambda k, of: T.ratio(100.0 * F.col(k), of)
+    return g.withColumns({f"{k}_percent": rate(k, "n") for k in ("successful", "improved", "worsened", "regressed")}).withColumn("recovered_percent", rate("recovered", "initially_invalid"))
 
 
 def new_kind_distribution(detail: DataFrame, keys: list[str]) -> DataFrame:

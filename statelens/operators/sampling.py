@@ -46,8 +46,14 @@ def split_report(split: DataFrame, stratum: str) -> DataFrame:
 
 
 def balanced_subset(cases: DataFrame, key: str, stratum: str, order: list[str], size: int, seed: int) -> DataFrame:
-    """``size`` cases taken in rounds over the strata in the given order; all if there are fewer."""
-    r = ranked(cases, [stratum], seeded(seed, key)).where(F.col("rank") <= size)
+    """``size`` cases taken in rounds over the listed strata, in their order; cases of other strata are never taken. All cases,
+    of whatever stratum, where there are no more than that; none for a size of 0.
+    """
+    if size <= 0:
+        return cases.limit(0)
+    if len(cases.limit(size + 1).select(key).collect()) <= size:  # size + 1 keys at most
+        return cases
+    r = ranked(cases.where(F.col(stratum).isin(*order)), [stratum], seeded(seed, key)).where(F.col("rank") <= size)
     at = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(stratum))
     return r.withColumn("_s", at).orderBy("rank", "_s").limit(size).drop("rank", "_s")
 

@@ -173,9 +173,10 @@ def score_runs(pred: DataFrame, gold: DataFrame, sequence: bool = True) -> DataF
     )
 
 
-def summarise(metrics: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Row count and means of the columns for each of the keys' values."""
-    return metrics.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
+def summarise(metrics: DataFrame, keys: list[str], columns: list[str], flags: tuple = ()) -> DataFrame:
+    """Row count, means of the columns (a missing value counts as 0) and rates of the flags for each of the keys' values."""
+    rates = [(F.count_if(F.col(c)) / F.count("*")).alias(f"{c}_rate") for c in flags]
+    return metrics.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(F.coalesce(c, F.lit(0.0))).alias(f"mean_{c}") for c in columns], *rates)
 
 
 def summarise_sets(metrics: DataFrame, sets: list[list[str]], columns: list[str]) -> DataFrame:

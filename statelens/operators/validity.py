@@ -123,6 +123,14 @@ def long(rows: DataFrame, index: list[str], pattern: str = "|") -> DataFrame:
     )
 
 
+def median_parts(cell):
+    """(median, n) of a cell ``3.5 (n=12)`` or, with a spread in the brackets, ``3.5 (IQR 1), n=12``; nulls for a blank one and for
+    any other form.
+    """
+    get = lambda i: F.regexp_extract(cell, r"^\s*([0-9]+(?:\.[0-9]+)?)\s+(?:\(n=([0-9]+)\)|\([^)]+\),\s*n=([0-9]+))\s*$", i)
+    return F.struct(get(1).try_cast("double").alias("median"), F.coalesce(F.nullif(get(2), F.lit("")), get(3)).try_cast("long").alias("n"))
+
+
 def percent_cell(valid, total):
     """``55.56% (n=15/27)``, blank for no rows."""
     return F.when(total == 0, "").otherwise(F.format_string("%.2f%% (n=%d/%d)", 100.0 * valid / total, valid, total))

@@ -107,8 +107,14 @@ def d13_score_runs(spark, sf):
     return _metrics(spark, sf).select("diagram_id", "case_id", "run_index", "complexity", *[F.round(c, 9).alias(c) for c in METRICS])
 
 
+def _syntax(spark, sf):
+    return B.graph_rows(spark, sf).select("diagram_id", (F.col("case_id") % 5 != 0).alias("syntax_valid"))
+
+
 def e1_summary_by_config(spark, sf):
-    return S.summarise(_metrics(spark, sf), ["run_index"], list(METRICS[8:]))
+    """All means, and the rates of diagrams whose syntax passed (all but every fifth case) and that are without issues too."""
+    v = G.validation(_ruled(spark, sf), _syntax(spark, sf)).select("diagram_id", F.col("syntax_valid"), "strict_valid")
+    return S.summarise(_metrics(spark, sf).join(v, "diagram_id"), ["run_index"], list(METRICS), ("syntax_valid", "strict_valid"))
 
 
 def e2_summary_by_complexity(spark, sf):
@@ -233,7 +239,8 @@ select distinct a, b, round(sim, 9) as similarity from (select x.event as a, y.e
     "d6_event_tokens": f"""with {B.VG}, ev as (select distinct event from transitions)
 select event, array_to_string(list_sort(list_transform(string_split(event, ' '), lambda x: case x when 'error' then 'fail' when 'purchase' then 'payment' when 'view' then 'access' else x end)), ' ') as tokens from ev""",
     "d13_score_runs": f"{SCORED} select diagram_id, case_id, run_index, complexity, {', '.join(f'round({c}, 9) as {c}' for c in METRICS)} from m",
-    "e1_summary_by_config": f"{SCORED} select run_index, count(*) as n, {_means(METRICS[8:])} from m group by 1",
+    "e1_summary_by_config": f"""{SCORED}, {_RULES.split(B.VG, 1)[1].lstrip(", ")}, bad as (select distinct diagram_id from viol)
+select run_index, count(*) as n, {_means(METRICS)}, count(*) filter (case_id % 5 <> 0) / count(*) as syntax_valid_rate, count(*) filter (case_id % 5 <> 0 and bad.diagram_id is null) / count(*) as strict_valid_rate from m left join bad on bad.diagram_id = m.diagram_id group by 1""",
     "e2_summary_by_complexity": f"{SCORED} select run_index, complexity, count(*) as n, {_means(METRICS[8:12])} from m group by grouping sets ((run_index), (run_index, complexity))",
     "e3_case_stability": f"{SCORED} select case_id, count(*) as runs, stddev_pop(overall_f1) as std_overall_f1, stddev_pop(overall_relaxed_f1) as std_overall_relaxed_f1 from m group by 1",
     "e4_config_stability": f"""{SCORED}, per as (select run_index % 2 as config, case_id, stddev_pop(overall_f1) as a, stddev_pop(overall_relaxed_f1) as b from m group by 1, 2)

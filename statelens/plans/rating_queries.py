@@ -205,8 +205,11 @@ def n3_wide_to_long(spark, sf):
 
 
 def n4_median_cells(spark, sf):
-    m = m4_median_by_model_method(spark, sf).withColumn("cell", F.format_string("%.1f (n=%d)", F.col("median").cast("double"), "n"))
-    return m.select("method", "model", "criterion", F.regexp_extract("cell", r"^([0-9.]+) \(n=", 1).try_cast("double").alias("median"), F.regexp_extract("cell", r"n=([0-9]+)", 1).try_cast("long").alias("n"))
+    """Medians as cells of both forms, by model, read back; blank for understandability of one method."""
+    m = M.descriptives(_scores(spark, sf), ["method", "model", "criterion"])
+    cell = F.when(F.col("model") == "F", K.median_cell(F.col("median"), F.col("n"))).otherwise(F.format_string("%.1f (IQR %.1f), n=%d ", "median", "iqr", "n"))
+    m = m.withColumn("cell", F.when((F.col("criterion") == "understandability") & (F.col("method") == "A"), " ").otherwise(cell))
+    return m.select("method", "model", "criterion", K.median_parts(F.col("cell")).alias("c")).select("method", "model", "criterion", "c.*")
 
 
 def n5_preferred_order(spark, sf):
@@ -290,7 +293,7 @@ case when sqrt((var_samp(a) + var_samp(b)) / 2) = 0 then 0.0 else (avg(a) - avg(
     "n1_wide_table": f"""{_V}, c as (select model, method, printf('%.2f%% (n=%d/%d)', 100.0 * count(*) filter (strict_valid) / count(*), count(*) filter (strict_valid), count(*)) as cell from v group by 1, 2)
 select model, {', '.join(f"max(cell) filter (method = '{m}') as {m}" for m in ("en", "fr", "de", "es"))} from c group by 1""",
     "n3_wide_to_long": f"{_V} select method, round(100.0 * count(*) filter (strict_valid) / count(*), 2) as percent, cast(count(*) filter (strict_valid) as double) as n from v group by model, method",
-    "n4_median_cells": f"{_R} select method, model, criterion, median(score) as median, count(*) as n from s group by 1, 2, 3",
+    "n4_median_cells": f"{_R} select method, model, criterion, case when criterion = 'understandability' and method = 'A' then null else median(score) end as median, case when criterion = 'understandability' and method = 'A' then null else count(*) end as n from s group by 1, 2, 3",
     "n5_preferred_order": f"{_V} select method, {_RATE.format(f='syntax_valid')} from v group by 1",
 }
 #: Two-sided normal tail by Simpson's rule over twelve deviations.

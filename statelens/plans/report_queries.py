@@ -12,18 +12,22 @@ from statelens.operators import prompts as H
 from statelens.operators import ratings as M
 from statelens.operators import repair as J
 from statelens.operators import requirements as O
-from statelens.operators import scoring as S
+from statelens.operators import sampling as S2
 from statelens.operators import validity as K
 from statelens.plans import bindings as B
 from statelens.plans import graph_queries as GQ
 from statelens.plans import rating_queries as RQ
 from statelens.plans import sample_queries as SQ
 from statelens.plans import text_queries as TQ
+from statelens.sources import files as A
 
 
 def a15_manifest(spark, sf):
-    d = B.event_graphs(spark, sf).diagrams
-    return d.agg(F.count("*").alias("diagrams"), F.countDistinct("case_id").alias("cases"), F.array_join(F.sort_array(F.collect_set(F.col("run_index").cast("string"))), ",").alias("runs"))
+    """The split of the users' cases, the run matrix and the settings of an experiment, as sections of a manifest."""
+    d = B.graph_rows(spark, sf).where("run_index = 0").select("case_id", F.when(F.size("states") <= 6, "simple").when(F.size("states") <= 14, "medium").otherwise("complex").alias("complexity"))
+    split = S2.stratified_split(d, "case_id", "complexity", 0.35, 42)
+    settings = {"runs_per_case": 1, "few_shot_count": 3, "rag_mode": "lexical", "rag_domain_hints": ["b", "a"]}
+    return A.manifest(split, A.run_matrix(TQ._models(spark, sf), A.strategies(spark), "t"), settings, 40)
 
 
 def c12_issue_kinds(spark, sf):
@@ -63,14 +67,18 @@ def k16_change_composition(spark, sf):
 
 
 def _rated(spark, sf):
+    """Ratings of known cases from two sheets: the main one, where method R is a repair of three kinds, and one of an ablation."""
     o = B.table(spark, sf, "orders")
-    cases = o.select(F.concat(F.lit("case_"), F.col("o_orderkey").cast("string"), F.lit("_"), "o_orderstatus").alias("case_id"), F.when(F.col("o_totalprice") < 1e5, "simple").when(F.col("o_totalprice") < 3e5, "medium").otherwise("complex").alias("complexity"))
-    return M.with_case(B.ratings(spark, sf).withColumnRenamed("item_id", "case_number"), cases)
+    cases = o.select(F.concat(F.format_string("case_%02d_", "o_orderkey"), "o_orderstatus").alias("case_id"), F.when(F.col("o_totalprice") < 1e5, "simple").when(F.col("o_totalprice") < 3e5, "medium").otherwise("complex").alias("complexity"))
+    r, k = B.ratings(spark, sf), F.col("item_id") % 3
+    number = F.when(F.col("item_id") % 50 == 7, "none").otherwise(F.concat(F.col("item_id").cast("string"), F.when(F.col("item_id") % 2 == 0, ".0").otherwise("")))
+    main = r.where("method <> 'N'").withColumns({"case_number": number, "method": F.when(F.col("method") == "R", "Repair").otherwise(" Few-shot "), "diagram_name": F.when(k == 0, "x_RAG_repair_1").when(k == 1, "few_shot_repair").otherwise("plain")})
+    second = r.where("method = 'N'").withColumns({"case_number": number, "method": F.when(k == 0, "RAG rules only").when(k == 1, "rag state-rules/theory only").otherwise("RAG"), "diagram_name": F.lit(None).cast("string")})
+    return M.rated_cases({"main": main, "ablation": second}, cases, RQ.C)
 
 
 def m5_ratings_by_complexity(spark, sf):
-    s = M.long_form(_rated(spark, sf), ["case_id", "complexity", "method"], RQ.C)
-    return s.groupBy("complexity", "method", "criterion").agg(F.count("*").alias("responses"), F.countDistinct("case_id").alias("diagrams"), F.median("score").alias("median"))
+    return _rated(spark, sf).groupBy("source", "complexity", "method", "criterion").agg(F.count("*").alias("responses"), F.countDistinct("case_id").alias("diagrams"), F.median("score").alias("median"))
 
 
 def m11_overall_disagreement(spark, sf):
@@ -166,10 +174,10 @@ def o18_job_status(spark, sf):
 
 
 _CX = f"with {B.VV}, c as (select v.*, case when d.n_chars <= 800 then 'simple' when d.n_chars <= 2500 then 'medium' else 'complex' end as complexity from v join documents d on v.case_id = d.doc_id)"
-_RATED = f"""{RQ._R}, cs as (select s.*, case when o_totalprice < 1e5 then 'simple' when o_totalprice < 3e5 then 'medium' else 'complex' end as complexity from s join orders on o_orderkey = item_id),
-med as (select complexity, method, criterion, count(*) as responses, count(distinct item_id) as diagrams, median(score) as median from cs group by 1, 2, 3)"""
+_RATED = f"""{RQ._R}, cs as (select s.*, case when o_totalprice < 1e5 then 'simple' when o_totalprice < 3e5 then 'medium' else 'complex' end as complexity, case when s.method = 'N' then 'ablation' else 'main' end as source,
+case s.method when 'A' then 'Few-shot' when 'R' then (['RAG + Repair', 'Few-shot + Repair', 'Repair'])[item_id % 3 + 1] else (['RAG [rules only]', 'RAG [theory only]', 'RAG'])[item_id % 3 + 1] end as named from s join orders on o_orderkey = item_id where item_id % 50 <> 7),
+med as (select source, complexity, named as method, criterion, count(*) as responses, count(distinct item_id) as diagrams, median(score) as median from cs group by all)"""
 ORACLES = {
-    "a15_manifest": f"with {B.VG} select count(*) as diagrams, count(distinct case_id) as cases, (select string_agg(cast(r as varchar), ',' order by r) from (select distinct run_index as r from diagrams)) as runs from diagrams",
     "k9_validity_by_complexity": f"{_CX} select complexity, method, {RQ._RATE.format(f='strict_valid')} from c where syntax_valid group by 1, 2",
     "k11_dense_by_complexity": f"""{_CX}, a as (select complexity, method, {RQ._RATE.format(f='syntax_valid')} from c group by 1, 2)
 select x.complexity, y.method, coalesce(total, 0) as total, coalesce(valid, 0) as valid, coalesce(invalid, 0) as invalid, coalesce(percent, 0) as percent from (select distinct complexity from c) x cross join (select distinct method from c) y left join a using (complexity, method)""",
@@ -259,6 +267,17 @@ _GUIDE = (
     ("invalid_join_node", 1, "A join closes two branches or more."), ("invalid_history_state", 1, "A history mark belongs into a composite state, or goes."),
 )
 _ADVICE = f"gu as (select * from (values {', '.join(f"('{k}', {i}, '{t}')" for k, i, t in _GUIDE)}) v(kind, n, a)), ga as (select diagram_id, a, min(pos * 10 + n) as place from {{v}} join gu using (kind) group by 1, 2)"
+ORACLES["a15_manifest"] = f"""with {B.VG}, c as (select case_id, case when count(*) <= 6 then 'simple' when count(*) <= 14 then 'medium' else 'complex' end as complexity from states join diagrams using (diagram_id) where run_index = 0 group by 1),
+n as (select complexity, case when count(*) > 1 then least(greatest(round_even(count(*) * 0.35::double, 0), 1), count(*) - 1) else 1 end as take from c group by 1),
+r as (select *, row_number() over (partition by complexity order by md5('42:' || case_id)) as rank from c), sp as (select case_id, case when rank <= take then 'test_case_ids' else 'rag_case_ids' end as section from r join n using (complexity)),
+so0 as (select *, count(*) over (partition by section) as n from sp), so as (select *, cast('0x' || left(md5(cast(case_id as varchar)), 8) as bigint) % greatest(1, ceil(n / 40))::bigint as part from so0),
+st as (select * from (values ('zero_shot', 'zero_shot', false, false, false), ('few_shot', 'few_shot', false, false, false), ('zero_shot_validation_generator_critic_repair', 'zero_shot_validation_generator_critic_repair', false, true, true), ('few_shot_validation_generator_critic_repair', 'few_shot_validation_generator_critic_repair', false, true, true),
+ ('rag__t', 'rag', true, false, false), ('rag_structural_validation__t', 'rag_structural_validation', true, true, false), ('rag_validation_generator_critic_repair__t', 'rag_validation_generator_critic_repair', true, true, true)) v(k, strategy, r, v, e)),
+cf as (select 'local__' || source || '__' || k as run_id, '{{"model_group":"local","model_label":"' || source || '","strategy":"' || strategy || '","use_rag":' || r || ',"use_structural_validation":' || v || ',"use_ensemble":' || e || ',"run_id":"local__' || source || '__' || k || '","baseline_subset_only":false}}' as j
+ from (select distinct source from documents where source is not null) cross join st), co0 as (select *, count(*) over () as n from cf), co as (select *, cast('0x' || left(md5(run_id), 8) as bigint) % greatest(1, ceil(n / 40))::bigint as part from co0)
+select section, cast(part as bigint) as part, n, '[' || string_agg('"' || case_id || '"', ',' order by case_id) || ']' as payload from so group by 1, 2, 3
+union all select 'configs', cast(part as bigint), n, '[' || string_agg(j, ',' order by run_id) || ']' from co group by 2, 3
+union all select 'settings', 0, 4, '{{"few_shot_count": 3, "rag_domain_hints": ["a", "b"], "rag_mode": "lexical", "runs_per_case": 1}}'"""
 ORACLES["c16_guidance"] = f"""with recursive {TQ._RICH_RULES}, {_ADVICE.format(v='rv')}, gl as (select diagram_id, string_agg(a, chr(10) order by place) as l from ga group by 1)
 select diagram_id, coalesce(l, 'Mend what is listed and keep what the requirement means.') as advice from diagrams left join gl using (diagram_id)"""
 ORACLES["h3_generation_prompts"] = f"""with rq as (select doc_id as case_id, 'all' as s, text, row_number() over (order by md5('42:' || doc_id)) as rank from documents where text is not null), nq as (select least(greatest(round_even(count(*) * 0.35::double, 0), 1), count(*) - 1) as take from rq),

@@ -30,7 +30,7 @@ def f2_split_report(spark, sf):
 
 
 def f3_balanced_subset(spark, sf):
-    return S.balanced_subset(_cases(spark, sf), "case_id", "complexity", ["simple", "medium", "complex"], 50, SEED)
+    return S.balanced_subset(_cases(spark, sf), "case_id", "complexity", ["simple", "complex"], 50, SEED)
 
 
 def f4_examples_per_target(spark, sf):
@@ -189,9 +189,12 @@ def j4_iteration_counts(spark, sf):
     return J.iteration_counts(_marked(spark, sf), "case_id", "attempt")
 
 
+CHANGES = ["added_states", "deleted_states", "added_transitions", "deleted_transitions", "relabelled_edges"]
+
+
 def j5_repair_summary(spark, sf):
-    d = j2_graph_diff(spark, sf).join(j3_violation_delta(spark, sf), "case_id").withColumn("model", F.col("case_id") % 4)
-    return J.repair_summary(d, ["model"])
+    d = j2_graph_diff(spark, sf).join(j3_violation_delta(spark, sf), "case_id").join(j4_iteration_counts(spark, sf), "case_id").withColumn("model", F.col("case_id") % 4)
+    return J.repair_summary(d, ["model"], CHANGES)
 
 
 def j6_new_kinds(spark, sf):
@@ -267,7 +270,7 @@ _EXAMPLE = f"""'---' || chr(10) || 'source_type: dataset_example' || chr(10) ||
 ORACLES = {
     "f1_stratified_split": f"{_SPLIT} select * from sp",
     "f2_split_report": f"{_SPLIT} select complexity, count(*) as total, count(*) filter (role = 'test') as test, count(*) filter (role = 'pool') as pool from sp group by 1",
-    "f3_balanced_subset": f"{_SPLIT} select case_id, complexity from r order by rank, list_position(['simple', 'medium', 'complex'], complexity) limit 50",
+    "f3_balanced_subset": f"{_SPLIT} select case_id, complexity from r where complexity in ('simple', 'complex') order by rank, list_position(['simple', 'complex'], complexity) limit 50",
     "f5_leakage": f"{_SPLIT} select count(*) as leaked from sp a join sp b on a.case_id = b.case_id where a.role = 'test' and b.role = 'pool'",
     "f6_case_range": f"with {_CASES} select complexity, count(*) as n from c where case_id between 100 and 5000 group by 1",
     "g1_lexical_top": f"{_LEX} select query, name, source_type, score, lexical, title, domain, token_count, rank from top",
@@ -286,7 +289,7 @@ select name, md5(snippet) as snippet_md5 from sn union all select name, md5('Req
     "g9_example_documents": f"with {_CT} select 'dataset_examples/' || case_id || '.md' as name, md5({_EXAMPLE}) as content_md5, 'dataset_example' as source_type from ct",
     "g10_case_documents": f"""with {_LIB}, {_CT} select name, md5(content) as content_md5, source_type from d union all
 select case_id || '.txt', md5('Case ID: ' || case_id || chr(10) || 'Complexity: simple' || chr(10) || chr(10) || 'Requirement:' || chr(10) || case when st = '' then text else st end || chr(10) || chr(10) || 'Reference PlantUML:' || chr(10) || gold || chr(10)), 'reference' from ct""",
-    "j1_paired_stages": f"with {TQ._RUNS} select a.run_id, a.case_id, a.diagram_id as initial_id, b.diagram_id as final_id from rs a join rs b on a.case_id = b.case_id and a.run_index = 0 and b.run_index = 1 where a.case_id % 10 <> 0",
+    "j1_paired_stages": f"with {TQ._RUNS} select a.run_id, a.case_id, a.diagram_id as initial_id, b.diagram_id as final_id from rs a join rs b on a.case_id = b.case_id and a.run_index = 0 and b.run_index = 1 where a.case_id % 10 <> 0 and a.run_id like '%repair%'",
     "j2_graph_diff": f"{_DIFF} select * from diffs",
     "j3_violation_delta": f"{_DELTA} select * from delta",
     "j4_iteration_counts": f"{_AT} select case_id, max(attempt) as attempted, coalesce(max(attempt) filter (accepted and attempt > 0), max(attempt)) as repaired from mk group by 1",
@@ -316,7 +319,9 @@ ORACLES["f4_examples_per_target"] = f"{_SPLIT}, te as (select case_id, complexit
 ORACLES["n8_review_manifest"] = f"""{_DELTA}, it as (select case_id, max(attempt) as attempted, coalesce(max(attempt) filter (accepted and attempt > 0), max(attempt)) as repaired from mk group by 1)
 select 'Model ' || case_id % 4 || '!' as model, 'Repair' as method, 'case_' || case_id as case_id, attempted, repaired, before as initial_violations, after as final_violations, cast(it.case_id as varchar) as case_number, 'review/model_' || it.case_id % 4 || '/iteration_' || attempted || '/case_' || it.case_id as review_folder
 from it join delta using (case_id) where attempted <= 4"""
-ORACLES["j5_repair_summary"] = f"""{_DELTA}, {_DIFF.split(B.VG + ',', 1)[1]}
-select case_id % 4 as model, count(*) as n, count(*) filter (status = 'improved') as improved, count(*) filter (status = 'worsened') as worsened, count(*) filter (before > 0) as initially_invalid, count(*) filter (before > 0 and after = 0) as recovered,
-avg(total_change) as mean_change, median(total_change) as median_change, case when count(*) filter (before > 0) = 0 then 0.0 else count(*) filter (before > 0 and after = 0) / count(*) filter (before > 0) end as recovery_rate from delta join diffs using (case_id) group by 1"""
+_PCT = lambda k, of: f"case when {of} = 0 then 0.0 else 100.0 * {k} / {of} end as {k}_percent"
+ORACLES["j5_repair_summary"] = f"""{_DELTA}, {_DIFF.split(B.VG + ',', 1)[1]}, it as (select case_id, max(attempt) as attempted, coalesce(max(attempt) filter (accepted and attempt > 0), max(attempt)) as repaired from mk group by 1),
+js as (select case_id % 4 as model, count(*) as n, count(*) filter (before > 0) as initially_invalid, count(*) filter (after = 0) as successful, count(*) filter (before > 0 and after = 0) as recovered, count(*) filter (after < before) as improved, count(*) filter (after > before) as worsened,
+count(*) filter (new_kinds <> '') as regressed, {', '.join(f'avg({c}) as mean_{c}' for c in ("before", "after", "reduction", "attempted", "repaired", *CHANGES, "total_change"))}, median(reduction) as median_reduction, median(total_change) as median_total_change from delta join diffs using (case_id) join it using (case_id) group by 1)
+select *, {', '.join(_PCT(k, 'n') for k in ("successful", "improved", "worsened", "regressed"))}, {_PCT('recovered', 'initially_invalid')} from js"""
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[0] in "fgjn" and n[1:2].isdigit()}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statelens.functions.small import times
@@ -197,6 +198,27 @@ def explode_attempts(meta: DataFrame) -> DataFrame:
     return meta.withColumn("a", F.explode("attempt_artifacts")).select(*[c for c in meta.columns if c != "attempt_artifacts"], "a.*")
 
 
+def manifest(split: DataFrame, configs: DataFrame, settings: dict, width: int = 1000) -> DataFrame:
+    """(section, part, n, payload) of an experiment: the ids of its test and pool cases, its run configurations and its settings,
+    as JSON. A section is dealt into parts of about ``width`` entries, so that no row grows with the experiment; n counts
+    the section. Lists among the settings are sorted.
+    """
+
+    def section(rows, order):
+        # by hash: no section is numbered in one task
+        n = rows.groupBy("section").agg(F.count("*").alias("n"))
+        part = F.conv(F.substring(F.md5(F.col(order).cast("string")), 1, 8), 16, 10).cast("long") % F.greatest(F.lit(1), F.ceil(F.col("n") / width))
+        g = rows.join(n, "section").groupBy("section", part.cast("long").alias("part"), "n").agg(F.array_sort(F.collect_list(F.struct(order, "entry"))).alias("e"))
+        return g.select("section", "part", "n", F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["entry"]), ","), F.lit("]")).alias("payload"))
+
+    role = F.when(F.col("role") == "test", "test_case_ids").otherwise("rag_case_ids")
+    cases = section(split.select(role.alias("section"), "case_id", F.concat(F.lit('"'), F.col("case_id").cast("string"), F.lit('"')).alias("entry")), "case_id")
+    runs = section(configs.select(F.lit("configs").alias("section"), "run_id", F.to_json(F.struct(*configs.columns)).alias("entry")), "run_id")
+    plain = {k: sorted(v) if isinstance(v, (list, set, tuple)) else v for k, v in sorted(settings.items())}
+    given = split.sparkSession.createDataFrame([("settings", 0, len(plain), json.dumps(plain))], "section string, part long, n long, payload string")
+    return cases.union(runs).union(given)
+
+
 def subsets(docs: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """(subset, name, ...): documents under each named subset that lists their group."""
     names = [F.when(F.col("group").isin(*gs), F.lit(s)) for s, gs in groups.items()]
