@@ -8,8 +8,10 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statelens.functions import text as T
 from statelens.functions.small import times
 from statelens.operators.elements import boundaries
+from statelens.operators.requirements import ordered_distinct
 
 TASK = "Draw one state machine for the requirement below. Answer with a single diagram block between @startuml and @enduml."
 CLOSE = "Answer with the diagram only."
@@ -174,14 +176,30 @@ def review_prompts(docs: DataFrame, rewritten: DataFrame) -> DataFrame:
     return docs.join(p, "key").select("key", F.concat_ws("\n\n", F.lit(ask), F.concat(F.lit("Text:\n"), "text"), "payload").alias("prompt"))
 
 
+def answer_items(text, name: str, field: str):
+    """The texts of an answer's list: its items, or the field of those that are objects; null where nothing parses to an object
+    or the name isn't there. Blank items stay blank.
+    """
+    items = answer_json(text, f"`{name}` array<string>")[name]
+    return F.transform(items, lambda x: F.trim(F.when(F.ltrim(x).startswith("{"), F.coalesce(F.get_json_object(x, f"$.{field}"), F.lit(""))).otherwise(F.coalesce(x, F.lit("")))))
+
+
 def normalised_answers(answers: DataFrame, fallback: DataFrame) -> DataFrame:
     """(key, pos, requirement): answered requirements cleaned and each once, or the extracted ones where none is left.
 
     answers: key, requirements (array, null where the answer didn't parse); fallback: key, pos, requirement.
     """
-    from statelens.functions import text as T
-    from statelens.operators.requirements import ordered_distinct
-
     a = answers.select("key", F.posexplode("requirements").alias("pos", "raw")).withColumn("requirement", T.clean_clause("raw"))
     a = ordered_distinct(a, "requirement").select("key", "pos", "requirement")
     return a.unionByName(fallback.select("key", "pos", "requirement").join(a.select("key").distinct(), "key", "left_anti"))
+
+
+def normalised_rewrites(answers: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(key, pos, requirement): rewritten requirements in "The system shall" form and each once, or the extracted ones in that
+    form where none is left.
+
+    answers: key, rewritten (array, null where the answer didn't parse); extracted: key, pos, requirement.
+    """
+    a = answers.select("key", F.posexplode("rewritten").alias("pos", "raw")).where("trim(raw) <> ''").withColumn("requirement", T.to_shall("raw")).where("requirement <> ''")
+    rest = extracted.join(a.select("key").distinct(), "key", "left_anti").withColumn("requirement", T.to_shall("requirement")).where("requirement <> ''")
+    return ordered_distinct(a.select("key", "pos", "requirement").unionByName(rest.select("key", "pos", "requirement")), "requirement").select("key", "pos", "requirement")

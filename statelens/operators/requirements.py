@@ -102,12 +102,54 @@ def summary(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select("key", F.array_join(F.slice(s, 1, n), " ").alias("summary"))
 
 
+#: Issues of a review from which a document needs one.
+MANY_ISSUES = 6
+
+
+def relaxed_verdict(rewritten: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(key, duplicates, review_issues, verdict) of each job by the moderate gate: a job failed, without requirements, with repeated
+    ones, or with many issues in its review needs a look; single remarks of the reviewer don't count.
+
+    jobs: key, extraction_error, rewriting_error (texts, null or blank where there was none) and review, a struct of the arrays
+    missing_requirements, hallucinations, duplicates and ambiguities, each of which may be null, as may be the struct.
+    """
+    n = rewritten.groupBy("key").agg(F.count("*").alias("_n"))
+    d = duplicates(rewritten, "requirement").groupBy("key").agg(F.count("*").alias("duplicates"))
+    j = jobs.join(n, "key", "left").join(d, "key", "left").fillna(0, ["_n", "duplicates"])
+    size = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(F.col(f"review.{c}")), F.lit(0)))
+    issues = size("missing_requirements") + size("hallucinations") + size("duplicates") + size("ambiguities")
+    failed = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    look = failed("extraction_error") | failed("rewriting_error") | (F.col("_n") == 0) | (F.col("duplicates") > 0) | (issues >= MANY_ISSUES)
+    return j.select("key", "duplicates", issues.cast("long").alias("review_issues"), F.when(look, "needs_review").otherwise("pass").alias("verdict"))
+
+
+def case_title(name):
+    """A case's title from its id: the number cut off, words between underscores capitalised; the id itself without any word."""
+    words = F.trim(F.replace(F.regexp_replace(name, r"^case_[0-9]+_", ""), F.lit("_"), F.lit(" ")))
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
+    return F.when(words == "", name).otherwise(F.array_join(F.transform(F.filter(F.split(words, r"\s+"), lambda w: w != ""), capital), " "))
+
+
+# The lines of a structured requirement text that other jobs look for, and what stands where nothing is known.
+TITLE_END, HEADINGS = " - Polished Requirement Specification", ("Overview", "Operational Context", "Functional Requirements")
+NO_OVERVIEW, ACTORS, NO_ACTORS = "Overview is not explicitly stated in the source text.", "Primary actors include ", "Primary actors are not explicitly stated in the source text."
+NO_REQUIREMENT = "1. The system shall provide the capabilities described in the source requirement text."
+
+
 def structured(docs: DataFrame, requirements: DataFrame) -> DataFrame:
-    """(key, document): overview, actors and the numbered requirements."""
+    """(key, document) of texts (key, case_name, text): title, overview, actors and the numbered requirements (key, pos,
+    requirement), under their headings and with a line of its own where a part has nothing.
+    """
     r = requirements.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "requirement"))).alias("r"))
-    lines = F.transform(F.coalesce("r", F.array().cast("array<struct<pos:int,requirement:string>>")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["requirement"]))
-    d = summary(docs).join(actors(docs), "key").join(r, "key", "left")
-    parts = F.concat(F.array(F.lit("Overview"), F.col("summary"), F.lit("Actors"), F.array_join("actors", ", "), F.lit("Functional Requirements")), lines)
+    lines = F.transform("r", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["requirement"]))
+    d = docs.select("key", "case_name").join(summary(docs), "key").join(actors(docs), "key").join(r, "key", "left")
+    over = F.when(F.coalesce("summary", F.lit("")) == "", NO_OVERVIEW).otherwise(T.ensure_period("summary"))
+    who = F.when(F.coalesce(F.size("actors"), F.lit(0)) > 0, F.concat(F.lit(ACTORS), F.array_join("actors", ", "), F.lit("."))).otherwise(F.lit(NO_ACTORS))
+    blank = F.lit("")
+    parts = F.concat(
+        F.array(F.concat(case_title(F.col("case_name")), F.lit(TITLE_END)), blank, F.lit(HEADINGS[0]), over, blank, F.lit(HEADINGS[1]), who, blank, F.lit(HEADINGS[2])),
+        F.when(F.col("r").isNull(), F.array(F.lit(NO_REQUIREMENT))).otherwise(lines), F.array(blank),
+    )
     return d.select("key", F.array_join(parts, "\n").alias("document"))
 
 

@@ -169,6 +169,29 @@ def o17_normalised_answers(spark, sf):
     return H.normalised_answers(a, f).select("key", F.col("pos").cast("long").alias("pos"), "requirement")
 
 
+def o17_rewritten_answers(spark, sf):
+    """Answers with plain and nested items, in fences or bare, blank ones and ones that don't parse; extracted clauses stand in."""
+    d = TQ._actions(spark, sf)
+    k = F.col("key") % 4
+    items = F.lit('{"rewritten_requirements": ["view lists", {"rewritten_requirement": " Users can pay ", "x": 1}, "", {"other": 2}, "View  lists."]}')
+    text = F.when(k == 0, items).when(k == 1, F.concat(F.lit("Sure:\n```json\n"), items, F.lit("\n```"))).when(k == 2, F.lit('{"rewritten_requirements": [" ", {"x": 1}]}')).otherwise(F.lit("no answer"))
+    a = d.select("key", H.answer_items(text, "rewritten_requirements", "rewritten_requirement").alias("rewritten"))
+    out = H.normalised_rewrites(a, O.capabilities(d).withColumnRenamed("clause", "requirement"))
+    return out.select("key", F.col("pos").cast("long").alias("pos"), "requirement")
+
+
+def o14_relaxed_verdicts(spark, sf):
+    """Jobs of which some failed, some have no requirements, some a repeated one, and some many remarks of the reviewer."""
+    d = TQ._actions(spark, sf)
+    k = F.col("key")
+    r = O.shall(O.capabilities(d.where("key % 6 <> 1")))
+    r = r.union(r.where("key % 6 = 2 and pos > 0").withColumn("pos", F.col("pos") + 1000))
+    some = lambda n: F.when(n > 0, F.array_repeat(F.lit("x"), n.cast("int")))
+    review = F.struct(some(k % 3).alias("missing_requirements"), some(k % 5).alias("hallucinations"), F.array(F.lit("a"), F.lit("b")).alias("duplicates"), F.lit(None).cast("array<string>").alias("ambiguities"))
+    j = d.select("key", F.when(k % 11 == 0, "timeout").otherwise(" ").alias("extraction_error"), F.lit(None).cast("string").alias("rewriting_error"), F.when(k % 6 != 3, review).alias("review"))
+    return O.relaxed_verdict(r, j)
+
+
 def o18_job_status(spark, sf):
     return TQ.o14_audit(spark, sf).groupBy("verdict").agg(F.count("*").alias("n"))
 
@@ -218,11 +241,19 @@ select key, pos, round(best, 6) as best from ({_BEST('every', 'qt')}) where best
     "o13_potential_hallucinations": f"""{_RQ2}, odd as (select doc_id as key, -1 as pos, {_TK.format(x="'The system shall brew coffee in ' || regexp_extract_all(lower(" + _ACTION + "), '[a-z][a-z0-9_]+')[1] || '.'")} as t from documents where text is not null), every as (select * from qt union all select * from odd)
 select key, cast(pos as bigint) as pos, round(best, 6) as best from ({_BEST('every', 'ct')}) where best < 0.12""",
     "o17_normalised_answers": f"{TQ._CAP} select key, pos, clause as requirement from caps where key % 2 <> 0 union all select doc_id, 0, 'view lists' from documents where text is not null and doc_id % 2 = 0",
-    "o16_structured_document": f"""{_RQ2}, dn as (select key, string_agg(rn || '. ' || requirement, chr(10) order by rn) as l from (select key, requirement, row_number() over (partition by key order by pos) as rn from rq) group by 1),
-sm as (select key, coalesce(array_to_string(list_slice(list_filter(s, lambda x: not contains(lower(x), 'figure')), 1, 3), ' '), '') as sm from f),
-hh as (select doc_id as key, list_filter([{', '.join(f"'{a}'" for a in T.ACTORS)}], lambda a: regexp_matches(lower({_ACTION}), '(^|[^a-z0-9_])' || a || '([^a-z0-9_]|$)')) as h from documents where text is not null),
+    "o16_structured_document": f"""{_RQ2}, dn as (select key, string_agg(rn || '. ' || requirement, chr(10) order by rn) as l from (select key, requirement, row_number() over (partition by key order by pos) as rn from rq where key % 5 <> 0 and key % 7 <> 0) group by 1),
+sm as (select key, case when key % 7 = 0 then '' else coalesce(array_to_string(list_slice(list_filter(s, lambda x: not contains(lower(x), 'figure')), 1, 3), ' '), '') end as sm from f),
+hh as (select doc_id as key, case when doc_id % 7 = 0 then [] else list_filter([{', '.join(f"'{a}'" for a in T.ACTORS)}], lambda a: regexp_matches(lower({_ACTION}), '(^|[^a-z0-9_])' || a || '([^a-z0-9_]|$)')) end as h from documents where text is not null),
 aa as (select key, coalesce(array_to_string(list_filter(h, lambda a: not (right(a, 1) = 's' and list_contains(h, left(a, length(a) - 1)))), ', '), '') as a from hh)
-select key, concat_ws(chr(10), 'Overview', sm, 'Actors', a, 'Functional Requirements', l) as document from sm join aa using (key) left join dn using (key)""",
+select key, concat_ws(chr(10), case key % 4 when 0 then 'Web Shop App' when 1 then 'case_' || key || '_' else 'Portal ' || key end || ' - Polished Requirement Specification', '', 'Overview',
+ case when sm = '' then 'Overview is not explicitly stated in the source text.' when regexp_matches(sm, '[.!?]$') then sm else sm || '.' end, '', 'Operational Context',
+ case when a = '' then 'Primary actors are not explicitly stated in the source text.' else 'Primary actors include ' || a || '.' end, '', 'Functional Requirements', coalesce(l, '1. The system shall provide the capabilities described in the source requirement text.'), '') as document
+from sm join aa using (key) left join dn using (key)""",
+    "o17_rewritten_answers": f"""{_RQ2} select key, pos, requirement from rq where key % 4 >= 2 union all select doc_id, 0, 'The system shall view lists.' from documents where text is not null and doc_id % 4 < 2
+union all select doc_id, 1, 'The system shall allow users can pay.' from documents where text is not null and doc_id % 4 < 2""",
+    "o14_relaxed_verdicts": f"""{_RQ2}, nr as (select key, count(*) as n, count(*) filter (pos > 0) as later from rq where key % 6 <> 1 group by 1),
+jb as (select doc_id as key, coalesce(n, 0) as n, case when doc_id % 6 = 2 then coalesce(later, 0) else 0 end as duplicates, case when doc_id % 6 = 3 then 0 else doc_id % 3 + doc_id % 5 + 2 end as review_issues from documents left join nr on nr.key = doc_id where text is not null)
+select key, duplicates, review_issues, case when key % 11 = 0 or n = 0 or duplicates > 0 or review_issues >= 6 then 'needs_review' else 'pass' end as verdict from jb""",
     "h8_extraction_prompts": f"select doc_id as key, md5('List the functional requirements of the text, each with a short quote that shows it. Invent nothing. Answer as JSON: functional_requirements, a list of requirement and evidence_quote.' || chr(10) || chr(10) || 'Text:' || chr(10) || {_ACTION}) as prompt_md5 from documents where text is not null",
     "h8_rewriting_prompts": f"""{TQ._CAP} select key, md5('Rewrite each requirement to begin with "The system shall". Keep their number, order and meaning. Answer as JSON: rewritten_requirements, a list of source_requirement and rewritten_requirement.' || chr(10) || chr(10) || '{{"functional_requirements":[' || string_agg('{{"requirement":' || to_json(clause) || ',"evidence_quote":"see ' || pos || '"}}', ',' order by pos) || ']}}') as prompt_md5 from caps group by 1""",
     "h8_review_prompts": f"""{_RQ2}, pj as (select key, '{{"rewritten_requirements":[' || string_agg(cast(to_json(requirement) as varchar), ',' order by pos) || ']}}' as j from rq group by 1)

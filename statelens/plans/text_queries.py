@@ -234,8 +234,11 @@ def o15_summary(spark, sf):
 
 
 def o16_structured_document(spark, sf):
-    d = _actions(spark, sf)
-    return O.structured(d, O.shall(O.capabilities(d)))
+    """Documents under case names of several forms; every fifth has no requirements, every seventh no text."""
+    k = F.col("key")
+    name = F.when(k % 4 == 0, F.concat(F.lit("case_"), k.cast("string"), F.lit("_web_SHOP  app_"))).when(k % 4 == 1, F.concat(F.lit("case_"), k.cast("string"), F.lit("_"))).otherwise(F.concat(F.lit("portal_"), k.cast("string")))
+    d = _actions(spark, sf).withColumn("case_name", name).withColumn("text", F.when(k % 7 == 0, "").otherwise(F.col("text")))
+    return O.structured(d, O.shall(O.capabilities(d.where("key % 5 <> 0"))))
 
 
 def q1_stems(spark, sf):
