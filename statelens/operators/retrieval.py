@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statelens.functions import text as T
+from statelens.functions.small import times
 
 QUERY_BLOCK = 4096
 #: Queries in a block of the lexical search, and documents that answer them at once.
-LEXICAL_BLOCK, SLICE = 1024, 2000
+LEXICAL_BLOCK, SLICE = 16_384, 2000
 
 
 def source_type(name, content):
@@ -48,29 +49,46 @@ ORDER = ("score", "domain", "title", "lexical", "token_count")
 SCORED = "query long, name string, source_type string, lexical long, title long, domain long, token_count long, score long"
 
 
+def _blocks(rows, size: int):
+    """Lists of at most size rows of a table that is read once, partition by partition."""
+    block = []
+    for r in rows:
+        block.append(r)
+        if len(block) >= size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def lexical_top(queries: DataFrame, docs: DataFrame, limits: dict[str, int] | None, default: int | None, block: int = LEXICAL_BLOCK) -> DataFrame:
     """(query, name, source_type, lexical, title, domain, token_count, score, rank): the best documents of each query and
     category, by score (shared tokens, twice those with the name, three times the domains), domain, title, lexical, token
     count (all descending) and name.
 
     A category gives ``limits`` documents, others ``default`` (None: nothing). Without limits there are no categories: the
-    best ``default`` of all. Documents that share nothing come only where a query's category has none that does.
+    best ``default`` of all. Documents that share nothing come only where a query's category has none that does: they
+    are the same for all such queries, the longest of the category, and are found once.
     queries: query (long), text, domains (array of hints); docs: name, content, source_type. Queries go out in blocks of a
-    fixed size; every batch of documents answers with its own best ones, so that no token joins the two sides.
+    fixed size, as postings of their tokens; every batch of documents answers with its own best ones of what they hit, so
+    the work follows the tokens that both sides share, and no token joins the two sides.
     """
     d = docs.select("name", "source_type", T.words("content").alias("tokens"), T.words(F.regexp_replace("name", "[^A-Za-z0-9]+", " ")).alias("title"))
     d = d.withColumn("domains", doc_domains(F.col("name"), F.col("tokens")))
+    wanted = _limit(limits, default)
+    d = d.where(wanted > 0)
     q = queries.select("query", T.words("text").alias("tokens"), query_domains(F.col("text"), F.col("domains")).alias("domains"))
-    blocks = max(1, -(-q.count() // block))
-    out = None
-    for b in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()
-        part = _scored(d, rows, limits, default)
-        out = part if out is None else out.union(part)
+    out = docs.sparkSession.createDataFrame([], SCORED)
+    for rows in _blocks(q.toLocalIterator(), block):
+        out = out.union(_scored(d, rows, limits, default))
     group = ["query", "source_type"] if limits is not None else ["query"]
-    w = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in ORDER], "name")
-    ranked = out.withColumn("rank", F.row_number().over(w)).withColumn("any", F.max("score").over(Window.partitionBy(*group)))
-    return ranked.where("score > 0 or any = 0").where(F.col("rank") <= _limit(limits, default)).drop("any")
+    best = lambda df, w: df.withColumn("rank", F.row_number().over(w.orderBy(*[F.desc(c) for c in ORDER], "name"))).where(F.col("rank") <= wanted)
+    hits = best(out, Window.partitionBy(*group))
+    zero = [F.lit(0).cast("long").alias(c) for c in ("lexical", "title", "domain")]
+    long = d.select("name", "source_type", *zero, F.size("tokens").cast("long").alias("token_count"), F.lit(0).cast("long").alias("score"))
+    long = best(long, Window.partitionBy(*group[1:]))
+    rest = times(q.select("query"), long).join(hits.select(*group).distinct(), group, "left_anti")
+    return hits.unionByName(rest)
 
 
 def _limit(limits, default):
@@ -81,47 +99,54 @@ def _limit(limits, default):
 
 
 def _scored(docs: DataFrame, queries: list, limits, default) -> DataFrame:
-    """Each batch's best documents of each query of one block."""
+    """Each batch's best documents, of those that share something, of each query of one block."""
 
     def postings(column):
         out: dict = {}
         for j, r in enumerate(queries):
             for t in r[column]:
                 out.setdefault(t, []).append(j)
-        return {t: np.array(x, np.int32) for t, x in out.items()}
+        return {t: np.array(x, np.int64) for t, x in out.items()}
 
-    shared = docs.sparkSession.sparkContext.broadcast(([r["query"] for r in queries], postings("tokens"), postings("domains")))  # one block
+    shared = docs.sparkSession.sparkContext.broadcast((np.array([r["query"] for r in queries]), postings("tokens"), postings("domains")))  # one block
 
     def run(batches):
         ids, tokens, domains = shared.value
 
         def count(column, index):
-            hits = ([index[t] for t in x if t in index] for x in column.to_pylist())
-            return np.stack([np.bincount(np.concatenate(h), minlength=len(ids)) if h else np.zeros(len(ids), int) for h in hits])
+            """(document * queries + query, shared tokens) of what the documents hit."""
+            hits = [(i, index[t]) for i, x in enumerate(column.to_pylist()) for t in x if t in index]
+            if not hits:
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.unique(np.concatenate([h for _, h in hits]) + np.repeat([i * len(ids) for i, _ in hits], [len(h) for _, h in hits]), return_counts=True)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows if ids else 0, SLICE):
+            for lo in range(0, batch.num_rows, SLICE):
                 part = batch.slice(lo, SLICE)
                 get = {c: part.column(part.schema.get_field_index(c)) for c in part.schema.names}
-                lexical, title, domain = count(get["tokens"], tokens), count(get["title"], tokens), count(get["domains"], domains)
-                size = np.array([len(x) for x in get["tokens"]])
-                score = lexical + 2 * title + 3 * domain
+                counts = [count(get["tokens"], tokens), count(get["title"], tokens), count(get["domains"], domains)]
+                pair = np.unique(np.concatenate([k for k, _ in counts]))
+                if not len(pair):
+                    continue
+                lexical, title, domain = (np.zeros(len(pair), np.int64) for _ in range(3))
+                for into, (k, n) in zip((lexical, title, domain), counts, strict=True):
+                    into[np.searchsorted(pair, k)] = n
+                i, j = np.divmod(pair, len(ids))
+                score, size = lexical + 2 * title + 3 * domain, np.array([len(x) for x in get["tokens"]])
                 name, kinds = np.array(get["name"].to_pylist(), object), np.array(get["source_type"].to_pylist(), object)
-                by_name = np.empty(len(name), int)
+                by_name = np.empty(len(name), np.int64)
                 by_name[np.argsort(name, kind="stable")] = np.arange(len(name))
-                groups = [(np.arange(len(name)), default)] if limits is None else [(np.flatnonzero(kinds == k), limits.get(k, default)) for k in set(kinds)]
-                found = []
-                for at, n in groups:
-                    for j in range(len(ids)) if n else ():
-                        mine = score[at, j]
-                        some = at[mine >= np.partition(mine, len(at) - min(n, len(at)))[len(at) - min(n, len(at))]]
-                        best = some[np.lexsort((by_name[some], -size[some], -lexical[some, j], -title[some, j], -domain[some, j], -score[some, j]))[:n]]
-                        found.append((np.full(len(best), j), best))
-                if found:
-                    j, i = (np.concatenate(x) for x in zip(*found, strict=True))
-                    cols = [np.array(ids)[j], name[i], kinds[i], lexical[i, j], title[i, j], domain[i, j], size[i], score[i, j]]
-                    types = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [f.split()[0] for f in SCORED.split(", ")])
+                kind, which = np.unique(kinds.astype(str), return_inverse=True)
+                most = np.array([(limits or {}).get(k, default) or 0 for k in kind]) if limits is not None else np.full(len(kind), default or 0)
+                group = j * len(kind) + which[i] if limits is not None else j
+                order = np.lexsort((by_name[i], -size[i], -lexical, -title, -domain, -score, group))
+                g = group[order]
+                rank = np.arange(len(g)) - np.searchsorted(g, g)
+                keep = order[rank < most[which[i[order]]]]
+                i, j = i[keep], j[keep]
+                cols = [ids[j], name[i], kinds[i], lexical[keep], title[keep], domain[keep], size[i], score[keep]]
+                types = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [f.split()[0] for f in SCORED.split(", ")])
 
     return docs.mapInArrow(run, SCORED)
 
@@ -147,12 +172,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, category: str | None
     spark = vectors.sparkSession
     v = vectors.select("vec_id", (F.col(category) if category else F.lit(0)).cast("long").alias("category"), "embedding").where("embedding is not null")
     q = queries.select(F.col("vec_id").alias("query_id"), "embedding").where("embedding is not null")
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
     out = None
-    for b in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
+    for rows in _blocks(q.toLocalIterator(), QUERY_BLOCK):
         shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
 
         def run(batches, shared=shared):
