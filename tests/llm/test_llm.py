@@ -1147,3 +1147,46 @@ def test_html_without_article_keeps_its_parts(body, want):
 def test_html_parts_beside_the_best_in_body():
     page = f"<body><div class=intro>A short lead.</div><div><p>{LONG}</p><p>{LONG}</p></div><div class=text>The closing words.</div><div>All rights reserved.</div><div>Menu</div></body>"
     assert html.main_text(page).split("\n") == ["A short lead.", LONG, LONG, "The closing words."]
+
+
+def test_everyday_licenses(spark):
+    """Tags as expressions, notices inside sentences, names that a licence leaves open, the beginnings of licence texts."""
+    apache = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+"""
+    gpl = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+"""
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+* Neither the name of the Example Research
+  Institute nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+    cases = {
+        "// SPDX-License-Identifier: GPL-2.0": ["GPL-2.0-only:tag"], "/* SPDX-License-Identifier: GPL-2.0+ */": ["GPL-2.0-or-later:tag"], "# SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note": ["GPL-2.0-only:tag"],
+        "x = 1  # SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\ny": ["MIT:tag", "Apache-2.0:tag", "BSD-3-Clause:tag"], "SPDX-License-Identifier: Unknown-1.0": [],
+        "This project is licensed under the MIT License - see the LICENSE.md file for details": ["MIT:notice"], "Foo. Distributed under the terms of the MIT license.": ["MIT:notice"], "It isn't ours. It is not licensed under the MIT license.": [],
+        "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy, write.": ["CC-BY-4.0:notice"], "The data are available under a Creative Commons\n# Attribution-ShareAlike 4.0 license, and more": ["CC-BY-SA-4.0:notice"],
+        "The code in here is released under Apache 2.0, mostly": ["Apache-2.0:notice"], apache: ["Apache-2.0:text"], gpl: ["GPL-3.0:text"], bsd: ["BSD-3-Clause:text", "BSD:grant"], "We provided by mail what was available under pressure": [],
+    }
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs_of(spark, list(cases))).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+    con = duckdb.connect()
+    con.register("documents", docs_of(spark, list(cases)).select("doc_id", "text").toPandas())
+    sql = {r[0]: r[1] for r in con.execute(f"select doc_id, licenses from ({licenses.oracle()})").fetchall()}
+    assert [sql[i] for i in range(len(cases))] == [",".join(x) for x in cases.values()]
