@@ -35,9 +35,12 @@ def ordered_distinct(rows: DataFrame, column: str) -> DataFrame:
 
 def capabilities(docs: DataFrame) -> DataFrame:
     """(key, pos, clause): cleaned sentences with a capability verb and no "figure", each once."""
+    # cleaning takes words away and adds none, unless it joins what stood around a reference: most sentences need none
+    may = lambda s: capable(F.lower(s)) | F.contains(F.lower(s), F.lit("(figure"))
     # cleaned and tested inside the array: what explode gives is not computed again by the conditions above it
     fit = lambda c: (F.length(c["clause"]) > 0) & ~F.contains(F.lower(c["clause"]), F.lit("figure")) & capable(F.lower(c["clause"]))
-    clauses = F.transform(T.sentences("text"), lambda s, i: F.struct(i.alias("pos"), T.clean_clause(s).alias("clause")))
+    some = F.filter(F.transform(T.sentences("text"), lambda s, i: F.struct(i.alias("pos"), s.alias("s"))), lambda x: may(x["s"]))
+    clauses = F.transform(some, lambda x: F.struct(x["pos"].alias("pos"), T.clean_clause(x["s"]).alias("clause")))
     return ordered_distinct(docs.select("key", F.inline(F.filter(clauses, fit))), "clause").select("key", "pos", "clause")
 
 

@@ -44,6 +44,5 @@ def test_matches(spark, duck, sf, name):
     assert sorted(got, key=repr) == sorted((tuple(plain(r[i]) for i in at) for r in res.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).count() >= 0
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
