@@ -16,9 +16,10 @@ start, are its context.
    costs a logarithm of their length, in a bottom-up mergesort. Windows at one distance from the anchor are
    equal where the extensions to the right reach far enough and the hashes to the left agree; the bytes of
    every match are compared before it counts.
-   A gram with more than HOT different contexts is never gathered: its windows are halved into blocks of
-   neighbouring distances, and 128-bit digests of a block's whole bytes and of the bytes that all its windows
-   share are counted; only blocks with a partner go on to the next, finer level.
+   A gram with more than HOT different contexts is never gathered: its windows are split into blocks of
+   neighbouring distances, and digests of a block's whole bytes and of the bytes that all its windows
+   share are counted; only blocks with a partner go on to the next, finer level. Here too bytes decide: whole blocks
+   with a partner are grouped once more by their bytes before they count.
 3. Each text's covered bytes are cut out. Texts that occur twice as a whole (equal SHA-256) are repeats as a whole.
 
 Null is the empty text. Shorter texts than the spans keep everything. Repeated rows count as places of their
@@ -355,8 +356,31 @@ def _block_digests(contexts: DataFrame, width: int, span: int) -> DataFrame:
     return contexts.mapInArrow(run, "gram long, k1 long, k2 long, at long, a int, core binary, whole binary")
 
 
+def _block_bytes(contexts: DataFrame, width: int, span: int) -> DataFrame:
+    """(gram, k1, k2, at, a, data): all bytes of the blocks of windows that contexts want, as in _block_digests."""
+    gone = "gram long, k1 long, k2 long, at long, a int, data binary"
+
+    def run(batches):
+        for b in batches:
+            for r0 in range(0, b.num_rows, 1000):
+                s = b.slice(r0, 1000)
+                get = {c: s.column(s.schema.get_field_index(c)).to_pylist() for c in s.schema.names}
+                out = []
+                for i, data in enumerate(get["data"]):
+                    pos, first, _, _ = unpack(get["at"][i])
+                    at = pos - first
+                    out += [(get["gram"][i], get["k1"][i], get["k2"][i], get["at"][i], a, data[at - a - width + 1 : at - a + span]) for a in get["want"][i]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.int32(), pa.binary()), strict=True)], [c.split()[0] for c in gone.split(", ")])
+
+    return contexts.mapInArrow(run, gone)
+
+
 def _compare_hot(contexts: DataFrame, span: int, long: bool) -> DataFrame:
-    """COVERED as _compare gives it for one span, by counting: no task gathers the contexts of a gram."""
+    """COVERED as _compare gives it for one span, by counting: no task gathers the contexts of a gram.
+
+    Digests find the blocks that have a partner; those that are equal as a whole are then counted by their bytes.
+    """
     covered, active = None, contexts
     me = F.struct("k1", "k2", "at")
     pos = F.shiftright("at", 32)
@@ -365,7 +389,10 @@ def _compare_hot(contexts: DataFrame, span: int, long: bool) -> DataFrame:
         group = ["gram", "a", "core"]
         shared = h.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1").drop("n")
         equal = h.where("whole is not null").groupBy(*group, "whole").agg(F.count("*").alias("n"), F.min(me).alias("one")).where("n > 1").drop("n")
-        done = h.join(equal, [*group, "whole"]).select("k1", "k2", (pos - F.col("a") - (width - 1)).alias("start"), (pos - F.col("a") + span).alias("end"), F.lit(long).alias("long"))
+        alike = h.join(equal, [*group, "whole"]).groupBy("k1", "k2", "at").agg(F.collect_set("a").alias("want"))
+        blocks = staged(_block_bytes(contexts.join(alike, ["k1", "k2", "at"]), width, span))
+        same = blocks.groupBy("gram", "a", "data").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        done = blocks.join(same, ["gram", "a", "data"]).select("k1", "k2", (pos - F.col("a") - (width - 1)).alias("start"), (pos - F.col("a") + span).alias("end"), F.lit(long).alias("long"))
         covered = staged(done) if covered is None else covered.union(staged(done))
         if finer:
             # blocks with a partner; of equal ones the first goes on, to witness for contexts that hold only a part
