@@ -9,19 +9,13 @@ from pyspark.sql import functions as F
 MOST = 10_000
 
 
-def listed(small: DataFrame, most: int = MOST) -> list:
-    """The rows of a table of at most ``most`` rows; more are an error, not a plan."""
-    rows = small.limit(most + 1).collect()
-    if len(rows) > most:
+def checked(small: DataFrame, most: int = MOST) -> DataFrame:
+    """A table of at most ``most`` rows, which may go out to all tasks; more are an error, not a plan."""
+    if small.limit(most + 1).count() > most:
         raise ValueError(f"a dimension of more than {most} rows: {small.columns}")
-    return rows
+    return F.broadcast(small)
 
 
 def times(df: DataFrame, small: DataFrame, most: int = MOST) -> DataFrame:
-    """Every row of df with every row of a small table, as an explode of its listed rows."""
-    rows = listed(small, most)
-    kinds = dict(small.dtypes)
-    if not rows:
-        return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).limit(0)
-    one = [F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in kinds.items()]) for r in rows]
-    return df.select("*", F.inline(F.array(*one)))
+    """Every row of df with every row of a small table, whose size is checked and which is broadcast."""
+    return df.crossJoin(checked(small, most))

@@ -88,6 +88,15 @@ def leakage(test: DataFrame, pool: DataFrame, key: str) -> DataFrame:
     return test.select(key).intersect(pool.select(key))
 
 
+def split_faults(listed: DataFrame, cases: DataFrame, key: str) -> DataFrame:
+    """(key, fault) of a split's lists (key, role): ids that are listed both as test and as pool, and pool ids that no case has. A
+    sound split has none; an id may have both faults.
+    """
+    test, pool = (listed.where(F.col("role") == r) for r in ("test", "pool"))
+    both = leakage(test, pool, key).withColumn("fault", F.lit("in test and pool"))
+    return both.union(missing(pool.distinct(), cases, key).withColumn("fault", F.lit("no such case")))
+
+
 def case_range(cases: DataFrame, key: str, low: int, high: int) -> DataFrame:
     """Cases whose numeric prefix lies in a range."""
     return cases.where(F.regexp_extract(F.col(key).cast("string"), "([0-9]+)", 1).try_cast("long").between(low, high))

@@ -39,9 +39,11 @@ def f4_examples_per_target(spark, sf):
 
 
 def f5_leakage(spark, sf):
-    s = f1_stratified_split(spark, sf)
-    n = S.leakage(s.where("role = 'test'"), s.where("role = 'pool'"), "case_id").agg(F.count("*").alias("leaked"))
-    return n
+    """The lists of a split, into whose pool every ninth test case and ids of no case have come."""
+    s = f1_stratified_split(spark, sf).select("case_id", "role")
+    wrong = s.where("role = 'test' and case_id % 9 = 0").select("case_id", F.lit("pool"))
+    unknown = s.where("role = 'pool' and case_id % 10 = 0").select(F.col("case_id") + 10_000_000, "role")
+    return S.split_faults(s.union(wrong).union(unknown), _cases(spark, sf), "case_id")
 
 
 def f6_case_range(spark, sf):
@@ -271,7 +273,7 @@ ORACLES = {
     "f1_stratified_split": f"{_SPLIT} select * from sp",
     "f2_split_report": f"{_SPLIT} select complexity, count(*) as total, count(*) filter (role = 'test') as test, count(*) filter (role = 'pool') as pool from sp group by 1",
     "f3_balanced_subset": f"{_SPLIT} select case_id, complexity from r where complexity in ('simple', 'complex') order by rank, list_position(['simple', 'complex'], complexity) limit 50",
-    "f5_leakage": f"{_SPLIT} select count(*) as leaked from sp a join sp b on a.case_id = b.case_id where a.role = 'test' and b.role = 'pool'",
+    "f5_leakage": f"{_SPLIT} select case_id, 'in test and pool' as fault from sp where role = 'test' and case_id % 9 = 0 union all select case_id + 10000000, 'no such case' from sp where role = 'pool' and case_id % 10 = 0",
     "f6_case_range": f"with {_CASES} select complexity, count(*) as n from c where case_id between 100 and 5000 group by 1",
     "g1_lexical_top": f"{_LEX} select query, name, source_type, score, lexical, title, domain, token_count, rank from top",
     "g2_domains": f"with {_LIB} select array_to_string(list_sort(dom), ',') as domains, count(*) as n from d group by 1",
