@@ -1190,3 +1190,47 @@ software and other kinds of works.
     con.register("documents", docs_of(spark, list(cases)).select("doc_id", "text").toPandas())
     sql = {r[0]: r[1] for r in con.execute(f"select doc_id, licenses from ({licenses.oracle()})").fetchall()}
     assert [sql[i] for i in range(len(cases))] == [",".join(x) for x in cases.values()]
+
+
+# -- very long texts
+
+
+def test_very_long_texts(spark):
+    """Texts and pages of several MB go through whole."""
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(100_000)}" for _ in range(400_000))
+    text = f"{long}\n\nLicensed under the MIT License.\npassword = hunter2hunter2"
+    d = docs_of(spark, [text, "short", text])
+    assert {r.doc_id: r.licenses for r in licenses.scan(d).collect()} == {0: ["MIT:notice"], 1: [], 2: ["MIT:notice"]}
+    stored = {r.doc_id: r for r in media.features(media.store(d.select("doc_id", "text"))).collect()}
+    raw = text.encode()
+    padded = raw + b"\0" * (-len(raw) % 64)
+    assert stored[0].n_bytes == len(raw) and stored[0].payload_sha256 == hashlib.sha256(padded).hexdigest() == stored[2].payload_sha256
+    spans = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(d.select("doc_id", "text"))).collect()}
+    assert spans[0] == spans[2] == f"assign:{text.index('password')}:{len(text)}" and spans[1] == ""
+    body = [f"<p>{' '.join(f'w{rng.randrange(1000)}' for _ in range(60))}, and so on.</p>" for _ in range(8000)]
+    page = f"<html><body><nav><a href=/>Home</a></nav><div>{''.join(body)}</div></body></html>"
+    assert html.main_text(page).split("\n") == [x[3:-4] for x in body]
+
+
+def test_ties_of_equal_spans(spark):
+    """A value that several kinds find has a span of each, in the order of kinds; equal starts and ends are kept."""
+    hexed = "0123456789abcdef" * 2
+    text = f"token={hexed} secret:AKIA{'Z' * 16}"
+    got = secrets.digest(secrets.scan(docs_of(spark, [text, text]).select("doc_id", "text"))).collect()
+    spans = got[0].spans.split(",")
+    at = text.index("secret")
+    assert {r.spans for r in got} == {got[0].spans} and spans == ["assign:0:38", "hex:6:38", f"assign:{at}:{len(text)}", f"access:{at + 7}:{len(text)}"]
+
+
+def test_pipeline_on_a_very_long_text(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    en = [t for (t,) in spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en' and n_chars > 500").select("text").limit(40).collect()]
+    long = " ".join(rng.choice(en) for _ in range(900))
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(en)] + [(100, long, "en", "s0", len(long)), (101, long, "en", "s1", len(long))]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert 100 in out and 101 not in out and len(out) > 20
