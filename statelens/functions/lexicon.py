@@ -31,3 +31,12 @@ CONCEPT_SYNONYMS = {
     "purchases": "purchase", "buy": "purchase", "choose": "select", "chosen": "select", "selected": "select", "display": "view", "show": "view", "shown": "view", "read": "view", "finished": "finish",
     "failure": "fail", "failed": "fail", "fails": "fail", "invalid": "fail", "cancelled": "cancel", "canceled": "cancel",
 }
+#: What a requirement in "The system shall" form is told by: verbs and actors that it may begin with, and copulas anywhere.
+SHALL_VERBS = (
+    "allow", "allows", "enable", "enables", "support", "supports", "provide", "provides", "manage", "manages", "monitor", "monitors", "track", "tracks", "detect", "detects", "verify", "verifies", "register", "registers",
+    "log", "logs", "view", "views", "create", "creates", "update", "updates", "cancel", "cancels", "search", "searches", "order", "orders", "select", "selects",
+)
+SHALL_ACTORS = ("user", "users", "customer", "customers", "patient", "patients", "admin", "administrator", "driver", "citizen", "student")
+SHALL_COPULAS = ("is", "are", "will be", "shall be")
+#: Words that a clause may begin with and loses.
+CONNECTIVES = ("however", "hence", "furthermore", "therefore", "moreover", "in addition", "on one hand", "on the other hand", "as a result", "before it", "next", "then", "if instead")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from statelens.functions.lexicon import ACTORS, AMBIGUOUS_TERMS, CAPABILITY_VERBS, CONCEPT_STOPWORDS, CONCEPT_SYNONYMS, DOMAIN_TERMS, EVENT_STOPWORDS, EVENT_SYNONYMS, RATING_STOPWORDS, REQUIREMENT_STOPWORDS  # noqa: F401
+from statelens.functions.lexicon import (  # noqa: F401
+    ACTORS, AMBIGUOUS_TERMS, CAPABILITY_VERBS, CONCEPT_STOPWORDS, CONCEPT_SYNONYMS, CONNECTIVES, DOMAIN_TERMS, EVENT_STOPWORDS, EVENT_SYNONYMS, RATING_STOPWORDS, REQUIREMENT_STOPWORDS, SHALL_ACTORS, SHALL_COPULAS, SHALL_VERBS,
+)
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -89,7 +92,7 @@ def clean_clause(x) -> Column:
     c = squeeze(x)
     c = F.trim(F.regexp_replace(c, r"(?i)\(figures?[^)]*\)", ""))
     c = F.regexp_replace(c, r"([A-Za-z0-9_])\.([0-9]+)\.", "$1. ")
-    c = F.regexp_replace(c, r"(?i)^(however|hence|furthermore|therefore|moreover|in addition|on one hand|on the other hand|as a result|before it|next|then|if instead)\s*,?\s*", "")
+    c = F.regexp_replace(c, rf"(?i)^({'|'.join(CONNECTIVES)})\s*,?\s*", "")
     c = F.regexp_replace(c, r"(?i)^to\s+", "")
     return F.btrim(c, F.lit(" :-"))
 
@@ -115,13 +118,13 @@ def to_shall(x) -> Column:
 
 def _shall(req: Column) -> Column:
     low = F.lower(req)
-    verbs = "allow|allows|enable|enables|support|supports|provide|provides|manage|manages|monitor|monitors|track|tracks|detect|detects|verify|verifies|register|registers|log|logs|view|views|create|creates|update|updates|cancel|cancels|search|searches|order|orders|select|selects"
+    one_of = "|".join
     say = lambda head: ensure_period(F.concat(F.lit(head), lower_first(req)))
     return (
         F.when(F.length(req) == 0, "")
         .when(low.startswith("the system shall"), ensure_period(req))
-        .when(low.rlike(rf"^({verbs})([^a-z0-9_]|$)"), say("The system shall "))
-        .when(low.rlike(r"^(user|users|customer|customers|patient|patients|admin|administrator|driver|citizen|student)([^a-z0-9_]|$)"), say("The system shall allow "))
-        .when(low.rlike(r"(^|[^a-z0-9_])(is|are|will be|shall be)([^a-z0-9_]|$)"), say("The system shall ensure that "))
+        .when(low.rlike(rf"^({one_of(SHALL_VERBS)})([^a-z0-9_]|$)"), say("The system shall "))
+        .when(low.rlike(rf"^({one_of(SHALL_ACTORS)})([^a-z0-9_]|$)"), say("The system shall allow "))
+        .when(low.rlike(rf"(^|[^a-z0-9_])({one_of(SHALL_COPULAS)})([^a-z0-9_]|$)"), say("The system shall ensure that "))
         .otherwise(say("The system shall support "))
     )
