@@ -128,11 +128,13 @@ def _train_numpy(texts: list[str], y: np.ndarray, n_classes: int, p: Params):
         key, count = np.unique(rows * len(sizes) + words, return_counts=True)
         rows, words = key // len(sizes), key % len(sizes)
         total = np.maximum(1, np.bincount(rows, count, minlength=n))
-        bags.append((feats.astype(np.int32), sizes.astype(np.int32), rows.astype(np.int32), words.astype(np.int32), (count / total[rows]).astype(np.float32), n, y[lo : lo + p.batch]))
+        # the buckets that a step touches, and which of them each feature is
+        touched, slot = np.unique(feats, return_inverse=True)
+        bags.append((touched, slot.astype(np.int32), feats.astype(np.int32), sizes.astype(np.int32), rows.astype(np.int32), words.astype(np.int32), (count / total[rows]).astype(np.float32), n, y[lo : lo + p.batch]))
     gather = lambda idx, val, n: np.stack([np.bincount(idx, val[:, d], minlength=n) for d in range(val.shape[1])], 1).astype(np.float32)
     for _ in range(p.epochs):
         for i in rng.permutation(len(bags)):
-            feats, sizes, rows, words, weight, n, want = bags[i]
+            touched, slot, feats, sizes, rows, words, weight, n, want = bags[i]
             vec = np.add.reduceat(emb[feats], np.cumsum(sizes) - sizes) / sizes[:, None]
             doc = gather(rows, vec[words] * weight[:, None], n)
             z = doc @ out + bias
@@ -144,7 +146,7 @@ def _train_numpy(texts: list[str], y: np.ndarray, n_classes: int, p: Params):
             step += 1
             g_doc = g @ out.T
             g_word = gather(words, g_doc[rows] * weight[:, None], len(sizes)) / sizes[:, None]
-            emb -= rate * 50 * gather(feats, np.repeat(g_word, sizes, axis=0), p.buckets)
+            emb[touched] -= rate * 50 * gather(slot, np.repeat(g_word, sizes, axis=0), len(touched))
             out -= rate * 10 * (doc.T @ g)
             bias -= rate * g.sum(0)
     return emb @ out, bias
