@@ -12,7 +12,7 @@ from statelens.operators import prompts as H
 from statelens.operators import ratings as M
 from statelens.operators import repair as J
 from statelens.operators import requirements as O
-from statelens.operators import sampling as S2
+from statelens.operators import sampling as S
 from statelens.operators import validity as K
 from statelens.plans import bindings as B
 from statelens.plans import graph_queries as GQ
@@ -25,7 +25,7 @@ from statelens.sources import files as A
 def a15_manifest(spark, sf):
     """The split of the users' cases, the run matrix and the settings of an experiment, as sections of a manifest."""
     d = B.graph_rows(spark, sf).where("run_index = 0").select("case_id", F.when(F.size("states") <= 6, "simple").when(F.size("states") <= 14, "medium").otherwise("complex").alias("complexity"))
-    split = S2.stratified_split(d, "case_id", "complexity", 0.35, 42)
+    split = S.stratified_split(d, "case_id", "complexity", 0.35, 42)
     settings = {"runs_per_case": 1, "few_shot_count": 3, "rag_mode": "lexical", "rag_domain_hints": ["b", "a"]}
     return A.manifest(split, A.run_matrix(TQ._models(spark, sf), A.strategies(spark), "t"), settings, 40)
 
