@@ -840,7 +840,7 @@ def test_html_pages(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         path = f"{sf}/{t}.parquet"
         con.execute(f"create view {t} as select * from '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     df = queries.QUERIES[name](spark, sf)
