@@ -10,14 +10,16 @@ from statelens.operators.graph import counted
 from statelens.operators.validity import median_cell, percent_cell, wide
 
 
-def paired_stages(diagrams: DataFrame, meta: DataFrame | None = None) -> DataFrame:
-    """(run_id, case_id, run_index, initial_id, final_id) of repair runs with a first and a final diagram, and with metadata if that is given.
+def paired_stages(diagrams: DataFrame, meta: DataFrame | None = None, kind: str = "repair") -> DataFrame:
+    """(run_id, case_id, run_index, initial_id, final_id) of runs with a first and a final diagram, and with metadata if that is given.
 
-    diagrams: diagram_id, run_id, case_id, run_index, stage. Both ends come from one pass: a run's stages meet in one group.
+    Of runs whose id names ``kind``, repair runs if nothing else is said; of all runs if it is empty. diagrams: diagram_id, run_id,
+    case_id, run_index, stage. Both ends come from one pass: a run's stages meet in one group.
     """
     run = ["run_id", "case_id", "run_index"]
     at = lambda stage: F.max(F.when(F.col("stage") == stage, F.col("diagram_id")))
-    pairs = diagrams.where(F.contains("run_id", F.lit("repair"))).where(F.col("stage").isin("initial", "final")).groupBy(*run).agg(at("initial").alias("initial_id"), at("final").alias("final_id"))
+    named = diagrams.where(F.contains("run_id", F.lit(kind))) if kind else diagrams
+    pairs = named.where(F.col("stage").isin("initial", "final")).groupBy(*run).agg(at("initial").alias("initial_id"), at("final").alias("final_id"))
     pairs = pairs.where("initial_id is not null and final_id is not null")
     return pairs if meta is None else pairs.join(meta.select(*run), run, "left_semi")
 

@@ -155,10 +155,10 @@ def _ruled(spark, sf):
 
 
 def j1_paired_stages(spark, sf):
-    """Runs with a first and a final diagram, and metadata."""
+    """Runs of every kind with a first and a final diagram, and metadata."""
     r = TQ._runs(spark, sf)
     meta = r.where("case_id % 10 <> 0").select("run_id", "case_id", "run_index").distinct()
-    return J.paired_stages(r, meta).select("run_id", "case_id", "initial_id", "final_id")
+    return J.paired_stages(r, meta, kind="").select("run_id", "case_id", "initial_id", "final_id")
 
 
 def n8_review_manifest(spark, sf):
@@ -291,7 +291,7 @@ select name, md5(snippet) as snippet_md5 from sn union all select name, md5('Req
     "g9_example_documents": f"with {_CT} select 'dataset_examples/' || case_id || '.md' as name, md5({_EXAMPLE}) as content_md5, 'dataset_example' as source_type from ct",
     "g10_case_documents": f"""with {_LIB}, {_CT} select name, md5(content) as content_md5, source_type from d union all
 select case_id || '.txt', md5('Case ID: ' || case_id || chr(10) || 'Complexity: simple' || chr(10) || chr(10) || 'Requirement:' || chr(10) || case when st = '' then text else st end || chr(10) || chr(10) || 'Reference PlantUML:' || chr(10) || gold || chr(10)), 'reference' from ct""",
-    "j1_paired_stages": f"with {TQ._RUNS} select a.run_id, a.case_id, a.diagram_id as initial_id, b.diagram_id as final_id from rs a join rs b on a.case_id = b.case_id and a.run_index = 0 and b.run_index = 1 where a.case_id % 10 <> 0 and a.run_id like '%repair%'",
+    "j1_paired_stages": f"with {TQ._RUNS} select a.run_id, a.case_id, a.diagram_id as initial_id, b.diagram_id as final_id from rs a join rs b on a.case_id = b.case_id and a.run_index = 0 and b.run_index = 1 where a.case_id % 10 <> 0",
     "j2_graph_diff": f"{_DIFF} select * from diffs",
     "j3_violation_delta": f"{_DELTA} select * from delta",
     "j4_iteration_counts": f"{_AT} select case_id, max(attempt) as attempted, coalesce(max(attempt) filter (accepted and attempt > 0), max(attempt)) as repaired from mk group by 1",

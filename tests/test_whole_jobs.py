@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from statelens.operators import repair as J
+from statelens.plans import bindings as B
 from statelens.plans import registry
 
 
@@ -10,3 +12,19 @@ def test_balanced_subset_takes_every_stratum(spark, sf):
     got = registry.QUERIES["f3_balanced_subset"](spark, sf).collect()
     assert Counter(r.complexity for r in got) == {"simple": 17, "medium": 17, "complex": 16}
     assert len({r.case_id for r in got}) == 50
+
+
+def test_paired_stages_of_every_run(spark, sf):
+    """A pair for each case with a first and a final run and metadata, whatever its run's id says."""
+    got = registry.QUERIES["j1_paired_stages"](spark, sf).collect()
+    of = lambda k: {r.case_id for r in B.graph_rows(spark, sf).where(f"run_index = {k} and case_id % 10 <> 0").select("case_id").collect()}
+    assert sorted(r.case_id for r in got) == sorted(of(0) & of(1))
+    assert {r.run_id.rsplit("__", 1)[1] for r in got} == {"few_shot", "rag", "rag_repair"}
+
+
+def test_paired_stages_by_kind(spark):
+    """Repair runs unless another kind is asked for; an empty kind takes all runs."""
+    rows = [(f"{run}/{stage}", run, 1, 1, stage) for run in ("a__rag", "a__rag_repair", "a__few_shot") for stage in ("initial", "final")]
+    d = spark.createDataFrame(rows, "diagram_id string, run_id string, case_id int, run_index int, stage string")
+    runs = lambda *x: sorted(r.run_id for r in J.paired_stages(d, None, *x).collect())
+    assert (runs(), runs("rag"), runs("")) == (["a__rag_repair"], ["a__rag", "a__rag_repair"], ["a__few_shot", "a__rag", "a__rag_repair"])
