@@ -321,7 +321,7 @@ ORACLES["h4_repair_prompts"] = f"""{GQ._RULES}, {_TEXTED.split('select i.diagram
 iss2 as (select diagram_id, string_agg('- ' || issue, chr(10) order by pos) as l from viol group by 1), {_ADVICE.format(v='viol')}, adv as (select diagram_id, string_agg('- ' || a, chr(10) order by place) as l from ga group by 1)
 select d.diagram_id, 'Repair the diagram.' || {_NL2} || 'Requirement:' || chr(10) || 'Follow the flow.' || {_NL2} || 'Diagram:' || chr(10) || text || {_NL2} || 'Issues:' || chr(10) || coalesce(iss2.l, '- none') || {_NL2} || 'Advice:' || chr(10) || coalesce(adv.l, '- Mend what is listed and keep what the requirement means.') as prompt
 from diagrams d join tx using (diagram_id) left join iss2 using (diagram_id) left join adv using (diagram_id) where run_index > 0"""
-_SEL = TQ.ORACLES["i15_legacy_selection"]
+_SEL = TQ._LEGACY("case when x.dups = 0 then 0 else 1 end")
 ORACLES["h5_stacked_prompts"] = f"""{_SEL[: _SEL.rindex('select case_id')]}, sl as ({_SEL[_SEL.rindex('select case_id') :]}), {_TEXTED.split('select i.diagram_id', 1)[0].rstrip().replace('t as (', 't2 as (', 1)}, tx as (select i.diagram_id{_TEXTED.split('select i.diagram_id', 1)[1].replace('left join t ', 'left join t2 as t ')}),
 ln as (select case_id, rank, case when case_id % 3 = 0 then replace(text, chr(10) || '@enduml', repeat(chr(10) || chr(39) || ' remark', 400) || chr(10) || '@enduml') else text end as t from sl join tx using (diagram_id)),
 cu as (select case_id, rank, case when length(t) <= 2600 then t else rtrim(left(t, 2568), ' ' || chr(10)) || chr(10) || '@enduml' end as t from ln),

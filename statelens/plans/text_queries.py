@@ -172,11 +172,17 @@ def i14_diverse_selection(spark, sf):
     return I.diverse(_ranked(spark, sf).join(k, "diagram_id").join(_texts(spark, sf), "diagram_id"), 3)
 
 
-def i15_legacy_selection(spark, sf):
-    p = _pool(spark, sf).withColumn("syntax_valid", F.col("n_dup") == 0).withColumn("error_count", F.when(F.col("n_dup") == 0, 0).otherwise(1)).withColumn("transition_count", F.size(F.array_distinct("edges"))).withColumn("state_count", F.size("states"))
+def _legacy(spark, sf, errors):
+    """The first two candidates of each case, given how many errors each has."""
+    p = _pool(spark, sf).withColumn("syntax_valid", F.col("n_dup") == 0).withColumn("error_count", errors).withColumn("transition_count", F.size(F.array_distinct("edges"))).withColumn("state_count", F.size("states"))
     return I.legacy(p.join(_texts(spark, sf), "diagram_id"), 2).select("case_id", "diagram_id", F.col("rank").cast("long").alias("rank"))
 
 
+def i15_legacy_selection(spark, sf):
+    """Every issue that the rules find is an error."""
+    return _legacy(spark, sf, F.size("violations"))
+
+
 def _requirements(spark, sf):
     return B.table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text").where("text is not null")
 
@@ -311,7 +317,7 @@ def h4_repair_prompts(spark, sf):
 
 def h5_stacked_prompts(spark, sf):
     """The two candidates of each case, made long by a remark in every third, under what the case's gold run says."""
-    top = i15_legacy_selection(spark, sf).join(_texts(spark, sf), "diagram_id")
+    top = _legacy(spark, sf, F.when(F.col("n_dup") == 0, 0).otherwise(1)).join(_texts(spark, sf), "diagram_id")
     long = F.concat(F.substring_index("text", "\n@enduml", 1), F.repeat(F.lit("\n' remark"), 400), F.lit("\n@enduml"))
     need = B.graph_rows(spark, sf).where("run_index = 0").select("case_id", F.concat(F.lit(" "), F.array_join(F.transform("states", lambda s: F.concat(F.lit("Handle "), s["state"], F.lit("."))), " "), F.lit("\n")).alias("requirement"))
     p = H.stacked_prompts(top.withColumn("text", F.when(F.col("case_id") % 3 == 0, long).otherwise(F.col("text"))).join(need, "case_id"))
@@ -534,10 +540,11 @@ ORACLES["q7_rating_sheet"] = f"""with {_SHEET} select key, case_id, 'm' || (case
 'It models ' || {_OF('completeness')} || ': ' || covered || ' of ' || total || '.' as why_completeness,
 case when correctness = 5 then 'The flow is sound.' else 'In the flow, ' || coalesce(nullif(array_to_string(list_filter([case when arrows < 3 then 'there are hardly any transitions' end], lambda x: x is not null), '; '), ''), 'some behaviour is not connected') || '.' end as why_correctness,
 case when understandability = 5 then 'It reads well.' else 'To a reader, ' || case when states > 22 then 'it has many states' else 'parts are hard to follow' end || '.' end as why_understandability, 'It uses ' || {_OF('terminology')} || '.' as why_terminology from rd"""
-ORACLES["i15_legacy_selection"] = f"""{_FACTS}, t as (select diagram_id, string_agg(src || '>' || dst || ':' || event, chr(10) order by src, event, dst) as l from (select distinct diagram_id, src, event, dst from transitions) group by 1),
-p as (select d.case_id, d.diagram_id, concat_ws(chr(10), i.target, t.l, f.state) as text, x.m, x.n, x.dups = 0 as valid, case when x.dups = 0 then 0 else 1 end as errors from diagrams d join x using (diagram_id) join initials i using (diagram_id) join finals f using (diagram_id) left join t using (diagram_id)),
+_LEGACY = lambda errors: f"""{_FACTS}, t as (select diagram_id, string_agg(src || '>' || dst || ':' || event, chr(10) order by src, event, dst) as l from (select distinct diagram_id, src, event, dst from transitions) group by 1),
+p as (select d.case_id, d.diagram_id, concat_ws(chr(10), i.target, t.l, f.state) as text, x.m, x.n, x.dups = 0 as valid, {errors} as errors from diagrams d join x using (diagram_id) join initials i using (diagram_id) join finals f using (diagram_id) left join t using (diagram_id)),
 one as (select * from p qualify row_number() over (partition by case_id, text order by valid desc, errors, m desc, n desc, diagram_id) = 1)
-select case_id, diagram_id, row_number() over (partition by case_id order by valid desc, errors, m desc, n desc, diagram_id) as rank from one qualify rank <= 2"""
+select case_id, diagram_id, row_number() over (partition by case_id order by valid desc, errors, m desc, n desc, diagram_id) as rank from one qualify rank <= 2"""
+ORACLES["i15_legacy_selection"] = _LEGACY("len(x.kinds)")
 _FINAL = f"""{_FACTS}, {_SIM.split(B.VG, 1)[1].lstrip(', ')}, u as (select case_id, a as diagram_id, similarity from jac union all select case_id, b, similarity from jac),
 co as (select pool.case_id, pool.diagram_id, coalesce(avg(similarity), 1.0) as consensus from pool left join u using (diagram_id) group by 1, 2),
 st as ({ORACLES["i7_structural_scores"].split(_FACTS, 1)[1].replace("round(", "(", 1).replace(", 9) as structural", ") as structural")}),
