@@ -163,7 +163,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     # the least is given the node's name as an aggregate of its own, so that the join deals both sides out anew and
     # a node with very many neighbours can be split over tasks
     least_of = lambda d, m: d.groupBy("u").agg(F.min("u").alias("w"), F.min("v").alias("v")).select(F.col("w").alias("u"), m.alias("m"))
-    for _ in range(rounds):
+    for step in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = least_of(both, F.least("w", "v"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -174,6 +174,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+        if step % 4 == 3:
+            release(spark)
     else:
         raise RuntimeError("the components did not settle")
     nodes = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")

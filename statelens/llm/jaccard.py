@@ -2,15 +2,18 @@
 
 1. Every text becomes its set of hashed word shingles; equal sets form one class, so copies cost nothing more.
 2. Two sets with Jaccard t or more differ in at most D = (1 - t) / t * (smaller size) shingles. The sets of a
-   size band are cut by hash into more than D segments, so two linked ones agree in some segment whole.
+   size band are cut by hash into m > D segments, so two linked ones agree in m - D segments whole. A set leaves
+   out its smallest segments, those below its (m - D)th smallest: of the segments in which two linked sets agree
+   one is left in by both. What is left out are mostly single shingles of common lines, which many sets share.
    Classes with an equal segment are candidates: pair by pair where few have it (PAIRED at most), as a star
-   around the least where many do, or where a node stands for the many of one batch. A pair goes on if the
-   classes' token bitmaps allow enough overlap; a star's edges all do, since its other pairs hang on them. What stays connected makes the blocks within
-   which all links lie.
+   around the least where many do. A pair goes on if the classes' token bitmaps allow enough overlap. Of a longer
+   run, the nodes that this has not connected are compared by their bitmaps, too, until they are. What stays
+   connected makes the blocks within which all links lie.
 3. In each block a signature tree is built over the classes: the nodes hold OR-combined token bitmaps, size
    ranges and the most tokens that share bits. A dual traversal drops node pairs whose greatest possible
    overlap is too small, or that are linked already, and compares the sets of the leaf pairs that stay.
-   A block of more than BLOCK_SHINGLES is cut by hash; each task joins two cuts.
+   A block of more than BLOCK_SHINGLES is cut by hash; each task joins two cuts, and a step deals each cut out to
+   2 * WAVE tasks at most, so that the disk it takes follows the block's size.
 4. The links' connected components give each document's component.
 
 Empty and null texts have no shingles and link with nothing. Texts with fewer words than a shingle are one
@@ -20,6 +23,7 @@ shingle as a whole. Repeated rows and ties keep one row each; the least doc_id o
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +36,15 @@ from statelens.llm.common import LOWER, SPACE, components, discard, mix, pieces,
 BLOCK_SHINGLES = 2_000_000
 #: Segment signatures that one bucket of the candidate search is meant to hold.
 BUCKET_ENTRIES = 500_000
+#: Distances between cuts of a block that one step joins.
+WAVE = 4
+#: Nodes of one run that one task holds, and bytes of bitmaps that one bucket of runs is meant to hold.
+RUN_NODES = 8192
+RUN_BYTES = 16 << 20
 #: Shingles whose segments one map step signs at once.
 MAP_SHINGLES = 400_000
 #: Most classes with one equal segment that are compared pair by pair.
-PAIRED = 32
+PAIRED = 4
 FANOUT = 8
 #: Bytes of the exact bitmaps of a block's shared tokens; beyond that leaf pairs are compared one by one.
 EXACT_BYTES = 32 << 20
@@ -95,7 +104,7 @@ def segment_signatures(sets: list[np.ndarray], num: int, den: int):
         of = np.flatnonzero((sizes >= lo) & (sizes <= hi))
         if d == 0 or not len(of):
             continue
-        m = d + 2 + d // 8
+        m = d + 2 + d // 2
         h = np.concatenate([sets[i] for i in of])
         v = mix(h ^ np.uint64(0x5851F42D4C957F2D))
         slot = np.repeat(np.arange(len(of)) * m, sizes[of]) + (mix(h + np.uint64(band * 7919 + 13)) % np.uint64(m)).astype(np.int64)
@@ -106,9 +115,9 @@ def segment_signatures(sets: list[np.ndarray], num: int, den: int):
         count = np.bincount(slot, minlength=n)
         seg = np.arange(n) % m
         sig = mix(low + (high << np.uint64(32)) + np.uint64(0xA0761D6478BD642F) * (seg + m * (band + 1)).astype(np.uint64) + mix(count.astype(np.uint64)))
-        empty = (count == 0).reshape(len(of), m)
-        # a set with so many empty segments may agree with its partner in empty ones only
-        keep = (~empty | (empty.sum(1) >= m - d)[:, None]).ravel()
+        # linked sets agree in m - d segments: fewer of a set's own are smaller than its (m - d)th smallest, and what a partner leaves out beyond that is smaller still
+        count = count.reshape(len(of), m)
+        keep = (count >= np.partition(count, m - d - 1, axis=1)[:, m - d - 1 : m - d]).ravel()
         sigs.append(sig[keep])
         owners.append(np.repeat(of, m)[keep])
     if not sigs:
@@ -116,34 +125,28 @@ def segment_signatures(sets: list[np.ndarray], num: int, den: int):
     return np.concatenate(sigs), np.concatenate(owners)
 
 
-def runs_of(sig: np.ndarray, node: np.ndarray, many_behind: np.ndarray | None = None):
-    """(signatures, nodes, pairs, star edges): distinct entries sorted by signature; runs of up to PAIRED nodes give all
-    their pairs (lesser node first), longer ones a star around the least node. A run with an entry that stands for
-    others of its signature (many_behind) is a star at any length: its edges stand for the pairs of those others too.
+def runs_of(sig: np.ndarray, node: np.ndarray):
+    """(pairs, run members): the entries' runs of equal signatures. Runs of up to PAIRED nodes give all their pairs (lesser
+    node first); longer ones give the pairs of their least node, and (signature, node) for each of their nodes.
     """
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     none = np.zeros((0, 2), np.uint64)
     if not len(sig):
-        return sig, node, none, none
-    behind = False
-    if many_behind is not None:
-        behind = np.logical_or.reduceat(many_behind[order], np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])))
+        return none, none
     new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
     sig, node = sig[new], node[new]
     at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     n = np.diff(np.concatenate([at, [len(sig)]]))
-    pairs = []
-    starred = (n > PAIRED) | behind
-    few = np.repeat((n > 1) & ~starred, n)
+    few, many = np.repeat((n > 1) & (n <= PAIRED), n), np.repeat(n > PAIRED, n)
+    pairs = [none]
     for step in range(1, min(int(n.max()), PAIRED)):
         i = np.flatnonzero(few[:-step] & (sig[step:] == sig[:-step]))
         pairs.append(np.stack([node[i], node[i + step]], 1))
-    many = np.repeat(starred, n)
+    members = np.stack([sig[many], node[many]], 1)
     many[at] = False
-    star = np.stack([np.repeat(node[at], n)[many], node[many]], 1)
-    distinct = lambda e: np.unique(e, axis=0) if len(e) else none
-    return sig, node, distinct(np.concatenate(pairs)) if pairs else none, distinct(star)
+    pairs.append(np.stack([np.repeat(node[at], n)[many], node[many]], 1))
+    return np.unique(np.concatenate(pairs), axis=0), members
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -198,7 +201,9 @@ def features(docs: DataFrame, k: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
-    """(u, v, star) between 48-bit class numbers: classes with an equal segment are paired or joined by a star."""
+    """(u, v, run) between 48-bit class numbers: pairs with an equal segment and, marked as run, (signature, class) for the
+    classes of long runs.
+    """
 
     def emit(batches):
         for b in batches:
@@ -209,27 +214,14 @@ def candidates(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> Dat
             def flush(batch):
                 sig, owner = segment_signatures([s for _, s in batch], num, den)
                 node = np.array([c for c, _ in batch], np.uint64)[owner] if len(owner) else np.zeros(0, np.uint64)
-                sig, node, _, star = runs_of(sig, node)
-                # a long run within the batch goes on as its least node, in rows marked as such
-                keep, behind = np.ones(len(sig), bool), np.zeros(len(sig), bool)
-                if len(star):
-                    at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-                    n = np.diff(np.concatenate([at, [len(sig)]]))
-                    keep = np.repeat(n <= PAIRED, n)
-                    keep[at] = True
-                    behind[at] = n > PAIRED
-                sig, node, behind = sig[keep], node[keep], behind[keep]
                 where = (sig >> np.uint64(48)) % np.uint64(buckets) if buckets <= 65536 else mix(sig) % np.uint64(buckets)
-                order = np.lexsort((behind, where))
-                sig, node, where, behind = sig[order], node[order], where[order], behind[order]
-                cut = np.flatnonzero((where[1:] != where[:-1]) | (behind[1:] != behind[:-1])) + 1
+                order = np.argsort(where, kind="stable")
+                sig, node, where = sig[order], node[order], where[order]
+                cut = np.flatnonzero(where[1:] != where[:-1]) + 1
                 lo = np.concatenate([[0], cut]) if len(where) else np.zeros(0, int)
                 hi = np.concatenate([cut, [len(where)]]) if len(where) else lo
-                rows = [(int(where[i]), _six(sig[i:j]), _six(node[i:j]), bool(behind[i])) for i, j in zip(lo, hi, strict=True)]
-                if len(star):  # a negative bucket carries edges
-                    rows.append((-1 - int(star[0, 0] % np.uint64(buckets)), _six(star[:, 0]), _six(star[:, 1]), True))
-                types = (pa.int64(), pa.binary(), pa.binary(), pa.bool_())
-                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["bucket", "a", "b", "behind"])
+                rows = [(int(where[i]), _six(sig[i:j]), _six(node[i:j])) for i, j in zip(lo, hi, strict=True)]
+                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["bucket", "a", "b"])
 
             for _, s in shingle_sets(b.column(b.schema.get_field_index("text")), k):
                 if not len(s):
@@ -248,23 +240,16 @@ def candidates(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> Dat
                 yield flush(batch)
 
     def gather(table):
-        a = np.concatenate([_unsix(x.as_py()) for x in table.column("a")])
-        b = np.concatenate([_unsix(x.as_py()) for x in table.column("b")])
-        bucket = table.column("bucket")[0].as_py()
-        if bucket < 0:
-            pairs, star = np.zeros((0, 2), np.uint64), np.unique(np.stack([a, b], 1), axis=0)
-        else:
-            behind = np.repeat(table.column("behind").to_numpy(), [len(x.as_py()) // 6 for x in table.column("a")])
-            _, _, pairs, star = runs_of(a, b, behind)
-        edges = np.concatenate([pairs, star]).astype(np.int64)
-        return pa.table({"u": pa.array(edges[:, 0]), "v": pa.array(edges[:, 1]), "star": pa.array(np.arange(len(edges)) >= len(pairs))})
+        pairs, members = runs_of(*(np.concatenate([_unsix(x.as_py()) for x in table.column(c)]) for c in ("a", "b")))
+        edges = np.concatenate([pairs, members]).astype(np.int64)
+        return pa.table({"u": pa.array(edges[:, 0]), "v": pa.array(edges[:, 1]), "run": pa.array(np.arange(len(edges)) >= len(pairs))})
 
-    blobs = docs.select("text").mapInArrow(emit, "bucket long, a binary, b binary, behind boolean")
-    return blobs.groupBy("bucket").applyInArrow(gather, "u long, v long, star boolean")
+    blobs = docs.select("text").mapInArrow(emit, "bucket long, a binary, b binary")
+    return blobs.groupBy("bucket").applyInArrow(gather, "u long, v long, run boolean")
 
 
-def pruned(edges: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v) of the star edges and of those pairs whose bitmaps allow a link. classes: node, n, bits."""
+def pruned(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) of those pairs whose bitmaps allow a link. classes: node, n, bits."""
 
     def run(batches):
         for b in batches:
@@ -273,9 +258,75 @@ def pruned(edges: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).filter(ok) for c in ("u", "v")], ["u", "v"])
 
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")).hint("shuffle_merge")
-    pairs = edges.where("not star").select("u", "v").distinct().join(side("u"), "u").join(side("v"), "v")
-    close = pairs.where(f"nu * {den} >= nv * {num} and nv * {den} >= nu * {num}")
-    return close.select("u", "v", "nu", "bu", "nv", "bv").mapInArrow(run, "u long, v long").union(edges.where("star").select("u", "v"))
+    close = pairs.distinct().join(side("u"), "u").join(side("v"), "v").where(f"nu * {den} >= nv * {num} and nv * {den} >= nu * {num}")
+    return close.select("u", "v", "nu", "bu", "nv", "bv").mapInArrow(run, "u long, v long")
+
+
+def run_links(comp, size, bits: list[bytes], side, num: int, den: int) -> list[tuple[int, int]]:
+    """(u, v): comps of a run's nodes whose bitmaps allow a link, as many as connect what such pairs connect. Nodes of one
+    comp count as connected. side: only pairs across its two values, or all if it has one value only.
+    """
+    order = np.argsort(size, kind="stable")
+    comp, size, side, bits = comp[order], size[order], side[order], [bits[i] for i in order]
+    _, label = np.unique(comp, return_inverse=True)
+    width = min(map(len, bits)) // 8
+    rows = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, width), axis=0) for b in bits])
+    extra = size - np.bitwise_count(rows).sum(1).astype(np.int64)
+    across, out = bool((side != side[0]).any()), []
+    last = np.searchsorted(size, size * den // num, side="right")
+    for i in range(len(comp)):
+        j = np.arange(i + 1, last[i])
+        j = j[(label[j] != label[i]) & (side[j] != side[i])] if across else j[label[j] != label[i]]
+        for lo in range(0, len(j), 4096):
+            x = j[lo : lo + 4096]
+            most = np.bitwise_count(rows[i] & rows[x]).sum(1).astype(np.int64) + np.minimum(extra[i], extra[x])
+            for t in x[most * (num + den) >= num * (size[i] + size[x])].tolist():
+                if label[t] != label[i] and may_link(bits[i], int(size[i]), bits[t], int(size[t]), num, den):
+                    out.append((int(comp[i]), int(comp[t])))
+                    label[label == label[t]] = label[i]
+    return out
+
+
+def linked_runs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) of the comps that members' runs connect by their bitmaps. members: run, node, comp, n, bits."""
+    size = members.groupBy("run").agg(F.ceil(F.count("*") / RUN_NODES).cast("long").alias("c"))
+    cut = members.join(size, "run").withColumn("x", F.pmod(F.xxhash64("node"), "c"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda y: F.struct(F.least("x", y).alias("i"), F.greatest("x", y).alias("j")))
+    dealt = cut.withColumn("ij", F.explode(pairs)).select("run", "ij.i", "ij.j", "x", "comp", "n", "bits")
+    total = dealt.agg(F.sum(F.length("bits") + 100)).first()[0] or 0
+    buckets = max(24, -(-total // RUN_BYTES))
+
+    def gather(table):
+        key = [table.column(c).to_numpy() for c in ("run", "i", "j")]
+        order = np.lexsort(key)
+        new = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in key])
+        comp, size, side = (table.column(c).to_numpy() for c in ("comp", "n", "x"))
+        bits = table.column("bits").combine_chunks()
+        found: list = []
+        for of in np.split(order, np.flatnonzero(new) + 1):
+            found += run_links(comp[of], size[of], [bits[int(i)].as_py() for i in of], side[of], num, den)
+        return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
+
+    bucket = F.pmod(F.xxhash64("run", "i", "j"), F.lit(buckets))
+    return dealt.groupBy(bucket).applyInArrow(gather, "u long, v long").distinct()
+
+
+def blocks_of(edges: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, component) of the blocks: what candidates (see candidates) connect whose bitmaps allow links. classes: node, n, bits."""
+    close = staged(pruned(edges.where("not run").select("u", "v"), classes, num, den))
+    comps = components(close)
+    runs = staged(edges.where("run").select(F.col("u").alias("run"), F.col("v").alias("node")).join(comps, "node", "left").select("run", "node", F.coalesce("component", "node").alias("comp")))
+    # a run whose nodes are connected already says nothing more
+    apart = runs.groupBy("run").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("run")
+    members = staged(runs.join(apart, "run").join(classes.select("node", "n", "bits").hint("shuffle_merge"), "node"))
+    more = staged(linked_runs(members, num, den))
+    discard(close, runs, members)
+    if more.isEmpty():
+        return comps
+    wider = components(more)
+    named = wider.select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    single = wider.join(comps.select("node"), "node", "left_anti")
+    return comps.join(named, "component", "left").select("node", F.coalesce("wider", "component").alias("component")).union(single)
 
 
 class Tree:
@@ -450,9 +501,16 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> Data
     # classes of rows without an id meet by their digest
     unnamed = docs.where("doc_id is null").select(F.lit(None).cast("binary").alias("cls"), F.lit(0).cast("long").alias("comp"), F.lit(0).cast("long").alias("nb"), "text").mapInArrow(sets, "cls binary, comp long, nb long, data binary")
     data = data.union(unnamed.drop("comp", "nb").join(reps.where("doc_id is null").drop("doc_id"), "cls").select("cls", "comp", "nb", "data"))
+    most = reps.agg(F.max("nb")).first()[0] or 0
     cut = data.withColumn("x", F.pmod(F.xxhash64("cls"), "nb"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda y: F.struct(F.least("x", y).alias("i"), F.greatest("x", y).alias("j")))
-    dealt = cut.select("cls", "comp", "x", "data", F.explode(pairs).alias("ij")).select("cls", "comp", "x", "data", "ij.i", "ij.j")
+    cut = staged(cut) if most > 2 * WAVE else cut
+
+    def dealt(lo):
+        """Each cut for each task that joins it with one whose number, in a circle, is lo to lo + WAVE - 1 further or less."""
+        pair = lambda y: F.struct(F.least("x", y).alias("i"), F.greatest("x", y).alias("j"))
+        far = F.sequence(F.lit(lo).cast("long"), F.least(F.lit(lo + WAVE - 1).cast("long"), F.floor(F.col("nb") / 2)))
+        pairs = F.array_distinct(F.flatten(F.transform(far, lambda d: F.array(pair((F.col("x") + d) % F.col("nb")), pair((F.col("x") - d + F.col("nb")) % F.col("nb"))))))
+        return cut.where(F.floor(F.col("nb") / 2) >= lo).select("cls", "comp", "x", "data", F.explode(pairs).alias("ij")).select("cls", "comp", "x", "data", "ij.i", "ij.j")
 
     def block(table):
         cls, x = table.column("cls").to_pylist(), table.column("x").to_pylist()
@@ -468,7 +526,12 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> Data
             found = [(cls[ids[a]], cls[ids[b]]) for a, b in join([raw[n] for n in left], None if right is None else [raw[n] for n in right], num, den)]
         return pa.table({"u": pa.array([f[0] for f in found], pa.binary()), "v": pa.array([f[1] for f in found], pa.binary())})
 
-    return dealt.groupBy("comp", "i", "j").applyInArrow(block, "u binary, v binary")
+    waves = [dealt(lo).groupBy("comp", "i", "j").applyInArrow(block, "u binary, v binary") for lo in range(0, most // 2 + 1, WAVE)]
+    if len(waves) == 1:
+        return waves[0]
+    out = reduce(DataFrame.union, [staged(w) for w in waves])
+    discard(cut)
+    return out
 
 
 def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -483,12 +546,11 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     number = F.conv(F.concat(*[F.substring(F.hex("cls"), 2 * i + 1, 2) for i in range(5, -1, -1)]), 16, 10).cast("long")
     classes = stats.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     sketches = stats.where("n_shingles > 0").withColumn("node", number).groupBy("node", "cls").agg(F.max("n_shingles").alias("n"), F.max("bits").alias("bits"))
-    close = staged(pruned(edges, sketches, num, den))
-    comps = components(close)
+    comps = blocks_of(edges, sketches, num, den)
     inside = classes.withColumn("node", number).join(comps, "node").select("doc_id", "cls", "n", F.col("component").alias("comp"))
     blocks = inside.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("nb"))
     reps = staged(inside.join(blocks, "comp").select("doc_id", "cls", "comp", "nb"))
-    discard(edges, close)
+    discard(edges)
     links = staged(_links(docs, reps, k, num, den))
     linked = components(links)
     named = classes.join(linked, classes["cls"] == linked["node"]).select("cls", "component", "doc_id")

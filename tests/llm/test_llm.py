@@ -481,6 +481,49 @@ def test_jaccard_hot_segments(spark):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, 4, 85, 100)
 
 
+def test_jaccard_common_lines_make_no_blocks(spark, monkeypatch):
+    """Texts that share a common line and nothing else don't meet in one block: a block's sets are dealt out to its pairs of cuts."""
+    rng = random.Random(9)
+    line = words(rng, 12)
+    texts = [f"{words(rng, 50)} {line} {words(rng, rng.randrange(40, 50))}" for _ in range(2000)]
+    texts += [f"{t} z" for t in texts[:5]]
+    blocks, staged = [], jaccard.staged
+
+    def spy(df, *more):
+        out = staged(df, *more)
+        if "nb" in out.columns and "doc_id" in out.columns:
+            blocks.extend(r.n for r in out.groupBy("comp").agg(F.count("*").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", spy)
+    got = {r.doc_id: r.component_id for r in jaccard.link(docs_of(spark, texts), 5, 80, 100).collect()}
+    assert [got[i] for i in range(len(texts))] == [*range(2000), *range(5)]
+    assert sorted(blocks) == [2] * 5
+
+
+def test_jaccard_cuts_in_waves(spark, monkeypatch):
+    """A block's cuts meet all of each other, however few distances one step joins."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 60)
+    monkeypatch.setattr(jaccard, "WAVE", 1)
+    texts = near_copies(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs_of(spark, texts), 4, 85, 100).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 4, 85, 100)
+
+
+def test_jaccard_segments_left_in():
+    """Of any two linked sets one whole segment is left in by both."""
+    rng = np.random.default_rng(8)
+    for num in (85, 80):
+        for size in (6, 9, 14, 40, 130, 700):
+            for _ in range(40):
+                base = rng.integers(0, 1 << 62, size, dtype=np.uint64)
+                most = int(size * (100 - num) / (100 + num))  # as many shingles exchanged as a link allows
+                sets = [np.unique(base), np.unique(np.concatenate([base[most:], rng.integers(0, 1 << 62, most, dtype=np.uint64)]))]
+                if most and 100 * len(np.intersect1d(*sets)) >= num * len(np.union1d(*sets)):
+                    sig, owner = jaccard.segment_signatures(sets, num, 100)
+                    assert len(np.intersect1d(sig[owner == 0], sig[owner == 1]))
+
+
 @pytest.mark.parametrize("exact", [None, 0])
 def test_tree_join_finds_all_links(monkeypatch, exact):
     if exact is not None:
