@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,35 +143,53 @@ def _chi_square(c: DataFrame, by: list[str], row: str, column: str) -> DataFrame
     return out
 
 
-def fisher_pairs(counts: DataFrame, by: list[str], group: str) -> DataFrame:
-    """(by, group_a, group_b, odds_ratio, p): two-sided exact test for each pair of groups of (valid, invalid) counts.
+#: Tables that one step of the exact test weighs.
+STEP = 1 << 16
+
+
+def _fisher(a: int, b: int, c: int, d: int) -> float:
+    """Two-sided exact p of the table (a, b), (c, d): what all tables with its margins weigh that are no likelier than it.
 
-    One walk over the possible tables of each pair: each probability follows from the one before, so the work is linear
-    in the counts.
+    Weights are relative to the likeliest table; each follows from the one before, outwards until they are 0 as doubles.
+    So the work grows with the root of the counts, and no table of any weight is left out.
     """
+    n1, n2, m = a + b, c + d, a + c
+    lo, hi = max(0, m - n2), min(n1, m)
+    mode = min(hi, max(lo, (n1 + 1) * (m + 1) // (n1 + n2 + 2)))
+
+    def walk(steps, ratio):
+        out, last = [], 1.0
+        for at in range(0, steps, STEP):
+            out.append(last * np.cumprod(ratio(np.arange(at, min(steps, at + STEP), dtype=np.float64))))
+            last = out[-1][-1]
+            if last == 0:
+                break
+        return np.concatenate(out) if out else np.zeros(0)
+
+    up = walk(hi - mode, lambda k: (n1 - mode - k) * (m - mode - k) / ((mode + k + 1) * (n2 - m + mode + k + 1)))
+    down = walk(mode - lo, lambda k: (mode - k) * (n2 - m + mode - k) / ((n1 - mode + k + 1) * (m - mode + k + 1)))
+    weight = np.concatenate([down[::-1], [1.0], up])
+    prob = weight / weight.sum()
+    at = a - (mode - len(down))
+    seen = prob[at] if 0 <= at < len(prob) else 0.0
+    return min(1.0, float(prob[prob <= seen + 1e-12].sum()))
+
+
+@F.pandas_udf(DoubleType())
+def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    """Two-sided exact p; only result rows get here."""
+    return pd.Series([None if any(map(pd.isna, t)) else _fisher(*map(int, t)) for t in zip(a, b, c, d, strict=True)], dtype="float64")
+
+
+def fisher_pairs(counts: DataFrame, by: list[str], group: str) -> DataFrame:
+    """(by, group_a, group_b, odds_ratio, p): two-sided exact test for each pair of groups of (valid, invalid) counts."""
     a = counts.select(*by, F.col(group).alias("group_a"), F.col("valid").alias("a"), F.col("invalid").alias("b"))
     b = counts.select(*by, F.col(group).alias("group_b"), F.col("valid").alias("c"), F.col("invalid").alias("d"))
     joined = a.join(b, by) if by else a.join(b, F.col("group_a") < F.col("group_b"))
     pairs = joined.where("group_a < group_b")
-    log_fact = lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, k: s + F.log(k.cast("double")))
-    n1, n2, m = F.col("a") + F.col("b"), F.col("c") + F.col("d"), F.col("a") + F.col("c")
-    lo, hi = F.greatest(F.lit(0), m - n2).cast("int"), F.least(n1, m).cast("int")
-    pairs = pairs.withColumn("lo", lo).withColumn("hi", hi)
-    lo, hi, x0 = F.col("lo"), F.col("hi"), F.col("a").cast("int")
-    first = log_fact(n1) + log_fact(n2) + log_fact(m) + log_fact(n1 + n2 - m) - log_fact(n1 + n2) - log_fact(lo) - log_fact(n1 - lo) - log_fact(m - lo) - log_fact(n2 - m + lo)
-    pairs = pairs.withColumn("first", first)
-    step = lambda x: F.log(((n1 - x) * (m - x)).cast("double")) - F.log(((x + 1) * (n2 - m + x + 1)).cast("double"))
-    before = F.when(x0 > lo, F.sequence(lo, F.greatest(lo, x0 - 1))).otherwise(F.array().cast("array<int>"))
-    pairs = pairs.withColumn("obs", F.exp(F.aggregate(before, F.col("first"), lambda s, x: s + step(x))))
-
-    def add(acc, x):
-        here = F.exp(acc["lp"])
-        return F.struct(F.when(x < hi, acc["lp"] + step(x)).otherwise(acc["lp"]).alias("lp"), (acc["s"] + F.when(here <= F.col("obs") + 1e-12, here).otherwise(0.0)).alias("s"))
-
-    p = F.least(F.lit(1.0), F.aggregate(F.sequence(lo, hi), F.struct(F.col("first").alias("lp"), F.lit(0.0).alias("s")), add)["s"])
     bc = F.col("b") * F.col("c")
     odds = F.when(bc == 0, F.when(F.col("a") * F.col("d") == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))).otherwise(F.col("a") * F.col("d") / bc)
-    return pairs.select(*by, "group_a", "group_b", odds.alias("odds_ratio"), p.alias("p"))
+    return pairs.select(*by, "group_a", "group_b", odds.alias("odds_ratio"), fisher_two_sided("a", "b", "c", "d").alias("p"))
 
 
 #: Degrees of freedom up to which the battery states a p-value.
