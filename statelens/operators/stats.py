@@ -207,8 +207,10 @@ def battery(rows: DataFrame, by: list[str], group: str, syntax: str, strict: str
     """
     value = lambda name, x: F.struct(F.lit(name).alias("metric"), x.cast("long").alias("value"))
     seen = F.array(value("syntax validity", F.col(syntax)), F.when(F.col(syntax), value("structural validity", F.col(strict))), F.when(F.col(syntax), value("violation count", F.col(count))))
-    x = rows.where(F.col(group).isNotNull()).select(*by, group, F.explode(F.array_compact(seen)).alias("x")).select(*by, group, "x.*").where("value is not null")
-    h = x.groupBy(*by, "metric", group, "value").agg(F.count("*").alias("o"))
+    # counted before the metrics multiply the rows
+    rows = rows.where(F.col(group).isNotNull()).groupBy(*by, group, syntax, strict, count).agg(F.count("*").alias("_o"))
+    x = rows.select(*by, group, "_o", F.explode(F.array_compact(seen)).alias("x")).select(*by, group, "_o", "x.*").where("value is not null")
+    h = x.groupBy(*by, "metric", group, "value").agg(F.sum("_o").alias("o"))
     keys, is_flag = [*by, "metric"], F.col("metric") != "violation count"
     null = lambda kind: F.lit(None).cast(kind)
 
