@@ -85,11 +85,13 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
 
 def kruskal_wallis(df: DataFrame, by: list[str], group: str, value: str, any_df: bool = True) -> DataFrame:
     """(by, groups, n, h, df, p): tie-corrected H; null where fewer than two groups or all values are tied."""
-    return _kruskal(rank_groups(df, by, group, value), by, any_df)
+    return _kruskal(rank_groups(df, by, group, value), by, group, any_df)
 
 
-def _kruskal(g: DataFrame, by: list[str], any_df: bool = True) -> DataFrame:
-    k = g.groupBy(*by).agg(F.count("*").alias("groups"), F.max("total").alias("n"), F.max("tie_sum").alias("ties"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("s"))
+def _kruskal(g: DataFrame, by: list[str], group: str, any_df: bool = True) -> DataFrame:
+    # summed in the groups' order: h is what is left of two numbers as large as n, and another order changes its last digits
+    terms = F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), (F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("t"))))
+    k = g.groupBy(*by).agg(F.count("*").alias("groups"), F.max("total").alias("n"), F.max("tie_sum").alias("ties"), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x["t"]).alias("s"))
     n = F.col("n").cast("double")
     c = 1 - F.col("ties") / (n * n * n - n)
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / c
@@ -221,7 +223,7 @@ def battery(rows: DataFrame, by: list[str], group: str, syntax: str, strict: str
     groups = h.where(is_flag).groupBy(*keys).agg((F.countDistinct(group) - 1).alias("df"))
     chi = overall(_chi_square(h.where(is_flag), keys, group, "value").drop("df").join(groups, keys), "chi-squared", F.col("chi2"))
     ranked = _rank_groups(h.where(~is_flag).withColumnRenamed("o", "_n"), keys, group, "value")
-    kw = overall(_kruskal(ranked, keys), "Kruskal-Wallis", F.coalesce("h", F.lit(0.0)))
+    kw = overall(_kruskal(ranked, keys, group), "Kruskal-Wallis", F.coalesce("h", F.lit(0.0)))
     counts = h.where(is_flag).groupBy(*keys, group).agg(F.sum(F.when(F.col("value") == 1, F.col("o")).otherwise(0)).alias("valid"), F.sum(F.when(F.col("value") == 0, F.col("o")).otherwise(0)).alias("invalid"))
     fisher = fisher_pairs(counts, keys, group).select(*keys, F.lit("exact pair").alias("test"), "group_a", "group_b", F.col("odds_ratio").alias("statistic"), null("long").alias("df"), "p", null("double").alias("p_adjusted"))
     pairs = _dunn(ranked, keys, group).withColumn("p", normal_two_sided("z"))
