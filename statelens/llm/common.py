@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +35,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/statelens-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+#: Options of staged() for rows of megabytes: row groups of 8 MB, their size looked at after each row and not after a hundred. Readers decode a row group's rows at once.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.row.count.limit": 2}
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Jobs that run meanwhile send Python this many rows at once, not ten thousand: for rows of megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def staged(df: DataFrame, partition_by: str | None = None, options: dict | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there."""
-    path, w = shared_dir(df.sparkSession), df.write
+    path, w = shared_dir(df.sparkSession), df.write.options(**options or {})
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)

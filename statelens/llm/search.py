@@ -33,9 +33,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statelens.llm.common import LOWER, staged, text_chunks, word_spans
+from statelens.llm.common import LARGE_ROWS, LOWER, small_batches, staged, text_chunks, word_spans
 
 SHARD_BYTES = 4 << 20
+#: Shards that a task sees at once, however many its part of the index has.
+SHARDS = 2
 BLOCK = 128
 QUERY_CHARS = 1_000_000
 # What is no letter, digit or non-ASCII character, and the same as an expression.
@@ -213,7 +215,7 @@ class Index:
                     if row is not None:
                         yield row
 
-        self.shards = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DDL))
+        self.shards = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DDL), options=LARGE_ROWS)
         stats = self.shards.agg(F.sum("n_docs"), F.sum("n_terms")).first()
         self.n, self.total = stats[0] or 0, stats[1] or 0
 
@@ -230,7 +232,8 @@ class Index:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"t": pa.array(some), "n": pa.array(n[some])})
 
-        rows = self.shards.select("terms", "df").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()  # a row for each term of the block at most
+        with small_batches(self.shards.sparkSession, SHARDS):
+            rows = self.shards.select("terms", "df").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()  # a row for each term of the block at most
         return {terms[r.t]: r.n for r in rows}
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -271,7 +274,8 @@ class Index:
             rows = [(q, plan[q][0], None if none else d, s) for q, heap in enumerate(heaps) for s, none, d in heap]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["q", "item_id", "doc_id", "score"])
 
-        best_of_tasks = self.shards.mapInArrow(run, "q long, item_id long, doc_id long, score long")
+        with small_batches(self.shards.sparkSession, SHARDS):
+            best_of_tasks = staged(self.shards.mapInArrow(run, "q long, item_id long, doc_id long, score long"))
         w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         return best_of_tasks.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 

@@ -1277,3 +1277,19 @@ def test_pipeline_on_a_very_long_text(spark, tmp_path):
     spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
     assert 100 in out and 101 not in out and len(out) > 20
+
+
+def test_search_index_in_small_row_groups(spark, monkeypatch):
+    """Readers decode a row group at once: a part of the index with many shards has many of them."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(search, "SHARD_BYTES", 200)
+    rng = random.Random(3)
+    texts = [words(rng, 30) for _ in range(300)]
+    index = search.Index(docs_of(spark, texts).select("doc_id", "text").coalesce(1))
+    groups = [m.row_group(i).num_rows for f in index.shards.inputFiles() for m in [pq.ParquetFile(f.replace("file://", "")).metadata] for i in range(m.num_row_groups)]
+    assert sum(groups) > 100 and max(groups) <= 2
+    q = spark.createDataFrame([(1, texts[7])], "item_id long, text string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    assert index.search(q).orderBy("rank").first().doc_id == 7 and spark.conf.get(key, None) == before
